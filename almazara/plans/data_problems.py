@@ -147,3 +147,249 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_normalised": p4_normalised}
 SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL}
+
+# ---------------------------------------------------------------------------------------------- problem 1
+from almazara.operators.fill import ABSURD_DAYS, ABSURD_FACTOR, STAND_IN_DAYS, fill, keep, usable_day, usable_pair  # noqa: E402
+
+_TICKETS, _MONEY = "num_tickets", "facturacion"
+
+
+def _companion_fallbacks(target: str, other: str) -> list:
+    """Estimates for a day of a restaurant: by the other measure at the restaurant's usual ratio, then by its weekday, the restaurant, the date, all."""
+    good = F.when(F.col(f"{other}__reason").isNull(), F.col(other).cast("double"))
+    ratio = F.try_divide(F.sum(F.when(good > 0, F.col(target).cast("double"))), F.sum(F.when(good > 0, good)))
+    tidy = (lambda c: F.round(c)) if target == _TICKETS else (lambda c: F.round(c, 2))
+    mean = F.avg(F.col(target).cast("double"))
+    stat = tidy(F.col("stat"))
+    return [
+        ("restaurant_ratio", ["restaurant"], ratio, tidy(good * F.col("stat"))),
+        ("restaurant_weekday", ["restaurant", "day_name"], mean, stat),
+        ("restaurant", ["restaurant"], mean, stat),
+        ("date", ["date"], mean, stat),
+        ("all", [], mean, stat),
+    ]
+
+
+_DAY_KEYS = (("restaurant", "date"),)
+
+
+def _fill_daily(rows: DataFrame, target: str) -> DataFrame:
+    other = _MONEY if target == _TICKETS else _TICKETS
+    return fill(rows, target, "diaria_id", [*_DAY_KEYS, ("restaurant", "date", other), ("restaurant", other)], _companion_fallbacks(target, other))
+
+
+def _daily_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "maestra_diaria").select("diaria_id", "restaurant", "date", "day_name", _TICKETS, _MONEY)
+    return keep(usable_pair(rows, "restaurant", _TICKETS, _MONEY))
+
+
+_READINGS = ("temperature_mean", "temperature_max", "temperature_min", "precipitation_hours", "wind_speed_max_kmh", "sunshine_duration_s")
+_ROW_BLOCK = 16
+
+
+def _fill_weather(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "meteo_diaria").select("md_id", "source_file", "row_no", "event_location", "date", *_READINGS)
+    rows = keep(usable_day(rows, "source_file", "date").withColumn("block", F.floor(F.col("row_no") / _ROW_BLOCK)))
+    offset = F.avg(F.unix_date("date") - F.col("row_no"))
+    place = F.date_from_unix_date((F.col("row_no") + F.round("stat")).cast("int"))
+    fallbacks = [("file_place", ["source_file", "block"], offset, place), ("file", ["source_file"], offset, place)]
+    return fill(rows, "date", "md_id", [("source_file", "row_no"), ("event_location", *_READINGS)], fallbacks)
+
+
+def _long(df: DataFrame, name: str, row_id: str, target: str) -> DataFrame:
+    return df.where(F.col(f"{target}__reason").isNotNull()).select(
+        F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.lit(target).alias("field_name"), F.col(f"{target}__reason").alias("reason"),
+        F.col(f"{target}__filled_value").cast("string").alias("filled_value"), F.col(f"{target}__source").alias("source"), F.col(f"{target}__filled").alias("filled"),
+    )
+
+
+def p1_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Every missing value with its reason, the value filled in, and where that came from."""
+    days = _daily_rows(spark, d)
+    parts = [_long(_fill_daily(days, t), "maestra_diaria", "diaria_id", t) for t in (_TICKETS, _MONEY)]
+    return parts[0].unionByName(parts[1]).unionByName(_long(_fill_weather(spark, d), "meteo_diaria", "md_id", "date"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_filled(spark, d).where("filled or source = 'none'").select("table_name", "row_id", "field_name")
+
+
+_P1_REASONS_SQL = f"""
+pair as (
+  select *, case when isnan(facturacion) then null else facturacion end as money from maestra_diaria),
+mid as (
+  select restaurant, median(num_tickets) filter (num_tickets > 0) as mt, median(money) filter (money > 0) as mm from pair group by restaurant),
+own as (
+  select p.*, (num_tickets is null or num_tickets < 0 or coalesce(num_tickets > 0 and num_tickets >= {ABSURD_FACTOR} * mt, false)) as bad_t,
+    (money is null or money < 0 or coalesce(money > 0 and money >= {ABSURD_FACTOR} * mm, false)) as bad_m
+  from pair p left join mid using (restaurant)),
+reasons as (
+  select *, bad_t or (num_tickets = 0 and not bad_m and money > 0) as lost_t, bad_m or (money = 0 and not bad_t and num_tickets > 0) as lost_m from own)
+"""
+P1_FOUND_SQL = f"""
+with {_P1_REASONS_SQL},
+files as (
+  select source_file, median(date - date '1970-01-01') as mid from meteo_diaria where date not in ({', '.join(f"date '{x}'" for x in STAND_IN_DAYS)}) group by source_file)
+select 'maestra_diaria' as table_name, diaria_id as row_id, 'num_tickets' as field_name from reasons where lost_t
+union all select 'maestra_diaria', diaria_id, 'facturacion' from reasons where lost_m
+union all select 'meteo_diaria', md_id, 'date' from meteo_diaria m left join files f using (source_file)
+where date is null or date in ({', '.join(f"date '{x}'" for x in STAND_IN_DAYS)}) or abs((date - date '1970-01-01') - mid) > {ABSURD_DAYS}
+"""
+
+# ---------------------------------------------------------------------------------------------- problem 5
+from almazara.operators import drift  # noqa: E402
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(drift.footers(drift.records(table(spark, d, "crudos")))).select("feed", "source_file", "field_name", "change_kind")
+
+
+def p5_ventas(spark: SparkSession, d: str) -> DataFrame:
+    """The sales records of all files as one table."""
+    return drift.consistent(drift.records(table(spark, d, "crudos")), "ventas")
+
+
+def p5_eventos(spark: SparkSession, d: str) -> DataFrame:
+    """The event records of all files as one table."""
+    return drift.consistent(drift.records(table(spark, d, "crudos")), "eventos")
+
+
+# ---------------------------------------------------------------------------------------------- problem 6
+from almazara.functions.text import fold  # noqa: E402
+from almazara.operators.history import delta_store, reconstruct, snapshots  # noqa: E402
+
+_ENTITY, _ATTRIBUTES = ["restaurant", "article_code"], ["article_name", "department_code", "department_name"]
+
+
+def _sales_store(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ventas").where("report_start is not null and report_end is not null and report_end >= report_start").select(
+        *_ENTITY, "report_start", "report_generated_on", "venta_id", "department_code", *[F.when(fold(F.col(c)).isNotNull(), F.col(c)).alias(c) for c in ("article_name", "department_name")]
+    )
+    snaps = snapshots(rows, _ENTITY, "report_start", _ATTRIBUTES, ["report_generated_on", "venta_id"])
+    return delta_store(snaps, _ENTITY, "report_start", _ATTRIBUTES, {c: fold(F.col(c)) for c in ("article_name", "department_name")})
+
+
+def p6_history(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of every article of a restaurant with the days it was valid."""
+    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES).withColumn("changed", F.array_join("changed", "+"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES).where(F.size("changed") > 0).select("restaurant", "article_code", F.col("valid_from").cast("string").alias("valid_from"))
+
+
+_FOLD = lambda c: f"nullif(trim(regexp_replace(strip_accents(lower({c})), '\\s+', ' ', 'g')), '')"
+_P6_SQL = f"""
+with rows as (
+  select restaurant, article_code, report_start, report_generated_on as g, venta_id as i, department_code as dc,
+    case when {_FOLD('article_name')} is not null then article_name end as an, case when {_FOLD('department_name')} is not null then department_name end as dn
+  from ventas where restaurant is not null and article_code is not null and report_start is not null and report_end >= report_start),
+snaps as (
+  select restaurant, article_code, report_start, arg_max(an, (g, i)) filter (an is not null) as an, arg_max(dc, (g, i)) filter (dc is not null) as dc, arg_max(dn, (g, i)) filter (dn is not null) as dn
+  from rows group by all),
+cmp as (select *, {_FOLD('an')} as can, {_FOLD('dn')} as cdn from snaps),
+was as (
+  select *, last_value(can ignore nulls) over w as wan, last_value(dc ignore nulls) over w as wdc, last_value(cdn ignore nulls) over w as wdn,
+    last_value(an ignore nulls) over u as fan, last_value(dc ignore nulls) over u as fdc, last_value(dn ignore nulls) over u as fdn,
+    row_number() over u as seen
+  from cmp window w as (partition by restaurant, article_code order by report_start rows between unbounded preceding and 1 preceding),
+    u as (partition by restaurant, article_code order by report_start rows between unbounded preceding and current row)),
+marked as (
+  select *, coalesce(can <> wan, false) as man, coalesce(dc <> wdc, false) as mdc, coalesce(cdn <> wdn, false) as mdn,
+    (can is not null and wan is null) or (dc is not null and wdc is null) or (cdn is not null and wdn is null) as fresh from was)
+"""
+P6_FOUND_SQL = _P6_SQL + "select restaurant, article_code, cast(report_start as varchar) as valid_from from marked where man or mdc or mdn"
+
+# ---------------------------------------------------------------------------------------------- problem 7
+from almazara.operators.rolling import latest_versions, trailing_sums, unfold  # noqa: E402
+
+
+def _daily_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "maestra_diaria").select("diaria_id", "restaurant", "date", _TICKETS, _MONEY, "loaded_at").where("restaurant is not null and date is not null")
+    rows = usable_pair(rows, "restaurant", _TICKETS, _MONEY)
+    good = {c: F.when(F.col(f"{c}__reason").isNull(), F.col(c)) for c in (_TICKETS, _MONEY)}
+    return latest_versions(rows.withColumns(good), ["restaurant", "date"], ["loaded_at", "diaria_id"], [_TICKETS, _MONEY])
+
+
+def _periods_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "features_article_period").select("fap_id", "restaurant", "article_code", "report_start", "report_end", "loaded_at", F.nanvl("units", F.lit(None).cast("double")).alias("units"))
+    rows = rows.where("restaurant is not null and article_code is not null and report_end is not null")
+    return latest_versions(rows, ["restaurant", "article_code", "report_start", "report_end"], ["loaded_at", "fap_id"], ["units"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    out = []
+    days = trailing_sums(_daily_latest(spark, d), ["restaurant"], "date", {"active": (F.col(_TICKETS) > 0).cast("long")}, [7, 30])
+    for w in (7, 30):
+        out.append(_idle(days.withColumn("article_code", F.lit(0).cast("long")), "maestra_diaria", w))
+    periods = trailing_sums(_periods_latest(spark, d), ["restaurant", "article_code"], "report_end", {"active": (F.col("units") > 0).cast("long")}, [30])
+    out.append(_idle(periods, "features_article_period", 30))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _idle(sums: DataFrame, name: str, window: int) -> DataFrame:
+    keys = ["restaurant", "article_code"]
+    return unfold(sums, keys, [f"active_{window}"]).where(F.col(f"active_{window}") == 0).select(
+        F.lit(name).alias("table_name"), *keys, F.col("on_day").cast("string").alias("on_day"), F.lit(window).alias("window_days")
+    )
+
+
+def p7_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and averages per calendar day of tickets and revenue of a restaurant over the last 7 and 30 days, for every day."""
+    measures = {"tickets": F.col(_TICKETS).cast("long"), "revenue": F.col(_MONEY), "usable": F.col(_TICKETS).isNotNull().cast("long")}
+    names = [f"{m}_{w}" for m in measures for w in (7, 30)]
+    rows = unfold(trailing_sums(_daily_latest(spark, d), ["restaurant"], "date", measures, [7, 30]), ["restaurant"], names)
+    return rows.select(
+        "restaurant", "on_day", *[F.col(f"tickets_{w}") for w in (7, 30)], *[F.round(f"revenue_{w}", 2).alias(f"revenue_{w}") for w in (7, 30)],
+        *[F.col(f"usable_{w}") for w in (7, 30)], *[F.round(F.col(f"{m}_{w}") / w, 4).alias(f"{m}_avg_{w}") for m in ("tickets", "revenue") for w in (7, 30)],
+    )
+
+
+def p7_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and averages per calendar day of an article's units in a restaurant over the last 7 and 30 days, for every day."""
+    keys = ["restaurant", "article_code"]
+    rows = unfold(trailing_sums(_periods_latest(spark, d), keys, "report_end", {"units": F.col("units")}, [7, 30]), keys, ["units_7", "units_30"])
+    return rows.select(*keys, "on_day", "units_7", "units_30", *[F.round(F.col(f"units_{w}") / w, 4).alias(f"units_avg_{w}") for w in (7, 30)])
+
+
+_P7_SQL = f"""
+with {_P1_REASONS_SQL},
+daily as (
+  select restaurant, date as on_day, case when not lost_t then num_tickets end as tickets, case when not lost_m then money end as revenue from reasons
+  where restaurant is not null and date is not null qualify row_number() over (partition by restaurant, date order by loaded_at desc nulls last, diaria_id desc) = 1),
+periods as (
+  select restaurant, article_code, report_end as on_day, case when isnan(units) then null else units end as units from features_article_period
+  where restaurant is not null and article_code is not null and report_end is not null
+  qualify row_number() over (partition by restaurant, article_code, report_start, report_end order by loaded_at desc nulls last, fap_id desc) = 1),
+booked as (select restaurant, article_code, on_day, sum(units) as units, count(*) filter (units > 0) as active from periods group by all),
+rspan as (select restaurant, unnest(generate_series(min(on_day), max(on_day), interval 1 day))::date as on_day from daily group by restaurant),
+pspan as (select restaurant, article_code, unnest(generate_series(min(on_day), max(on_day), interval 1 day))::date as on_day from booked group by restaurant, article_code),
+rdays as (
+  select s.*, coalesce(tickets, 0) as tickets, coalesce(revenue, 0) as revenue, (tickets is not null)::bigint as usable, coalesce(tickets > 0, false)::bigint as active
+  from rspan s left join daily d using (restaurant, on_day)),
+pdays as (select s.*, coalesce(units, 0) as units, coalesce(active, 0) as active from pspan s left join booked b using (restaurant, article_code, on_day)),
+"""
+_W = lambda what, part, n: f"sum({what}) over (partition by {part} order by on_day rows between {n - 1} preceding and current row)"
+P7_FOUND_SQL = _P7_SQL + f"""
+ract as (select restaurant, on_day, {_W('active', 'restaurant', 7)} as a7, {_W('active', 'restaurant', 30)} as a30 from rdays),
+pact as (select restaurant, article_code, on_day, {_W('active', 'restaurant, article_code', 30)} as a30 from pdays)
+select 'maestra_diaria' as table_name, restaurant, 0::bigint as article_code, cast(on_day as varchar) as on_day, 7 as window_days from ract where a7 = 0
+union all select 'maestra_diaria', restaurant, 0, cast(on_day as varchar), 30 from ract where a30 = 0
+union all select 'features_article_period', restaurant, article_code, cast(on_day as varchar), 30 from pact where a30 = 0
+"""
+P7_DAILY_SQL = _P7_SQL + f"""
+sums as (select restaurant, on_day, {', '.join(f"{_W(m, 'restaurant', w)} as {m}_{w}" for m in ('tickets', 'revenue', 'usable') for w in (7, 30))} from rdays)
+select restaurant, on_day, cast(tickets_7 as bigint) as tickets_7, cast(tickets_30 as bigint) as tickets_30, round(revenue_7, 2) as revenue_7, round(revenue_30, 2) as revenue_30,
+  cast(usable_7 as bigint) as usable_7, cast(usable_30 as bigint) as usable_30,
+  {', '.join(f"round({m}_{w} / {w}.0::double, 4) as {m}_avg_{w}" for m in ('tickets', 'revenue') for w in (7, 30))} from sums
+"""
+P7_ARTICLES_SQL = _P7_SQL + f"""
+sums as (select restaurant, article_code, on_day, {', '.join(f"{_W('units', 'restaurant, article_code', w)} as units_{w}" for w in (7, 30))} from pdays)
+select restaurant, article_code, on_day, units_7, units_30, {', '.join(f"round(units_{w} / {w}.0::double, 4) as units_avg_{w}" for w in (7, 30))} from sums
+"""
+
+QUERIES |= {
+    "p1_found": p1_found, "p1_filled": p1_filled, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos,
+    "p6_found": p6_found, "p6_history": p6_history, "p7_found": p7_found, "p7_daily": p7_daily, "p7_articles": p7_articles,
+}
+SQL |= {"p1_found": P1_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}
