@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almazara.functions.text import fold
+from almazara.operators import drift
+from almazara.operators.fill import ABSURD_DAYS, ABSURD_FACTOR, STAND_IN_DAYS, fill, keep, usable_day, usable_pair
+from almazara.operators.history import delta_store, reconstruct, snapshots
 from almazara.operators.intervals import covered_spans
+from almazara.operators.rolling import latest_versions, trailing_sums, unfold
 from almazara.operators.references import ForeignKey, orphan_cascade, orphan_report
 from almazara.operators.timestamps import Typed, instant_text, normalise
 from almazara.plans.tables import table
@@ -44,17 +49,14 @@ DOMAIN_KEYS = (
     ForeignKey("ventas", "articulos", ["article_code"], ["article_code"], ["report_start", "report_end"], ["valid_from", "valid_to"], "ventas.article_code"),
     ForeignKey("features_article_period", "ventas", ["restaurant", "article_code", "report_start", "report_end"], ["restaurant", "article_code", "report_start", "report_end"], name="features_article_period.sales"),
 )
-_PERIODS = {
-    "menu": F.date_format("exported_on", "yyyy-MM"),
-    "ventas": F.date_format("report_start", "yyyy-MM"),
-    "features_article_period": F.date_format("report_start", "yyyy-MM"),
-}
+#: The day whose month a report goes by.
+_REPORT_DAY = {"menu": "exported_on", "ventas": "report_start", "features_article_period": "report_start"}
 _IDS = {"menu": "menu_id", "ventas": "venta_id", "features_article_period": "fap_id", "articulos": "article_code"}
 
 
 def _orphans(spark: SparkSession, d: str, keys: tuple[ForeignKey, ...]) -> DataFrame:
     names = {n for k in keys for n in (k.child, k.parent)}
-    return orphan_cascade({n: table(spark, d, n) for n in names}, keys, _IDS, _PERIODS)
+    return orphan_cascade({n: table(spark, d, n) for n in names}, keys, _IDS, {n: F.date_format(c, "yyyy-MM") for n, c in _REPORT_DAY.items()})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,6 @@ QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "
 SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL}
 
 # ---------------------------------------------------------------------------------------------- problem 1
-from almazara.operators.fill import ABSURD_DAYS, ABSURD_FACTOR, STAND_IN_DAYS, fill, keep, usable_day, usable_pair  # noqa: E402
 
 _TICKETS, _MONEY = "num_tickets", "facturacion"
 
@@ -237,7 +238,6 @@ where date is null or date in ({', '.join(f"date '{x}'" for x in STAND_IN_DAYS)}
 """
 
 # ---------------------------------------------------------------------------------------------- problem 5
-from almazara.operators import drift  # noqa: E402
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -255,8 +255,6 @@ def p5_eventos(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------- problem 6
-from almazara.functions.text import fold  # noqa: E402
-from almazara.operators.history import delta_store, reconstruct, snapshots  # noqa: E402
 
 _ENTITY, _ATTRIBUTES = ["restaurant", "article_code"], ["article_name", "department_code", "department_name"]
 
@@ -301,7 +299,6 @@ marked as (
 P6_FOUND_SQL = _P6_SQL + "select restaurant, article_code, cast(report_start as varchar) as valid_from from marked where man or mdc or mdn"
 
 # ---------------------------------------------------------------------------------------------- problem 7
-from almazara.operators.rolling import latest_versions, trailing_sums, unfold  # noqa: E402
 
 
 def _daily_latest(spark: SparkSession, d: str) -> DataFrame:
