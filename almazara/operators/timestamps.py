@@ -82,18 +82,26 @@ def _part(name: str) -> Column:
     return F.col("p")[_AT[name]]
 
 
-def _once(c: Column) -> Column:
-    """``c`` as a generated column: the optimiser won't copy it into its uses, nor push filters on it below."""
-    return F.explode(F.array(c))
+def _settled(df: DataFrame, name: str, drop_null: bool = False) -> DataFrame:
+    """``df`` with column ``name`` passed through a generator with a lambda.
+
+    It ends the stage of generated code, so that no method outgrows what the JVM compiles, and keeps the
+    optimiser from copying the column's expression into later uses and filters.
+    """
+    kept = F.filter(F.array(name), lambda x: x.isNotNull()) if drop_null else F.transform(F.array(name), lambda x: x)
+    return df.select(*[c for c in df.columns if c != name], F.explode(kept).alias(name))
+
+
+_WHOLE = ("year", "month", "day", "first", "second", "hour", "minute", "sec", "epoch")
 
 
 def _numbers() -> Column:
-    """All components that are whole numbers, read once."""
-    return _once(F.transform(F.col("p"), lambda x: x.try_cast("long")))
+    """All components that are whole numbers, read once. They are digits or empty; a try_cast of empty text would cost an exception each."""
+    return F.array(*[F.when(_part(n) != "", _part(n)).cast("long") for n in _WHOLE])
 
 
 def _number(name: str) -> Column:
-    return F.col("n")[_AT[name]].cast("int")
+    return F.col("n")[_WHOLE.index(name)].cast("int")
 
 
 def day_number(y: Column, m: Column, d: Column) -> Column:
@@ -131,7 +139,7 @@ def day_order(df: DataFrame, value: str, file: str, hint: Column | None = None)
     """
     short = df.where(F.col(value).rlike(r"^\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{2}"))
     rows = short.select(F.col(file).alias("file"), (F.lit(None).cast("long") if hint is None else hint.cast("long")).alias("hint"), F.explode(parts(F.col(value))).alias("p"))
-    rows = rows.select("*", _numbers().alias("n")).select("file", "hint", _number("first").alias("a"), _number("second").alias("b"), _year().alias("y"))
+    rows = _settled(rows.select("*", _numbers().alias("n")), "n").select("file", "hint", _number("first").alias("a"), _number("second").alias("b"), _year().alias("y"))
     off = lambda m, d: F.when(F.col("hint").isNotNull() & m.between(1, 12) & d.between(1, 31), F.least(F.abs(day_number(F.col("y"), m, d) - F.col("hint")), F.lit(400)))
     votes = rows.groupBy("file").agg(
         F.count_if(F.col("a") > 12).alias("day_first"),
@@ -197,10 +205,11 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
         "mi": F.coalesce(_number("minute"), F.lit(0)),
         "ss": F.coalesce(_number("sec"), F.lit(0)),
         "z": _part("zone"),
-        "epoch": F.col("n")[_AT["epoch"]],
+        "epoch": F.col("n")[_WHOLE.index("epoch")],
         "serial": F.nullif(F.concat(_part("serial"), F.translate(_part("fraction"), ",", ".")), F.lit("")).try_cast("double"),
     }
-    read = base.select("*", _numbers().alias("n")).select("row_id", "value", "file", "zone", "position", *[c.alias(n) for n, c in cols.items()])
+    read = _settled(base.select("*", _numbers().alias("n")), "n").select("row_id", "value", "file", "zone", "position", F.struct(*[c.alias(n) for n, c in cols.items()]).alias("c"))
+    read = _settled(read, "c").select("row_id", "value", "file", "zone", "position", "c.*")
     y, m, d = F.col("y"), F.col("m"), F.col("d")
     real = y.between(1, 9999) & m.between(1, 12) & d.between(1, _days_in_month(y, m)) & F.col("hh").between(0, 23) & F.col("mi").between(0, 59) & F.col("ss").between(0, 59)
     wall = (
@@ -214,7 +223,8 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     offset = F.when(z.rlike("^[+-]"), (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0)) * 60) * F.when(z.startswith("-"), -1).otherwise(1)).otherwise(F.try_element_at(names, z))
     regions = F.create_map(*[F.lit(x) for name in _regions(df) for x in (name.lower(), name)])
     region = F.when(z.contains("/"), F.try_element_at(regions, z))
-    read = read.withColumn("offset", offset).withColumn("region", region).select("row_id", "value", "file", "zone", "position", "epoch", "z", "offset", "region", _once(wall).alias("wall"))
+    read = read.withColumn("offset", offset).withColumn("region", region).select("row_id", "value", "file", "zone", "position", "epoch", "z", "offset", "region", wall.alias("wall"))
+    read = _settled(read, "wall")
     stated = F.col("epoch").isNotNull() | (z != "")
     read = read.withColumn("stated", stated).withColumn("local_zone", F.when(F.col("region").isNotNull(), F.col("region")).otherwise(F.col("zone")))
     utc = (
@@ -222,7 +232,7 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
         .when(F.col("offset").isNotNull(), F.col("wall") - F.col("offset"))
         .when((z == "") | F.col("region").isNotNull(), local_to_utc(F.col("wall"), F.col("local_zone")))
     )
-    read = read.select("*", F.explode(F.array_compact(F.array(utc.cast("long")))).alias("utc"))
+    read = _settled(read.withColumn("utc", utc.cast("long")), "utc", drop_null=True)
     if t.position:
         read = _second_occurrences(read)
     return read.select(
