@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +32,13 @@ class Dependency:
         return self.groups > 0 and self.violations <= tolerance * self.groups
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, like ``name``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def usable_pair(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """``df`` with ``<a>__reason`` and ``<b>__reason``: why a value of two companion measures is missing, or null.
 
@@ -42,28 +49,34 @@ def usable_pair(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     The group medians are sketches, combined before the shuffle, one row a group.
     """
     val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b)}
-    stats = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("fill_group")).agg(
-        *[F.percentile_approx(F.when(val[c] > 0, val[c]), F.lit(0.5), F.lit(200)).alias(f"{c}__median") for c in (a, b)]
+    key, mid = _free(df, "group_key"), {c: _free(df, f"{c}__median") for c in (a, b)}
+    own = {c: _free(df, f"{c}__own") for c in (a, b)}
+    stats = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias(key)).agg(
+        *[F.percentile_approx(F.when(val[c] > 0, val[c]), F.lit(0.5), F.lit(200)).alias(mid[c]) for c in (a, b)]
     )
-    rows = df.join(broadcast_if_small(stats), F.col(group) == F.col("fill_group"), "left").drop("fill_group")
-    own = {
-        c: F.when(F.col(c).isNull(), "null").when(F.isnan(F.col(c).cast("double")), "nan").when(F.col(c) < 0, "impossible")
-        .when(F.coalesce(F.col(c) >= ABSURD_FACTOR * F.col(f"{c}__median"), F.lit(False)) & (F.col(c) > 0), "absurd")
+    rows = df.join(broadcast_if_small(stats), F.col(group) == F.col(key), "left")
+    rows = rows.withColumns({
+        own[c]: F.when(F.col(c).isNull(), "null").when(F.isnan(F.col(c).cast("double")), "nan").when(F.col(c) < 0, "impossible")
+        .when(F.coalesce(F.col(c) >= ABSURD_FACTOR * F.col(mid[c]), F.lit(False)) & (F.col(c) > 0), "absurd")
         for c in (a, b)
-    }
-    rows = rows.withColumns({f"{c}__own": r for c, r in own.items()})
-    reason = lambda c, other: F.when(F.col(f"{c}__own").isNotNull(), F.col(f"{c}__own")).when((F.col(c) == 0) & F.col(f"{other}__own").isNull() & (F.col(other) > 0), "contradicted")
-    return rows.withColumns({f"{a}__reason": reason(a, b), f"{b}__reason": reason(b, a)}).drop(f"{a}__own", f"{b}__own", f"{a}__median", f"{b}__median")
+    })
+
+    def reason(c: str, other: str) -> Column:
+        contradicted = (F.col(c) == 0) & F.col(own[other]).isNull() & (F.col(other) > 0)
+        return F.when(F.col(own[c]).isNotNull(), F.col(own[c])).when(contradicted, "contradicted")
+
+    return rows.withColumns({f"{a}__reason": reason(a, b), f"{b}__reason": reason(b, a)}).drop(key, *mid.values(), *own.values())
 
 
 def usable_day(df: DataFrame, file: str, day: str) -> DataFrame:
     """``df`` with ``<day>__reason``: ``null``, ``stand_in`` (a fixed day for unknown) or ``absurd`` (ABSURD_DAYS from the file's median day)."""
     n = F.unix_date(F.col(day).cast("date"))
     stand_in = F.col(day).cast("date").isin(*[F.lit(x).cast("date") for x in STAND_IN_DAYS])
-    stats = df.where(~stand_in & F.col(file).isNotNull()).groupBy(F.col(file).alias("fill_group")).agg(F.percentile_approx(n, F.lit(0.5), F.lit(200)).alias("median_day"))
-    rows = df.join(broadcast_if_small(stats), F.col(file) == F.col("fill_group"), "left").drop("fill_group")
-    reason = F.when(F.col(day).isNull(), "null").when(stand_in, "stand_in").when(F.abs(n - F.col("median_day")) > ABSURD_DAYS, "absurd")
-    return rows.withColumn(f"{day}__reason", reason).drop("median_day")
+    key, mid = _free(df, "group_key"), _free(df, "median_day")
+    stats = df.where(~stand_in & F.col(file).isNotNull()).groupBy(F.col(file).alias(key)).agg(F.percentile_approx(n, F.lit(0.5), F.lit(200)).alias(mid))
+    rows = df.join(broadcast_if_small(stats), F.col(file) == F.col(key), "left")
+    reason = F.when(F.col(day).isNull(), "null").when(stand_in, "stand_in").when(F.abs(n - F.col(mid)) > ABSURD_DAYS, "absurd")
+    return rows.withColumn(f"{day}__reason", reason).drop(key, mid)
 
 
 def mine_dependencies(complete: DataFrame, candidates: Sequence[Sequence[str]], dependent: str) -> list[Dependency]:
@@ -74,8 +87,9 @@ def mine_dependencies(complete: DataFrame, candidates: Sequence[Sequence[str]],
     """
     found = []
     for det in candidates:
-        groups = complete.dropna(subset=[*det, dependent]).groupBy(*det).agg(F.count(F.lit(1)).alias("n"), F.min(dependent).alias("lo"), F.max(dependent).alias("hi"))
-        row = groups.where("n > 1").agg(F.count(F.lit(1)).alias("g"), F.count_if(F.col("lo") != F.col("hi")).alias("v")).first()
+        stats = F.struct(F.count(F.lit(1)).alias("n"), (F.min(dependent) != F.max(dependent)).alias("differ"))
+        groups = complete.dropna(subset=[*det, dependent]).groupBy(*det).agg(stats.alias("stats")).select("stats.*")
+        row = groups.where("n > 1").agg(F.count(F.lit(1)).alias("g"), F.count_if("differ").alias("v")).first()
         found.append(Dependency(tuple(det), dependent, row["g"], row["v"]))
     return found
 
@@ -85,7 +99,7 @@ def fill(
     target: str,
     row_id: str,
     candidates: Sequence[Sequence[str]],
-    fallbacks: Sequence[tuple[str, Sequence[str], Column, Column]],
+    fallbacks: Sequence[tuple[str, Sequence[str], Column, Callable[[Column], Column]]],
     tolerance: float = 0.05,
 ) -> DataFrame:
     """``df`` (with ``<target>__reason``) with ``<target>__filled_value``, ``<target>__filled`` and ``<target>__source``.
@@ -95,8 +109,8 @@ def fill(
     2. The dictionary of each one that holds (determinant -> value, consistent groups only) is left-joined to
        the incomplete records, the strongest evidence first. Source ``fd:<columns>``.
     3. What is still missing is estimated from groups: each fallback is (name, group columns, statistic,
-       estimate), the statistic an aggregate over complete records and the estimate an expression that may
-       use it as ``stat`` and the record's own columns. Source ``group:<name>``.
+       estimate), the statistic an aggregate over complete records and the estimate a function from it to an
+       expression, which may also use the record's own columns. Source ``group:<name>``.
 
     Only incomplete records are joined; complete ones pass through. All statistics are aggregates combined
     before the shuffle, so a group with a third of the rows is no hot spot; what is joined to it is one row.
@@ -111,21 +125,23 @@ def fill(
     evidence = sorted((e for e in mine_dependencies(complete, candidates, target) if e.holds(tolerance)), key=lambda e: (e.violations / e.groups, -e.groups))
     options = []
     for n, e in enumerate(evidence):
-        wanted = lost.dropna(subset=list(e.determinant)).select(*e.determinant).distinct()
+        det, fd, hi = list(e.determinant), _free(df, f"fd{n}"), _free(df, "hi")
+        wanted = lost.dropna(subset=det).select(*det).distinct()
         lookup = (
-            complete.dropna(subset=[*e.determinant, target]).join(wanted, list(e.determinant), "left_semi").groupBy(*e.determinant)
-            .agg(F.min(target).alias(f"fd{n}"), F.max(target).alias("hi")).where(F.col(f"fd{n}") == F.col("hi")).drop("hi")
+            complete.dropna(subset=[*det, target]).join(wanted, det, "left_semi").groupBy(*det)
+            .agg(F.min(target).alias(fd), F.max(target).alias(hi)).where(F.col(fd) == F.col(hi)).drop(hi)
         )
-        lost = lost.join(lookup, list(e.determinant), "left")
-        options.append((F.col(f"fd{n}"), "fd:" + "+".join(e.determinant)))
+        lost = lost.join(lookup, det, "left")
+        options.append((F.col(fd), "fd:" + "+".join(det)))
     for n, (name, group, statistic, estimate) in enumerate(fallbacks):
+        gf, stat = _free(df, f"gf{n}"), _free(df, "stat")
         if group:
-            stats = complete.dropna(subset=list(group)).groupBy(*group).agg(statistic.alias("stat"))
+            stats = complete.dropna(subset=list(group)).groupBy(*group).agg(statistic.alias(stat))
             lost = lost.join(broadcast_if_small(stats), list(group), "left")
         else:
-            lost = lost.withColumn("stat", F.lit(complete.agg(statistic.alias("stat")).first()["stat"]))
-        lost = lost.withColumn(f"gf{n}", estimate).drop("stat")
-        options.append((F.col(f"gf{n}"), f"group:{name}"))
+            lost = lost.withColumn(stat, F.lit(complete.agg(statistic.alias(stat)).first()[stat]))
+        lost = lost.withColumn(gf, estimate(F.col(stat))).drop(stat)
+        options.append((F.col(gf), f"group:{name}"))
     value = F.coalesce(*[c.cast(kind) for c, _ in options]) if options else F.lit(None).cast(kind)
     source = reduce(lambda w, o: w.when(o[0].isNotNull(), o[1]), options, F.when(F.lit(False), "")).otherwise("none")
     filled = lost.withColumns({f"{target}__filled_value": value, f"{target}__source": source}).select(*df.columns, f"{target}__filled_value", f"{target}__source")

@@ -161,13 +161,12 @@ def _companion_fallbacks(target: str, other: str) -> list:
     ratio = F.try_divide(F.sum(F.when(good > 0, F.col(target).cast("double"))), F.sum(F.when(good > 0, good)))
     tidy = (lambda c: F.round(c)) if target == _TICKETS else (lambda c: F.round(c, 2))
     mean = F.avg(F.col(target).cast("double"))
-    stat = tidy(F.col("stat"))
     return [
-        ("restaurant_ratio", ["restaurant"], ratio, tidy(good * F.col("stat"))),
-        ("restaurant_weekday", ["restaurant", "day_name"], mean, stat),
-        ("restaurant", ["restaurant"], mean, stat),
-        ("date", ["date"], mean, stat),
-        ("all", [], mean, stat),
+        ("restaurant_ratio", ["restaurant"], ratio, lambda stat: tidy(good * stat)),
+        ("restaurant_weekday", ["restaurant", "day_name"], mean, tidy),
+        ("restaurant", ["restaurant"], mean, tidy),
+        ("date", ["date"], mean, tidy),
+        ("all", [], mean, tidy),
     ]
 
 
@@ -192,7 +191,7 @@ def _fill_weather(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "meteo_diaria").select("md_id", "source_file", "row_no", "event_location", "date", *_READINGS)
     rows = keep(usable_day(rows, "source_file", "date").withColumn("block", F.floor(F.col("row_no") / _ROW_BLOCK)))
     offset = F.avg(F.unix_date("date") - F.col("row_no"))
-    place = F.date_from_unix_date((F.col("row_no") + F.round("stat")).cast("int"))
+    place = lambda stat: F.date_from_unix_date((F.col("row_no") + F.round(stat)).cast("int"))
     fallbacks = [("file_place", ["source_file", "block"], offset, place), ("file", ["source_file"], offset, place)]
     return fill(rows, "date", "md_id", [("source_file", "row_no"), ("event_location", *_READINGS)], fallbacks)
 
