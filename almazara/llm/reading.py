@@ -25,10 +25,13 @@ PENALTY = 1e-5
 #: A worker passes on its document counts when it holds so many words.
 _FLUSH_WORDS = 500_000
 
+#: Characters that folding drops: the combining marks of Latin, Greek and Cyrillic, soft hyphen, zero-width characters.
+_DROPPED = re.compile("[\u0300-\u036f\u00ad\u200b-\u200d\ufeff]+")
 _MARKUP = re.compile(r"<[^>]{1,200}>|https?://\S+|&[a-z]+;")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?…]+|\n\s*\n")
-_DIGIT_FOR_LETTER = (re.compile(r"(?<=[^\W\d_])0(?=[^\W\d_])"), re.compile(r"(?<=[^\W\d_])1(?=[^\W\d_])"))
+#: A 0 or 1 between letters. The digit comes first, so that a search skips to digits.
+_SCANNED = re.compile(r"[01](?<=[^\W\d_].)(?=[^\W\d_])")
 
 
 def words_and_sentences(text: str | None) -> tuple[list[str], int]:
@@ -39,10 +42,12 @@ def words_and_sentences(text: str | None) -> tuple[list[str], int]:
     """
     if not text:
         return [], 0
-    flat = unicodedata.normalize("NFKD", text.lower())
-    flat = "".join(c for c in flat if not unicodedata.combining(c) and c not in "\u00ad\u200b\u200c\u200d\ufeff") if not flat.isascii() else flat
-    flat = _MARKUP.sub(" ", flat)
-    flat = _DIGIT_FOR_LETTER[1].sub("l", _DIGIT_FOR_LETTER[0].sub("o", flat))
+    flat = text.lower()
+    if not flat.isascii():
+        flat = _DROPPED.sub("", unicodedata.normalize("NFKD", flat))
+    if "<" in flat or "&" in flat or "://" in flat:
+        flat = _MARKUP.sub(" ", flat)
+    flat = _SCANNED.sub(lambda m: "o" if m[0] == "0" else "l", flat)
     words = _WORD.findall(flat)
     sentences = sum(1 for s in _SENTENCE_END.split(flat) if _WORD.search(s)) if words else 0
     return words, sentences
@@ -81,14 +86,20 @@ class LevelModel:
     length_weight: float
     intercept: float
 
+    def __post_init__(self) -> None:
+        # every term but the sentence length is a mean over words, so a word has one value
+        outside = [sum(self.unfamiliar_weight[: sum(r >= k for k in FAMILIAR)]) for r in range(max(FAMILIAR))]
+        self.unknown = sum(self.unfamiliar_weight)
+        self.value = {w: x + self.unknown for w, x in self.word_weight.items()}
+        self.value |= {w: self.word_weight.get(w, 0.0) + outside[r] for w, r in self.rank.items()}
+
     def level(self, words: Sequence[str], sentences: int) -> float | None:
         """The estimated level between 1 and 5; none for a text without words."""
         if not words:
             return None
-        shares, length = formula_features(words, sentences, self.rank)
-        x = self.intercept + self.length_weight * length + sum(w * s for w, s in zip(self.unfamiliar_weight, shares))
-        get = self.word_weight.get
-        x += sum(get(w, 0.0) for w in words) / len(words)
+        get, unknown = self.value.get, self.unknown
+        mean = sum(get(w, unknown) * n for w, n in Counter(words).items()) / len(words)
+        x = self.intercept + self.length_weight * math.log(len(words) / max(1, sentences)) + mean
         return min(5.0, max(1.0, x))
 
 
