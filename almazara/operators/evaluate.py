@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almazara.session import broadcast_if_small
+from almazara.session import broadcast_if_small, cut
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def adaptive_selection(predictions: DataFrame, default: str, min_regime_rows: in
     still carries what came before, and a running sum over earlier folds ranks the models: by the regime if it
     has enough rows, else over all regimes, else the default. No loop over folds.
     """
-    sums = _pooled(predictions, ["fold", "regime", "model"])
+    sums = cut(_pooled(predictions, ["fold", "regime", "model"]))
     grid = sums.sparkSession.range(1)
     for c in ("fold", "regime", "model"):
         grid = grid.select(*[x for x in grid.columns if x != "id"], F.explode(_values(sums, c)).alias(c))

@@ -42,12 +42,19 @@ def _day(c: str) -> F.Column:
 
 
 def _parent_spans(parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    """One row per parent key with its distinct spans of validity, as k0, k1, ..., spans."""
+    """One row per parent key with its spans of validity, as k0, k1, ..., spans.
+
+    Spans that begin on one day are first reduced to the longest (of inverted ones to the earliest end), so
+    a key holds at most two spans a calendar day, however many parent rows it has.
+    """
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(fk.parent_key)]
     a, b = (_day(fk.parent_span[0]), _day(fk.parent_span[1])) if fk.parent_span else (F.lit(None), F.lit(None))
     spans = parent.select(*keys, F.coalesce(a, F.lit(_OPEN_PAST)).alias("a"), F.coalesce(b, F.lit(_OPEN_FUTURE)).alias("b"))
     names = [f"k{i}" for i in range(len(keys))]
-    return spans.dropna(subset=names).groupBy(*names).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    inverted = F.col("b") < F.col("a")
+    ends = spans.dropna(subset=names).groupBy(*names, "a").agg(F.max(F.when(~inverted, F.col("b"))).alias("last"), F.min(F.when(inverted, F.col("b"))).alias("early"))
+    both = F.explode(F.array_compact(F.array("last", "early")))
+    return ends.select(*names, "a", both.alias("b")).groupBy(*names).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, id_columns: Sequence[str], period: F.Column | None = None) -> DataFrame:

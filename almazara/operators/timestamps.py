@@ -193,7 +193,8 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     )
     base = base.join(broadcast_if_small(order), "file", "left")
     mf = F.coalesce(F.col("month_first"), F.lit(False))
-    word = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for w in names.split() for x in (w, k)])
+    months = [(w, k) for k, names in MONTHS.items() for w in names.split()]
+    word = F.map_from_arrays(F.split(F.lit(",".join(w for w, _ in months)), ","), F.split(F.lit(",".join(str(k) for _, k in months)), ",").cast("array<int>"))
     first, second = _number("first"), _number("second")
     half = _part("half")
     hour = F.coalesce(_number("hour"), F.lit(0))
@@ -221,7 +222,8 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     z = F.col("z")
     digits = F.regexp_replace(z, "[+:-]", "")
     offset = F.when(z.rlike("^[+-]"), (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0)) * 60) * F.when(z.startswith("-"), -1).otherwise(1)).otherwise(F.try_element_at(names, z))
-    regions = F.create_map(*[F.lit(x) for name in _regions(df) for x in (name.lower(), name)])
+    names_of_regions = ",".join(_regions(df))
+    regions = F.map_from_arrays(F.split(F.lit(names_of_regions.lower()), ","), F.split(F.lit(names_of_regions), ","))
     region = F.when(z.contains("/"), F.try_element_at(regions, z))
     read = read.withColumn("offset", offset).withColumn("region", region).select("row_id", "value", "file", "zone", "position", "epoch", "z", "offset", "region", wall.alias("wall"))
     read = _settled(read, "wall")

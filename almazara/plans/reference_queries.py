@@ -203,6 +203,22 @@ def daily_tickets(spark: SparkSession, d: str) -> DataFrame:
     return daily.tickets_daily(o).select("date", "num_tickets", "num_tickets_unicos", _R("facturacion_tickets", 2), _R("ticket_medio", 8), _R("ticket_mediano"), "ticket_maximo", "ticket_minimo")
 
 
+@query("""select year(o_orderdate) as y, cast(o_orderdate as date) as date, count(*) as num_facturas_pdf, round(sum(o_totalprice), 2) as facturacion_facturas_pdf, round(sum(case when o_orderkey % 3 > 0 then o_totalprice - 1 end), 2) as efectivo_facturas_pdf,
+ count(*) filter (o_orderkey % 3 > 0 and o_orderkey % 5 = 0) as pagos_pdf_no_reconciliados from orders group by 1, 2""")
+def daily_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as invoices: of every third no cash is known, and every fifth is paid one too much."""
+    t, k = F.col("o_totalprice"), F.col("o_orderkey")
+    inv = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("y"), F.col("o_orderdate").cast("date").alias("date"), k.alias("ticket_id"), t.alias("total"), (t * 0.8).alias("base"), (t * 0.2).alias("vat"),
+                                            F.when(k % 3 > 0, t - 1).alias("cash_amount"), F.when(k % 5 == 0, 2.0).otherwise(1.0).alias("card_amount"))
+    return daily.invoices_daily(rules.invoice_flags(inv), ["y"]).select("y", "date", "num_facturas_pdf", _R("facturacion_facturas_pdf", 2), _R("efectivo_facturas_pdf", 2), "pagos_pdf_no_reconciliados")
+
+
+@query("""select cast(l_shipdate as date) as date, round(coalesce(sum(tip), 0), 4) as propina_total, round(avg(tip), 8) as propina_media, count(*) filter (tip > 0) as tickets_con_propina from (select l_shipdate, case when l_linenumber <> 3 then l_tax end as tip from lineitem) group by 1""")
+def daily_tips(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("tip"))
+    return daily.tips_daily(li).select("date", _R("propina_total"), _R("propina_media", 8), "tickets_con_propina")
+
+
 _STATUS_SQL = "case when status is null then null else nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(status)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), '') end"
 _STATUSES = ["completada", "cancelada", "no_show", "confirmada"]
 
@@ -220,10 +236,10 @@ def daily_reservations_pivot(spark: SparkSession, d: str) -> DataFrame:
     return daily.shifts_pivot(table(spark, d, "reservas"), ["restaurant"], "reservation_date", F.lower(F.trim("shift")), ["comida", "cena"])
 
 
-@query("""with h as (select event_location, cast(substr(time, 1, 10) as date) as date, case when isnan(rain_mm) then null else rain_mm end as rain_mm, case when isnan(temperature_2m) then null else temperature_2m end as temperature_2m from meteo_horaria where regexp_matches(time, '^\\d{4}-\\d{2}-\\d{2}T'))
+@query("""with h as (select event_location, cast(substr(time, 1, 10) as date) as date, case when isnan(rain_mm) then null else rain_mm end as rain_mm, case when isnan(temperature_2m) then null else temperature_2m end as temperature_2m from meteo_horaria where regexp_matches(time, '^\\d{4}-\\d{2}-\\d{2}[T ]'))
 select event_location, date, round(coalesce(sum(rain_mm), 0), 4) as rain_mm, round(avg(temperature_2m), 4) as temperature_2m from h group by 1, 2""")
 def daily_weather_hourly(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "meteo_horaria").where(F.col("time").rlike(r"^\d{4}-\d{2}-\d{2}T")).withColumn("date", F.substring("time", 1, 10).try_cast("date"))
+    h = table(spark, d, "meteo_horaria").where(F.col("time").rlike(r"^\d{4}-\d{2}-\d{2}[T ]")).withColumn("date", F.substring("time", 1, 10).try_cast("date"))
     return daily.weather_daily(h, ["event_location"], "date", ["rain_mm", "temperature_2m"], hourly=True).select("event_location", "date", _R("rain_mm"), _R("temperature_2m"))
 
 
@@ -711,3 +727,87 @@ def setop_except(spark: SparkSession, d: str) -> DataFrame:
 @query("select article_code from menu intersect select article_code from articulos")
 def setop_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "menu").select("article_code").intersect(table(spark, d, "articulos").select("article_code"))
+
+
+# ------------------------------------------------------------------------------------------------ models (no SQL counterpart: rows only)
+
+_NUMERIC = ["units__lag_1", "units__rolling_mean_4", "units__rolling_mean_8", "units__expanding_mean_prior", "history_observation_rate", "periods_since_last_observation"]
+
+
+def _candidate(spark: SparkSession, d: str, name: str, **sizes: int) -> DataFrame:
+    """Holdout predictions of one candidate fitted on all development rows."""
+    from almazara.operators import models
+
+    rows = _features(spark, d).where("units is not null and units >= 0")
+    split = evaluate.holdout(rows)
+    both = rows.join(F.broadcast(split), "period_index")  # one row a period
+    model = models.fit(both.where("split = 'development'"), name, ["regime"], _NUMERIC, "units", **sizes)
+    out = models.predict(model, both.where("split = 'test'"), name, ["regime"], _NUMERIC)
+    return evaluate.metrics(out.withColumn("target", F.col("units")), ["regime"]).select(F.lit(name).alias("model"), "regime", "rows", _R("mae", 6), _R("wape", 6), _R("bias", 6))
+
+
+@query()
+def ml_poisson_glm(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d, "poisson_glm")
+
+
+@query()
+def ml_random_forest(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d, "random_forest", trees=50)
+
+
+@query()
+def ml_gbt_log1p(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d, "gbt_log1p", iterations=20)
+
+
+_FINAL_SQL = f"""{_BASE_SQL}, e as (select regime, model, sum(abs(prediction - target)) as err, sum(abs(target)) as scale, count(*) as n from preds group by 1, 2), own as (select regime, arg_min(model, (err / scale, err / n, model)) as own from e where n >= 20 and scale > 0 group by 1),
+ o as (select arg_min(model, (err / scale, err / n, model)) as overall from (select model, sum(err) err, sum(scale) as scale, sum(n) n from e group by 1) where n >= 50 and scale > 0), frozen as (select regime, coalesce(own, overall, 'expanding_mean') as model from (select distinct regime from e) left join own using (regime), o),
+ split as (select period_index, place >= n - test as is_test from sizes), fmed as (select median(units) as fallback from known join split using (period_index) where not is_test),
+ tests as (select k.*, greatest(coalesce(lag_1, fallback), 0) as p1, greatest(coalesce(expanding, fallback), 0) as p2 from known k join split using (period_index), fmed where is_test),
+ long as (select 'lag_1' as model, units as target, p1 as prediction from tests union all select 'expanding_mean', units, p2 from tests union all select 'adaptive', units, case when coalesce(f.model, 'expanding_mean') = 'lag_1' then p1 else p2 end from tests left join frozen f using (regime))"""
+
+
+@query(f"with {_FINAL_SQL} select model, count(*) as rows, round(avg(abs(prediction - target)), 6) as mae, round(sum(abs(prediction - target)) / sum(abs(target)), 6) as wape, round(sum(prediction - target) / sum(abs(target)), 6) as bias from long group by 1")
+def eval_final_test(spark: SparkSession, d: str) -> DataFrame:
+    """The holdout scored once by the baselines and by the mapping frozen on development predictions."""
+    rows = _features(spark, d)
+    split = evaluate.holdout(table(spark, d, "features_article_period"))
+    final = split.select(F.lit(0).alias("fold"), "period_index", F.when(F.col("split") == "test", "validation").otherwise("train").alias("role"))
+    test = evaluate.baseline_predictions(rows, final, _BASELINES, [*_E, "report_start", "report_end"], regime="regime")
+    frozen = evaluate.frozen_mapping(_predictions(spark, d), "expanding_mean")
+    adaptive = evaluate.apply_selection(test, frozen, ["regime"], [*_E, "report_start", "report_end", "period_index"], "expanding_mean")
+    out = evaluate.metrics(test.select("model", "target", "prediction").unionByName(adaptive.select("model", "target", "prediction")), ["model"])
+    return out.select("model", "rows", _R("mae", 6), _R("wape", 6), _R("bias", 6))
+
+
+# ------------------------------------------------------------------------------------------------ sorts, tops and smoothing
+
+
+@query("""select restaurant, article_code, units, place from (select restaurant, article_code, units, row_number() over (partition by restaurant order by units desc nulls last, article_code asc nulls last, venta_id) as place from ventas) where place <= 20""")
+def sort_top_with_nulls_last(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 largest sales rows of each restaurant: mixed directions, nulls last, ties by code and row."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("restaurant").orderBy(F.desc_nulls_last("units"), F.asc_nulls_last("article_code"), "venta_id")
+    top = table(spark, d, "ventas").withColumn("place", F.row_number().over(w)).where("place <= 20")
+    return top.select("restaurant", "article_code", "units", F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {_DAILY_SQL} select restaurant, date, round(avg(facturacion) over (partition by restaurant order by date rows between 3 preceding and 3 following), 8) as centred_7 from days")
+def eda_centred_mean(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("restaurant").orderBy("date").rowsBetween(-3, 3)
+    return _latest_days(spark, d).select("restaurant", "date", F.round(F.avg("facturacion").over(w), 8).alias("centred_7"))
+
+
+@query(f"""with {_PANEL_SQL}, a as (select article_code, sum(units) as u, count(distinct (restaurant, report_start, report_end)) as n from panel group by 1), t as (select count(distinct (restaurant, report_start, report_end)) as n, sum(units) as u from panel), r as (select article_code, a.u / t.u as share, a.n / t.n::double as cov, row_number() over (order by a.u desc, article_code) as place from a, t)
+ select count(*) as articles, round(sum(share) filter (place <= 10), 6) as top_10_share, round(sum(share) filter (place <= 20), 6) as top_20_share, count(*) filter (cov < 0.25) as coverage_under_25, round(median(cov), 6) as median_coverage from r""")
+def eda_panel_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = _panel(spark, d)
+    period = F.struct("restaurant", "report_start", "report_end")
+    total = p.agg(F.count_distinct(period).alias("n"), F.sum("units").alias("u")).first()
+    profile = p.groupBy("article_code").agg(F.sum("units").alias("units_total"), F.count_distinct(period).alias("k")).select("article_code", "units_total", (F.col("units_total") / F.lit(total["u"])).alias("unit_share"), (F.col("k") / F.lit(total["n"])).alias("period_coverage"))
+    out = eda.period_panel_summary(profile, p.select(period).distinct())
+    return out.select("articles", _R("top_10_share", 6), _R("top_20_share", 6), "coverage_under_25", _R("median_coverage", 6))

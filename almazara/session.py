@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` cut from its lineage, with a broadcast hint only if it was counted to hold at most ``max_rows`` rows.
+def _bytes(name: str, kind: str) -> Column:
+    """About how many bytes a value takes; arrays and maps are counted by 64 bytes an element."""
+    c = F.col(name)
+    if kind == "string":
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if kind.startswith(("array", "map")):
+        return F.greatest(F.size(c), F.lit(0)) * 64 + 16
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` cut from its lineage, with a broadcast hint only if it was measured to be small in rows and bytes.
 
     Larger sides are returned without a hint, so that the join shuffles and AQE may split skewed keys.
     """
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    width = sum((_bytes(c, t) for c, t in kept.dtypes), F.lit(0).cast("long"))
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(kept) if n <= max_rows and size <= max_bytes else kept
