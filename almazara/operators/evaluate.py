@@ -105,8 +105,8 @@ def top_k_overlap(predictions: DataFrame, by: Sequence[str], period: str, entity
     group = [*by, period]
     rows = predictions.where(F.col("target").isNotNull() & F.col("prediction").isNotNull())
     best = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(c), *entity)) <= k
-    ranked = rows.select(*group, best("target").alias("t"), best("prediction").alias("p"))
-    per = ranked.groupBy(*group).agg(F.try_divide(F.count_if(F.col("t") & F.col("p")), F.least(F.lit(k), F.count(F.lit(1)))).alias("overlap"))
+    ranked = rows.select(*group, best("target").alias("__top_target"), best("prediction").alias("__top_prediction"))
+    per = ranked.groupBy(*group).agg(F.try_divide(F.count_if(F.col("__top_target") & F.col("__top_prediction")), F.least(F.lit(k), F.count(F.lit(1)))).alias("overlap"))
     return per.groupBy(*by).agg(F.avg("overlap").alias("top_k_overlap"), F.count(F.lit(1)).alias("periods"))
 
 

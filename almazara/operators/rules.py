@@ -73,7 +73,7 @@ def resolve_payment(df: DataFrame, total: str = "total", cash: str = "cash_tende
     over = F.greatest(F.round(paid - F.col(total), 9), F.lit(0.0))
     change = F.when(over > tolerance, over).otherwise(0.0)
     out = df.withColumn("change_amount", F.coalesce(change, F.lit(0.0)))
-    out = out.withColumns({"cash_amount": F.greatest(F.col(cash) - F.col("change_amount"), F.lit(0.0)), "card_amount": F.col(card)})
+    out = out.withColumns({"cash_amount": F.when(F.col(cash).isNotNull(), F.greatest(F.col(cash) - F.col("change_amount"), F.lit(0.0))), "card_amount": F.col(card)})
     c, k = F.coalesce("cash_amount", F.lit(0.0)) > 0, F.coalesce("card_amount", F.lit(0.0)) > 0
     method = F.when(F.col(cash).isNull() & F.col(card).isNull(), "unknown").when(c & k, "mixed").when(c, "cash").when(k, "card").otherwise("none_or_zero")
     return out.withColumn("payment_method", method)

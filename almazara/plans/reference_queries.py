@@ -166,7 +166,7 @@ def rules_tips(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select o_orderkey, change_amount, cash_amount, case when paid = 'n' then 'unknown' when cash_amount > 0 and coalesce(card, 0) > 0 then 'mixed' when cash_amount > 0 then 'cash' when coalesce(card, 0) > 0 then 'card' else 'none_or_zero' end as payment_method from
- (select *, greatest(cash - change_amount, 0) as cash_amount from (select *, case when round(coalesce(cash, 0) + coalesce(card, 0) - o_totalprice, 9) > 0.02 then round(coalesce(cash, 0) + coalesce(card, 0) - o_totalprice, 9) else 0 end as change_amount from
+ (select *, case when cash is not null then greatest(cash - change_amount, 0) end as cash_amount from (select *, case when round(coalesce(cash, 0) + coalesce(card, 0) - o_totalprice, 9) > 0.02 then round(coalesce(cash, 0) + coalesce(card, 0) - o_totalprice, 9) else 0 end as change_amount from
  (select o_orderkey, o_totalprice, case o_orderkey % 4 when 0 then 'n' else 'p' end as paid, case o_orderkey % 4 when 1 then o_totalprice + 4.5 when 2 then 10.0 end as cash, case o_orderkey % 4 when 3 then o_totalprice when 2 then o_totalprice - 10.0 end as card from orders)))""")
 def rules_payment(spark: SparkSession, d: str) -> DataFrame:
     o, t = table(spark, d, "orders"), F.col("o_totalprice")
