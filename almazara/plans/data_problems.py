@@ -184,15 +184,19 @@ def _daily_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _READINGS = ("temperature_mean", "temperature_max", "temperature_min", "precipitation_hours", "wind_speed_max_kmh", "sunshine_duration_s")
-_ROW_BLOCK = 16
+#: Rows of a file that lie in one block of so many share their distance between place and day, but for absent days.
+_ROW_BLOCKS = (2, 4, 16)
 
 
-def _fill_weather(spark: SparkSession, d: str) -> DataFrame:
+def _weather_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "meteo_diaria").select("md_id", "source_file", "row_no", "event_location", "date", *_READINGS)
-    rows = keep(usable_day(rows, "source_file", "date").withColumn("block", F.floor(F.col("row_no") / _ROW_BLOCK)))
+    return keep(usable_day(rows, "source_file", "date").withColumns({f"block_{n}": F.floor(F.col("row_no") / n) for n in _ROW_BLOCKS}))
+
+
+def _fill_weather(rows: DataFrame) -> DataFrame:
     offset = F.avg(F.unix_date("date") - F.col("row_no"))
     place = lambda stat: F.date_from_unix_date((F.col("row_no") + F.round(stat)).cast("int"))
-    fallbacks = [("file_place", ["source_file", "block"], offset, place), ("file", ["source_file"], offset, place)]
+    fallbacks = [*((f"place_in_{n}", ["source_file", f"block_{n}"], offset, place) for n in _ROW_BLOCKS), ("place_in_file", ["source_file"], offset, place)]
     return fill(rows, "date", "md_id", [("source_file", "row_no"), ("event_location", *_READINGS)], fallbacks)
 
 
@@ -207,7 +211,7 @@ def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """Every missing value with its reason, the value filled in, and where that came from."""
     days = _daily_rows(spark, d)
     parts = [_long(_fill_daily(days, t), "maestra_diaria", "diaria_id", t) for t in (_TICKETS, _MONEY)]
-    return parts[0].unionByName(parts[1]).unionByName(_long(_fill_weather(spark, d), "meteo_diaria", "md_id", "date"))
+    return parts[0].unionByName(parts[1]).unionByName(_long(_fill_weather(_weather_rows(spark, d)), "meteo_diaria", "md_id", "date"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

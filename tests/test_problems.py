@@ -275,3 +275,20 @@ def test_latest_version_wins_with_ties(spark):
     assert rolling.trailing_sums(none, ["e"], "d", {"v": F.col("v")}, [7]).collect() == []
     with pytest.raises(ValueError):
         rolling.trailing_sums(df, ["e"], "d", {"v": F.col("v")}, [0])
+
+
+def test_fill_accuracy_on_hidden_values(spark):
+    from almazara.plans import data_problems as P
+
+    sf = "/root/testdata/sf0.01"
+
+    def hide(df, target, key):
+        known = (F.xxhash64(key) % 20 == 0) & F.col(f"{target}__reason").isNull()
+        return df.withColumn("truth", F.when(known, F.col(target))).withColumn(f"{target}__reason", F.when(known, "hidden").otherwise(F.col(f"{target}__reason")))
+
+    for target in ("num_tickets", "facturacion"):
+        out = P._fill_daily(hide(P._daily_rows(spark, sf), target, "diaria_id"), target).where("truth is not null")
+        r = out.agg((F.sum(F.abs(F.col(f"{target}__filled_value") - F.col("truth"))) / F.sum("truth")).alias("wape"), F.count_if(F.col(f"{target}__filled_value").isNull()).alias("lost")).first()
+        assert r.wape < 0.1 and r.lost == 0
+    out = P._fill_weather(hide(P._weather_rows(spark, sf), "date", "md_id")).where("truth is not null")
+    assert out.agg(F.avg((F.col("truth") == F.col("date__filled_value")).cast("int"))).first()[0] > 0.95
