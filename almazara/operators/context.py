@@ -83,6 +83,25 @@ def future_context(days: DataFrame, events: DataFrame, holidays: DataFrame | Non
     return out.join(weather, [*key, "date"], "left") if weather is not None else out
 
 
+def forecast_weather(df: DataFrame, start: Column, end: Column, key: Sequence[str] = ()) -> DataFrame:
+    """Forecast weather per day of the horizon: rain-like measures add up, flags hold if any, the rest is averaged."""
+    agg = []
+    for c, t in df.dtypes:
+        if c in (*key, "date"):
+            continue
+        if t == "boolean":
+            agg.append(F.bool_or(c).alias(c))
+        elif t in ("double", "float", "int", "bigint"):
+            agg.append((F.sum(c) if any(x in c for x in ("rain", "precipitation", "snow", "sunshine", "lluvia")) else F.avg(c)).alias(c))
+    return df.where(F.col("date").between(start, end)).groupBy(*key, "date").agg(*agg)
+
+
+def compact(forecast: DataFrame, preferred: Sequence[str]) -> DataFrame:
+    """The preferred columns that exist, in that order, then all ``context_`` columns."""
+    first = [c for c in preferred if c in forecast.columns]
+    return forecast.select(*first, *[c for c in forecast.columns if c.startswith("context_") and c not in first])
+
+
 def override_union(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union by name in which ``new`` wins wherever both have a key; an anti-join, no window."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

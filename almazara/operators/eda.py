@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almazara.operators.quality import exact_quantiles, is_flag
+from almazara.operators.quality import exact_quantiles, is_flag, running_sum
 
 
 def dataset_summary(tables: Mapping[str, DataFrame], days: Mapping[str, str] | None = None) -> DataFrame:
@@ -97,7 +97,7 @@ def correlations(df: DataFrame, target: str, columns: Sequence[str], least_pairs
     """(column, pairs, pearson, spearman, possible_leakage): pairwise complete, with average ranks, strongest rank correlation first.
 
     Ranks come from the counts of different values: each value's average rank is its place in the running sum
-    of counts, so the only ordered pass is over distinct values. Columns with too few pairs or a constant are
+    of counts, which runs over range partitions of the distinct values. Columns with too few pairs or a constant are
     left out.
     """
     out = []
@@ -119,9 +119,8 @@ def correlations(df: DataFrame, target: str, columns: Sequence[str], least_pairs
 
 
 def _average_ranks(counts: DataFrame, c: str) -> DataFrame:
-    per = counts.groupBy(c).agg(F.sum("n").alias("k"))
-    upto = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-    return per.select(c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+    per = running_sum(counts.groupBy(c).agg(F.sum("n").alias("k")), c, "k", "upto")
+    return per.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
 
 def _moments(a: str, b: str, w, p: str) -> dict:
@@ -159,7 +158,25 @@ def event_summary(unique: DataFrame) -> DataFrame:
 
 def period_panel_summary(profile: DataFrame, totals: DataFrame) -> DataFrame:
     """Articles, share of the top 10 and 20, coverage under a quarter and a half, median coverage, periods: one row."""
-    top = profile.select("unit_share", F.row_number().over(Window.orderBy(F.desc("units_total"), "article_code")).alias("place"), "period_coverage")
-    a = top.agg(F.count(F.lit(1)).alias("articles"), F.sum(F.when(F.col("place") <= 10, F.col("unit_share"))).alias("top_10_share"), F.sum(F.when(F.col("place") <= 20, F.col("unit_share"))).alias("top_20_share"), F.count_if(F.col("period_coverage") < 0.25).alias("coverage_under_25"), F.count_if(F.col("period_coverage") < 0.5).alias("coverage_under_50"), F.median("period_coverage").alias("median_coverage"))
-    n = totals.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return a.withColumn("periods", F.lit(n))
+    best = [r["unit_share"] or 0.0 for r in profile.orderBy(F.desc_nulls_last("units_total"), "article_code").select("unit_share").limit(20).collect()]
+    a = profile.agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("period_coverage") < 0.25).alias("coverage_under_25"), F.count_if(F.col("period_coverage") < 0.5).alias("coverage_under_50"), F.median("period_coverage").alias("median_coverage"))
+    return a.withColumns({"top_10_share": F.lit(sum(best[:10])), "top_20_share": F.lit(sum(best)), "periods": F.lit(totals.count())})
+
+
+def diagnostics(daily: Mapping[str, float | None] | None = None, panel: Mapping[str, float | None] | None = None, reservations: Mapping[str, float | None] | None = None, events: Mapping[str, float | None] | None = None) -> list[str]:
+    """Findings in words from one-row summaries (as dicts) of this module; a missing summary or figure says nothing."""
+    d, p, r, e = daily or {}, panel or {}, reservations or {}, events or {}
+    rules = [
+        ((d.get("missing_dates") or 0) > 0, "the daily table lacks {} calendar days", d.get("missing_dates")),
+        ((d.get("zero_days") or 0) > 0, "the daily target is zero on {} days", d.get("zero_days")),
+        ((p.get("top_20_share") or 0) > 0.8, "20 articles hold {:.0%} of the units", p.get("top_20_share")),
+        ((p.get("coverage_under_25") or 0) > 0, "{} articles were seen in under a quarter of the periods", p.get("coverage_under_25")),
+        ((r.get("people_invalid") or 0) > 0, "{} reservations have an impossible number of people", r.get("people_invalid")),
+        ((e.get("longer_than_30") or 0) > 0, "{} events last over 30 days", e.get("longer_than_30")),
+    ]
+    return [text.format(x) for holds, text, x in rules if holds]
+
+
+def label(df: DataFrame, name: str = "article_name", code: str = "article_code") -> DataFrame:
+    """``label``: the name, or the code where there is none."""
+    return df.withColumn("label", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.col(code).cast("string")) if name in df.columns else F.col(code).cast("string"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almazara.session import cut
+
 FLAG_SUFFIXES = ("__outlier", "__negative", "__invalid", "__imputed", "__conflict", "__physically_suspicious")
 
 
@@ -85,6 +87,26 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float],
     return {c: [got[f"q_{i}_{j}"] if (i, j) in spans else None for j in range(len(at))] for i, c in enumerate(columns)}
 
 
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each by ``order`` (unique), without one task for all rows.
+
+    Rows are range-partitioned and written once; each part is summed by itself, and the totals of the parts
+    before (one row a part) are added.
+    """
+    part, inner = f"__part_{name}", f"__inner_{name}"
+    spread = cut(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()))
+    totals = {r[0]: r[1] or 0 for r in spread.groupBy(part).agg(F.sum(value)).collect()}
+    offset, rows = 0, []
+    for p in sorted(totals):
+        rows.append((p, offset))
+        offset += totals[p]
+    kind = dict(spread.agg(F.sum(value).alias("v")).dtypes)["v"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"{part} int, __offset {kind}"))  # a row a partition
+    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = spread.withColumn(inner, F.sum(value).over(w)).join(offsets, part)
+    return out.select(*df.columns, (F.col(inner) + F.col("__offset")).alias(name))
+
+
 def impute_low_missingness(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: float = 0.05, label: str = "UNKNOWN", mode: bool = False) -> DataFrame:
     """Nulls filled in columns of which at most a share ``most`` is missing, each with ``<c>__imputed``.
 

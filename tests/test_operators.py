@@ -299,3 +299,18 @@ def test_profiles(spark):
     assert (s.rows, s.duplicate_rows, s.columns, s.missing_cells) == (28, 14, 3, 0)
     f = eda.frequencies(spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int"), ["k"]).collect()
     assert [(r.value, r.rows, r.fraction) for r in f] == [("a", 2, 1.0)]
+
+
+def test_running_sum_over_many_parts(spark):
+    df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), F.lit(1).alias("n"))
+    got = {r.k: r.s for r in quality.running_sum(df, "k", "n", "s").collect()}
+    assert got == {k: k + 1 for k in range(500)}
+    assert quality.running_sum(df.limit(0), "k", "n", "s").collect() == []
+
+
+def test_words_labels_and_weather(spark):
+    assert eda.diagnostics() == [] and eda.diagnostics({"missing_dates": 3}, {"top_20_share": 0.9}) == ["the daily table lacks 3 calendar days", "20 articles hold 90% of the units"]
+    assert [r.label for r in eda.label(spark.createDataFrame([("a", 1), (" ", 2)], "article_name string, article_code int")).collect()] == ["a", "2"]
+    w = spark.createDataFrame([(day(0), 1.0, 5.0, True), (day(0), 2.0, 7.0, None), (day(9), 9.0, 9.0, None)], "date date, rain_mm double, temp double, storm boolean")
+    assert [tuple(r) for r in context.forecast_weather(w, F.lit(day(0)), F.lit(day(1))).collect()] == [(day(0), 3.0, 6.0, True)]
+    assert context.compact(w.withColumn("context_x", F.lit(1)), ["temp", "nope"]).columns == ["temp", "context_x"]
