@@ -81,7 +81,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def pack(items: DataFrame, capacities: DataFrame, id_column: str = "doc_id", size_column: str = "tokens", group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, id_column: str = "doc_id", size_column: str = "tokens", group_items: int = GROUP_ITEMS, rows_known: int | None = None) -> DataFrame:
     """(capacity_id, container_id, id, piece, tokens): all items in containers of each capacity.
 
     ``capacities`` has capacity_id and capacity_tokens, at most MAX_CAPACITIES rows. The items are dealt round
@@ -89,6 +89,9 @@ def pack(items: DataFrame, capacities: DataFrame, id_column: str = "doc_id", siz
     packed whole by one task, for all capacities, with best fit decreasing on a segment tree. Container ids are
     unique per capacity: group number times 2^32 plus the container's number in the group.
 
+    ``rows_known`` is the number of items where it is known more cheaply than by counting ``items`` (whose
+    sizes would be computed twice); it only sets the number of groups.
+
     Defined edge cases: an item of size 0 (an empty text), or of null or negative size, takes no space and lies
     in the tightest container there is; repeated rows are items of their own; a capacity that is null or not
     positive has no containers; no items give no rows.
@@ -97,7 +100,7 @@ def pack(items: DataFrame, capacities: DataFrame, id_column: str = "doc_id", siz
     if len(caps) > MAX_CAPACITIES:
         raise ValueError(f"more than {MAX_CAPACITIES} capacities")
     rows = items.select(F.col(id_column).alias("id"), F.greatest(F.coalesce(F.col(size_column).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
-    groups = max(1, math.ceil(rows.count() / group_items))
+    groups = max(1, math.ceil((rows.count() if rows_known is None else rows_known) / group_items))
     kind = items.schema[id_column].dataType.simpleString()
     schema = f"capacity_id bigint, container_id bigint, `{id_column}` {kind}, piece int, tokens bigint"
 

@@ -19,7 +19,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_packing(spark: SparkSession, d: str) -> DataFrame:
-    return pack(token_counts(_table(spark, d, "documents")), _table(spark, d, "capacidades"))
+    documents = _table(spark, d, "documents")
+    return pack(token_counts(documents), _table(spark, d, "capacidades"), rows_known=documents.count())
 
 
 def p9_quality(spark: SparkSession, d: str) -> DataFrame:
