@@ -83,15 +83,17 @@ def mine_dependencies(complete: DataFrame, candidates: Sequence[Sequence[str]],
     """The evidence for each candidate determinant of ``dependent``, from complete records.
 
     A group counts if it has two or more records; it violates if its records differ in ``dependent``. One
-    aggregation a candidate, combined before the shuffle; only two counts come to the driver.
+    aggregation a candidate, combined before the shuffle, all in one job; only two counts each come to the driver.
     """
-    found = []
-    for det in candidates:
+    if not candidates:
+        return []
+    parts = []
+    for i, det in enumerate(candidates):
         stats = F.struct(F.count(F.lit(1)).alias("n"), (F.min(dependent) != F.max(dependent)).alias("differ"))
         groups = complete.dropna(subset=[*det, dependent]).groupBy(*det).agg(stats.alias("stats")).select("stats.*")
-        row = groups.where("n > 1").agg(F.count(F.lit(1)).alias("g"), F.count_if("differ").alias("v")).first()
-        found.append(Dependency(tuple(det), dependent, row["g"], row["v"]))
-    return found
+        parts.append(groups.where("n > 1").agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("g"), F.count_if("differ").alias("v")))
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    return [Dependency(tuple(candidates[r["i"]]), dependent, r["g"], r["v"]) for r in sorted(rows, key=lambda r: r["i"])]
 
 
 def fill(
@@ -133,15 +135,19 @@ def fill(
         )
         lost = lost.join(lookup, det, "left")
         options.append((F.col(fd), "fd:" + "+".join(det)))
-    for n, (name, group, statistic, estimate) in enumerate(fallbacks):
-        gf, stat = _free(df, f"gf{n}"), _free(df, "stat")
+    by_group: dict[tuple[str, ...], list[int]] = {}
+    for n, (_, group, _, _) in enumerate(fallbacks):
+        by_group.setdefault(tuple(group), []).append(n)
+    stat = {n: _free(df, f"stat{n}") for n in range(len(fallbacks))}
+    for group, members in by_group.items():  # one table of statistics for all fallbacks of a group
+        aggregates = [fallbacks[n][2].alias(stat[n]) for n in members]
         if group:
-            stats = complete.dropna(subset=list(group)).groupBy(*group).agg(statistic.alias(stat))
+            stats = complete.dropna(subset=list(group)).groupBy(*group).agg(*aggregates)
             lost = lost.join(broadcast_if_small(stats), list(group), "left")
         else:
-            lost = lost.withColumn(stat, F.lit(complete.agg(statistic.alias(stat)).first()[stat]))
-        lost = lost.withColumn(gf, estimate(F.col(stat))).drop(stat)
-        options.append((F.col(gf), f"group:{name}"))
+            overall = complete.agg(*aggregates).first()
+            lost = lost.withColumns({stat[n]: F.lit(overall[stat[n]]) for n in members})
+    options += [(estimate(F.col(stat[n])), f"group:{name}") for n, (name, _, _, estimate) in enumerate(fallbacks)]
     value = F.coalesce(*[c.cast(kind) for c, _ in options]) if options else F.lit(None).cast(kind)
     source = reduce(lambda w, o: w.when(o[0].isNotNull(), o[1]), options, F.when(F.lit(False), "")).otherwise("none")
     filled = lost.withColumns({f"{target}__filled_value": value, f"{target}__source": source}).select(*df.columns, f"{target}__filled_value", f"{target}__source")

@@ -314,3 +314,8 @@ def test_words_labels_and_weather(spark):
     w = spark.createDataFrame([(day(0), 1.0, 5.0, True), (day(0), 2.0, 7.0, None), (day(9), 9.0, 9.0, None)], "date date, rain_mm double, temp double, storm boolean")
     assert [tuple(r) for r in context.forecast_weather(w, F.lit(day(0)), F.lit(day(1))).collect()] == [(day(0), 3.0, 6.0, True)]
     assert context.compact(w.withColumn("context_x", F.lit(1)), ["temp", "nope"]).columns == ["temp", "context_x"]
+
+
+def test_no_event_is_no_intensity(spark):
+    df = spark.createDataFrame([(False, None), (True, None), (None, None), (False, 2.0)], "tiene_evento boolean, event_intensity_mean double")
+    assert [r.event_intensity_mean for r in features.known_context_zero(df).collect()] == [0.0, None, None, 2.0]
