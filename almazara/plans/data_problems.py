@@ -247,6 +247,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(drift.footers(drift.records(table(spark, d, "crudos")))).select("feed", "source_file", "field_name", "change_kind")
 
 
+_ALIAS_ROWS = ", ".join(f"('{d}', '{n}', '{c}')" for d, fields in drift.ALIASES.items() for c, names in fields.items() for n in names.split())
+P5_FOUND_SQL = f"""
+with aliases(dataset, field, canon) as (values {_ALIAS_ROWS}),
+good as (select * from crudos where json_valid(payload) and json_type(payload) = 'OBJECT' and feed is not null and source_file is not null and file_date is not null),
+firsts as (select * from good qualify received_at is not distinct from min(received_at) over (partition by feed, source_file)),
+keyed as (select dataset, feed, source_file, file_date, payload, unnest(json_keys(payload)) as k from firsts),
+shaped as (
+  select dataset, feed, source_file, file_date, nullif(regexp_replace(regexp_replace(strip_accents(lower(k)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '') as field,
+    case json_type(payload, '$."' || k || '"') when 'NULL' then null when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' else 'number' end as kind from keyed),
+counted as (select dataset, feed, source_file, file_date, field, kind, count(*) as n from shaped where field is not null group by all),
+foot as (select dataset, feed, source_file, file_date, field, arg_max(kind, (n, kind)) filter (kind is not null) as kind from counted group by 1, 2, 3, 4, 5),
+files as (select feed, source_file, row_number() over (partition by feed order by file_date, source_file) as no from (select distinct feed, source_file, file_date from foot)),
+lines as (select f.dataset, f.feed, f.field, f.kind, no, coalesce(canon, f.field) as line from foot f join files using (feed, source_file) left join aliases a on a.dataset = f.dataset and a.field = f.field),
+born as (select *, coalesce(lag(no) over w <> no - 1, true) as born, lag(field) over w as before, coalesce(lead(no) over w <> no + 1, true) as ends from lines window w as (partition by dataset, feed, line order by no)),
+lives as (select *, sum(born::int) over (partition by dataset, feed, line order by no) as life from born),
+kinds as (select *, last_value(kind ignore nulls) over (partition by dataset, feed, line, life order by no rows between unbounded preceding and 1 preceding) as was from lives),
+events as (
+  select feed, no, field, 'added' as change_kind from kinds where born and no > 1
+  union all select feed, no, field, 'renamed' from kinds where not born and before <> field
+  union all select feed, no, field, 'retyped' from kinds where not born and kind <> was
+  union all select feed, no + 1, field, 'removed' from kinds where ends)
+select feed, source_file, field as field_name, change_kind from events join files using (feed, no)
+"""
+
+
 def p5_ventas(spark: SparkSession, d: str) -> DataFrame:
     """The sales records of all files as one table."""
     return drift.consistent(drift.records(table(spark, d, "crudos")), "ventas")
@@ -301,6 +326,18 @@ marked as (
 """
 P6_FOUND_SQL = _P6_SQL + "select restaurant, article_code, cast(report_start as varchar) as valid_from from marked where man or mdc or mdn"
 
+P6_HISTORY_SQL = _P6_SQL.rstrip() + """,
+touched as (
+  select *, man or (can is not null and wan is null) as tan, mdc or (dc is not null and wdc is null) as tdc, mdn or (cdn is not null and wdn is null) as tdn from marked),
+kept as (
+  select *, last_value(case when tan then an end ignore nulls) over u as article_name, last_value(case when tdc then dc end ignore nulls) over u as department_code, last_value(case when tdn then dn end ignore nulls) over u as department_name
+  from touched window u as (partition by restaurant, article_code order by report_start rows between unbounded preceding and current row))
+select restaurant, article_code, report_start as valid_from, lead(report_start) over (partition by restaurant, article_code order by report_start) - 1 as valid_to,
+  row_number() over (partition by restaurant, article_code order by report_start) - 1 as version,
+  concat_ws('+', case when man then 'article_name' end, case when mdc then 'department_code' end, case when mdn then 'department_name' end) as changed, article_name, department_code, department_name
+from kept where tan or tdc or tdn or seen = 1
+"""
+
 # ---------------------------------------------------------------------------------------------- problem 7
 
 
@@ -392,4 +429,4 @@ QUERIES |= {
     "p1_found": p1_found, "p1_filled": p1_filled, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos,
     "p6_found": p6_found, "p6_history": p6_history, "p7_found": p7_found, "p7_daily": p7_daily, "p7_articles": p7_articles,
 }
-SQL |= {"p1_found": P1_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}
+SQL |= {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_history": P6_HISTORY_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}
