@@ -12,7 +12,7 @@ from almazara.operators.history import delta_store, reconstruct, snapshots
 from almazara.operators.intervals import covered_spans
 from almazara.operators.rolling import latest_versions, trailing_sums, unfold
 from almazara.operators.references import ForeignKey, orphan_cascade, orphan_report
-from almazara.operators.timestamps import Typed, instant_text, normalise
+from almazara.operators.timestamps import ABBREVIATIONS, MONTHS, Typed, instant_text, normalise
 from almazara.plans.tables import table
 from almazara.session import broadcast_if_small
 
@@ -147,8 +147,57 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_normalised(spark, d).where("value <> normal_form").select("table_name", "row_id", "normal_form")
 
 
+_MONTH_ROWS = ", ".join(f"('{w}', {k})" for k, names in MONTHS.items() for w in names.split())
+_ZONE_ROWS = ", ".join(f"('{a}', {h * 3600})" for a, h in ABBREVIATIONS.items())
+_CLOCK = r"^(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)?(?: ?([ap])\.? ?m\.?)?(?: ?h)?(?: ?(z|[+-]\d{2}:?\d{2}|[a-z]{3,4}|[a-z]+/[a-z_]+))?$"
+_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:,? (.*))?$"
+P4_NORMALISED_SQL = f"""
+with months(word, n) as (values {_MONTH_ROWS}), zones(abbr, secs) as (values {_ZONE_ROWS}),
+vals as (
+  select 'reservas' as table_name, reserva_id as row_id, created_datetime as v, source_file as file, l.timezone as zone, null::bigint as pos from reservas r left join (select restaurant, max(timezone) as timezone from locales group by 1) l using (restaurant)
+  union all select 'eventos', evento_row_id, date, source_file, l.timezone, null from eventos e left join (select event_location, max(timezone) as timezone from locales group by 1) l using (event_location)
+  union all select 'meteo_horaria', mh_id, time, source_file, coalesce(m.timezone, f.tz), row_no from meteo_horaria m left join (select source_file, max(timezone) as tz from meteo_horaria group by 1) f using (source_file)),
+flat as (select *, trim(regexp_replace(strip_accents(lower(v)), '\\s+', ' ', 'g')) as t from vals where v is not null),
+orders as (
+  select table_name, file, count(*) filter (try_cast(regexp_extract(t, '{_LAST}', 1) as int) > 12) as da, count(*) filter (try_cast(regexp_extract(t, '{_LAST}', 2) as int) > 12) as mb from flat where regexp_matches(t, '{_LAST}') group by 1, 2),
+shape as (
+  select f.*, coalesce(mb > da, false) as mf,
+    case when regexp_matches(t, '^\\d{{4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}([t ]|$)') then 1 when regexp_matches(t, '^\\d{{8}}(t?\\d{{6}}z?)?$') then 2 when regexp_matches(t, '{_LAST}') then 3
+      when regexp_matches(t, '^\\d{{1,2}} (de )?[a-z]+ (de )?\\d{{4}}') then 4 when regexp_matches(t, '^(\\d{{10}}|\\d{{13}})$') then 5 when regexp_matches(t, '^\\d{{5}}([.]\\d+)?$') then 6 end as f
+  from flat f left join orders o on o.table_name = f.table_name and o.file = f.file),
+cut as (
+  select *, case f when 1 then regexp_extract(t, '^\\d{{4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}[t ](.*)$', 1) when 2 then case when length(t) > 8 then regexp_replace(regexp_extract(t, '^\\d{{8}}t?(.*)$', 1), '^(..)(..)(..)', '\\1:\\2:\\3') else '' end
+      when 3 then regexp_extract(t, '{_LAST}', 4) when 4 then regexp_extract(t, '^\\d{{1,2}} (?:de )?[a-z]+ (?:de )?\\d{{4}},? ?(.*)$', 1) end as c,
+    case f when 1 then [regexp_extract(t, '^(\\d+)', 1), regexp_extract(t, '^\\d+[-/.](\\d+)', 1), regexp_extract(t, '^\\d+[-/.]\\d+[-/.](\\d+)', 1)] when 2 then [t[1:4], t[5:6], t[7:8]]
+      when 3 then [case when length(regexp_extract(t, '{_LAST}', 3)) = 2 then '20' else '' end || regexp_extract(t, '{_LAST}', 3), case when mf then regexp_extract(t, '{_LAST}', 1) else regexp_extract(t, '{_LAST}', 2) end, case when mf then regexp_extract(t, '{_LAST}', 2) else regexp_extract(t, '{_LAST}', 1) end]
+      when 4 then [regexp_extract(t, '(\\d{{4}})', 1), (select cast(n as varchar) from months where word = regexp_extract(t, '^\\d+ (?:de )?([a-z]+)', 1)), regexp_extract(t, '^(\\d+)', 1)] end as ymd
+  from shape where f is not null),
+timed as (
+  select *, try_cast(lpad(ymd[1], 4, '0') || '-' || lpad(ymd[2], 2, '0') || '-' || lpad(ymd[3], 2, '0') as date) as day, coalesce(c, '') = '' or regexp_matches(c, '{_CLOCK}') as fits,
+    try_cast(regexp_extract(c, '{_CLOCK}', 1) as int) as h0, coalesce(try_cast(regexp_extract(c, '{_CLOCK}', 2) as int), 0) as mi, coalesce(try_cast(regexp_extract(c, '{_CLOCK}', 3) as int), 0) as se, regexp_extract(c, '{_CLOCK}', 4) as half, coalesce(regexp_extract(c, '{_CLOCK}', 5), '') as z
+  from cut),
+walled as (
+  select *, case when f = 6 then round((t::double - 25569) * 86400)::bigint when f < 5 and fits and day is not null and hh between 0 and 23 and mi < 60 and se < 60 then epoch(day::timestamp)::bigint + hh * 3600 + mi * 60 + se end as wall
+  from (select *, case when coalesce(half, '') = '' then coalesce(h0, 0) when h0 between 1 and 12 then h0 % 12 + case when half = 'p' then 12 else 0 end else 99 end as hh from timed)),
+zoned as (
+  select w.*, secs, case when z like '%/%' then array_to_string(list_transform(string_split(z, '/'), lambda x: upper(x[1]) || x[2:]), '/') else zone end as lz,
+    case when regexp_matches(z, '^[+-]') then (substr(replace(z, ':', ''), 2, 2)::int * 3600 + substr(replace(z, ':', ''), 4, 2)::int * 60) * case when z like '-%' then -1 else 1 end end as off from walled w left join zones on abbr = z),
+guess as (select *, epoch(timezone(lz, to_timestamp(wall)::timestamptz at time zone 'UTC'))::bigint as g from zoned),
+fixed as (
+  select *, case when epoch(timezone(lz, to_timestamp(g - 3600)))::bigint = wall then g - 3600 else g end as first_utc from guess),
+utc as (
+  select *, f = 5 or z <> '' as stated, case when f = 5 then case when length(t) = 13 then t::bigint // 1000 else t::bigint end when secs is not null then wall - secs when off is not null then wall - off when z = '' or z like '%/%' then first_utc end as u from fixed),
+shown as (select *, case when stated then epoch(timezone(zone, to_timestamp(u)))::bigint else wall end as seen_at from utc where u is not null),
+placed as (select *, min(pos) over (partition by table_name, file, zone, seen_at) as low, max(pos) over (partition by table_name, file, zone, seen_at) as high from shown),
+final as (
+  select *, case when table_name = 'meteo_horaria' and not stated and high > low and pos = high and epoch(timezone(zone, to_timestamp(u + 3600)))::bigint = wall then u + 3600 else u end as uu from placed)
+select table_name, row_id, v as value, case when table_name = 'eventos' then strftime(case when stated then timezone(zone, to_timestamp(uu)) else to_timestamp(wall) at time zone 'UTC' end, '%Y-%m-%d')
+  else strftime(to_timestamp(uu) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') end as normal_form from final
+"""
+P4_FOUND_SQL = f"select table_name, row_id, normal_form from ({P4_NORMALISED_SQL}) where value <> normal_form"
+
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_normalised": p4_normalised}
-SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL, "p4_normalised": P4_NORMALISED_SQL}
 
 # ---------------------------------------------------------------------------------------------- problem 1
 
