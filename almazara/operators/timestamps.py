@@ -162,18 +162,20 @@ def _year() -> Column:
 
 @dataclass(frozen=True)
 class Typed:
-    """Columns of an input to ``normalise``: the value, the row id, the file, the zone of local times, and,
-    where a repeated local hour is told apart by position, the place of the row in its file."""
+    """Columns of an input to ``normalise``: the value, the row id, the file, the zone of local times, where a
+    repeated local hour is told apart by position the place of the row in its file (null where it isn't), and
+    columns that are passed through."""
 
     value: str
     row_id: str
     file: str
     zone: str
     position: str | None = None
+    keep: tuple[str, ...] = ()
 
 
 def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
-    """(row_id, value, utc_seconds, local_day, stated) of every readable value.
+    """(*keep, row_id, value, utc_seconds, local_day, stated) of every readable value.
 
     All formats are one regular expression, matched once a row; calendar ranges are checked (month, day of
     that month, hour, minute, second), and the instant is put together from integer days and seconds.
@@ -188,7 +190,7 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     """
     order = day_order(df, t.value, t.file, hint)
     base = df.select(
-        F.col(t.row_id).cast("long").alias("row_id"), F.col(t.value).alias("value"), F.col(t.file).alias("file"), F.col(t.zone).alias("zone"),
+        (F.struct(*t.keep) if t.keep else F.lit(None)).alias("kept"), F.col(t.row_id).cast("long").alias("row_id"), F.col(t.value).alias("value"), F.col(t.file).alias("file"), F.col(t.zone).alias("zone"),
         (F.col(t.position).cast("long") if t.position else F.lit(None).cast("long")).alias("position"), F.explode(parts(F.col(t.value))).alias("p"),
     )
     base = base.join(broadcast_if_small(order), "file", "left")
@@ -209,8 +211,8 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
         "epoch": F.col("n")[_WHOLE.index("epoch")],
         "serial": F.nullif(F.concat(_part("serial"), F.translate(_part("fraction"), ",", ".")), F.lit("")).try_cast("double"),
     }
-    read = _settled(base.select("*", _numbers().alias("n")), "n").select("row_id", "value", "file", "zone", "position", F.struct(*[c.alias(n) for n, c in cols.items()]).alias("c"))
-    read = _settled(read, "c").select("row_id", "value", "file", "zone", "position", "c.*")
+    read = _settled(base.select("*", _numbers().alias("n")), "n").select("kept", "row_id", "value", "file", "zone", "position", F.struct(*[c.alias(n) for n, c in cols.items()]).alias("c"))
+    read = _settled(read, "c").select("kept", "row_id", "value", "file", "zone", "position", "c.*")
     y, m, d = F.col("y"), F.col("m"), F.col("d")
     real = y.between(1, 9999) & m.between(1, 12) & d.between(1, _days_in_month(y, m)) & F.col("hh").between(0, 23) & F.col("mi").between(0, 59) & F.col("ss").between(0, 59)
     wall = (
@@ -225,7 +227,7 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     names_of_regions = ",".join(_regions(df))
     regions = F.map_from_arrays(F.split(F.lit(names_of_regions.lower()), ","), F.split(F.lit(names_of_regions), ","))
     region = F.when(z.contains("/"), F.try_element_at(regions, z))
-    read = read.withColumn("offset", offset).withColumn("region", region).select("row_id", "value", "file", "zone", "position", "epoch", "z", "offset", "region", wall.alias("wall"))
+    read = read.withColumn("offset", offset).withColumn("region", region).select("kept", "row_id", "value", "file", "zone", "position", "epoch", "z", "offset", "region", wall.alias("wall"))
     read = _settled(read, "wall")
     stated = F.col("epoch").isNotNull() | (z != "")
     read = read.withColumn("stated", stated).withColumn("local_zone", F.when(F.col("region").isNotNull(), F.col("region")).otherwise(F.col("zone")))
@@ -238,7 +240,7 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     if t.position:
         read = _second_occurrences(read)
     return read.select(
-        "row_id", "value", F.col("utc").alias("utc_seconds"),
+        *[F.col("kept")[c].alias(c) for c in t.keep], "row_id", "value", F.col("utc").alias("utc_seconds"),
         F.date_from_unix_date(F.floor(F.coalesce(F.when(~F.col("stated"), F.col("wall")), utc_to_local(F.col("utc"), F.col("zone"))) / _DAY).cast("int")).alias("local_day"),
         "stated",
     )
@@ -262,7 +264,7 @@ def _second_occurrences(read: DataFrame) -> DataFrame:
     twice = F.coalesce(utc_to_local(F.col("first_utc") + 3600, F.col("zone")) == F.col("shown"), F.lit(False))
     read = read.withColumn("twice", twice)
     ends = read.where("twice and position is not null").groupBy("file", "zone", "shown").agg(F.min("position").alias("low"), F.max("position").alias("high")).where("high > low")
-    joined = read.join(ends.withColumn("twice", F.lit(True)), ["file", "zone", "shown", "twice"], "left")
+    joined = read.join(broadcast_if_small(ends.withColumn("twice", F.lit(True))), ["file", "zone", "shown", "twice"], "left")
     second = (~F.col("stated")) & (F.col("position") == F.col("high"))
     return joined.withColumn("utc", F.when(F.coalesce(second, F.lit(False)), later).otherwise(F.col("utc")))
 

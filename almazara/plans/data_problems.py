@@ -113,34 +113,33 @@ def _zones(spark: SparkSession, d: str, key: str) -> DataFrame:
     return broadcast_if_small(table(spark, d, "locales").where(F.col(key).isNotNull()).groupBy(key).agg(F.max("timezone").alias("zone")))
 
 
-def _typed_reservas(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "reservas").select("reserva_id", "restaurant", "source_file", "created_datetime", "reservation_date")
-    rows = rows.join(_zones(spark, d, "restaurant"), "restaurant", "left")
-    return normalise(rows, Typed("created_datetime", "reserva_id", "source_file", "zone"), F.unix_date("reservation_date"))
-
-
-def _typed_eventos(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "eventos").select("evento_row_id", "event_location", "source_file", F.col("date").alias("written"), "event_start", "event_day_number")
-    rows = rows.join(_zones(spark, d, "event_location"), "event_location", "left")
-    hint = F.unix_date("event_start") + F.coalesce(F.col("event_day_number"), F.lit(1)) - 1
-    return normalise(rows, Typed("written", "evento_row_id", "source_file", "zone"), hint)
-
-
-def _typed_meteo(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "meteo_horaria").select("mh_id", "source_file", "row_no", F.col("time").alias("written"), "timezone")
-    files = rows.groupBy("source_file").agg(F.mode("timezone", True).alias("file_zone"))
-    rows = rows.join(broadcast_if_small(files), "source_file", "left").withColumn("zone", F.coalesce("timezone", "file_zone"))
-    return normalise(rows, Typed("written", "mh_id", "source_file", "zone", "row_no"))
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """The written values of the three fields as one table; a file belongs to its table."""
+    r = table(spark, d, "reservas").join(_zones(spark, d, "restaurant"), "restaurant", "left")
+    e = table(spark, d, "eventos").join(_zones(spark, d, "event_location"), "event_location", "left")
+    m = table(spark, d, "meteo_horaria")
+    files = m.groupBy("source_file").agg(F.mode("timezone", True).alias("file_zone"))
+    m = m.join(broadcast_if_small(files), "source_file", "left")
+
+    def part(df: DataFrame, name: str, row_id: str, value: str, zone: F.Column, position: F.Column, hint: F.Column) -> DataFrame:
+        return df.select(
+            F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.col(value).alias("value"), F.concat_ws("/", F.lit(name), "source_file").alias("file"),
+            zone.alias("zone"), position.cast("long").alias("position"), hint.cast("long").alias("hint"),
+        )
+
+    none = F.lit(None)
+    return (
+        part(r, "reservas", "reserva_id", "created_datetime", F.col("zone"), none, F.unix_date("reservation_date"))
+        .unionByName(part(e, "eventos", "evento_row_id", "date", F.col("zone"), none, F.unix_date("event_start") + F.coalesce(F.col("event_day_number"), F.lit(1)) - 1))
+        .unionByName(part(m, "meteo_horaria", "mh_id", "time", F.coalesce("timezone", "file_zone"), F.col("row_no"), none))
+    )
 
 
 def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Every readable value of the three fields with its normal form, also those already written in it."""
-    instant = instant_text(F.col("utc_seconds"))
-    return (
-        _typed_reservas(spark, d).select(F.lit("reservas").alias("table_name"), "row_id", "value", instant.alias("normal_form"))
-        .unionByName(_typed_eventos(spark, d).select(F.lit("eventos").alias("table_name"), "row_id", "value", F.col("local_day").cast("string").alias("normal_form")))
-        .unionByName(_typed_meteo(spark, d).select(F.lit("meteo_horaria").alias("table_name"), "row_id", "value", instant.alias("normal_form")))
-    )
+    out = normalise(_typed(spark, d), Typed("value", "row_id", "file", "zone", "position", ("table_name",)), F.col("hint"))
+    form = F.when(F.col("table_name") == "eventos", F.col("local_day").cast("string")).otherwise(instant_text(F.col("utc_seconds")))
+    return out.select("table_name", "row_id", "value", form.alias("normal_form"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
