@@ -156,11 +156,16 @@ def _values(sums: DataFrame, c: str) -> Column:
     return F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")
 
 
+def global_model(predictions: DataFrame, min_rows: int = 50) -> str | None:
+    """The best model over all regimes, if it has enough rows."""
+    best = _ranked(_pooled(predictions, ["model"]).withColumn("all", F.lit(1)), ["all"], min_rows).first()
+    return best["model"] if best else None
+
+
 def frozen_mapping(predictions: DataFrame, default: str, min_regime_rows: int = 20, min_global_rows: int = 50) -> DataFrame:
     """(regime, model, source): the choice on all development predictions."""
     own = _ranked(_pooled(predictions, ["regime", "model"]), ["regime"], min_regime_rows).select("regime", F.col("model").alias("own"))
-    best = _ranked(_pooled(predictions, ["model"]).withColumn("all", F.lit(1)), ["all"], min_global_rows).first()
-    overall = best["model"] if best else None
+    overall = global_model(predictions, min_global_rows)
     cells = predictions.select("regime").where("regime is not null").distinct().join(own, "regime", "left")
     return cells.select("regime", F.coalesce("own", F.lit(overall), F.lit(default)).alias("model"), F.when(F.col("own").isNotNull(), "regime").otherwise("global" if overall else "default").alias("source"))
 

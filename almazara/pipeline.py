@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,37 +171,83 @@ def train(table: DataFrame, r: ModelingRules, keys: list[str], with_candidates:
     fold_table = evaluate.folds(development, splits=r.cv_splits, fraction=r.cv_validation_fraction, min_train=r.min_train_periods)
     baselines = {"lag_1": "units__lag_1", "rolling_mean_4": "units__rolling_mean_4", "expanding_mean": "units__expanding_mean_prior"}
     preds = evaluate.baseline_predictions(rows, fold_table, baselines, keys, regime="regime")
-    if with_candidates and r.candidates:
+    names = r.candidates if with_candidates else ()
+    categorical: list[str] = []
+    numeric: list[str] = []
+    if names:
         cat = catalogue.build_catalogue(rows.sparkSession, "features_article_period", rows, "units")
         categorical, numeric = catalogue.select_features(cat, rows.join(development.select("period_index"), "period_index", "left_semi"))
         categorical = [c for c in categorical if c in ("regime", "article_demand_regime_prior")]  # codes would be one column each
-        preds = preds.unionByName(models.cross_validate(rows, fold_table, r.candidates, categorical, numeric, keys, trees=r.trees))
+        preds = preds.unionByName(models.cross_validate(rows, fold_table, names, categorical, numeric, keys, trees=r.trees))
     preds = cut(preds)
-    frozen = evaluate.frozen_mapping(preds, r.default_model, r.adaptive_min_regime_rows, r.adaptive_min_global_rows)
+    frozen = cut(evaluate.frozen_mapping(preds, r.default_model, r.adaptive_min_regime_rows, r.adaptive_min_global_rows))
+    overall = evaluate.global_model(preds, r.adaptive_min_global_rows) or r.default_model
+    spark = rows.sparkSession
     out = {
+        "frozen_global": spark.createDataFrame([(overall,)], "model string"),
+        "frozen_features": spark.createDataFrame([(c, "categorical") for c in categorical] + [(c, "numeric") for c in numeric], "column string, kind string"),
         "predictions": preds, "metrics": evaluate.metrics_at_levels(preds), "summary": evaluate.cv_summary(evaluate.metrics(preds)), "frozen_mapping": frozen,
         "selection": evaluate.adaptive_selection(preds, r.default_model, r.adaptive_min_regime_rows, r.adaptive_min_global_rows), "top_k": evaluate.top_k_overlap(preds, ["fold", "model"], "period_index", keys, r.top_k),
     }
     if r.evaluate_final_test:
         final = split.select(F.lit(0).alias("fold"), "period_index", F.when(F.col("split") == "test", "validation").otherwise("train").alias("role"))
         test = evaluate.baseline_predictions(rows, final, baselines, keys, regime="regime")
-        chosen = frozen.withColumn("model", F.when(F.col("model").isin(*baselines), F.col("model")).otherwise(r.default_model))
-        adaptive = evaluate.apply_selection(test, chosen.select("regime", "model"), ["regime"], [*keys, "period_index", "fold"], r.default_model)
+        every = test
+        if names:
+            candidates = cut(models.cross_validate(rows, final, names, categorical, numeric, keys, trees=r.trees))
+            out["final_test_candidates"] = evaluate.metrics(candidates, ["model"])
+            every = test.unionByName(candidates)
+        every = cut(every)
+        require_models(frozen, overall, [x[0] for x in every.select("model").distinct().collect()])
+        adaptive = evaluate.apply_selection(every, frozen.select("regime", "model"), ["regime"], [*keys, "period_index", "fold"], overall)
         out["final_test"] = evaluate.metrics(test.select("model", "target", "prediction").unionByName(adaptive.select("model", "target", "prediction")), ["model"])
     return out
 
 
-def forecast(gold_panel: DataFrame, r: FeatureRules, o: OperationalRules, mapping: DataFrame, entity: tuple[str, ...] = (), default: str = "expanding_mean") -> DataFrame:
-    """The next period per article: history plus scaffold through the same feature builder, then the mapped baseline and the ranking."""
+def require_models(mapping: DataFrame, default: str, predicted: Collection[str]) -> list[str]:
+    """The models in use, the mapped ones and the default; an error if one of them has no prediction."""
+    used = sorted({default, *(x[0] for x in mapping.select("model").distinct().collect())})  # a row a regime
+    missing = [m for m in used if m not in predicted]
+    if missing:
+        raise KeyError(f"frozen models without a prediction: {', '.join(missing)}")
+    return used
+
+
+def forecast(gold_panel: DataFrame, r: FeatureRules, o: OperationalRules, mapping: DataFrame, entity: tuple[str, ...] = (), default: str = "expanding_mean", history: DataFrame | None = None, frozen_features: DataFrame | None = None, modeling: ModelingRules | None = None) -> DataFrame:
+    """The next period per article: history plus scaffold through the same feature builder, then the mapped model and the ranking.
+
+    Mapped candidates are refitted on all eligible rows of ``history`` with the frozen features; what of these the
+    coming period lacks is null and imputed as in training. A baseline without a value is replaced by the
+    median of the eligible targets, and marked. A mapped model that can't be predicted is an error.
+    """
     horizon = context.next_period(context.period_table(gold_panel, entity), entity)
     scaffold = context.future_scaffold(gold_panel, horizon, list(entity), "article_code", ["units", "amount"])
+    future = scaffold.select(*entity, "article_code", "report_start", "report_end")
     both = context.complete_rows(gold_panel).unionByName(scaffold.withColumn("period_is_complete", F.lit(True)))
-    f = build_features({"article_period": both}, r, entity)["features_article_period"].where("units is null")
+    f = build_features({"article_period": both}, r, entity)["features_article_period"].join(future, future.columns, "left_semi")
     value = {"lag_1": "units__lag_1", "rolling_mean_4": "units__rolling_mean_4", "expanding_mean": "units__expanding_mean_prior"}
+    fitted = history is not None and frozen_features is not None
+    used = require_models(mapping, default, {*value, *(models.CANDIDATES if fitted else ())})
     small = F.broadcast(mapping.select(F.col("regime").alias("article_demand_regime_prior"), F.col("model").alias("selected_model")))  # a row a regime
     f = f.join(small, "article_demand_regime_prior", "left").withColumn("selected_model", F.coalesce("selected_model", F.lit(default)))
-    chosen = F.coalesce(*[F.when(F.col("selected_model") == m, F.col(c)) for m, c in value.items()], F.col(value[default]))
-    f = f.withColumns({"predicted_units": F.greatest(F.coalesce(chosen, F.lit(0.0)), F.lit(0.0)), "used_prediction_fallback": chosen.isNull()})
+    eligible = cut((history if history is not None else build_features({"article_period": gold_panel}, r, entity)["features_article_period"]).where("training_eligible"))
+    median = eligible.agg(F.median("units")).first()[0]
+    f = cut(f.withColumn("own", F.coalesce(*[F.when(F.col("selected_model") == m, F.col(c)) for m, c in value.items()])))
+    candidates = [m for m in used if m not in value]
+    if candidates:
+        kinds = {c["column"]: c["kind"] for c in frozen_features.collect()}  # a row a feature
+        categorical, numeric = [c for c, k in kinds.items() if k == "categorical"], [c for c, k in kinds.items() if k == "numeric"]
+        types = {c: t for c, t in eligible.dtypes if c in kinds}
+        f = catalogue.with_columns(f, types)
+        parts = f.where(~F.col("selected_model").isin(candidates))
+        for m in candidates:
+            if m == "poisson_glm" and not models.poisson_allowed(eligible, "units"):
+                raise KeyError("poisson_glm is mapped, but the eligible targets allow no Poisson loss")
+            model = models.fit(eligible, m, categorical, numeric, "units", trees=(modeling or ModelingRules()).trees)
+            predicted = models.predict(model, f.where(F.col("selected_model") == m), m, categorical, numeric)
+            parts = parts.unionByName(predicted.withColumn("own", F.col("prediction")).select(*f.columns))
+        f = cut(parts)
+    f = f.withColumns({"predicted_units": F.greatest(F.coalesce("own", F.lit(median).cast("double"), F.lit(0.0)), F.lit(0.0)), "used_prediction_fallback": F.col("own").isNull()}).drop("own")
     return context.rank_forecast(f, list(entity), "article_code", a=o.abc_threshold_a, b=o.abc_threshold_b)
 
 
@@ -238,7 +284,9 @@ def run(spark: SparkSession, config: PipelineConfig, silver_input: Mapping[str,
     if o.do_operational:
         gold = layers.read_layer(spark, config.paths.of("gold"), "gold")["article_period"]
         mapping = spark.read.parquet(os.path.join(config.paths.of("reports"), "model_frozen_mapping.parquet"))
-        result = forecast(gold, config.features, config.operational, mapping, entity, config.modeling.default_model)
+        reported = lambda n: spark.read.parquet(os.path.join(config.paths.of("reports"), f"model_{n}.parquet"))
+        history = layers.read_layer(spark, config.paths.of("features"), "features")["features_article_period"]
+        result = forecast(gold, config.features, config.operational, mapping, entity, reported("frozen_global").first()["model"], history, reported("frozen_features"), config.modeling)
         layers.write_layer({"forecast": result}, config.paths.of("reports"), "gold")
         out["forecast_articles"] = result.count()
     layers.write_report(out, os.path.join(config.paths.of("reports"), "run.json"))

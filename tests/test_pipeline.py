@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from almazara.config import CleaningRules, FeatureRules, ModelingRules, OperationalRules, Paths, PipelineConfig, RunOptions
-from almazara.operators import catalogue, models
+from almazara import pipeline
+from almazara.operators import catalogue, evaluate, models
 from almazara.pipeline import ingest, run
+from almazara.session import cut
 from almazara.streaming.daily import daily_totals, deduplicated
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +95,32 @@ def test_streaming_totals(spark, tmp_path):
     q.stop()
     assert {(r.date.day, r.rows, r.total) for r in spark.table("totals").collect()} == {(1, 2, 2.0), (2, 1, 2.0), (9, 1, 9.0)}
     assert deduplicated(stream, ["e"], "at").isStreaming and os.path.isdir(tmp_path / "in")
+
+
+def weekly_panel(spark, weeks=16, articles=3):
+    start = dt.date(2024, 1, 1)
+    rows = [(f"a{a}", f"d{a % 2}", start + dt.timedelta(7 * w), start + dt.timedelta(7 * w + 6), float(5 * (a + 1) + (w * (a + 2)) % 4), 1.0, True) for w in range(weeks) for a in range(articles)]
+    return spark.createDataFrame(rows, "article_code string, department_code string, report_start date, report_end date, units double, amount double, period_is_complete boolean")
+
+
+def test_mapped_candidates_are_refitted_and_scored(spark, monkeypatch):
+    panel = weekly_panel(spark)
+    table = cut(pipeline.build_features({"article_period": panel}, FeatureRules())["features_article_period"])
+    regimes = [r[0] for r in table.select("article_demand_regime_prior").distinct().collect()]
+    mapping = spark.createDataFrame([(r, "poisson_glm", "regime") for r in regimes], "regime string, model string, source string")
+    features = spark.createDataFrame([("units__lag_1", "numeric"), ("gone", "numeric")], "column string, kind string")
+    history = table.withColumn("gone", F.col("period_index").cast("double"))
+    made = pipeline.forecast(panel, FeatureRules(), OperationalRules(), mapping, history=history, frozen_features=features).collect()
+    model = models.fit(history.where("training_eligible"), "poisson_glm", [], ["units__lag_1", "gone"], "units")
+    last = panel.where("report_start = '2024-04-15'").select("article_code", F.col("units").alias("units__lag_1"), F.lit(None).cast("double").alias("gone"))
+    hand = {r.article_code: r.prediction for r in models.predict(model, last, "poisson_glm", [], ["units__lag_1", "gone"]).collect()}
+    assert {r.article_code for r in made} == set(hand) and all(r.selected_model == "poisson_glm" and not r.used_prediction_fallback and abs(r.predicted_units - hand[r.article_code]) < 1e-9 for r in made)
+    with pytest.raises(KeyError):
+        pipeline.forecast(panel, FeatureRules(), OperationalRules(), mapping)
+    with pytest.raises(KeyError):
+        pipeline.forecast(panel, FeatureRules(), OperationalRules(), mapping.withColumn("model", F.lit("unheard_of")), history=history, frozen_features=features)
+    monkeypatch.setattr(evaluate, "frozen_mapping", lambda *a: mapping)
+    out = pipeline.train(table, ModelingRules(candidates=("poisson_glm",)), ["article_code"])
+    adaptive = out["final_test"].where("model = 'adaptive'").first()
+    assert adaptive.wape == pytest.approx(out["final_test_candidates"].first().wape) and adaptive.rows > 0
+    assert {r["column"] for r in out["frozen_features"].collect()} >= {"units__lag_1"} and out["frozen_global"].count() == 1
