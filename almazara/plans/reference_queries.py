@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from almazara.functions import casts
 from almazara.functions.text import slug, strip_accents
-from almazara.operators import context, daily, eda, evaluate, features, panel, quality, rules
+from almazara.operators import context, daily, eda, evaluate, features, panel, quality, rules, timestamps
 from almazara.plans.tables import table
+from almazara.session import broadcast_if_small
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -236,10 +237,20 @@ def daily_reservations_pivot(spark: SparkSession, d: str) -> DataFrame:
     return daily.shifts_pivot(table(spark, d, "reservas"), ["restaurant"], "reservation_date", F.lower(F.trim("shift")), ["comida", "cena"])
 
 
+def local_hours(hours: DataFrame, places: DataFrame) -> DataFrame:
+    """Hourly weather with ``date``, the local day; the zone is the row's, else the file's most frequent, else the place's."""
+    files = hours.groupBy("source_file").agg(F.mode("timezone", True).alias("file_zone"))
+    zones = places.where("event_location is not null").groupBy("event_location").agg(F.max("timezone").alias("place_zone"))
+    rows = hours.join(broadcast_if_small(files), "source_file", "left").join(broadcast_if_small(zones), "event_location", "left").withColumn("zone", F.coalesce("timezone", "file_zone", "place_zone"))
+    typed = timestamps.Typed("time", "mh_id", "source_file", "zone", keep=("event_location", "rain_mm", "temperature_2m"))
+    return timestamps.normalise(rows, typed).withColumnRenamed("local_day", "date")
+
+
 @query("""with h as (select event_location, cast(substr(time, 1, 10) as date) as date, case when isnan(rain_mm) then null else rain_mm end as rain_mm, case when isnan(temperature_2m) then null else temperature_2m end as temperature_2m from meteo_horaria where regexp_matches(time, '^\\d{4}-\\d{2}-\\d{2}[T ]'))
 select event_location, date, round(coalesce(sum(rain_mm), 0), 4) as rain_mm, round(avg(temperature_2m), 4) as temperature_2m from h group by 1, 2""")
 def daily_weather_hourly(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "meteo_horaria").where(F.col("time").rlike(r"^\d{4}-\d{2}-\d{2}[T ]")).withColumn("date", F.substring("time", 1, 10).try_cast("date"))
+    """Every readable hour, whatever its format, on the local day of its place; the SQL takes ISO times only, on the written day."""
+    h = local_hours(table(spark, d, "meteo_horaria"), table(spark, d, "locales"))
     return daily.weather_daily(h, ["event_location"], "date", ["rain_mm", "temperature_2m"], hourly=True).select("event_location", "date", _R("rain_mm"), _R("temperature_2m"))
 
 

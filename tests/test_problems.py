@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almazara.operators import drift, fill, history, intervals, references, rolling, timestamps
+from almazara.plans import reference_queries
 
 D = dt.date
 
@@ -292,3 +293,17 @@ def test_fill_accuracy_on_hidden_values(spark):
         assert r.wape < 0.1 and r.lost == 0
     out = P._fill_weather(hide(P._weather_rows(spark, sf), "date", "md_id")).where("truth is not null")
     assert out.agg(F.avg((F.col("truth") == F.col("date__filled_value")).cast("int"))).first()[0] > 0.95
+
+
+def test_hourly_weather_takes_every_readable_hour_on_its_local_day(spark, tmp_path):
+    """Brute force by Python's zone database: ISO, offsets, Z, epoch milliseconds and day-first times, one unreadable."""
+    zone = ZoneInfo("Atlantic/Canary")
+    at = dt.datetime(2024, 7, 1, 0, 30, tzinfo=zone)
+    texts = ["2024-07-01T00:30", "2024-06-30T23:30:00Z", "2024-07-01T01:30:00+02:00", str(int(at.timestamp() * 1000)), "01/07/2024 00:30", "2024-06-30 22:00", "no time", None]
+    days = [at.date()] * 5 + [dt.date(2024, 6, 30)]
+    schema = "mh_id long, source_file string, row_no long, event_location string, time string, temperature_2m double, rain_mm double, timezone string"
+    spark.createDataFrame([(i, "f.csv", i, "here", t, float(i), 1.0 if i else float("nan"), None if i == 1 else "Atlantic/Canary") for i, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "meteo_horaria.parquet"))
+    spark.createDataFrame([("r", "here", "Atlantic/Canary")], "restaurant string, event_location string, timezone string").write.parquet(str(tmp_path / "locales.parquet"))
+    want = {d: (sum(1.0 for i, x in enumerate(days) if x == d and i), sum(i for i, x in enumerate(days) if x == d) / days.count(d)) for d in set(days)}
+    got = {r.date: (r.rain_mm, r.temperature_2m) for r in reference_queries.daily_weather_hourly(spark, str(tmp_path)).collect()}
+    assert got == want
