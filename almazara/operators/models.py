@@ -33,13 +33,13 @@ def _preparation(train: DataFrame, categorical: Sequence[str], numeric: Sequence
     return stages
 
 
-def fit(train: DataFrame, name: str, categorical: Sequence[str], numeric: Sequence[str], target: str, seed: int = 42, trees: int = 300, iterations: int = 250) -> PipelineModel:
-    """A candidate fitted on rows with a known target."""
+def fit(train: DataFrame, name: str, categorical: Sequence[str], numeric: Sequence[str], target: str, seed: int = 42, trees: int = 300, iterations: int = 250, depth: int = 30) -> PipelineModel:
+    """A candidate fitted on rows with a known target; ``depth`` bounds the forest's trees, 30 is the most Spark allows."""
     rows = matrix(train.where(F.col(target).isNotNull()), categorical, numeric).withColumn("label", F.col(target).cast("double"))
     if name == "poisson_glm":
         model = GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, maxIter=25)
     elif name == "random_forest":
-        model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
+        model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
     elif name == "gbt_log1p":
         rows = rows.withColumn("label", F.log1p("label"))
         model = GBTRegressor(maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=20, seed=seed)

@@ -764,12 +764,12 @@ def ml_poisson_glm(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ml_random_forest(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d, "random_forest", trees=50)
+    return _candidate(spark, d, "random_forest")
 
 
 @query()
 def ml_gbt_log1p(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d, "gbt_log1p", iterations=20)
+    return _candidate(spark, d, "gbt_log1p")
 
 
 _FINAL_SQL = f"""{_BASE_SQL}, e as (select regime, model, sum(abs(prediction - target)) as err, sum(abs(target)) as scale, count(*) as n from preds group by 1, 2), own as (select regime, arg_min(model, (err / scale, err / n, model)) as own from e where n >= 20 and scale > 0 group by 1),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from almazara.config import CleaningRules, FeatureRules, ModelingRules, OperationalRules, Paths, PipelineConfig, RunOptions
 from almazara import pipeline
 from almazara.operators import catalogue, evaluate, models
+from almazara.operators.models import fit
 from almazara.pipeline import ingest, run
+from almazara.plans import reference_queries
 from almazara.session import cut
 from almazara.streaming.daily import daily_totals, deduplicated
 
@@ -124,3 +126,14 @@ def test_mapped_candidates_are_refitted_and_scored(spark, monkeypatch):
     adaptive = out["final_test"].where("model = 'adaptive'").first()
     assert adaptive.wape == pytest.approx(out["final_test_candidates"].first().wape) and adaptive.rows > 0
     assert {r["column"] for r in out["frozen_features"].collect()} >= {"units__lag_1"} and out["frozen_global"].count() == 1
+
+
+def test_model_queries_fit_the_full_sizes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "fit", lambda train, name, c, n, target, **sizes: seen.append((name, sizes)) or fit(train, name, c, n, target, trees=3, iterations=3))
+    for q in (reference_queries.ml_random_forest, reference_queries.ml_gbt_log1p):
+        q(spark, SF)
+    assert seen == [("random_forest", {}), ("gbt_log1p", {})]
+    df = spark.createDataFrame([(float(i), float(i * i % 97)) for i in range(200)], "x double, y double")
+    assert fit(df, "random_forest", [], ["x"], "y", trees=2).stages[-1].getOrDefault("maxDepth") == 30
+    assert fit(df, "random_forest", [], ["x"], "y", trees=2, depth=3).stages[-1].getOrDefault("maxDepth") == 3
