@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almazara.config import CleaningRules, FeatureRules, ModelingRules, OperationalRules, PipelineConfig
 from almazara.functions.casts import assert_types, nan_to_null, null_tokens, numeric_codes
-from almazara.operators import catalogue, context, daily, evaluate, features, models, panel, quality, rules
+from almazara.operators import catalogue, context, daily, eda, evaluate, features, models, panel, quality, rules
 from almazara.session import cut
 from almazara.sources import cells, layers, readers
 
@@ -105,6 +105,27 @@ def ingest(spark: SparkSession, directory: str, recursive: bool = False, strict:
     return tables, spark.createDataFrame(errors, "file string, error string")
 
 
+def weather_days(silver: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Weather a day from the native daily rows, and from hours of files without any; a sum no file gives is unknown on days of hours only."""
+    kept = lambda df: [c for c, t in df.dtypes if t == "double" and c not in ("latitude", "longitude", "elevation", "utc_offset_seconds")]
+    native, hours = silver.get("meteo_diaria"), silver.get("meteo_horaria")
+    if hours is None or "datetime" not in hours.columns:
+        return None if native is None else daily.weather_daily(native, [], "date", [c for c, t in native.dtypes if t == "double"])
+    by = ["source_file"] if "source_file" in hours.columns else []
+    if native is not None and by and "source_file" in native.columns:
+        hours = hours.join(native.where("date is not null").select("source_file").distinct(), "source_file", "left_anti")
+    elif native is not None:
+        hours = hours.join(native.select("date").distinct(), F.to_date("datetime") == F.col("date"), "left_anti")
+    rows = daily.weather_daily(hours.withColumn("date", F.to_date("datetime")), by, "date", kept(hours), hourly=True).drop(*by).withColumn("__native", F.lit(False))
+    if native is not None:
+        columns = [c for c, t in native.dtypes if t == "double"]
+        rows = rows.unionByName(native.where("date is not null").select("date", *columns, F.lit(True).alias("__native")), allowMissingColumns=True)
+    names = [c for c in rows.columns if c not in ("date", "__native")]
+    known = rows.groupBy("date").agg(F.bool_or("__native").alias("__native"), *[F.count(c).alias(f"__n_{c}") for c in names])
+    out = daily.weather_daily(rows, [], "date", names).join(known, "date")
+    return out.select("date", *[F.when(F.col("__native") | (F.col(f"__n_{c}") > 0), F.col(c)).alias(c) for c in names])
+
+
 def integrate(silver: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Gold tables: the daily master and the article-by-period panel, from what sources there are."""
     gold: dict[str, DataFrame] = {}
@@ -117,9 +138,11 @@ def integrate(silver: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) ->
     if "reservas" in silver:
         at = silver["reservas"].withColumn("date", F.col("reservation_datetime").cast("date"))
         sources["reservas"] = daily.reservations_daily(at, list(entity), "date", F.lit(None).cast("string"), [], lead="lead_time_hours", flags={"is_walk_in": "reservas_walk_in", "is_large_group": "reservas_grupo_grande"}), key
-    if "meteo_diaria" in silver:
-        numeric = [c for c, t in silver["meteo_diaria"].dtypes if t == "double"]
-        sources["meteo_diaria"] = daily.weather_daily(silver["meteo_diaria"], [], "date", numeric), ["date"]
+    if "tips" in silver and "date" in silver["tips"].columns:
+        sources["tips"] = daily.tips_daily(silver["tips"].withColumn("date", F.col("date").try_cast("date")), entity), key
+    weather = weather_days(silver)
+    if weather is not None:
+        sources["meteo_diaria"] = weather, ["date"]
     if "festivos" in silver:
         sources["festivos"] = daily.holidays_daily(silver["festivos"]), ["date"]
     if "eventos" in silver:
@@ -163,6 +186,24 @@ def build_features(gold: Mapping[str, DataFrame], r: FeatureRules, entity: tuple
     return out
 
 
+def profiles(gold: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The tables of the profile stage: a summary of the gold tables, columns and correlations of each, and the daily profiles."""
+    days = {"daily": "date", "article_period": "report_start"}
+    out = {"summary": eda.dataset_summary(gold, {n: c for n, c in days.items() if n in gold})}
+    for n, df in gold.items():
+        out[f"columns_{n}"] = eda.column_profile(df)
+        target = "facturacion" if n == "daily" else "units"
+        numeric = [c for c, t in df.dtypes if eda.column_role(c, t) == "numeric" and c != target]
+        if target in df.columns and numeric:
+            out[f"correlations_{n}"] = eda.correlations(df, target, numeric)
+    if "daily" in gold and {"facturacion", "num_tickets"} <= set(gold["daily"].columns):
+        d = gold["daily"]
+        out["weekdays"] = eda.weekday_profile(d, entity, "date", "facturacion", "num_tickets")
+        out["months"] = eda.month_profile(d, entity, "date", "facturacion")
+        out["days"] = eda.daily_summary(d, entity, "date", "facturacion", "num_tickets")
+    return out
+
+
 def train(table: DataFrame, r: ModelingRules, keys: list[str], with_candidates: bool = True) -> dict[str, DataFrame]:
     """Splits, out-of-fold predictions, metrics, the adaptive choice, and the frozen mapping with its holdout result."""
     rows = cut(table.where("training_eligible").withColumn("regime", F.col("article_demand_regime_prior")))
@@ -271,6 +312,9 @@ def run(spark: SparkSession, config: PipelineConfig, silver_input: Mapping[str,
         for n in silver:
             layers.write_csv(quality.missingness(silver[n]), os.path.join(config.paths.of("reports"), f"missing_{n}.csv"))
         layers.write_layer(integrate(layers.read_layer(spark, config.paths.of("silver"), "silver"), entity), config.paths.of("gold"), "gold")
+    if o.do_eda:
+        for n, df in profiles(layers.read_layer(spark, config.paths.of("gold"), "gold"), entity).items():
+            layers.write_csv(df, os.path.join(config.paths.of("reports"), f"eda_{n}.csv"))
     if o.do_features:
         made = build_features(layers.read_layer(spark, config.paths.of("gold"), "gold"), config.features, entity)
         layers.write_layer(made, config.paths.of("features"), "features")

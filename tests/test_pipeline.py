@@ -137,3 +137,27 @@ def test_model_queries_fit_the_full_sizes(spark, monkeypatch):
     df = spark.createDataFrame([(float(i), float(i * i % 97)) for i in range(200)], "x double, y double")
     assert fit(df, "random_forest", [], ["x"], "y", trees=2).stages[-1].getOrDefault("maxDepth") == 30
     assert fit(df, "random_forest", [], ["x"], "y", trees=2, depth=3).stages[-1].getOrDefault("maxDepth") == 3
+
+
+def test_tips_and_hourly_weather_reach_the_daily_master(spark):
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    tickets = spark.createDataFrame([("1", d1, 10.0, 1.0), ("2", d2, 20.0, 1.0)], "document_id string, date date, document_total double, receipt_count double")
+    tips = spark.createDataFrame([(d1, 1.0), (d1, 3.0)], "date date, tip double")
+    hours = spark.createDataFrame([(f, dt.datetime(2024, 1, d, h), 1.0, float(h)) for f in ("native.csv", "hours.csv") for d in (1, 2) for h in (0, 12)], "source_file string, datetime timestamp_ntz, rain_mm double, temperature_2m double")
+    native = spark.createDataFrame([("native.csv", d1, 6.0, 5.0)], "source_file string, date date, rain_mm double, precipitation_mm double")
+    got = {r.date: r for r in pipeline.integrate({"tickets": tickets, "tips": tips, "meteo_horaria": hours})["daily"].collect()}
+    assert (got[d1].propina_total, got[d1].propina_media, got[d1].rain_mm, got[d1].temperature_2m) == (4.0, 2.0, 2.0, 6.0)
+    got = {r.date: r for r in pipeline.integrate({"tickets": tickets, "meteo_horaria": hours, "meteo_diaria": native})["daily"].collect()}
+    assert (got[d1].rain_mm, got[d1].precipitation_mm, got[d1].temperature_2m) == (4.0, 5.0, 6.0)
+    assert (got[d2].rain_mm, got[d2].precipitation_mm, got[d2].temperature_2m) == (2.0, None, 6.0)
+
+
+def test_profile_stage_writes_its_tables(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    rows = [(f"t{i}", day + dt.timedelta(i % 20), 10.0 + i, 1.0) for i in range(40)]
+    tickets = spark.createDataFrame(rows, "document_id string, date date, document_total double, receipt_count double")
+    config = PipelineConfig(Paths(str(tmp_path)), RunOptions(do_ingest=False, do_features=False, do_modeling=False, do_operational=False))
+    run(spark, config, {"tickets": tickets})
+    read = lambda n: spark.read.csv(str(tmp_path / f"reports/eda_{n}.csv"), header=True)
+    assert read("summary").first()["rows"] == "20" and read("weekdays").count() == 7
+    assert {r.column for r in read("columns_daily").collect()} >= {"facturacion", "num_tickets"} and read("correlations_daily").count() > 0
