@@ -624,8 +624,21 @@ _FORECAST_SQL = f"with {_FAP_SQL}, last as (select restaurant, article_code, arg
 
 
 def _forecast(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d).where("units__expanding_mean_prior is not null").groupBy(*_E).agg(F.max_by("units__expanding_mean_prior", F.struct("report_end", "report_start")).alias("p"))
-    return context.rank_forecast(f.select(*_E, F.round(F.greatest("p", F.lit(0.0)), 4).alias("predicted_units")), ["restaurant"], "article_code")
+    """The coming period of every article: the mean of all its known periods, the latest included, or the median target where none is known.
+
+    This is the expanding mean of a scaffold row behind the latest period; the SQL takes the mean before the latest row
+    and leaves out articles without one.
+    """
+    rows = casts.nan_to_null(table(spark, d, "features_article_period"))
+    rows = panel.latest_rows(rows, [*_E, "report_start", "report_end"], ["loaded_at", "fap_id"])
+    ahead = context.future_scaffold(rows, context.next_period(context.period_table(rows, ["restaurant"]), ["restaurant"]), ["restaurant"], "article_code", ["units", "amount"])
+    places = rows.groupBy("restaurant").agg((F.max("period_index") + 1).alias("place"))
+    ahead = ahead.join(broadcast_if_small(places), "restaurant").withColumn("period_index", F.col("place").cast(dict(rows.dtypes)["period_index"])).withColumn("future", F.lit(True))
+    both = rows.withColumn("future", F.lit(False)).unionByName(ahead.select(*rows.columns, "future"))
+    f = features.history(both.select(*_E, "period_index", "units", "future"), _E).where("future")
+    median = rows.agg(F.median("units")).first()[0]
+    p = F.greatest(F.coalesce("units__expanding_mean_prior", F.lit(median).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return context.rank_forecast(f.select(*_E, F.round(p, 4).alias("predicted_units")), ["restaurant"], "article_code")
 
 
 @query(_FORECAST_SQL + " select restaurant, article_code, predicted_units, forecast_rank, round(share, 6) as forecast_share, round(cum, 6) as forecast_cumulative_share, case when cum - share < 0.8 then 'A' when cum - share < 0.95 then 'B' else 'C' end as planning_class, cast(round_even(predicted_units, 0) as bigint) as predicted_units_rounded from c")

@@ -161,3 +161,14 @@ def test_profile_stage_writes_its_tables(spark, tmp_path):
     read = lambda n: spark.read.csv(str(tmp_path / f"reports/eda_{n}.csv"), header=True)
     assert read("summary").first()["rows"] == "20" and read("weekdays").count() == 7
     assert {r.column for r in read("columns_daily").collect()} >= {"facturacion", "num_tickets"} and read("correlations_daily").count() > 0
+
+
+def test_forecast_queries_keep_cold_articles_and_the_newest_period(spark, tmp_path):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    rows = [("r", "old", day(7 * i), day(7 * i + 6), i, u) for i, u in enumerate((1.0, 2.0, 9.0))] + [("r", "new", day(14), day(20), 2, 5.0), ("r", "unknown", day(14), day(20), 2, None)]
+    df = spark.createDataFrame(rows, "restaurant string, article_code string, report_start date, report_end date, period_index long, units double")
+    df.withColumns({"fap_id": F.monotonically_increasing_id(), "loaded_at": F.lit("2024-02-01").cast("timestamp"), "amount": F.col("units"), "period_is_complete": F.lit(True), "article_demand_regime_prior": F.lit("sparse")}).write.parquet(str(tmp_path / "features_article_period.parquet"))
+    got = {r.article_code: r.predicted_units for r in reference_queries.ops_forecast_ranking(spark, str(tmp_path)).collect()}
+    assert got == {"old": 4.0, "new": 5.0, "unknown": 3.5}
+    s = reference_queries.ops_forecast_summary(spark, str(tmp_path)).first()
+    assert (s.articles, s.predicted_total) == (3, 12.5)
