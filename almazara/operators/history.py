@@ -1,4 +1,4 @@
-"""Problem 6: history of changing attributes, kept as checkpoints and deltas."""
+"""Problem 6: history of changing attributes, stored as checkpoints and deltas, and read by folding them."""
 
 from __future__ import annotations
 
@@ -22,50 +22,78 @@ def snapshots(df: DataFrame, entity: Sequence[str], at: str, attributes: Sequenc
     )
 
 
+def _compared(attributes: Sequence[str], compare: Mapping[str, Column] | None) -> list[Column]:
+    return [(compare or {}).get(a, F.col(a)).alias(f"__cmp_{a}") for a in attributes]
+
+
+def _deltas(states: DataFrame, entity: Sequence[str], at: str, attributes: Sequence[str], compare: Mapping[str, Column] | None, every: int) -> DataFrame:
+    """The rows to store of ``states`` (*entity, at, attributes, __base): snapshots, and where a history goes on
+    the state it had reached, with its version number in ``__base``, which is not stored again."""
+    by = Window.partitionBy(*entity).orderBy(at)
+    before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    known = states.select("*", *_compared(attributes, compare)).select(
+        "*", *[F.last(f"__cmp_{a}", True).over(before).alias(f"__was_{a}") for a in attributes], F.row_number().over(by).alias("__seen"), F.first("__base", True).over(upto).alias("__from"),
+    )
+    # null-safe: an attribute that is null now keeps its value; one that was null becomes known
+    touched = {a: F.col(f"__cmp_{a}").isNotNull() & ~F.col(f"__cmp_{a}").eqNullSafe(F.col(f"__was_{a}")) for a in attributes}
+    rows = known.withColumns({f"__new_{a}": F.when(c, F.col(a)) for a, c in touched.items()}).withColumn("__any", F.array_contains(F.array(*touched.values()), True))
+    rows = rows.where("__any or __seen = 1").withColumn("version", F.row_number().over(by) - 1 + F.coalesce("__from", F.lit(0)))
+    full = F.col("version") % every == 0
+    rows = rows.select(
+        *entity, F.col(at).alias("valid_from"), "version", F.floor(F.col("version") / every).cast("int").alias("segment"), F.when(full, "checkpoint").otherwise("patch").alias("kind"),
+        *[F.when(full, F.last(f"__new_{a}", True).over(upto)).otherwise(F.col(f"__new_{a}")).alias(a) for a in attributes], "__base",
+    )
+    return rows.where("__base is null").drop("__base")
+
+
 def delta_store(snaps: DataFrame, entity: Sequence[str], at: str, attributes: Sequence[str], compare: Mapping[str, Column] | None = None, every: int = CHECKPOINT_EVERY) -> DataFrame:
-    """The compact store: one row per version, as (*entity, valid_from, version, segment, is_checkpoint, changed, attributes).
+    """The compact store: one row per version, as (*entity, valid_from, version, segment, kind, attributes).
 
-    Version 0 and every ``every``-th after it hold all attributes; the versions between hold only what became
-    other (patch), null elsewhere. ``changed`` lists the attributes that differ from the known value before;
-    an attribute that becomes known for the first time is patched in, but is no change. ``compare`` gives the
-    expressions by which values are compared (default: the values). A time at which nothing differs and
-    nothing becomes known has no row.
+    Version 0 and every ``every``-th after it are checkpoints and hold all attributes; the versions between are
+    patches and hold only what became other or known, null elsewhere. ``compare`` gives the expressions by which
+    values are compared (default: the values). A time at which nothing differs and nothing becomes known has no
+    row. What changed is not stored: ``reconstruct`` finds it by folding.
     """
-    compare = dict(compare or {})
-    by = Window.partitionBy(*entity).orderBy(at)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    keyed = snaps.select(*entity, at, *attributes, *[compare.get(a, F.col(a)).alias(f"cmp_{a}") for a in attributes])
-    known = keyed.select(
-        "*", *[F.last(f"cmp_{a}", True).over(before).alias(f"was_{a}") for a in attributes],
-        F.row_number().over(by).alias("seen"),
+    return _deltas(snaps.select(*entity, at, *attributes, F.lit(None).cast("int").alias("__base")), entity, at, attributes, compare, every)
+
+
+def write_store(store: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """``store`` written as Parquet below ``path``, checkpoints and patches in folders of their own, and read from there."""
+    store.write.mode(mode).partitionBy("kind").parquet(path)
+    return store.sparkSession.read.schema(store.schema).parquet(path).select(store.columns)
+
+
+def append(store: DataFrame, snaps: DataFrame, entity: Sequence[str], at: str, attributes: Sequence[str], compare: Mapping[str, Column] | None = None, every: int = CHECKPOINT_EVERY) -> tuple[DataFrame, DataFrame]:
+    """(rows to add to the store, late snapshots) of newer snapshots, without reading more than each entity's last segment.
+
+    The state reached is folded from the last checkpoint of the entities that have new snapshots; versions go on
+    from there. A snapshot not after its entity's last version is late: it is returned and not stored, since
+    the times between versions that confirmed them are not in the store.
+    """
+    last = store.groupBy(*entity).agg(F.max("segment").alias("segment")).join(snaps.select(*entity).distinct(), list(entity), "left_semi")
+    state = store.join(last, [*entity, "segment"], "left_semi").groupBy(*entity).agg(
+        F.max("valid_from").alias(at), *[F.max_by(a, F.when(F.col(a).isNotNull(), F.col("version"))).alias(a) for a in attributes], F.max("version").alias("__base"),
     )
-    fresh = {a: F.col(f"cmp_{a}").isNotNull() & F.col(f"was_{a}").isNull() for a in attributes}
-    moved = {a: F.coalesce(F.col(f"cmp_{a}") != F.col(f"was_{a}"), F.lit(False)) for a in attributes}
-    touched = [fresh[a] | moved[a] for a in attributes]
-    rows = known.select(
-        *entity, F.col(at).alias("valid_from"), *attributes,
-        F.array_compact(F.array(*[F.when(moved[a], F.lit(a)) for a in attributes])).alias("changed"),
-        F.array(*touched).alias("touched"), "seen",
-    ).where(F.array_contains("touched", True) | (F.col("seen") == 1))
-    numbered = rows.withColumn("version", F.row_number().over(Window.partitionBy(*entity).orderBy("valid_from")) - 1)
-    numbered = numbered.withColumn("segment", F.floor(F.col("version") / every).cast("int")).withColumn("is_checkpoint", F.col("version") % every == 0)
-    upto = Window.partitionBy(*entity).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, 0)
-    stored = [
-        F.when(F.col("is_checkpoint"), F.last(F.when(F.col("touched")[i], F.col(a)), True).over(upto)).when(F.col("touched")[i], F.col(a)).alias(a)
-        for i, a in enumerate(attributes)
-    ]
-    return numbered.select(*entity, "valid_from", "version", "segment", "is_checkpoint", "changed", *stored)
-
-
-def reconstruct(store: DataFrame, entity: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    reached = state.select(*entity, F.col(at).alias("__reached"))
+    dated = snaps.join(reached, list(entity), "left")
+    late = F.coalesce(F.col(at) <= F.col("__reached"), F.lit(False))
+    fresh = dated.where(~late).select(*entity, at, *attributes, F.lit(None).cast("int").alias("__base"))
+    return _deltas(fresh.unionByName(state), entity, at, attributes, compare, every), dated.where(late).select(snaps.columns)
+
+
+def reconstruct(store: DataFrame, entity: Sequence[str], attributes: Sequence[str], compare: Mapping[str, Column] | None = None) -> DataFrame:
     """The validity rows: every version in full, as (*entity, valid_from, valid_to, version, changed, attributes).
 
-    Patches are folded forward from the nearest checkpoint, that is within a segment of bounded length;
-    ``valid_to`` is the day before the next version, null for the last.
+    Patches are folded forward from the nearest checkpoint, that is within a segment of bounded length.
+    ``changed`` lists the attributes in which a folded version differs from the folded version before; becoming
+    known for the first time is no change. ``valid_to`` is the day before the next version, null for the last.
+    All windows share one shuffle and one sort: by entity, then segment and version.
     """
+    along = Window.partitionBy(*entity).orderBy("segment", "version")
     fold = Window.partitionBy(*entity, "segment").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    following = Window.partitionBy(*entity).orderBy("version")
-    return store.select(
-        *entity, "valid_from", F.date_sub(F.lead("valid_from").over(following), 1).alias("valid_to"), "version", "changed",
-        *[F.last(a, True).over(fold).alias(a) for a in attributes],
-    )
+    rows = store.withColumn("valid_to", F.date_sub(F.lead("valid_from").over(along), 1))
+    rows = rows.withColumns({a: F.last(a, True).over(fold) for a in attributes})
+    rows = rows.select("*", *_compared(attributes, compare))
+    was = {a: F.lag(f"__cmp_{a}").over(along) for a in attributes}
+    moved = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"__cmp_{a}") != was[a], F.lit(False)), F.lit(a)) for a in attributes]))
+    return rows.withColumn("changed", moved).select(*entity, "valid_from", "valid_to", "version", "changed", *attributes)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from almazara.functions.text import fold
 from almazara.operators import drift
 from almazara.operators.fill import ABSURD_DAYS, ABSURD_FACTOR, STAND_IN_DAYS, fill, keep, usable_day, usable_pair
-from almazara.operators.history import delta_store, reconstruct, snapshots
+from almazara.operators.history import delta_store, reconstruct, snapshots, write_store
 from almazara.operators.intervals import covered_spans
 from almazara.operators.rolling import latest_versions, trailing_sums, unfold
 from almazara.operators.references import ForeignKey, orphan_cascade, orphan_report
 from almazara.operators.timestamps import ABBREVIATIONS, MONTHS, Typed, instant_text, normalise
 from almazara.plans.tables import table
-from almazara.session import broadcast_if_small
+from almazara.session import broadcast_if_small, shared_path
 
 # ---------------------------------------------------------------------------------------------- problem 2
 
@@ -335,21 +335,28 @@ def p5_eventos(spark: SparkSession, d: str) -> DataFrame:
 _ENTITY, _ATTRIBUTES = ["restaurant", "article_code"], ["article_name", "department_code", "department_name"]
 
 
+_COMPARED = {c: fold(F.col(c)) for c in ("article_name", "department_name")}
+
+
 def _sales_store(spark: SparkSession, d: str) -> DataFrame:
+    """The checkpoints and patches of all articles, written and read from the shared folder."""
+    told = lambda c: F.when(F.col(c).rlike(r"[^\p{Z}\s\u200B\uFEFF\p{M}]"), F.col(c)).alias(c)
     rows = table(spark, d, "ventas").where("report_start is not null and report_end is not null and report_end >= report_start").select(
-        *_ENTITY, "report_start", "report_generated_on", "venta_id", "department_code", *[F.when(fold(F.col(c)).isNotNull(), F.col(c)).alias(c) for c in ("article_name", "department_name")]
+        *_ENTITY, "report_start", "report_generated_on", "venta_id", "department_code", *[told(c) for c in _COMPARED]
     )
     snaps = snapshots(rows, _ENTITY, "report_start", _ATTRIBUTES, ["report_generated_on", "venta_id"])
-    return delta_store(snaps, _ENTITY, "report_start", _ATTRIBUTES, {c: fold(F.col(c)) for c in ("article_name", "department_name")})
+    return write_store(delta_store(snaps, _ENTITY, "report_start", _ATTRIBUTES, _COMPARED), shared_path(spark, "history"))
 
 
 def p6_history(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every article of a restaurant with the days it was valid."""
-    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES).withColumn("changed", F.array_join("changed", "+"))
+    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES, _COMPARED).withColumn("changed", F.array_join("changed", "+"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES).where(F.size("changed") > 0).select("restaurant", "article_code", F.col("valid_from").cast("string").alias("valid_from"))
+    """The versions, folded from the store, that differ from the one before."""
+    rows = reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES, _COMPARED).where(F.size("changed") > 0)
+    return rows.select("restaurant", "article_code", F.col("valid_from").cast("string").alias("valid_from"))
 
 
 _FOLD = lambda c: f"nullif(trim(regexp_replace(strip_accents(lower({c})), '\\s+', ' ', 'g')), '')"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +28,31 @@ def get_session(app: str = "almazara", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, or (tests, local mode) a temporary one.
+    """The folder for checkpoints: the one the cluster names, or (local masters only) a temporary one.
 
-    A machine-local folder is chosen only where ``spark.checkpoint.dir`` is unset and nothing was set
-    on the context before.
+    A machine-local folder is chosen only where ``spark.checkpoint.dir`` is unset, nothing was set on the
+    context before and all executors are threads of this machine; elsewhere that is an error. It is removed
+    when the program ends.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="almazara-"))
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="almazara-")
+        atexit.register(shutil.rmtree, configured, True)
+    sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, for tables that a query writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -215,7 +215,7 @@ def test_one_table(spark):
 # ------------------------------------------------------------------------------------------------ history
 
 
-def test_history_equals_a_fold(spark):
+def test_history_equals_a_fold(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, rng.choice("xy"), day(rng.randint(0, 60)), rng.choice([None, "á", "b"]), rng.choice([None, 1, 2]), rng.randint(0, 3), "clash", 0, True) for i in range(300)]
     rows += [(900, None, day(0), "q", 1, 0, "", 0, True), (901, "x", None, "q", 1, 0, "", 0, True)] + rows[:5]
@@ -238,9 +238,39 @@ def test_history_equals_a_fold(spark):
             want[e, v[0]] = (v[1], v[2], nxt[0] - dt.timedelta(1) if nxt else None, v[3])
     assert got == want
     full = {(r.e, r.version): r for r in store.collect()}
-    assert all(r.is_checkpoint == (v % 3 == 0) for (_, v), r in full.items())
+    assert all((r.kind == "checkpoint") == (v % 3 == 0) and r.segment == v // 3 for (_, v), r in full.items())
+    assert any(r.kind == "patch" and r.n is None for r in full.values())
     empty = history.snapshots(df.limit(0), ["e"], "at", ["n", "c"], ["g", "id"])
-    assert history.reconstruct(history.delta_store(empty, ["e"], "at", ["n", "c"]), ["e"], ["n", "c"]).collect() == []
+    nothing = history.write_store(history.delta_store(empty, ["e"], "at", ["n", "c"]), str(tmp_path / "empty"))
+    assert history.reconstruct(nothing, ["e"], ["n", "c"]).collect() == []
+    written = history.write_store(store, str(tmp_path / "store"))
+    assert {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()} == {"kind=checkpoint", "kind=patch"}
+    again = {(r.e, r.valid_from): (r.n, r.c, r.valid_to, tuple(r.changed)) for r in history.reconstruct(written, ["e"], ["n", "c"]).collect()}
+    assert again == want
+    lost = next(k for k, r in sorted(full.items()) if r.kind == "patch" and k[1] % 3 == 1)
+    without = history.reconstruct(store.where(f"not (e = '{lost[0]}' and version = {lost[1]})"), ["e"], ["n", "c"]).collect()
+    assert {(r.e, r.valid_from): (r.n, r.c, r.valid_to, tuple(r.changed)) for r in without if r.e == lost[0]} != {k: v for k, v in want.items() if k[0] == lost[0] and k[1] != full[lost].valid_from}
+
+
+def test_a_store_grown_in_steps_equals_one_made_at_once(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("xyz"), day(rng.randint(0, 90)), rng.choice([None, "á", "A", "b"]), rng.choice([None, 1, 2])) for i in range(260)]
+    df = spark.createDataFrame(rows, "id long, e string, at date, n string, c int")
+    how = {"n": F.lower(F.col("n"))}
+    snaps = lambda d: history.snapshots(d, ["e"], "at", ["n", "c"], ["id"])
+    key = lambda r: (r.e, r.version)
+    whole = sorted(history.delta_store(snaps(df), ["e"], "at", ["n", "c"], how, every=3).collect(), key=key)
+    path = str(tmp_path / "grown")
+    grown = history.write_store(history.delta_store(snaps(df.where(F.col("at") < day(30))), ["e"], "at", ["n", "c"], how, every=3), path)
+    for a, b in ((30, 61), (61, 99)):
+        part = snaps(df.where((F.col("at") >= day(a)) & (F.col("at") < day(b))))
+        new, late = history.append(grown, part, ["e"], "at", ["n", "c"], how, every=3)
+        assert late.count() == 0
+        grown = history.write_store(new.select(*grown.columns), path, "append")
+    assert [tuple(r) for r in sorted(grown.collect(), key=key)] == [tuple(r) for r in whole]
+    new, late = history.append(grown, snaps(df), ["e"], "at", ["n", "c"], how, every=3)
+    reached = {e: max(r.valid_from for r in whole if r.e == e) for e in "xyz"}
+    assert new.count() == 0 and {(r.e, r["at"]) for r in late.collect()} == {(r[1], r[2]) for r in rows if r[2] <= reached[r[1]]}
 
 
 # ------------------------------------------------------------------------------------------------ trailing sums
