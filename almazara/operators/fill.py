@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almazara.session import broadcast_if_small, cut
+from almazara.session import broadcast_if_small, shared_path
 
 #: A value this many times the median of its group is absurd there.
 ABSURD_FACTOR = 25.0
@@ -21,10 +21,42 @@ STAND_IN_DAYS = ("1900-01-01", "1970-01-01", "9999-12-31")
 
 @dataclass(frozen=True)
 class Dependency:
-    """A mined functional dependency with its evidence: groups of two or more complete records, and how many disagree."""
+    """A candidate: the columns ``determinant`` fix ``of``, the target itself or a quantity derived from it.
 
+    ``value`` leads from the dictionary's entry back to the target, and may use the record's own columns (a
+    derived ``of`` that is null for a record says nothing about it). With ``within`` 0 the records of a group
+    must agree; above 0 the dependency is metric: a group agrees if its standard deviation is at most that
+    share of its mean, and the entry is the mean. ``label`` names a derived quantity.
+    """
+
+    target: str
     determinant: tuple[str, ...]
-    dependent: str
+    of: Column | None = None
+    value: Callable[[Column], Column] = lambda entry: entry
+    within: float = 0.0
+    label: str = ""
+
+    @property
+    def name(self) -> str:
+        return "fd:" + "+".join(self.determinant) + (f"->{self.label}" if self.label else "")
+
+
+@dataclass(frozen=True)
+class Fallback:
+    """An estimate from a group: ``statistic`` is an aggregate over complete records, ``value`` leads from it to the target."""
+
+    target: str
+    name: str
+    group: tuple[str, ...]
+    statistic: Column
+    value: Callable[[Column], Column] = lambda statistic: statistic
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What complete records say of a candidate: groups of two or more, and how many of them disagree."""
+
+    dependency: Dependency
     groups: int
     violations: int
 
@@ -79,82 +111,105 @@ def usable_day(df: DataFrame, file: str, day: str) -> DataFrame:
     return rows.withColumn(f"{day}__reason", reason).drop(key, mid)
 
 
-def mine_dependencies(complete: DataFrame, candidates: Sequence[Sequence[str]], dependent: str) -> list[Dependency]:
-    """The evidence for each candidate determinant of ``dependent``, from complete records.
+def _complete(target: str) -> Column:
+    return F.when(F.col(f"{target}__reason").isNull(), F.col(target))
 
-    A group counts if it has two or more records; it violates if its records differ in ``dependent``. One
-    aggregation a candidate, combined before the shuffle, all in one job; only two counts each come to the driver.
+
+def _dictionaries(df: DataFrame, dependencies: Sequence[Dependency], fallbacks: Sequence[Fallback]) -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """All dictionaries as one written table, and their determinants in order of ``__set``.
+
+    A determinant is aggregated once for every candidate and fallback that uses it: for candidate i the columns
+    ``n<i>`` (records), ``entry<i>`` and ``apart<i>`` (the group disagrees), for fallback j ``stat<j>``. The
+    aggregates are combined before the shuffle. The table is written, since evidence and lookups read it.
     """
-    if not candidates:
-        return []
+    sets: dict[tuple[str, ...], list[Column]] = {}
+    for i, d in enumerate(dependencies):
+        of = _complete(d.target) if d.of is None else d.of
+        if d.within:
+            x = of.cast("double")
+            entry, apart = F.avg(x), F.coalesce(F.stddev_samp(x) > d.within * F.abs(F.avg(x)), F.lit(False))
+        else:
+            entry, apart = F.min(of), F.coalesce(F.min(of) != F.max(of), F.lit(False))
+        sets.setdefault(d.determinant, []).extend([F.count(of).alias(f"n{i}"), F.when(~apart, entry).alias(f"entry{i}"), apart.alias(f"apart{i}")])
+    for j, f in enumerate(fallbacks):
+        sets.setdefault(tuple(f.group), []).append(f.statistic.alias(f"stat{j}"))
     parts = []
-    for i, det in enumerate(candidates):
-        stats = F.struct(F.count(F.lit(1)).alias("n"), (F.min(dependent) != F.max(dependent)).alias("differ"))
-        groups = complete.dropna(subset=[*det, dependent]).groupBy(*det).agg(stats.alias("stats")).select("stats.*")
-        parts.append(groups.where("n > 1").agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("g"), F.count_if("differ").alias("v")))
-    rows = reduce(DataFrame.unionByName, parts).collect()
-    return [Dependency(tuple(candidates[r["i"]]), dependent, r["g"], r["v"]) for r in sorted(rows, key=lambda r: r["i"])]
-
-
-def fill(
-    df: DataFrame,
-    target: str,
-    row_id: str,
-    candidates: Sequence[Sequence[str]],
-    fallbacks: Sequence[tuple[str, Sequence[str], Column, Callable[[Column], Column]]],
-    tolerance: float = 0.05,
-) -> DataFrame:
-    """``df`` (with ``<target>__reason``) with ``<target>__filled_value``, ``<target>__filled`` and ``<target>__source``.
-
-    1. Functional dependencies ``candidates -> target`` are mined from the complete records and verified: they
-       hold if at most ``tolerance`` of the groups with two or more records disagree.
-    2. The dictionary of each one that holds (determinant -> value, consistent groups only) is left-joined to
-       the incomplete records, the strongest evidence first. Source ``fd:<columns>``.
-    3. What is still missing is estimated from groups: each fallback is (name, group columns, statistic,
-       estimate), the statistic an aggregate over complete records and the estimate a function from it to an
-       expression, which may also use the record's own columns. Source ``group:<name>``.
-
-    Only incomplete records are joined; complete ones pass through. All statistics are aggregates combined
-    before the shuffle, so a group with a third of the rows is no hot spot; what is joined to it is one row.
+    for k, (determinant, aggregates) in enumerate(sets.items()):
+        keys = [F.col(c).alias(f"key_{k}_{n}") for n, c in enumerate(determinant)]
+        rows = df.dropna(subset=list(determinant)) if determinant else df
+        parts.append(rows.groupBy(*keys).agg(*aggregates).withColumn("__set", F.lit(k)))
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    path = shared_path(df.sparkSession, "dictionaries")
+    table.write.partitionBy("__set").parquet(path)
+    return df.sparkSession.read.schema(table.schema).parquet(path), list(sets)
+
+
+def mine(df: DataFrame, dependencies: Sequence[Dependency], fallbacks: Sequence[Fallback] = ()) -> tuple[DataFrame, list[tuple[str, ...]], list[Evidence]]:
+    """The dictionaries of all candidates, and the evidence for each, from complete records.
+
+    A group counts if it has two or more records, and is a violation if they disagree. One job makes all
+    dictionaries, one counts; two numbers a candidate come to the driver.
+    """
+    if not dependencies and not fallbacks:
+        return df.limit(0), [], []
+    table, sets = _dictionaries(df, dependencies, fallbacks)
+    if not dependencies:
+        return table, sets, []
+    counts = [x for i in range(len(dependencies)) for x in (F.count_if(F.col(f"n{i}") > 1).alias(f"g{i}"), F.count_if((F.col(f"n{i}") > 1) & F.col(f"apart{i}")).alias(f"v{i}"))]
+    r = table.agg(*counts).first()
+    return table, sets, [Evidence(d, r[f"g{i}"], r[f"v{i}"]) for i, d in enumerate(dependencies)]
+
+
+def fill(df: DataFrame, targets: Sequence[str], dependencies: Sequence[Dependency], fallbacks: Sequence[Fallback] = (), tolerance: float = 0.05) -> DataFrame:
+    """``df`` (with ``<target>__reason``) with ``<target>__filled_value``, ``__filled`` and ``__source`` for each target.
+
+    1. The candidates are mined from complete records and verified: one holds if at most ``tolerance`` of its
+       groups with two or more records disagree.
+    2. The dictionaries of those that hold (entries of agreeing groups only) are left-joined to the incomplete
+       records, one join a determinant for all targets; exact ones come first, then the strongest evidence.
+       Source ``fd:<columns>``, with the derived quantity if it isn't the target.
+    3. What is still missing is estimated by the group fallbacks, in order. Source ``group:<name>``.
+
+    Only incomplete records are joined; complete ones pass through. A group with a third of the rows is no hot
+    spot: it is combined before the shuffle, and what is joined to it is one row.
 
     Defined edge cases: a missing value without any similar record stays null, source ``none``, and is still
-    marked by its reason; an empty input passes through; a null in a group column matches no group.
+    marked by its reason; an empty input passes through; a null in a determinant or group column matches nothing.
     """
-    reason = F.col(f"{target}__reason")
-    kind = df.schema[target].dataType
-    complete = df.where(reason.isNull())
-    lost = df.where(reason.isNotNull())
-    evidence = sorted((e for e in mine_dependencies(complete, candidates, target) if e.holds(tolerance)), key=lambda e: (e.violations / e.groups, -e.groups))
-    options = []
-    for n, e in enumerate(evidence):
-        det, fd, hi = list(e.determinant), _free(df, f"fd{n}"), _free(df, "hi")
-        wanted = lost.dropna(subset=det).select(*det).distinct()
-        lookup = (
-            complete.dropna(subset=[*det, target]).join(wanted, det, "left_semi").groupBy(*det)
-            .agg(F.min(target).alias(fd), F.max(target).alias(hi)).where(F.col(fd) == F.col(hi)).drop(hi)
-        )
-        lost = lost.join(lookup, det, "left")
-        options.append((F.col(fd), "fd:" + "+".join(det)))
-    by_group: dict[tuple[str, ...], list[int]] = {}
-    for n, (_, group, _, _) in enumerate(fallbacks):
-        by_group.setdefault(tuple(group), []).append(n)
-    stat = {n: _free(df, f"stat{n}") for n in range(len(fallbacks))}
-    for group, members in by_group.items():  # one table of statistics for all fallbacks of a group
-        aggregates = [fallbacks[n][2].alias(stat[n]) for n in members]
-        if group:
-            stats = complete.dropna(subset=list(group)).groupBy(*group).agg(*aggregates)
-            lost = lost.join(broadcast_if_small(stats), list(group), "left")
+    table, sets, evidence = mine(df, dependencies, fallbacks)
+    held = [(i, e) for i, e in enumerate(evidence) if e.holds(tolerance)]
+    held.sort(key=lambda x: (x[1].dependency.within, x[1].violations / x[1].groups, -x[1].groups))
+    missing = reduce(lambda a, b: a | b, [F.col(f"{t}__reason").isNotNull() for t in targets])
+    lost, own = df.where(missing), "__"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    for k, determinant in enumerate(sets):
+        wanted = [(f"entry{i}", i) for i, e in held if e.dependency.determinant == determinant] + [(f"stat{j}", j) for j, f in enumerate(fallbacks) if tuple(f.group) == determinant]
+        if not wanted:
+            continue
+        if determinant:
+            names = [f"{own}key_{k}_{n}" for n in range(len(determinant))]
+            side = table.where(F.col("__set") == k).select(*[F.col(f"key_{k}_{n}").alias(c) for n, c in enumerate(names)], *[F.col(c).alias(own + c) for c, _ in wanted])
+            lost = lost.join(side, reduce(lambda a, b: a & b, [lost[c] == side[n] for c, n in zip(determinant, names)]), "left").drop(*names)
         else:
-            overall = complete.agg(*aggregates).first()
-            lost = lost.withColumns({stat[n]: F.lit(overall[stat[n]]) for n in members})
-    options += [(estimate(F.col(stat[n])), f"group:{name}") for n, (name, _, _, estimate) in enumerate(fallbacks)]
-    value = F.coalesce(*[c.cast(kind) for c, _ in options]) if options else F.lit(None).cast(kind)
-    source = reduce(lambda w, o: w.when(o[0].isNotNull(), o[1]), options, F.when(F.lit(False), "")).otherwise("none")
-    filled = lost.withColumns({f"{target}__filled_value": value, f"{target}__source": source}).select(*df.columns, f"{target}__filled_value", f"{target}__source")
-    passed = complete.withColumns({f"{target}__filled_value": F.col(target), f"{target}__source": F.lit(None).cast("string")})
-    return passed.unionByName(filled).withColumn(f"{target}__filled", reason.isNotNull() & F.col(f"{target}__filled_value").isNotNull())
+            overall = table.where(F.col("__set") == k).first()
+            lost = lost.withColumns({own + c: F.lit(overall[c] if overall else None).cast(table.schema[c].dataType) for c, _ in wanted})
+    made = {}
+    for t in targets:
+        kind = df.schema[t].dataType
+        options = [(e.dependency.value(F.col(f"{own}entry{i}")).cast(kind), e.dependency.name) for i, e in held if e.dependency.target == t]
+        options += [(f.value(F.col(f"{own}stat{j}")).cast(kind), f"group:{f.name}") for j, f in enumerate(fallbacks) if f.target == t]
+        value = F.coalesce(*[c for c, _ in options]) if options else F.lit(None).cast(kind)
+        source = reduce(lambda w, o: w.when(o[0].isNotNull(), o[1]), options, F.when(F.lit(False), "")).otherwise("none")
+        absent = F.col(f"{t}__reason").isNotNull()
+        made |= {f"{t}__filled_value": F.when(absent, value).otherwise(F.col(t)), f"{t}__source": F.when(absent, source)}
+    filled = lost.withColumns(made).select(*df.columns, *made)
+    passed = df.where(~missing).withColumns({c: F.col(c.removesuffix("__filled_value")) if c.endswith("__filled_value") else F.lit(None).cast("string") for c in made})
+    return passed.unionByName(filled).withColumns({f"{t}__filled": F.col(f"{t}__reason").isNotNull() & F.col(f"{t}__filled_value").isNotNull() for t in targets})
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """``df`` written once, for inputs that several passes of ``fill`` read."""
-    return cut(df)
+    """``df`` written once as Parquet to the shared folder, for inputs that several passes of ``fill`` read."""
+    path = shared_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

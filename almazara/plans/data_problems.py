@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almazara.functions.text import fold
 from almazara.operators import drift
-from almazara.operators.fill import ABSURD_DAYS, ABSURD_FACTOR, STAND_IN_DAYS, fill, keep, usable_day, usable_pair
+from almazara.operators.fill import ABSURD_DAYS, ABSURD_FACTOR, STAND_IN_DAYS, Dependency, Fallback, fill, keep, mine, usable_day, usable_pair
 from almazara.operators.history import delta_store, reconstruct, snapshots, write_store
 from almazara.operators.intervals import covered_spans
 from almazara.operators.rolling import latest_versions, trailing_sums, unfold
@@ -203,27 +203,33 @@ SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPOR
 _TICKETS, _MONEY = "num_tickets", "facturacion"
 
 
-def _companion_fallbacks(target: str, other: str) -> list:
-    """Estimates for a day of a restaurant: by the other measure at the restaurant's usual ratio, then by its weekday, the restaurant, the date, all."""
-    good = F.when(F.col(f"{other}__reason").isNull(), F.col(other).cast("double"))
-    ratio = F.try_divide(F.sum(F.when(good > 0, F.col(target).cast("double"))), F.sum(F.when(good > 0, good)))
-    tidy = (lambda c: F.round(c)) if target == _TICKETS else (lambda c: F.round(c, 2))
-    mean = F.avg(F.col(target).cast("double"))
-    return [
-        ("restaurant_ratio", ["restaurant"], ratio, lambda stat: tidy(good * stat)),
-        ("restaurant_weekday", ["restaurant", "day_name"], mean, tidy),
-        ("restaurant", ["restaurant"], mean, tidy),
-        ("date", ["date"], mean, tidy),
-        ("all", [], mean, tidy),
-    ]
+#: A restaurant's revenue a ticket is taken for fixed if it deviates by at most this share of its mean.
+_RATIO_WITHIN = 0.1
+
 
+def _daily_rules() -> tuple[list[Dependency], list[Fallback]]:
+    """Candidates and fallbacks for the days of restaurants.
 
-_DAY_KEYS = (("restaurant", "date"),)
+    The same day loaded again; the revenue a ticket by restaurant and weekday, or by restaurant, which gives
+    either measure from the other; the measure itself by restaurant and weekday. Then plain group means.
+    """
+    dependencies, fallbacks = [], []
+    for target, other in ((_TICKETS, _MONEY), (_MONEY, _TICKETS)):
+        good = {c: F.when(F.col(f"{c}__reason").isNull() & (F.col(c) > 0), F.col(c).cast("double")) for c in (target, other)}
+        known = F.when(F.col(f"{other}__reason").isNull(), F.col(other).cast("double"))
+        tidy = (lambda c: F.round(c)) if target == _TICKETS else (lambda c: F.round(c, 2))
+        back = lambda ratio, known=known, tidy=tidy: tidy(known * ratio)
+        dependencies.append(Dependency(target, ("restaurant", "date")))
+        dependencies += [Dependency(target, det, good[target] / good[other], back, _RATIO_WITHIN, f"{target}/{other}") for det in (("restaurant", "day_name"), ("restaurant",))]
+        dependencies.append(Dependency(target, ("restaurant", "day_name"), good[target], tidy, _RATIO_WITHIN))
+        mean = F.avg(F.when(F.col(f"{target}__reason").isNull(), F.col(target).cast("double")))
+        groups = (("restaurant_weekday", ("restaurant", "day_name")), ("restaurant", ("restaurant",)), ("date", ("date",)), ("all", ()))
+        fallbacks += [Fallback(target, name, group, mean, tidy) for name, group in groups]
+    return dependencies, fallbacks
 
 
-def _fill_daily(rows: DataFrame, target: str) -> DataFrame:
-    other = _MONEY if target == _TICKETS else _TICKETS
-    return fill(rows, target, "diaria_id", [*_DAY_KEYS, ("restaurant", "date", other), ("restaurant", other)], _companion_fallbacks(target, other))
+def _fill_daily(rows: DataFrame) -> DataFrame:
+    return fill(rows, (_TICKETS, _MONEY), *_daily_rules())
 
 
 def _daily_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -231,39 +237,61 @@ def _daily_rows(spark: SparkSession, d: str) -> DataFrame:
     return keep(usable_pair(rows, "restaurant", _TICKETS, _MONEY))
 
 
-_READINGS = ("temperature_mean", "temperature_max", "temperature_min", "precipitation_hours", "wind_speed_max_kmh", "sunshine_duration_s")
-#: Rows of a file that lie in one block of so many share their distance between place and day, but for absent days.
-_ROW_BLOCKS = (2, 4, 16)
+#: Rows of a file that lie in one block of so many share their distance between place and day, but for absent
+#: days; a second set of blocks lies half a block further.
+_ROW_BLOCKS = (4, 8, 16)
+_BLOCKS = {f"block_{n}{'_shifted' * h}": F.floor((F.col("row_no") + h * n // 2) / n) for n in _ROW_BLOCKS for h in (0, 1)}
 
 
 def _weather_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "meteo_diaria").select("md_id", "source_file", "row_no", "event_location", "date", *_READINGS)
-    return keep(usable_day(rows, "source_file", "date").withColumns({f"block_{n}": F.floor(F.col("row_no") / n) for n in _ROW_BLOCKS}))
+    rows = table(spark, d, "meteo_diaria").select("md_id", "source_file", "row_no", "date")
+    return keep(usable_day(rows, "source_file", "date").withColumns(_BLOCKS))
+
+
+def _weather_rules() -> tuple[list[Dependency], list[Fallback]]:
+    """A row delivered again, and the distance between day and place by file and block; then its mean by block and file."""
+    offset = F.when(F.col("date__reason").isNull(), F.unix_date("date") - F.col("row_no"))
+    place = lambda entry: F.date_from_unix_date((F.col("row_no") + F.round(entry)).cast("int"))
+    dependencies = [Dependency("date", ("source_file", "row_no"))] + [Dependency("date", ("source_file", b), offset, place, label="date-row_no") for b in _BLOCKS]
+    groups = (("place_in_16", ("source_file", "block_16")), ("place_in_file", ("source_file",)))
+    return dependencies, [Fallback("date", name, group, F.avg(offset), place) for name, group in groups]
 
 
 def _fill_weather(rows: DataFrame) -> DataFrame:
-    offset = F.avg(F.unix_date("date") - F.col("row_no"))
-    place = lambda stat: F.date_from_unix_date((F.col("row_no") + F.round(stat)).cast("int"))
-    fallbacks = [*((f"place_in_{n}", ["source_file", f"block_{n}"], offset, place) for n in _ROW_BLOCKS), ("place_in_file", ["source_file"], offset, place)]
-    return fill(rows, "date", "md_id", [("source_file", "row_no"), ("event_location", *_READINGS)], fallbacks)
+    return fill(rows, ("date",), *_weather_rules())
 
 
-def _long(df: DataFrame, name: str, row_id: str, target: str) -> DataFrame:
-    return df.where(F.col(f"{target}__reason").isNotNull()).select(
-        F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.lit(target).alias("field_name"), F.col(f"{target}__reason").alias("reason"),
-        F.col(f"{target}__filled_value").cast("string").alias("filled_value"), F.col(f"{target}__source").alias("source"), F.col(f"{target}__filled").alias("filled"),
-    )
+def _long(df: DataFrame, name: str, row_id: str, targets: tuple[str, ...]) -> DataFrame:
+    each = [
+        F.when(F.col(f"{t}__reason").isNotNull(), F.struct(F.lit(t).alias("field_name"), F.col(f"{t}__reason").alias("reason"), F.col(f"{t}__filled_value").cast("string").alias("filled_value"), F.col(f"{t}__source").alias("source"), F.col(f"{t}__filled").alias("filled")))
+        for t in targets
+    ]
+    return df.select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.explode(F.array_compact(F.array(*each))).alias("x")).select("table_name", "row_id", "x.*")
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """Every missing value with its reason, the value filled in, and where that came from."""
-    days = _daily_rows(spark, d)
-    parts = [_long(_fill_daily(days, t), "maestra_diaria", "diaria_id", t) for t in (_TICKETS, _MONEY)]
-    return parts[0].unionByName(parts[1]).unionByName(_long(_fill_weather(_weather_rows(spark, d)), "meteo_diaria", "md_id", "date"))
+    days = _long(_fill_daily(_daily_rows(spark, d)), "maestra_diaria", "diaria_id", (_TICKETS, _MONEY))
+    return days.unionByName(_long(_fill_weather(_weather_rows(spark, d)), "meteo_diaria", "md_id", ("date",)))
+
+
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate with its groups and violations, whether it holds, and how many values it filled."""
+    out = []
+    for name, rows, (dependencies, _), fill_rows in (("maestra_diaria", _daily_rows(spark, d), _daily_rules(), _fill_daily), ("meteo_diaria", _weather_rows(spark, d), _weather_rules(), _fill_weather)):
+        targets = tuple(dict.fromkeys(x.target for x in dependencies))
+        ids = "diaria_id" if name == "maestra_diaria" else "md_id"
+        used = _long(fill_rows(rows), name, ids, targets).groupBy("field_name", "source").agg(F.count(F.lit(1)).alias("filled"))
+        said = [(name, e.dependency.target, e.dependency.name, e.dependency.within, e.groups, e.violations, e.holds(0.05)) for e in mine(rows, dependencies)[2]]
+        facts = spark.createDataFrame(said, "table_name string, field_name string, source string, within double, groups long, violations long, holds boolean")
+        out.append(facts.join(used, ["field_name", "source"], "left").fillna(0, ["filled"]))
+    return out[0].unionByName(out[1])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_filled(spark, d).where("filled or source = 'none'").select("table_name", "row_id", "field_name")
+    """The values that were filled, and those for which no similar record gave one."""
+    rows = p1_filled(spark, d).withColumn("unfillable", F.col("source") == "none")
+    return rows.where("filled or unfillable").select("table_name", "row_id", "field_name")
 
 
 _P1_REASONS_SQL = f"""
@@ -481,7 +509,7 @@ select restaurant, article_code, on_day, units_7, units_30, {', '.join(f"round(u
 """
 
 QUERIES |= {
-    "p1_found": p1_found, "p1_filled": p1_filled, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos,
+    "p1_found": p1_found, "p1_filled": p1_filled, "p1_evidence": p1_evidence, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos,
     "p6_found": p6_found, "p6_history": p6_history, "p7_found": p7_found, "p7_daily": p7_daily, "p7_articles": p7_articles,
 }
 SQL |= {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_history": P6_HISTORY_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}

@@ -150,33 +150,45 @@ DAYS = "id long, r string, d date, wd string, a long, b double, stat double, fil
 def test_reasons_and_fill(spark):
     rows = [(i, "x", day(i), "abcdefg"[i % 7], 10 + i % 3, 100.0 + 10 * (i % 3), 0.0, "c") for i in range(60)]
     rows += [(100, "x", day(100), "a", None, 200.0, 0.0, ""), (101, "x", day(101), "a", 20, float("nan"), 0.0, ""), (102, "x", day(102), "a", -1, None, 0.0, ""), (103, "x", day(103), "a", 99999, 110.0, 0.0, ""),
-             (104, "x", day(104), "a", 0, 100.0, 0.0, ""), (105, "x", day(105), "a", 0, 0.0, 0.0, ""), (106, "x", day(106), "a", 0, -999.0, 0.0, ""), (107, "x", day(0), "a", None, 100.0, 0.0, ""), (108, None, None, None, None, None, 0.0, "")]
+             (104, "x", day(104), "a", 0, 100.0, 0.0, ""), (105, "x", day(105), "a", 0, 0.0, 0.0, ""), (106, "x", day(106), "a", 0, -999.0, 0.0, ""), (107, "x", day(0), "a", None, 100.0, 0.0, ""), (108, None, None, None, None, None, 0.0, ""), (109, "x", day(1), "b", 11, 110.0, 0.0, "")]
     df = fill.usable_pair(spark.createDataFrame(rows, DAYS), "r", "a", "b")
     reasons = {r.id: (r.a__reason, r.b__reason) for r in df.where("id >= 100").collect()}
-    assert reasons == {100: ("null", None), 101: (None, "nan"), 102: ("impossible", "null"), 103: ("absurd", None), 104: ("contradicted", None), 105: (None, None), 106: (None, "impossible"), 107: ("null", None), 108: ("null", "null")}
-    ratio = F.sum(F.when(F.col("b__reason").isNull(), F.col("a"))) / F.sum(F.when(F.col("b__reason").isNull(), F.col("b")))
-    out = fill.fill(df, "a", "id", [("r", "d"), ("r", "wd")], [("ratio", ["r"], ratio, lambda x: F.round(F.when(F.col("b__reason").isNull(), F.col("b")) * x)), ("all", [], F.avg("a"), F.round)])
-    got = {r.id: (r.a__filled_value, r.a__source, r.a__filled) for r in out.collect()}
-    assert len(got) == len(rows) and got[0] == (10, None, False) and got[105] == (0, None, False)
-    assert got[100][:2] == (20, "group:ratio") or got[100][2]
-    assert got[107][2] and got[108][1] == "group:all" and all(got[i][2] for i in (100, 102, 103, 104, 107, 108))
+    assert reasons == {100: ("null", None), 101: (None, "nan"), 102: ("impossible", "null"), 103: ("absurd", None), 104: ("contradicted", None), 105: (None, None), 106: (None, "impossible"), 107: ("null", None), 108: ("null", "null"), 109: (None, None)}
+    good = {c: F.when(F.col(f"{c}__reason").isNull() & (F.col(c) > 0), F.col(c)) for c in "ab"}
+    known = {c: F.when(F.col(f"{c}__reason").isNull(), F.col(c)) for c in "ab"}
+    rules = [
+        fill.Dependency("a", ("r", "d")), fill.Dependency("b", ("r", "d")), fill.Dependency("a", ("r",)),
+        fill.Dependency("a", ("r",), good["a"] / good["b"], lambda x: F.round(known["b"] * x), 0.1, "a/b"), fill.Dependency("b", ("r",), good["b"] / good["a"], lambda x: known["a"] * x, 0.1, "b/a"),
+    ]
+    out = fill.fill(df, ("a", "b"), rules, [fill.Fallback("a", "all", (), F.avg(known["a"]), F.round), fill.Fallback("b", "weekday", ("wd",), F.avg(known["b"]))])
+    got = {r.id: (r.a__filled_value, r.a__source, r.a__filled, r.b__filled_value, r.b__source) for r in out.collect()}
+    assert len(got) == len(rows) and got[0][:3] == (10, None, False) and got[105][:3] == (0, None, False) and set(out.columns) >= set(df.columns)
+    assert got[100][:3] == (20, "fd:r->a/b", True) and got[103][1] == "fd:r->a/b" and got[101][4] == "fd:r->b/a" and abs(got[101][3] - 200) < 10
+    assert got[107][:2] == (10, "fd:r+d")  # an exact dependency goes before a metric one
+    assert got[102][1] == "group:all" and got[102][4] == "group:weekday" and got[106][3:] == (0.0, "fd:r->b/a")  # a closed day
+    assert got[108][1] == "group:all" and got[108][3:] == (None, "none")
 
 
 def test_dependencies_are_verified(spark):
-    df = spark.createDataFrame([(1, 1, 5), (1, 1, 5), (2, 1, 6), (2, 1, 7), (3, 2, 8)], "p int, q int, v int")
-    got = {e.determinant: e for e in fill.mine_dependencies(df, [("p",), ("p", "v"), ("q",)], "v")}
-    assert (got["p",].groups, got["p",].violations) == (2, 1) and not got["p",].holds(0.05) and got["p", "v"].holds(0.0) and not got["q",].holds(0.5)
+    df = spark.createDataFrame([(1, 1, 5, None), (1, 1, 5, None), (2, 1, 6, None), (2, 1, 7, None), (3, 2, 8, None), (None, 2, 8, None), (4, 4, 99, "null"), (4, 4, 1, None)], "p int, q int, v int, v__reason string")
+    rules = [fill.Dependency("v", det, within=w) for det, w in ((("p",), 0.0), (("p", "q"), 0.0), (("p",), 0.2), (("q",), 0.05))]
+    e = fill.mine(df, rules)[2]
+    assert [(x.groups, x.violations) for x in e] == [(2, 1), (2, 1), (2, 0), (2, 1)]
+    assert not e[0].holds(0.05) and e[2].holds(0.0) and not fill.Evidence(rules[0], 0, 0).holds(1.0)
 
 
 def test_days_in_all_guises(spark):
-    rows = [(i, "f", day(i), i) for i in range(30)] + [(40, "f", None, 30), (41, "f", D(1970, 1, 1), 31), (42, "f", D(2001, 5, 5), 32), (43, "f", D(9999, 12, 31), 33), (44, None, D(2001, 5, 5), 1), (45, "g", None, 1)]
-    df = fill.usable_day(spark.createDataFrame(rows, "id long, f string, d date, n long"), "f", "d")
-    assert {r.id: r.d__reason for r in df.where("id >= 40").collect()} == {40: "null", 41: "stand_in", 42: "absurd", 43: "stand_in", 44: None, 45: "null"}
+    rows = [(i, "f", day(i), i) for i in range(30)] + [(40, "f", None, 30), (41, "f", D(1970, 1, 1), 31), (42, "f", D(2001, 5, 5), 32), (43, "f", D(9999, 12, 31), 33), (44, None, D(2001, 5, 5), 1), (45, "g", None, 1), (46, "f", None, 3)]
+    df = fill.usable_day(spark.createDataFrame(rows, "id long, f string, d date, n long"), "f", "d").withColumns({"block": F.floor(F.col("n") / 8), "__entry0": F.lit(7), "stat0": F.lit(8)})
+    assert {r.id: r.d__reason for r in df.where("id >= 40").collect()} == {40: "null", 41: "stand_in", 42: "absurd", 43: "stand_in", 44: None, 45: "null", 46: "null"}
     place = lambda x: F.date_from_unix_date((F.col("n") + F.round(x)).cast("int"))
-    out = {r.id: (r.d__filled_value, r.d__source) for r in fill.fill(df, "d", "id", [("f", "n")], [("place", ["f"], F.avg(F.unix_date("d") - F.col("n")), place)]).collect()}
-    assert out[40] == (day(30), "group:place") and out[43][0] == day(33) and out[45] == (None, "none")
+    offset = F.when(F.col("d__reason").isNull(), F.unix_date("d") - F.col("n"))
+    made = fill.fill(df, ("d",), [fill.Dependency("d", ("f", "n")), fill.Dependency("d", ("f", "block"), offset, place, label="d-n")], [fill.Fallback("d", "place", ("f",), F.avg(offset), place)])
+    out = {r.id: (r.d__filled_value, r.d__source, r["__entry0"]) for r in made.collect()}
+    assert out[40] == (day(30), "fd:f+block->d-n", 7) and out[43] == (day(33), "group:place", 7) and out[45] == (None, "none", 7) and out[46][:2] == (day(3), "fd:f+block->d-n")
     empty = spark.createDataFrame([], "id long, f string, d date, n long")
-    assert fill.fill(fill.usable_day(empty, "f", "d"), "d", "id", [("f", "n")], []).collect() == []
+    assert fill.fill(fill.usable_day(empty, "f", "d"), ("d",), [fill.Dependency("d", ("f", "n"))], [fill.Fallback("d", "all", (), F.max("d"))]).collect() == []
+    assert fill.fill(fill.usable_day(empty, "f", "d"), ("d",), []).collect() == []
 
 
 # ------------------------------------------------------------------------------------------------ drift
@@ -318,11 +330,12 @@ def test_fill_accuracy_on_hidden_values(spark):
         return df.withColumn("truth", F.when(known, F.col(target))).withColumn(f"{target}__reason", F.when(known, "hidden").otherwise(F.col(f"{target}__reason")))
 
     for target in ("num_tickets", "facturacion"):
-        out = P._fill_daily(hide(P._daily_rows(spark, sf), target, "diaria_id"), target).where("truth is not null")
-        r = out.agg((F.sum(F.abs(F.col(f"{target}__filled_value") - F.col("truth"))) / F.sum("truth")).alias("wape"), F.count_if(F.col(f"{target}__filled_value").isNull()).alias("lost")).first()
-        assert r.wape < 0.1 and r.lost == 0
+        out = P._fill_daily(hide(P._daily_rows(spark, sf), target, "diaria_id")).where("truth is not null")
+        r = out.agg((F.sum(F.abs(F.col(f"{target}__filled_value") - F.col("truth"))) / F.sum("truth")).alias("wape"), F.count_if(F.col(f"{target}__filled_value").isNull()).alias("lost"), F.avg(F.col(f"{target}__source").startswith("fd:").cast("int")).alias("fd")).first()
+        assert r.wape < 0.1 and r.lost == 0 and r.fd > 0.5
     out = P._fill_weather(hide(P._weather_rows(spark, sf), "date", "md_id")).where("truth is not null")
-    assert out.agg(F.avg((F.col("truth") == F.col("date__filled_value")).cast("int"))).first()[0] > 0.95
+    r = out.agg(F.avg((F.col("truth") == F.col("date__filled_value")).cast("int")).alias("right"), F.avg(F.col("date__source").startswith("fd:").cast("int")).alias("fd")).first()
+    assert r.right > 0.95 and r.fd > 0.5
 
 
 def test_hourly_weather_takes_every_readable_hour_on_its_local_day(spark, tmp_path):
