@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +15,19 @@ CHECKPOINT_EVERY = 8
 def snapshots(df: DataFrame, entity: Sequence[str], at: str, attributes: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The state reported at each time: per attribute the non-null value latest by ``order``, or null.
 
-    One aggregation with map-side combination; afterwards an entity has one row per reported time.
+    One aggregation with map-side combination; afterwards an entity has one row per reported time. Rows that
+    state every attribute compete as a whole, so that the shuffle carries their order once; only rows with a
+    null compete attribute by attribute.
     """
-    rank = F.struct(*order)
-    return df.dropna(subset=[*entity, at]).groupBy(*entity, at).agg(
-        *[F.max_by(F.col(a), F.when(F.col(a).isNotNull(), rank)).alias(a) for a in attributes]
-    )
+    rows = df.dropna(subset=[*entity, at])
+    whole = reduce(lambda a, b: a & b, [F.col(a).isNotNull() for a in attributes])
+    rank = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    best = F.max(F.when(whole, F.struct(*rank, *[F.col(a).alias(f"a{i}") for i, a in enumerate(attributes)]))).alias("__whole")
+    single = [F.max(F.when(~whole & F.col(a).isNotNull(), F.struct(*rank, F.col(a).alias("a")))).alias(f"__part_{i}") for i, a in enumerate(attributes)]
+    out = rows.groupBy(*entity, at).agg(best, *single)
+    place = lambda c: F.struct(*[F.col(c)[f"o{i}"] for i in range(len(order))])
+    later = lambda c: F.col(c).isNotNull() & (F.col("__whole").isNull() | (place(c) > place("__whole")))
+    return out.select(*entity, at, *[F.when(later(f"__part_{i}"), F.col(f"__part_{i}")["a"]).otherwise(F.col("__whole")[f"a{i}"]).alias(a) for i, a in enumerate(attributes)])
 
 
 def _compared(attributes: Sequence[str], compare: Mapping[str, Column] | None) -> list[Column]:
@@ -31,7 +39,8 @@ def _deltas(states: DataFrame, entity: Sequence[str], at: str, attributes: Seque
     the state it had reached, with its version number in ``__base``, which is not stored again."""
     by = Window.partitionBy(*entity).orderBy(at)
     before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
-    known = states.select("*", *_compared(attributes, compare)).select(
+    # repartitioned by hand, so that what values are compared by is not shuffled beside them
+    known = states.repartition(*entity).select("*", *_compared(attributes, compare)).select(
         "*", *[F.last(f"__cmp_{a}", True).over(before).alias(f"__was_{a}") for a in attributes], F.row_number().over(by).alias("__seen"), F.first("__base", True).over(upto).alias("__from"),
     )
     # null-safe: an attribute that is null now keeps its value; one that was null becomes known
@@ -87,11 +96,11 @@ def reconstruct(store: DataFrame, entity: Sequence[str], attributes: Sequence[st
     Patches are folded forward from the nearest checkpoint, that is within a segment of bounded length.
     ``changed`` lists the attributes in which a folded version differs from the folded version before; becoming
     known for the first time is no change. ``valid_to`` is the day before the next version, null for the last.
-    All windows share one shuffle and one sort: by entity, then segment and version.
+    All windows share one shuffle, by entity, and one sort, by segment and version within it.
     """
     along = Window.partitionBy(*entity).orderBy("segment", "version")
     fold = Window.partitionBy(*entity, "segment").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    rows = store.withColumn("valid_to", F.date_sub(F.lead("valid_from").over(along), 1))
+    rows = store.repartition(*entity).withColumn("valid_to", F.date_sub(F.lead("valid_from").over(along), 1))
     rows = rows.withColumns({a: F.last(a, True).over(fold) for a in attributes})
     rows = rows.select("*", *_compared(attributes, compare))
     was = {a: F.lag(f"__cmp_{a}").over(along) for a in attributes}
