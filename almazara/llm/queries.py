@@ -29,7 +29,7 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     rows = reading_levels(_table(spark, d, "documents"), _table(spark, d, "niveles"))
-    return rows.select("doc_id", F.round("level", 2).alias("level"), F.round("unfamiliar_share", 4).alias("unfamiliar_share"), F.round("sentence_words", 2).alias("sentence_words"))
+    return rows.select("doc_id", F.round("level", 2).alias("level"), F.round("unfamiliar_share", 4).alias("unfamiliar_share"), F.round("sentence_words", 2).alias("sentence_words"), "language")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,23 +11,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from almazara.session import shared_path
+
 #: Labelled documents the weights are fitted on at most, chosen by hash of their id. A bound on driver memory.
 MAX_LABELLED = 6_000
-#: Lengths of the nested familiar-word lists: the words of highest document frequency in the corpus.
-FAMILIAR = (100, 200, 400, 800, 1600)
+#: Languages with a familiar-word list of their own, as their labels are written in lower case.
+LANGUAGES = ("es", "ca", "en")
+#: Lengths of the nested familiar-word lists of a language: its words of highest document frequency in the corpus.
+FAMILIAR = (25, 50, 75, 100, 150, 200, 250, 300, 350, 400, 500, 600, 800, 1200)
+#: The list whose share of words outside is reported.
+SHOWN = 300
 #: Levels from this on count as demanding: a document most readers put at 4 or 5.
 DEMANDING = 3.5
-#: Ridge penalty per labelled document.
+#: Ridge penalty per labelled document, on features of unit variance.
 PENALTY = 1e-5
 #: A worker passes on its document counts when it holds so many words.
 _FLUSH_WORDS = 500_000
+#: Words whose values are added up at once. A bound on a worker's memory.
+_SLICE = 200_000
 
 #: Characters that folding drops: the combining marks of Latin, Greek and Cyrillic, soft hyphen, zero-width characters.
 _DROPPED = re.compile("[\u0300-\u036f\u00ad\u200b-\u200d\ufeff]+")
-_MARKUP = re.compile(r"<[^>]{1,200}>|https?://\S+|&[a-z]+;")
+_MARKUP = re.compile(r"</?[a-z][^<>]*>|https?://\S+|&[a-z]+;")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?…]+|\n\s*\n")
 #: A 0 or 1 between letters. The digit comes first, so that a search skips to digits.
@@ -53,148 +61,228 @@ def words_and_sentences(text: str | None) -> tuple[list[str], int]:
     return words, sentences
 
 
-def document_frequencies(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """(word, documents): in how many rows each folded word occurs, over all rows and whole texts.
+_COUNTED = "language string, word string, n bigint, id string, sentences int"
+
+
+def _counts(seen: Counter) -> pa.RecordBatch:
+    keys = list(seen)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int32())],
+        names=["language", "word", "n", "id", "sentences"],
+    )
+
 
-    Workers count before the shuffle, in memory bounded by _FLUSH_WORDS words.
+def count_words(df: DataFrame, wanted: Sequence[str], id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", languages: Sequence[str] = LANGUAGES) -> DataFrame:
+    """One pass over all rows and whole texts: document counts of words, and the words of the wanted documents.
+
+    Rows with a null ``id`` say in how many documents of ``language`` (by their label) a folded word occurs,
+    counted by workers in memory bounded by _FLUSH_WORDS words; documents with another label or none count under
+    an empty one. Rows with an ``id`` (as text, one of ``wanted``) give the words of that document with their number.
     """
+    shared = df.sparkSession.sparkContext.broadcast(frozenset(wanted))  # at most max_labelled ids
+    known = frozenset(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(set(words_and_sentences(text)[0]))
+            for i, text, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                language = (label or "").strip().lower()
+                if language not in known:
+                    language = ""
+                words, sentences = words_and_sentences(text)
+                seen.update((language, w) for w in set(words))
                 if len(seen) >= _FLUSH_WORDS:
                     yield _counts(seen)
                     seen = Counter()
+                if i in shared.value and words:
+                    own = Counter(words)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(own), pa.string()), pa.array(list(own)), pa.array(list(own.values()), pa.int64()), pa.array([i] * len(own)), pa.array([sentences] * len(own), pa.int32())],
+                        names=["language", "word", "n", "id", "sentences"],
+                    )
         yield _counts(seen)
 
-    return df.select(text_column).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("documents"))
-
-
-def _counts(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+    rows = df.select(F.col(id_column).cast("string").alias("id"), text_column, (F.col(language_column).cast("string") if language_column in df.columns else F.lit(None).cast("string")).alias("label"))
+    return rows.mapInArrow(run, _COUNTED)
+
+
+def familiar_words(counts: DataFrame, length: int = max(FAMILIAR)) -> DataFrame:
+    """(language, word, documents, place): per language the ``length`` words of highest document frequency, ties by word."""
+    sums = counts.where("id is null").groupBy("language", "word").agg(F.sum("n").alias("documents"))
+    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("documents"), "word")) - 1
+    return sums.withColumn("place", place).where(F.col("place") < length)
+
+
+class WordLists:
+    """The familiar words of each language as rows of one matrix, by which whole batches are scored."""
+
+    def __init__(self, lists: Mapping[str, Mapping[str, tuple[int, int]]]):
+        """``lists``: per language word -> (place, documents)."""
+        self.languages = sorted(lists)
+        words = sorted({w for t in lists.values() for w in t})
+        self.number = {w: i for i, w in enumerate(words)}
+        far = 1 << 30
+        self.place = np.full((len(words) + 1, len(self.languages)), far, np.int64)  # the last row: words on no list
+        likely = np.zeros_like(self.place, float)
+        for j, name in enumerate(self.languages):
+            total = sum(n for _, n in lists[name].values()) or 1
+            likely[:, j] = math.log(0.5 / total)
+            for w, (p, n) in lists[name].items():
+                self.place[self.number[w], j] = p
+                likely[self.number[w], j] = math.log(n / total)
+        likely[-1] = 0.0  # a word on no list speaks for no language
+        #: Per word: log likelihood by language, and for every length of list whether the word lies outside.
+        self.values = np.hstack([likely, *[(self.place >= k).astype(float) for k in FAMILIAR]])
+
+    def numbers(self, words: Sequence[str]) -> np.ndarray:
+        get, none = self.number.get, len(self.number)
+        return np.fromiter((get(w, none) for w in words), np.int64, len(words))
+
+    def language(self, totals: np.ndarray) -> np.ndarray:
+        """The most likely language of each row of summed values; the first by name on a tie."""
+        return np.argmax(totals[:, : len(self.languages)], axis=1)
+
+    def outside(self, means: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """The shares of words outside each list of the row's language."""
+        n = len(self.languages)
+        return means[np.arange(len(means))[:, None], n * (1 + np.arange(len(FAMILIAR)))[None, :] + language[:, None]]
+
+
+def _sums(matrix: np.ndarray, numbers: Sequence[np.ndarray]) -> np.ndarray:
+    """The summed rows of ``matrix`` for each array of row numbers, in slices of bounded size."""
+    out = np.zeros((len(numbers), matrix.shape[1]))
+    group: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        if group:
+            ends = np.cumsum([len(numbers[i]) for i in group])
+            out[group] = np.add.reduceat(matrix[np.concatenate([numbers[i] for i in group])], np.concatenate([[0], ends[:-1]]), axis=0)
+
+    for i, x in enumerate(numbers):
+        if len(x) > _SLICE:
+            for k in range(0, len(x), _SLICE):
+                out[i] += matrix[x[k : k + _SLICE]].sum(0)
+        elif len(x):
+            if size + len(x) > _SLICE:
+                flush()
+                group, size = [], 0
+            group.append(i)
+            size += len(x)
+    flush()
+    return out
 
 
 @dataclass
 class LevelModel:
-    """The formula: intercept + shares of unfamiliar words + sentence length + learned weights of single words."""
+    """The formula, per language: intercept + weighted shares of words outside its lists + weighted sentence length."""
 
-    rank: dict[str, int]
-    word_weight: dict[str, float]
-    unfamiliar_weight: list[float]
-    length_weight: float
-    intercept: float
+    lists: WordLists
+    share_weight: np.ndarray  # language x list
+    length_weight: np.ndarray  # language x (words a sentence, its logarithm)
+    intercept: np.ndarray  # language
 
     def __post_init__(self) -> None:
-        # every term but the sentence length is a mean over words, so a word has one value
-        outside = [sum(self.unfamiliar_weight[: sum(r >= k for k in FAMILIAR)]) for r in range(max(FAMILIAR))]
-        self.unknown = sum(self.unfamiliar_weight)
-        self.value = {w: x + self.unknown for w, x in self.word_weight.items()}
-        self.value |= {w: self.word_weight.get(w, 0.0) + outside[r] for w, r in self.rank.items()}
-
-    def level(self, words: Sequence[str], sentences: int) -> float | None:
-        """The estimated level between 1 and 5; none for a text without words."""
-        if not words:
-            return None
-        get, unknown = self.value.get, self.unknown
-        mean = sum(get(w, unknown) * n for w, n in Counter(words).items()) / len(words)
-        x = self.intercept + self.length_weight * math.log(len(words) / max(1, sentences)) + mean
-        return min(5.0, max(1.0, x))
-
-
-def formula_features(words: Sequence[str], sentences: int, rank: Mapping[str, int]) -> tuple[list[float], float]:
-    """Shares of words outside each familiar-word list, and the logarithm of the average sentence length."""
-    places = np.fromiter((rank.get(w, 1 << 30) for w in words), np.int64, len(words))
-    return [float((places >= k).mean()) for k in FAMILIAR], math.log(len(words) / max(1, sentences))
-
-
-def fit(documents: Sequence[tuple[Sequence[str], int]], levels: Sequence[float], weights: Sequence[float], rank: Mapping[str, int], min_documents: int = 3) -> LevelModel:
-    """Ridge weights from labelled documents (words, sentences) by conjugate gradients on a sparse matrix.
-
-    Words of fewer than ``min_documents`` labelled documents get no weight of their own; for them only the
-    familiar-word lists speak.
+        n, k = len(self.lists.languages), len(FAMILIAR)
+        outside = self.lists.values[:, n:].reshape(-1, k, n)
+        shown = outside[:, FAMILIAR.index(SHOWN), :]
+        #: Per word and language: likelihood, the formula's term, and whether the word lies outside the list shown.
+        self.matrix = np.hstack([self.lists.values[:, :n], np.einsum("wkl,lk->wl", outside, self.share_weight), shown])
+
+    def score(self, texts: Sequence[str | None]) -> tuple[list, list, list, list]:
+        """(level, share of words outside the list shown, words a sentence, language) of each text; None without words."""
+        parsed = [words_and_sentences(t) for t in texts]
+        counts = np.array([len(w) for w, _ in parsed], float)
+        sums = _sums(self.matrix, [self.lists.numbers(w) for w, _ in parsed])
+        n, rows = len(self.lists.languages), np.arange(len(parsed))
+        means = sums / np.maximum(counts, 1)[:, None]
+        language = self.lists.language(sums)
+        length = counts / np.maximum(1, np.array([s for _, s in parsed]))
+        terms = np.stack([length, np.log(np.maximum(length, 1e-9))], 1)
+        level = np.clip(self.intercept[language] + means[rows, n + language] + (terms * self.length_weight[language]).sum(1), 1.0, 5.0)
+        some = counts > 0
+        pick = lambda x: [float(v) if ok else None for v, ok in zip(x, some)]
+        return pick(level), pick(means[rows, 2 * n + language]), pick(length), [self.lists.languages[i] if ok else None for i, ok in zip(language, some)]
+
+
+def fit(documents: Sequence[tuple[Mapping[str, int], int]], levels: Sequence[float], weights: Sequence[float], lists: WordLists) -> LevelModel:
+    """The formula's weights from labelled documents (words with their number, sentences), by weighted ridge regression.
+
+    Every language has its own weights; what they have in common is shared, so a language with few labels
+    leans on the others.
     """
-    seen: Counter[str] = Counter()
-    for words, _ in documents:
-        seen.update(set(words))
-    vocab = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c >= min_documents))}
-    n, v, k = len(documents), len(vocab), len(FAMILIAR) + 1
-    rows, cols, vals = [], [], []
-    for r, (words, sentences) in enumerate(documents):
-        shares, length = formula_features(words, sentences, rank)
-        for w, c in Counter(words).items():
-            if w in vocab:
-                rows.append(r), cols.append(vocab[w]), vals.append(c / len(words))
-        for j, x in enumerate([*shares, length]):
-            rows.append(r), cols.append(v + j), vals.append(0.1 * x)
-    rows, cols, vals = np.array(rows), np.array(cols), np.array(vals)
-    y, sw = np.asarray(levels, float), np.asarray(weights, float)
-    total = sw.sum()
-    times = lambda w: np.bincount(rows, vals * w[cols], n)
-    back = lambda r: np.bincount(cols, vals * r[rows], v + k)
-    centre = back(sw) / total
-    mean = (sw * y).sum() / total
-    normal = lambda w: back(sw * (f := times(w) - centre @ w)) - centre * (sw * f).sum() + PENALTY * n * w
-    b = back(sw * (y - mean)) - centre * (sw * (y - mean)).sum()
-    scale = np.bincount(cols, sw[rows] * vals**2, v + k) + PENALTY * n
-    w = np.zeros(v + k)
-    r = b - normal(w)
-    z = r / scale
-    p, rz = z.copy(), r @ z
-    for _ in range(400):
-        if rz <= 1e-12 * max(1e-12, b @ (b / scale)):
-            break
-        q = normal(p)
-        a = rz / (p @ q)
-        w += a * p
-        r -= a * q
-        z = r / scale
-        rz, old = r @ z, rz
-        p = z + rz / old * p
-    return LevelModel(dict(rank), {t: float(w[i]) for t, i in vocab.items()}, [float(0.1 * x) for x in w[v : v + k - 1]], float(0.1 * w[v + k - 1]), float(mean - centre @ w))
+    totals = np.array([(lists.values[lists.numbers(list(w))] * np.array(list(w.values()), float)[:, None]).sum(0) for w, _ in documents])
+    counts = np.array([sum(w.values()) for w, _ in documents], float)
+    length = counts / np.maximum(1, np.array([s for _, s in documents]))
+    language = lists.language(totals)
+    x = np.hstack([lists.outside(totals / counts[:, None], language), length[:, None], np.log(length)[:, None]])
+    mean, spread = x.mean(0), x.std(0)
+    spread[spread < 1e-9] = 1.0
+    z = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
+    n, k = len(lists.languages), z.shape[1]
+    design = np.hstack([z, *[z * (language == j)[:, None] for j in range(n)]])
+    y, w = np.asarray(levels, float), np.asarray(weights, float)
+    penalty = np.full(design.shape[1], PENALTY * len(x))
+    penalty[0] = 1e-9
+    c = np.linalg.solve(design.T @ (design * w[:, None]) + np.diag(penalty), design.T @ (w * y))
+    each = c[:k] + c[k:].reshape(n, k)
+    scaled = each[:, 1:] / spread
+    return LevelModel(lists, scaled[:, : len(FAMILIAR)], scaled[:, len(FAMILIAR) :], each[:, 0] - scaled @ mean)
 
 
 def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "reading_level", max_labelled: int = MAX_LABELLED) -> LevelModel | None:
     """The model from the corpus's document frequencies and at most ``max_labelled`` labelled documents.
 
-    The familiar-word lists are the words of highest document frequency over all documents (ties by word);
-    only those lists, of fixed length, come to the driver. None without a usable label.
+    One pass over the corpus counts the words of all documents and gives those of the labelled ones; its small
+    result is written to the checkpoint folder. Only the familiar-word lists, of fixed length, and the labelled
+    documents' words come to the driver. None without a usable label or list.
     """
-    frequent = document_frequencies(df, text_column).orderBy(F.desc("documents"), "word").limit(max(FAMILIAR))
-    rank = {r["word"]: i for i, r in enumerate(frequent.collect())}
-    per_document = labels.where(F.col(label_column).between(1, 5) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.avg(label_column).alias("level"), F.count(F.lit(1)).alias("readers"))
-    sample = per_document.orderBy(F.xxhash64(id_column), id_column).limit(max_labelled)
-    texts = df.select(id_column, text_column).join(F.broadcast(sample), id_column)  # at most max_labelled rows
-    got = [(words_and_sentences(r[text_column]), r["level"], r["readers"]) for r in texts.select(text_column, "level", "readers", F.xxhash64(id_column).alias("h")).orderBy("h", text_column).limit(max_labelled).collect()]
-    got = [g for g in got if g[0][0]]
-    return fit([g[0] for g in got], [g[1] for g in got], [math.sqrt(g[2]) for g in got], rank) if got else None
+    per_document = labels.where(F.col(label_column).between(1, 5) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("string").alias("id")).agg(F.avg(label_column).alias("level"), F.count(F.lit(1)).alias("readers"))
+    told = {r["id"]: (r["level"], r["readers"]) for r in per_document.orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()}
+    if not told:
+        return None
+    counts = count_words(df, list(told), id_column, text_column)
+    path = shared_path(df.sparkSession, "words")
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(_COUNTED).parquet(path)
+    lists: dict[str, dict[str, tuple[int, int]]] = {}
+    for r in familiar_words(counts).collect():
+        lists.setdefault(r["language"], {})[r["word"]] = (r["place"], r["documents"])
+    if len(lists) > 1:
+        lists.pop("", None)  # one list for all only where no document has a known language
+    words: dict[str, dict[str, int]] = {}
+    sentences: dict[str, int] = {}
+    once = counts.where("id is not null").groupBy("id", "word").agg(F.max("n").alias("n"), F.max("sentences").alias("sentences"))
+    for r in once.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words"), F.max("sentences").alias("sentences")).collect():
+        words[r["id"]], sentences[r["id"]] = dict(r["words"]), r["sentences"]
+    ids = sorted(words)
+    if not ids or not lists:
+        return None
+    return fit([(words[i], sentences[i]) for i in ids], [told[i][0] for i in ids], [math.sqrt(told[i][1]) for i in ids], WordLists(lists))
 
 
 def reading_levels(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(id, level, unfamiliar_share, sentence_words) of every row.
+    """(id, level, unfamiliar_share, sentence_words, language) of every row.
 
-    level: estimate on the scale of the labels, 1 to 5; unfamiliar_share: share of words outside the longest
-    familiar-word list; sentence_words: average words a sentence. Two passes over the corpus (document
-    frequencies, scores), neither of which moves texts between executors.
+    level: estimate on the scale of the labels, 1 to 5; unfamiliar_share: share of words outside the language's
+    list of SHOWN words; sentence_words: average words a sentence; language: the one whose familiar words fit
+    best, empty where no document's label names a known one. Two passes over the corpus (words, scores), neither of
+    which moves texts between executors.
 
-    Defined edge cases: a null or blank text, or one without letters, has null in all three; without any
-    label, level is null; labels outside 1 to 5 and labels of unknown documents are ignored; repeated rows
-    are scored each.
+    Defined edge cases: a null or blank text, or one without letters, has null in all; without any label of a
+    document with words all are null; labels outside 1 to 5 and labels of unknown
+    documents are ignored; of repeated rows of a labelled id with different texts, the larger count of a
+    word enters the fit; repeated rows are scored each.
     """
     model = train(df, labels, id_column, text_column, max_labelled=max_labelled)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by FAMILIAR and max_labelled
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES and FAMILIAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LevelModel | None = shared.value
         for batch in batches:
-            level, share, length = [], [], []
-            for text in batch.column(1).to_pylist():
-                words, sentences = words_and_sentences(text)
-                level.append(m.level(words, sentences) if m else None)
-                share.append(sum(w not in m.rank for w in words) / len(words) if m and words else None)
-                length.append(len(words) / max(1, sentences) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.float64()) for x in (level, share, length)]], names=[id_column, "level", "unfamiliar_share", "sentence_words"])
+            texts = batch.column(1).to_pylist()
+            level, share, length, language = m.score(texts) if m else ([None] * len(texts),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.float64()) for x in (level, share, length)], pa.array(language, pa.string())], names=[id_column, "level", "unfamiliar_share", "sentence_words", "language"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, level double, unfamiliar_share double, sentence_words double")
+    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, level double, unfamiliar_share double, sentence_words double, language string")

@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from almazara.llm.packing import OpenContainers, best_fit_decreasing, pack, packing_quality
-from almazara.llm.reading import fit, reading_levels, words_and_sentences
+from almazara.llm import reading
+from almazara.llm.reading import reading_levels, words_and_sentences
 from almazara.llm.tokenize import PairEncoder, token_counts, token_ids, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -116,24 +118,41 @@ def test_words_and_sentences():
     assert words_and_sentences("El CAFÉ. Café abiert0s a1to?\n<p>sí</p>") == (["el", "cafe", "cafe", "abiertos", "alto", "si"], 3)
 
 
-def test_level_on_held_out_labels():
-    duckdb = pytest.importorskip("duckdb")
+def test_level_on_held_out_labels(spark):
+    """The operator itself, fitted on the labels of every second document, against the others' labels."""
     d = "/root/testdata/sf0.1"
-    con = duckdb.connect()
-    docs = con.execute(f"select doc_id, text from '{d}/documents.parquet'").fetchall()
-    labels = con.execute(f"select doc_id, avg(reading_level), count(*) from '{d}/niveles.parquet' group by 1 order by 1").fetchall()
-    parsed = {i: words_and_sentences(t) for i, t in docs}
-    df = Counter()
-    for words, _ in parsed.values():
-        df.update(set(words))
-    rank = {w: i for i, (w, _) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:1600])}
-    labels = [x for x in labels if parsed[x[0]][0]]
-    train, held = labels[::2], labels[1::2]
-    m = fit([parsed[x[0]] for x in train], [x[1] for x in train], [math.sqrt(x[2]) for x in train], rank)
-    guess = {x[0]: m.level(*parsed[x[0]]) for x in held}
-    hard = {x[0] for x in held if x[1] >= 3.5}
-    found = {i for i, g in guess.items() if g >= 3.5}
-    assert len(found & hard) >= 0.9 * len(hard) and len(found & hard) >= 0.93 * len(found)
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/niveles.parquet")
+    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = reading_levels(docs, labels.where(even)).where("level is not null")
+    held = labels.where(~even).groupBy("doc_id").agg(F.avg("reading_level").alias("truth"), F.count(F.lit(1)).alias("readers"))
+    rows = got.join(held, "doc_id").collect()
+    hard, found = {r.doc_id for r in rows if r.truth >= 3.5}, {r.doc_id for r in rows if r.level >= 3.5}
+    assert len(hard) > 100 and len(found & hard) >= 0.9 * len(hard) and len(found & hard) >= 0.9 * len(found)
+    sure = {r.doc_id for r in rows if r.readers >= 3}
+    assert len(found & hard & sure) >= 0.93 * len(hard & sure)
+    assert {r.language for r in rows} == {"es", "ca", "en"}
+
+
+def test_sums_in_slices(monkeypatch):
+    m = np.arange(40.0).reshape(10, 4)
+    parts = [np.array(x, np.int64) for x in ([], [1], [2, 3, 3], range(10), [], [9] * 25, [0])]
+    want = np.array([m[x].sum(0) for x in parts])
+    for size in (3, 7, 1000):
+        monkeypatch.setattr(reading, "_SLICE", size)
+        assert np.allclose(reading._sums(m, parts), want)
+
+
+def test_words_are_counted_by_document_and_language(spark):
+    rows = [(1, "La casa. La mesa", "es"), (2, "la casa", " ES"), (3, "the house", "en"), (4, "la", "ca"), (5, "la", None), (6, "la", "und"), (None, "la", "es"), (7, None, "es")]
+    counts = reading.count_words(spark.createDataFrame(rows, DOCS), ["1", "5", "7"])
+    top = {(r.language, r.word): (r.place, r.documents) for r in reading.familiar_words(counts).collect()}
+    assert top == {("es", "la"): (0, 3), ("es", "casa"): (1, 2), ("es", "mesa"): (2, 1), ("en", "house"): (0, 1), ("en", "the"): (1, 1), ("ca", "la"): (0, 1), ("", "la"): (0, 2)}
+    own = {(r.id, r.word): (r.n, r.sentences) for r in counts.where("id is not null").collect()}
+    assert own == {("1", "la"): (2, 2), ("1", "casa"): (1, 2), ("1", "mesa"): (1, 2), ("5", "la"): (1, 1)}
+
+
+def test_long_tags_are_markup():
+    assert words_and_sentences("a <b " + "x" * 5000 + "> c")[0] == ["a", "c"] and words_and_sentences("2 < b and c > d")[0] == ["b", "and", "c", "d"]
 
 
 def test_levels_of_odd_tables(spark):
