@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -64,10 +64,10 @@ def words_and_sentences(text: str | None) -> tuple[list[str], int]:
 _COUNTED = "language string, word string, n bigint, id string, sentences int"
 
 
-def _counts(seen: Counter) -> pa.RecordBatch:
-    keys = list(seen)
+def _counts(seen: Mapping[str, Counter]) -> pa.RecordBatch:
+    keys = [(language, w, n) for language, c in seen.items() for w, n in c.items()]
     return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int32())],
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int32())],
         names=["language", "word", "n", "id", "sentences"],
     )
 
@@ -77,29 +77,27 @@ def count_words(df: DataFrame, wanted: Sequence[str], id_column: str = "doc_id",
 
     Rows with a null ``id`` say in how many documents of ``language`` (by their label) a folded word occurs,
     counted by workers in memory bounded by _FLUSH_WORDS words; documents with another label or none count under
-    an empty one. Rows with an ``id`` (as text, one of ``wanted``) give the words of that document with their number.
+    an empty one. A row with an ``id`` (as text, one of ``wanted``) has all words of that document, divided by
+    blanks, in ``word``, and their number in ``n``.
     """
     shared = df.sparkSession.sparkContext.broadcast(frozenset(wanted))  # at most max_labelled ids
     known = frozenset(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, str]] = Counter()
+        seen: defaultdict[str, Counter] = defaultdict(Counter)
         for batch in batches:
+            own: list[tuple] = []
             for i, text, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 language = (label or "").strip().lower()
-                if language not in known:
-                    language = ""
                 words, sentences = words_and_sentences(text)
-                seen.update((language, w) for w in set(words))
-                if len(seen) >= _FLUSH_WORDS:
+                seen[language if language in known else ""].update(set(words))
+                if words and i in shared.value:
+                    own.append((None, " ".join(words), len(words), i, sentences))
+                if sum(map(len, seen.values())) >= _FLUSH_WORDS:
                     yield _counts(seen)
-                    seen = Counter()
-                if i in shared.value and words:
-                    own = Counter(words)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(own), pa.string()), pa.array(list(own)), pa.array(list(own.values()), pa.int64()), pa.array([i] * len(own)), pa.array([sentences] * len(own), pa.int32())],
-                        names=["language", "word", "n", "id", "sentences"],
-                    )
+                    seen.clear()
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32()))], names=["language", "word", "n", "id", "sentences"])
         yield _counts(seen)
 
     rows = df.select(F.col(id_column).cast("string").alias("id"), text_column, (F.col(language_column).cast("string") if language_column in df.columns else F.lit(None).cast("string")).alias("label"))
@@ -250,11 +248,10 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         lists.setdefault(r["language"], {})[r["word"]] = (r["place"], r["documents"])
     if len(lists) > 1:
         lists.pop("", None)  # one list for all only where no document has a known language
-    words: dict[str, dict[str, int]] = {}
+    words: dict[str, Counter] = {}
     sentences: dict[str, int] = {}
-    once = counts.where("id is not null").groupBy("id", "word").agg(F.max("n").alias("n"), F.max("sentences").alias("sentences"))
-    for r in once.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words"), F.max("sentences").alias("sentences")).collect():
-        words[r["id"]], sentences[r["id"]] = dict(r["words"]), r["sentences"]
+    for r in counts.where("id is not null").groupBy("id").agg(F.min(F.struct("word", "sentences")).alias("d")).collect():  # at most max_labelled
+        words[r["id"]], sentences[r["id"]] = Counter(r["d"]["word"].split(" ")), r["d"]["sentences"]
     ids = sorted(words)
     if not ids or not lists:
         return None
@@ -271,8 +268,8 @@ def reading_levels(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     Defined edge cases: a null or blank text, or one without letters, has null in all; without any label of a
     document with words all are null; labels outside 1 to 5 and labels of unknown
-    documents are ignored; of repeated rows of a labelled id with different texts, the larger count of a
-    word enters the fit; repeated rows are scored each.
+    documents are ignored; of repeated rows of a labelled id the first by its folded text enters the fit;
+    repeated rows are scored each.
     """
     model = train(df, labels, id_column, text_column, max_labelled=max_labelled)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES and FAMILIAR
