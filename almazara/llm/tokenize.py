@@ -17,13 +17,13 @@ CACHED_WORDS = 200_000
 
 
 def tokenizer_file(path: str | None = None) -> str:
-    """The vocabulary file: ``path``, or byte_bpe_50k.json of the installed public tokenizers."""
+    """The vocabulary file: ``path``, or byte_bpe_50k.json of the installed public tokenizers; an error without either."""
     if path:
         return path
     try:
         import public_tokenizers
-    except ImportError:
-        return "/opt/tokenizers/byte_bpe_50k.json"
+    except ImportError as e:
+        raise ValueError("name the vocabulary file: the package of public tokenizers is not installed") from e
     return public_tokenizers.path("byte_bpe_50k.json")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almazara.llm.packing import OpenContainers, best_fit_decreasing, pack, packing_quality
+from almazara.llm.packing import OpenContainers, best_fit_decreasing, pack, packing_faults, packing_quality
 from almazara.llm import reading
 from almazara.llm.reading import reading_levels, words_and_sentences
 from almazara.llm.tokenize import PairEncoder, token_counts, token_ids, tokenizer_file
@@ -94,11 +94,12 @@ def test_tree_finds_the_tightest():
     assert t.take_tightest(4) == (7, 1) and t.take_tightest(4) == (10, 2) and t.take_tightest(4) is None and t.take_tightest(0) == (3, 0)
 
 
-def test_packing_keeps_every_token(spark):
+@pytest.mark.parametrize("group_items", [2, 5, 100])
+def test_packing_keeps_every_token(spark, group_items):
     items = [(i, int(n)) for i, n in enumerate([0, 5, 5, 10, 11, 25, 3, 3, 3])] + [(None, 2), (3, 10), (9, None)]
     caps = spark.createDataFrame([(1, 10), (2, 4), (3, None), (4, 0)], "capacity_id long, capacity_tokens long")
     df = spark.createDataFrame(items, "doc_id long, tokens long")
-    rows = pack(df, caps, group_items=5).collect()
+    rows = pack(df, caps, group_items=group_items).collect()
     for cap, size in ((1, 10), (2, 4)):
         mine = [r for r in rows if r.capacity_id == cap]
         used, pieces = defaultdict(int), defaultdict(int)
@@ -106,13 +107,32 @@ def test_packing_keeps_every_token(spark):
             used[r.container_id] += r.tokens
             pieces[r.doc_id] += 1
         assert max(used.values()) <= size and sum(used.values()) == sum(n or 0 for _, n in items)
+        assert sum(2 * u <= size for u in used.values()) <= 1  # half empty ones are packed again over all groups
         assert pieces[5] == math.ceil(25 / size) and pieces[6] == 1
     assert {r.capacity_id for r in rows} == {1, 2}
-    assert pack(df.limit(0), caps).collect() == []
-    q = {r.capacity_id: r for r in packing_quality(pack(df, caps), caps).collect()}
+    assert pack(df.limit(0), caps).collect() == [] and pack(df, caps.limit(0)).collect() == []
+    q = {r.capacity_id: r for r in packing_quality(pack(df, caps, group_items=group_items), caps).collect()}
     assert q[1].containers >= q[1].least_containers and 0 <= q[1].unused_share < 0.5
 
 
+def test_a_huge_capacity_takes_little_memory():
+    sizes = np.array([10**9, 3 * 10**8, 7 * 10**8, 5, 0, 10**10])
+    item, piece, tokens, container = best_fit_decreasing(sizes, 10**9)
+    used = np.bincount(container, tokens)
+    assert used.max() <= 10**9 and tokens.sum() == sizes.sum() and len(used) == 13
+    t = OpenContainers(10**9)
+    t.add(5, 0)
+    assert t.sparse and t.take_tightest(3) == (5, 0) and not t.count and t.take_tightest(3) is None
+
+
+def test_faults_are_found(spark):
+    caps = spark.createDataFrame([(1, 10)], "capacity_id long, capacity_tokens long")
+    items = spark.createDataFrame([(1, 4), (2, 9), (3, 12)], "doc_id long, tokens long")
+    assert [tuple(r) for r in packing_faults(items, pack(items, caps), caps).collect()] == [(1, 10, 3, 0, 0, 0)]
+    bad = spark.createDataFrame([(1, 0, 1, 0, 2), (1, 0, 1, 1, 2), (1, 0, 2, 0, 8), (1, 1, 3, 0, 10)], "capacity_id long, container_id long, doc_id long, piece int, tokens long")
+    assert [tuple(r) for r in packing_faults(items, bad, caps).collect()] == [(1, 10, 3, 1, 1, 3)]
+
+
 def test_words_and_sentences():
     assert words_and_sentences(None) == ([], 0) and words_and_sentences(" \n ") == ([], 0) and words_and_sentences("123 ...") == ([], 0)
     assert words_and_sentences("El CAFÉ. Café abiert0s a1to?\n<p>sí</p>") == (["el", "cafe", "cafe", "abiertos", "alto", "si"], 3)
