@@ -147,7 +147,7 @@ def pack(items: DataFrame, capacities: DataFrame, id_column: str = "doc_id", siz
     path = shared_path(spark, "sizes")  # sizes are computed once, for two passes over the same groups
     dealt = rows.repartition(groups).withColumn("group", F.spark_partition_id())
     dealt.write.parquet(path)
-    dealt = spark.read.schema(dealt.schema).parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path).repartition(groups, "group")  # a number, so that small groups aren't put into one task
 
     def tails(t: pa.Table) -> pa.Table:
         out = []
