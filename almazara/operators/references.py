@@ -92,22 +92,49 @@ def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, id_colum
     return found.select(*[F.col(f"id{i}").alias(c) for i, c in enumerate(id_columns)], *names, "p0", "p1", "period", reason.alias("reason"))
 
 
+def _child_rows(child: DataFrame, fk: ForeignKey, row_id: str, period: F.Column | None) -> DataFrame:
+    """(row_id, k0.., p0, p1, period) of the rows with a complete key and a span that exists."""
+    names = [f"k{i}" for i in range(len(fk.child_key))]
+    a, b = (_day(fk.child_span[0]), _day(fk.child_span[1])) if fk.child_span else (F.lit(0), F.lit(0))
+    rows = child.select(
+        F.col(row_id).cast("long").alias("row_id"), *[F.col(c).alias(k) for c, k in zip(fk.child_key, names)], a.alias("p0"), b.alias("p1"),
+        (F.lit(None).cast("string") if period is None else period).alias("period"),
+    )
+    return rows.dropna(subset=[*names, "p0", "p1"]).where("p1 >= p0")
+
+
+def _inherited(child: DataFrame, parent: DataFrame, orphaned: DataFrame, fk: ForeignKey, ids: Mapping[str, str], period: F.Column | None) -> DataFrame:
+    """(row_id, period) of the children whose parents of their time are all orphans, by semi-joins.
+
+    Parents are told apart by ``orphaned`` (rid); what is compared with a child are the spans of its key's
+    orphaned and sound parents, reduced as in ``_parent_spans``.
+    """
+    names = [f"k{i}" for i in range(len(fk.child_key))]
+    tagged = parent.select(F.col(ids[fk.parent]).cast("long").alias("__rid"), *dict.fromkeys([*fk.parent_key, *fk.parent_span]))
+    dead = _parent_spans(tagged.join(orphaned, "__rid", "left_semi"), fk).withColumnRenamed("spans", "dead")
+    keys = dead.select(*[F.col(k).alias(c) for k, c in zip(names, fk.parent_key)])
+    sound = _parent_spans(tagged.join(keys, list(fk.parent_key), "left_semi").join(orphaned, "__rid", "left_anti"), fk).withColumnRenamed("spans", "sound")
+    both = broadcast_if_small(dead.join(sound, names, "left"))
+    meets = lambda spans: F.coalesce(F.exists(spans, lambda s: (s["a"] <= F.col("p1")) & (s["b"] >= F.col("p0")) & (s["a"] <= s["b"])), F.lit(False))
+    return _child_rows(child, fk, ids[fk.child], period).join(both, names).where(meets("dead") & ~meets("sound")).select("row_id", "period")
+
+
 def orphan_cascade(
     tables: Mapping[str, DataFrame],
     keys: Sequence[ForeignKey],
     ids: Mapping[str, str],
     periods: Mapping[str, F.Column] | None = None,
-    max_rounds: int = 32,
 ) -> DataFrame:
     """Orphans of every table, as (table_name, row_id, reference, period, reason, origin, round).
 
     Round 0 finds the rows whose own reference fails (origin ``direct``). Each later round walks down the
-    foreign keys from the tables in which rows were orphaned in the round before: a child whose parent rows
-    of that key are all orphans is one too (origin ``inherited``), by semi-joins, until a round adds nothing
-    (fixpoint) or ``max_rounds`` is reached, which raises. An acyclic graph ends after its depth.
+    foreign keys from the tables in which rows were orphaned in the round before: a child is one too (origin
+    ``inherited``) if it has parents at its time and all of them are orphans, by semi-joins, until a round adds
+    nothing (fixpoint). A row fails at most once per reference, so there is an end, cycles included; an acyclic
+    graph ends after its depth.
 
     ``ids`` names the row id of each table, ``periods`` an optional column expression by which reports are
-    grouped. A row fails once per reference; a row already orphaned by a reference does not fail by it again.
+    grouped. A row already orphaned by a reference does not fail by it again.
     """
     periods = dict(periods or {})
     columns = ["table_name", "row_id", "reference", "period", "reason", "origin", "round"]
@@ -120,35 +147,22 @@ def orphan_cascade(
                 "period", "reason", F.lit("direct").alias("origin"), F.lit(0).alias("round"),
             )
         )
-    found = cut(reduce(DataFrame.unionByName, parts))
-    fresh = {r[0] for r in found.select("table_name").distinct().collect()}
-    rounds = [found]
-    for n in range(1, max_rounds + 1):
+    rounds = [cut(reduce(DataFrame.unionByName, parts))]
+    while True:
+        fresh = {r[0] for r in rounds[-1].select("table_name").distinct().collect()}  # names of tables
         edges = [fk for fk in keys if fk.parent in fresh]
-        if not edges:
-            return reduce(DataFrame.unionByName, rounds).select(columns)
         so_far = reduce(DataFrame.unionByName, rounds)
+        if not edges:
+            return so_far.select(columns)
         parts = []
         for fk in edges:
-            names = [f"k{i}" for i in range(len(fk.child_key))]
-            orphaned = so_far.where(F.col("table_name") == fk.parent).select(F.col("row_id").alias("rid")).distinct()
-            parent = tables[fk.parent].select(F.col(ids[fk.parent]).cast("long").alias("rid"), *[F.col(c).alias(k) for c, k in zip(fk.parent_key, names)])
-            dead = parent.join(orphaned.withColumn("lost", F.lit(1)), "rid", "left").groupBy(*names).agg(F.min(F.coalesce("lost", F.lit(0))).alias("lost")).where("lost = 1")
-            child = tables[fk.child].select(
-                F.col(ids[fk.child]).cast("long").alias("row_id"), *[F.col(c).alias(k) for c, k in zip(fk.child_key, names)],
-                (periods[fk.child] if fk.child in periods else F.lit(None).cast("string")).alias("period"),
-            )
-            hit = child.join(dead.select(*names), names, "left_semi").select(
+            orphaned = so_far.where(F.col("table_name") == fk.parent).select(F.col("row_id").alias("__rid")).distinct()
+            hit = _inherited(tables[fk.child], tables[fk.parent], orphaned, fk, ids, periods.get(fk.child)).select(
                 F.lit(fk.child).alias("table_name"), "row_id", F.lit(fk.label).alias("reference"), "period",
-                F.lit("orphaned_parent").alias("reason"), F.lit("inherited").alias("origin"), F.lit(n).alias("round"),
+                F.lit("orphaned_parent").alias("reason"), F.lit("inherited").alias("origin"), F.lit(len(rounds)).alias("round"),
             )
             parts.append(hit.join(so_far.select("table_name", "row_id", "reference"), ["table_name", "row_id", "reference"], "left_anti").select(columns))
-        new = cut(reduce(DataFrame.unionByName, parts))
-        fresh = {r[0] for r in new.select("table_name").distinct().collect()}
-        rounds.append(new)
-        if not fresh:
-            return reduce(DataFrame.unionByName, rounds).select(columns)
-    raise ValueError(f"the references had not come to rest after {max_rounds} rounds")
+        rounds.append(cut(reduce(DataFrame.unionByName, parts)))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -79,6 +79,28 @@ def test_cascade_reaches_a_fixpoint(spark):
     assert {(r.table_name, r.origin): r.orphans for r in references.orphan_report(found).collect()} == {("b", "direct"): 2, ("c", "direct"): 1, ("c", "inherited"): 1, ("e", "inherited"): 1}
 
 
+def test_inheritance_goes_by_the_time_of_the_child(spark):
+    master = spark.createDataFrame([(7, day(60), None)], "m long, f date, t date")
+    parents = spark.createDataFrame([(1, 5, 7, day(0), day(30)), (2, 5, 7, day(60), day(90)), (3, 6, 7, day(60), day(90))], "id long, code long, m long, a date, b date")
+    children = spark.createDataFrame([(1, 5, day(3), day(9)), (2, 5, day(61), day(62)), (3, 5, day(20), day(70)), (4, 6, day(61), day(62)), (5, 5, day(40), day(50)), (6, 5, None, day(3))], "id long, code long, a date, b date")
+    keys = [references.ForeignKey("p", "m", ["m"], ["m"], ["a", "b"], ["f", "t"]), references.ForeignKey("c", "p", ["code"], ["code"], ["a", "b"], ["a", "b"])]
+    rows = references.orphan_cascade({"m": master, "p": parents, "c": children}, keys, {"p": "id", "c": "id", "m": "m"}).collect()
+    assert {(r.table_name, r.row_id, r.reason, r["round"]) for r in rows} == {("p", 1, "later", 0), ("c", 5, "between", 0), ("c", 1, "orphaned_parent", 1)}
+
+
+def test_a_deep_chain_and_a_cycle_come_to_rest(spark):
+    n = 12
+    tables = {"t0": spark.createDataFrame([(1, 99)], "id long, up long")} | {f"t{i}": spark.createDataFrame([(1, 1), (2, None)], "id long, up long") for i in range(1, n)}
+    tables["root"] = spark.createDataFrame([(1, None)], "id long, up long")
+    keys = [references.ForeignKey("t0", "root", ["up"], ["id"])] + [references.ForeignKey(f"t{i}", f"t{i - 1}", ["up"], ["id"]) for i in range(1, n)]
+    keys.append(references.ForeignKey("root", f"t{n - 1}", ["up"], ["id"]))
+    got = {(r.table_name, r["round"]) for r in references.orphan_cascade(tables, keys, dict.fromkeys(tables, "id")).collect()}
+    assert got == {(f"t{i}", i) for i in range(n)}
+    loop = {"a": spark.createDataFrame([(1, 2), (2, 9)], "id long, up long")}
+    rows = references.orphan_cascade(loop, [references.ForeignKey("a", "a", ["up"], ["id"])], {"a": "id"}).collect()
+    assert {(r.row_id, r.origin) for r in rows} == {(2, "direct"), (1, "inherited")}
+
+
 # ------------------------------------------------------------------------------------------------ timestamps
 
 TYPED = "id long, v string, file string, zone string, pos long, p string, n int, wall long, utc string"
