@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import zoneinfo
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almazara.functions.text import BLANKS, strip_accents
-from almazara.session import broadcast_if_small
+from almazara.session import broadcast_if_small, shared_path
 
 # Month names and their usual shortenings (Spanish, Catalan, English), without accents.
 MONTHS = {
@@ -25,7 +28,7 @@ MONTHS = {
     11: "noviembre nov novembre november",
     12: "diciembre dic desembre des december dec",
 }
-# Hours east of UTC that a written abbreviation states.
+# Hours east of UTC that a written abbreviation states, whatever else the zone database knows by it.
 ABBREVIATIONS = {"z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 1, "bst": 1, "cet": 1, "cest": 2, "eet": 2, "eest": 3}
 
 #: Day 0 of the bare count of days, as days from 1970-01-01.
@@ -70,26 +73,27 @@ def parts(value: Column) -> Column:
     """The written components as an array of strings (empty where absent), to be exploded; no element where no format fits.
 
     The alternation is matched once a row: one replacement writes every named group, and its result is split.
-    Exploding keeps the optimiser from copying the match into each later use.
+    Plain text is only put in lower case; accents and odd blanks are folded where there are any.
     """
-    flat = F.trim(F.regexp_replace(strip_accents(F.lower(value)), _IGNORED, " "))
+    low = F.lower(value)
+    plain = ~value.rlike("[^!-~ ]|^ | $|  ")
+    flat = F.when(plain, low).otherwise(F.trim(F.regexp_replace(strip_accents(low), _IGNORED, " ")))
     groups = "\x02".join("".join(f"${{{g}}}" for g in names.split()) for names in _NAMES.values())
-    out = F.regexp_replace(flat, F.lit(PATTERN), F.lit(groups))
-    return F.filter(F.array(F.split(out, "\x02")), lambda x: F.size(x) == len(_NAMES))
+    out = F.split(F.regexp_replace(flat, F.lit(PATTERN), F.lit(groups)), "\x02")
+    return F.filter(F.array(out), lambda x: F.size(x) == len(_NAMES))
 
 
 def _part(name: str) -> Column:
     return F.col("p")[_AT[name]]
 
 
-def _settled(df: DataFrame, name: str, drop_null: bool = False) -> DataFrame:
+def _settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` with column ``name`` passed through a generator with a lambda.
 
     It ends the stage of generated code, so that no method outgrows what the JVM compiles, and keeps the
     optimiser from copying the column's expression into later uses and filters.
     """
-    kept = F.filter(F.array(name), lambda x: x.isNotNull()) if drop_null else F.transform(F.array(name), lambda x: x)
-    return df.select(*[c for c in df.columns if c != name], F.explode(kept).alias(name))
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.transform(F.array(name), lambda x: x)).alias(name))
 
 
 _WHOLE = ("year", "month", "day", "first", "second", "hour", "minute", "sec", "epoch")
@@ -130,18 +134,16 @@ def utc_to_local(seconds: Column, zone: Column) -> Column:
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone))
 
 
-def day_order(df: DataFrame, value: str, file: str, hint: Column | None = None) -> DataFrame:
-    """Per file, whether its year-last dates in digits put the month first, as (file, month_first).
+def day_order(parsed: DataFrame) -> DataFrame:
+    """Per file, whether its year-last dates in digits put the month first, as (file, month_first), from their
+    components (file, a, b, y, hint).
 
     A number over 12 decides. In a file without one, ``hint`` (the day number a row should be near to) decides
     by the nearer reading summed over the file; with nothing to tell, the day comes first. One aggregation
     with map-side combination, so the size of a file does not matter.
     """
-    short = df.where(F.col(value).rlike(r"^\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{2}"))
-    rows = short.select(F.col(file).alias("file"), (F.lit(None).cast("long") if hint is None else hint.cast("long")).alias("hint"), F.explode(parts(F.col(value))).alias("p"))
-    rows = _settled(rows.select("*", _numbers().alias("n")), "n").select("file", "hint", _number("first").alias("a"), _number("second").alias("b"), _year().alias("y"))
     off = lambda m, d: F.when(F.col("hint").isNotNull() & m.between(1, 12) & d.between(1, 31), F.least(F.abs(day_number(F.col("y"), m, d) - F.col("hint")), F.lit(400)))
-    votes = rows.groupBy("file").agg(
+    votes = parsed.where("a is not null").groupBy("file").agg(
         F.count_if(F.col("a") > 12).alias("day_first"),
         F.count_if(F.col("b") > 12).alias("month_first"),
         F.sum(off(F.col("b"), F.col("a"))).alias("off_day_first"),
@@ -174,82 +176,122 @@ class Typed:
     keep: tuple[str, ...] = ()
 
 
+def _parsed(df: DataFrame, t: Typed, hint: Column | None) -> DataFrame:
+    """Every row with the numbers its value is made of, written to the shared folder.
+
+    Columns kept, row_id, value, file, zone, position, hint, fits, and of values in a format y, m, d (year
+    first or month in words), a, b (year last), clock (second of the day; null if out of range), z (the zone as
+    written), epoch, serial. Written, since the order of day and month is voted on by all values of a file.
+    """
+    base = df.select(
+        (F.struct(*t.keep) if t.keep else F.lit(None).cast("int")).alias("kept"), F.col(t.row_id).cast("long").alias("row_id"), F.col(t.value).alias("value"), F.col(t.file).alias("file"), F.col(t.zone).alias("zone"),
+        (F.col(t.position).cast("long") if t.position else F.lit(None).cast("long")).alias("position"), (F.lit(None).cast("long") if hint is None else hint.cast("long")).alias("hint"), F.explode_outer(parts(F.col(t.value))).alias("p"),
+    )
+    months = [(w, k) for k, names in MONTHS.items() for w in names.split()]
+    word = F.map_from_arrays(F.split(F.lit(",".join(w for w, _ in months)), ","), F.split(F.lit(",".join(str(k) for _, k in months)), ",").cast("array<int>"))
+    half, hour = _part("half"), F.coalesce(_number("hour"), F.lit(0))
+    hh = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
+    mi, ss = F.coalesce(_number("minute"), F.lit(0)), F.coalesce(_number("sec"), F.lit(0))
+    read = _settled(base.withColumn("n", _numbers()), "n")
+    read = read.select(
+        "kept", "row_id", "value", "file", "zone", "position", "hint", F.col("p").isNotNull().alias("fits"),
+        _year().alias("y"), F.when(_part("word") != "", word[_part("word")]).otherwise(_number("month")).alias("m"), _number("day").alias("d"), _number("first").alias("a"), _number("second").alias("b"),
+        F.when((hh <= 23) & (mi <= 59) & (ss <= 59), hh * 3600 + mi * 60 + ss).alias("clock"), _part("zone").alias("z"), F.col("n")[_WHOLE.index("epoch")].alias("epoch"),
+        F.nullif(F.concat(_part("serial"), F.translate(_part("fraction"), ",", ".")), F.lit("")).try_cast("double").alias("serial"),
+    )
+    path = shared_path(df.sparkSession, "parsed")
+    read.write.parquet(path)
+    return df.sparkSession.read.schema(read.schema).parquet(path)
+
+
 def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
-    """(*keep, row_id, value, utc_seconds, local_day, stated) of every readable value.
+    """(*keep, row_id, value, utc_seconds, local_day, stated, status) of every row.
 
-    All formats are one regular expression, matched once a row; calendar ranges are checked (month, day of
-    that month, hour, minute, second), and the instant is put together from integer days and seconds.
+    All formats are one regular expression, matched once a row; its components are written, the order of day
+    and month is voted on per file from them, calendar ranges are checked (month, day of that month, hour,
+    minute, second), and the instant is put together from integer days and seconds.
 
     What states a zone (Z, an offset, an abbreviation, a region) is taken at its word; seconds or milliseconds
-    from 1970 are UTC; the rest, bare counts of days included, is local to column ``zone``. ``stated`` is true
-    where the value itself fixed the instant.
+    from 1970 are UTC; the rest, bare counts of days included, is local to column ``zone``. An abbreviation
+    that several zones use is that of the row's own zone if it uses it too. ``stated`` is true where the value
+    itself fixed the instant.
+
+    ``status``: ``normal``; ``null``; ``unreadable`` (blank, or in no format); ``out_of_range`` (a date or
+    clock that doesn't exist); ``zone_unknown`` (a zone no one knows or several might be, or a local time of
+    an unknown zone). Only normal rows have an instant and a day; local_day is null too where the value states
+    its zone and the row has none.
 
-    Defined edge cases: null, blank, unreadable or out-of-range values give no row, and neither does a local
-    value without a known zone; blanks around or within are no difference; very long texts fit no format;
-    repeated rows come out as often as they went in.
+    Defined edge cases: blanks around or within are no difference; very long texts fit no format; repeated rows
+    come out as often as they went in.
     """
-    order = day_order(df, t.value, t.file, hint)
-    base = df.select(
-        (F.struct(*t.keep) if t.keep else F.lit(None)).alias("kept"), F.col(t.row_id).cast("long").alias("row_id"), F.col(t.value).alias("value"), F.col(t.file).alias("file"), F.col(t.zone).alias("zone"),
-        (F.col(t.position).cast("long") if t.position else F.lit(None).cast("long")).alias("position"), F.explode(parts(F.col(t.value))).alias("p"),
-    )
-    base = base.join(broadcast_if_small(order), "file", "left")
+    parsed = _parsed(df, t, hint)
+    read = parsed.join(broadcast_if_small(day_order(parsed)), "file", "left")
     mf = F.coalesce(F.col("month_first"), F.lit(False))
-    months = [(w, k) for k, names in MONTHS.items() for w in names.split()]
-    word = F.map_from_arrays(F.split(F.lit(",".join(w for w, _ in months)), ","), F.split(F.lit(",".join(str(k) for _, k in months)), ",").cast("array<int>"))
-    first, second = _number("first"), _number("second")
-    half = _part("half")
-    hour = F.coalesce(_number("hour"), F.lit(0))
-    cols = {
-        "y": _year(),
-        "m": F.when(_part("first") != "", F.when(mf, first).otherwise(second)).when(_part("word") != "", word[_part("word")]).otherwise(_number("month")),
-        "d": F.when(_part("first") != "", F.when(mf, second).otherwise(first)).otherwise(_number("day")),
-        "hh": F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99),
-        "mi": F.coalesce(_number("minute"), F.lit(0)),
-        "ss": F.coalesce(_number("sec"), F.lit(0)),
-        "z": _part("zone"),
-        "epoch": F.col("n")[_WHOLE.index("epoch")],
-        "serial": F.nullif(F.concat(_part("serial"), F.translate(_part("fraction"), ",", ".")), F.lit("")).try_cast("double"),
-    }
-    read = _settled(base.select("*", _numbers().alias("n")), "n").select("kept", "row_id", "value", "file", "zone", "position", F.struct(*[c.alias(n) for n, c in cols.items()]).alias("c"))
-    read = _settled(read, "c").select("kept", "row_id", "value", "file", "zone", "position", "c.*")
+    last = F.col("a").isNotNull()
+    y, m, d = F.col("y"), F.when(last, F.when(mf, F.col("a")).otherwise(F.col("b"))).otherwise(F.col("m")), F.when(last, F.when(mf, F.col("b")).otherwise(F.col("a"))).otherwise(F.col("d"))
+    kept = ["kept", "row_id", "value", "file", "zone", "position", "fits", "clock", "z", "epoch", "serial"]
+    read = _settled(read.select(*kept, F.struct(y.alias("y"), m.alias("m"), d.alias("d")).alias("c")), "c").select(*kept, "c.*")
     y, m, d = F.col("y"), F.col("m"), F.col("d")
-    real = y.between(1, 9999) & m.between(1, 12) & d.between(1, _days_in_month(y, m)) & F.col("hh").between(0, 23) & F.col("mi").between(0, 59) & F.col("ss").between(0, 59)
-    wall = (
-        F.when(F.col("serial").isNotNull(), F.round((F.col("serial") + SERIAL_ZERO) * _DAY).cast("long"))
-        .when(real, day_number(y, m, d) * _DAY + F.col("hh") * 3600 + F.col("mi") * 60 + F.col("ss"))
-    )
-    epoch = F.when(F.col("epoch") >= 100_000_000_000, F.floor(F.col("epoch") / 1000)).otherwise(F.col("epoch"))
-    names = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 3600)])
+    real = y.between(1, 9999) & m.between(1, 12) & d.between(1, _days_in_month(y, m)) & F.col("clock").isNotNull()
+    wall = F.when(F.col("serial").isNotNull(), F.round((F.col("serial") + SERIAL_ZERO) * _DAY).cast("long")).when(real, day_number(y, m, d) * _DAY + F.col("clock"))
     z = F.col("z")
-    digits = F.regexp_replace(z, "[+:-]", "")
-    offset = F.when(z.rlike("^[+-]"), (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0)) * 60) * F.when(z.startswith("-"), -1).otherwise(1)).otherwise(F.try_element_at(names, z))
-    names_of_regions = ",".join(_regions(df))
-    regions = F.map_from_arrays(F.split(F.lit(names_of_regions.lower()), ","), F.split(F.lit(names_of_regions), ","))
-    region = F.when(z.contains("/"), F.try_element_at(regions, z))
-    read = read.withColumn("offset", offset).withColumn("region", region).select("kept", "row_id", "value", "file", "zone", "position", "epoch", "z", "offset", "region", wall.alias("wall"))
+    read = read.select("kept", "row_id", "value", "file", "zone", "position", "fits", "epoch", "z", *_zone_columns(z, F.col("zone")), wall.alias("wall"))
     read = _settled(read, "wall")
     stated = F.col("epoch").isNotNull() | (z != "")
-    read = read.withColumn("stated", stated).withColumn("local_zone", F.when(F.col("region").isNotNull(), F.col("region")).otherwise(F.col("zone")))
+    read = read.withColumn("stated", F.coalesce(stated, F.lit(False)))
     utc = (
-        F.when(F.col("epoch").isNotNull(), epoch)
+        F.when(F.col("epoch").isNotNull(), F.when(F.col("epoch") >= 100_000_000_000, F.floor(F.col("epoch") / 1000)).otherwise(F.col("epoch")))
         .when(F.col("offset").isNotNull(), F.col("wall") - F.col("offset"))
-        .when((z == "") | F.col("region").isNotNull(), local_to_utc(F.col("wall"), F.col("local_zone")))
+        .when((z == "") | F.col("region").isNotNull(), local_to_utc(F.col("wall"), F.coalesce("region", "zone")))
     )
-    read = _settled(read.withColumn("utc", utc.cast("long")), "utc", drop_null=True)
+    read = _settled(read.withColumn("utc", utc.cast("long")), "utc")
     if t.position:
         read = _second_occurrences(read)
-    return read.select(
-        *[F.col("kept")[c].alias(c) for c in t.keep], "row_id", "value", F.col("utc").alias("utc_seconds"),
-        F.date_from_unix_date(F.floor(F.coalesce(F.when(~F.col("stated"), F.col("wall")), utc_to_local(F.col("utc"), F.col("zone"))) / _DAY).cast("int")).alias("local_day"),
-        "stated",
+    status = (
+        F.when(F.col("value").isNull(), "null").when(~F.col("fits"), "unreadable").when(F.col("epoch").isNull() & F.col("wall").isNull(), "out_of_range")
+        .when(F.col("utc").isNull(), "zone_unknown").otherwise("normal")
     )
+    day = F.floor(F.when(F.col("stated"), utc_to_local(F.col("utc"), F.col("zone"))).when(F.col("utc").isNotNull(), F.col("wall")) / _DAY)
+    return read.select(*[F.col("kept")[c].alias(c) for c in t.keep], "row_id", "value", F.col("utc").alias("utc_seconds"), F.date_from_unix_date(day.cast("int")).alias("local_day"), "stated", status.alias("status"))
+
 
+@lru_cache(maxsize=1)
+def zone_names() -> tuple[dict[str, str], dict[str, int], dict[str, int]]:
+    """(regions, abbreviations, abbreviations of zones) of the zone database, in lower case.
 
-def _regions(df: DataFrame) -> list[str]:
-    """Names of regions that can be converted: the zone database of the JVM, some hundred entries."""
-    jvm = df.sparkSession._jvm
-    return sorted(x for x in jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",") if "/" in x)
+    Regions by name; abbreviations that mean one offset wherever they are used, in seconds; and those that
+    several zones use for different offsets as ``<region> <abbreviation>``. Offsets are those of a winter and a
+    summer day of one year.
+    """
+    regions, meanings, own = {}, {}, {}
+    for name in sorted(zoneinfo.available_timezones()):
+        if "/" not in name or name.startswith(("posix/", "right/")):
+            continue
+        zone = zoneinfo.ZoneInfo(name)
+        regions[name.lower()] = name
+        for at in (dt.datetime(2024, 1, 15, 12, tzinfo=zone), dt.datetime(2024, 7, 15, 12, tzinfo=zone)):
+            word = (at.tzname() or "").lower()
+            if word.isalpha() and word not in ABBREVIATIONS:
+                seconds = int(at.utcoffset().total_seconds())
+                meanings.setdefault(word, set()).add(seconds)
+                own[f"{name.lower()} {word}"] = seconds
+    sure = {w: next(iter(s)) for w, s in meanings.items() if len(s) == 1}
+    return regions, {k: v * 3600 for k, v in ABBREVIATIONS.items()} | sure, {k: v for k, v in own.items() if k.split(" ")[1] not in sure}
+
+
+def _lookup(table: dict[str, object], key: Column, kind: str) -> Column:
+    """``key`` in a table of texts or numbers; two texts in the plan, folded to a constant map."""
+    split = lambda x: F.split(F.lit(",".join(map(str, x))), ",")
+    return F.try_element_at(F.map_from_arrays(split(table), split(table.values()).cast(f"array<{kind}>")), key)
+
+
+def _zone_columns(z: Column, zone: Column) -> list[Column]:
+    """(offset, region): what a written zone says, as seconds east of UTC or as the name of a region."""
+    regions, sure, of_zone = zone_names()
+    digits = F.regexp_replace(z, "[+:-]", "")
+    signed = (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0)) * 60) * F.when(z.startswith("-"), -1).otherwise(1)
+    offset = F.when(z == "z", 0).when(z.rlike("^[+-]"), signed).when(z.rlike("^[a-z]+$"), F.coalesce(_lookup(sure, z, "int"), _lookup(of_zone, F.concat_ws(" ", F.lower(zone), z), "int")))
+    return [offset.alias("offset"), F.when(z.contains("/"), _lookup(regions, z, "string")).alias("region")]
 
 
 def _second_occurrences(read: DataFrame) -> DataFrame:
@@ -261,7 +303,7 @@ def _second_occurrences(read: DataFrame) -> DataFrame:
     later = F.col("utc") + 3600
     wall = F.when(F.col("stated"), utc_to_local(F.col("utc"), F.col("zone"))).otherwise(F.col("wall"))
     read = read.withColumn("shown", wall).withColumn("first_utc", local_to_utc(F.col("shown"), F.col("zone")))
-    twice = F.coalesce(utc_to_local(F.col("first_utc") + 3600, F.col("zone")) == F.col("shown"), F.lit(False))
+    twice = F.coalesce(F.col("utc").isNotNull() & (utc_to_local(F.col("first_utc") + 3600, F.col("zone")) == F.col("shown")), F.lit(False))
     read = read.withColumn("twice", twice)
     ends = read.where("twice and position is not null").groupBy("file", "zone", "shown").agg(F.min("position").alias("low"), F.max("position").alias("high")).where("high > low")
     joined = read.join(broadcast_if_small(ends.withColumn("twice", F.lit(True))), ["file", "zone", "shown", "twice"], "left")

@@ -136,10 +136,10 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Every readable value of the three fields with its normal form, also those already written in it."""
-    out = normalise(_typed(spark, d), Typed("value", "row_id", "file", "zone", "position", ("table_name",)), F.col("hint"))
+    """Every value of the three fields with its status, and its normal form if it has one."""
+    out = normalise(_typed(spark, d), Typed("value", "row_id", "file", "zone", "position", ("table_name",)), F.col("hint")).where("value is not null")
     form = F.when(F.col("table_name") == "eventos", F.col("local_day").cast("string")).otherwise(instant_text(F.col("utc_seconds")))
-    return out.select("table_name", "row_id", "value", form.alias("normal_form"))
+    return out.select("table_name", "row_id", "value", form.alias("normal_form"), "status")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ _MONTH_ROWS = ", ".join(f"('{w}', {k})" for k, names in MONTHS.items() for w in
 _ZONE_ROWS = ", ".join(f"('{a}', {h * 3600})" for a, h in ABBREVIATIONS.items())
 _CLOCK = r"^(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)?(?: ?([ap])\.? ?m\.?)?(?: ?h)?(?: ?(z|[+-]\d{2}:?\d{2}|[a-z]{3,4}|[a-z]+/[a-z_]+))?$"
 _LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:,? (.*))?$"
-P4_NORMALISED_SQL = f"""
+P4_STEPS_SQL = f"""
 with months(word, n) as (values {_MONTH_ROWS}), zones(abbr, secs) as (values {_ZONE_ROWS}),
 vals as (
   select 'reservas' as table_name, reserva_id as row_id, created_datetime as v, source_file as file, l.timezone as zone, null::bigint as pos from reservas r left join (select restaurant, max(timezone) as timezone from locales group by 1) l using (restaurant)
@@ -170,7 +170,7 @@ cut as (
     case f when 1 then [regexp_extract(t, '^(\\d+)', 1), regexp_extract(t, '^\\d+[-/.](\\d+)', 1), regexp_extract(t, '^\\d+[-/.]\\d+[-/.](\\d+)', 1)] when 2 then [t[1:4], t[5:6], t[7:8]]
       when 3 then [case when length(regexp_extract(t, '{_LAST}', 3)) = 2 then '20' else '' end || regexp_extract(t, '{_LAST}', 3), case when mf then regexp_extract(t, '{_LAST}', 1) else regexp_extract(t, '{_LAST}', 2) end, case when mf then regexp_extract(t, '{_LAST}', 2) else regexp_extract(t, '{_LAST}', 1) end]
       when 4 then [regexp_extract(t, '(\\d{{4}})', 1), (select cast(n as varchar) from months where word = regexp_extract(t, '^\\d+ (?:de )?([a-z]+)', 1)), regexp_extract(t, '^(\\d+)', 1)] end as ymd
-  from shape where f is not null),
+  from shape),
 timed as (
   select *, try_cast(lpad(ymd[1], 4, '0') || '-' || lpad(ymd[2], 2, '0') || '-' || lpad(ymd[3], 2, '0') as date) as day, coalesce(c, '') = '' or regexp_matches(c, '{_CLOCK}') as fits,
     try_cast(regexp_extract(c, '{_CLOCK}', 1) as int) as h0, coalesce(try_cast(regexp_extract(c, '{_CLOCK}', 2) as int), 0) as mi, coalesce(try_cast(regexp_extract(c, '{_CLOCK}', 3) as int), 0) as se, regexp_extract(c, '{_CLOCK}', 4) as half, coalesce(regexp_extract(c, '{_CLOCK}', 5), '') as z
@@ -186,12 +186,15 @@ fixed as (
   select *, case when epoch(timezone(lz, to_timestamp(g - 3600)))::bigint = wall then g - 3600 else g end as first_utc from guess),
 utc as (
   select *, f = 5 or z <> '' as stated, case when f = 5 then case when length(t) = 13 then t::bigint // 1000 else t::bigint end when secs is not null then wall - secs when off is not null then wall - off when z = '' or z like '%/%' then first_utc end as u from fixed),
-shown as (select *, case when stated then epoch(timezone(zone, to_timestamp(u)))::bigint else wall end as seen_at from utc where u is not null),
-placed as (select *, min(pos) over (partition by table_name, file, zone, seen_at) as low, max(pos) over (partition by table_name, file, zone, seen_at) as high from shown),
+shown as (select *, case when stated then epoch(timezone(zone, to_timestamp(u)))::bigint else wall end as seen_at from utc),
+placed as (select *, min(case when u is not null then pos end) over (partition by table_name, file, zone, seen_at) as low, max(case when u is not null then pos end) over (partition by table_name, file, zone, seen_at) as high from shown),
 final as (
   select *, case when table_name = 'meteo_horaria' and not stated and high > low and pos = high and epoch(timezone(zone, to_timestamp(u + 3600)))::bigint = wall then u + 3600 else u end as uu from placed)
-select table_name, row_id, v as value, case when table_name = 'eventos' then strftime(case when stated then timezone(zone, to_timestamp(uu)) else to_timestamp(wall) at time zone 'UTC' end, '%Y-%m-%d')
-  else strftime(to_timestamp(uu) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') end as normal_form from final
+"""
+P4_NORMALISED_SQL = P4_STEPS_SQL + """
+select table_name, row_id, v as value, case when table_name = 'eventos' then strftime(case when stated then timezone(zone, to_timestamp(uu)) when u is not null then to_timestamp(wall) at time zone 'UTC' end, '%Y-%m-%d')
+  else strftime(to_timestamp(uu) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') end as normal_form,
+  case when f is null or (f < 5 and not fits) or (f = 4 and ymd[2] is null) then 'unreadable' when f <> 5 and wall is null then 'out_of_range' when u is null then 'zone_unknown' else 'normal' end as status from final
 """
 P4_FOUND_SQL = f"select table_name, row_id, normal_form from ({P4_NORMALISED_SQL}) where value <> normal_form"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from almazara.functions import casts
 from almazara.functions.text import slug, strip_accents
 from almazara.operators import context, daily, eda, evaluate, features, panel, quality, rules, timestamps
+from almazara.plans import data_problems
 from almazara.plans.tables import table
 from almazara.session import broadcast_if_small
 
@@ -243,13 +244,16 @@ def local_hours(hours: DataFrame, places: DataFrame) -> DataFrame:
     zones = places.where("event_location is not null").groupBy("event_location").agg(F.max("timezone").alias("place_zone"))
     rows = hours.join(broadcast_if_small(files), "source_file", "left").join(broadcast_if_small(zones), "event_location", "left").withColumn("zone", F.coalesce("timezone", "file_zone", "place_zone"))
     typed = timestamps.Typed("time", "mh_id", "source_file", "zone", keep=("event_location", "rain_mm", "temperature_2m"))
-    return timestamps.normalise(rows, typed).withColumnRenamed("local_day", "date")
+    return timestamps.normalise(rows, typed).where("status = 'normal'").withColumnRenamed("local_day", "date")
 
 
-@query("""with h as (select event_location, cast(substr(time, 1, 10) as date) as date, case when isnan(rain_mm) then null else rain_mm end as rain_mm, case when isnan(temperature_2m) then null else temperature_2m end as temperature_2m from meteo_horaria where regexp_matches(time, '^\\d{4}-\\d{2}-\\d{2}[T ]'))
-select event_location, date, round(coalesce(sum(rain_mm), 0), 4) as rain_mm, round(avg(temperature_2m), 4) as temperature_2m from h group by 1, 2""")
+@query(data_problems.P4_STEPS_SQL + """, h as (
+  select m.event_location, cast(case when f.stated then timezone(f.zone, to_timestamp(f.uu)) else to_timestamp(f.wall) at time zone 'UTC' end as date) as date,
+    case when isnan(m.rain_mm) then null else m.rain_mm end as rain_mm, case when isnan(m.temperature_2m) then null else m.temperature_2m end as temperature_2m
+  from final f join meteo_horaria m on f.table_name = 'meteo_horaria' and f.row_id = m.mh_id where f.u is not null)
+select event_location, date, round(coalesce(sum(rain_mm), 0), 4) as rain_mm, round(avg(temperature_2m), 4) as temperature_2m from h where date is not null group by 1, 2""")
 def daily_weather_hourly(spark: SparkSession, d: str) -> DataFrame:
-    """Every readable hour, whatever its format, on the local day of its place; the SQL takes ISO times only, on the written day."""
+    """Every readable hour, whatever its format, on the local day of its place."""
     h = local_hours(table(spark, d, "meteo_horaria"), table(spark, d, "locales"))
     return daily.weather_daily(h, ["event_location"], "date", ["rain_mm", "temperature_2m"], hourly=True).select("event_location", "date", _R("rain_mm"), _R("temperature_2m"))
 
@@ -620,14 +624,13 @@ def ops_override_union(spark: SparkSession, d: str) -> DataFrame:
     return context.override_union(old, new, ["restaurant", "date"])
 
 
-_FORECAST_SQL = f"with {_FAP_SQL}, last as (select restaurant, article_code, arg_max(expanding, (report_end, report_start)) as p from feats where expanding is not null group by 1, 2), f as (select restaurant, article_code, round(greatest(p, 0), 4) as predicted_units from last), r as (select *, row_number() over w as forecast_rank, predicted_units / nullif(sum(predicted_units) over (partition by restaurant), 0) as share from f window w as (partition by restaurant order by predicted_units desc, article_code)), c as (select *, sum(share) over (partition by restaurant order by forecast_rank) as cum from r)"
+_FORECAST_SQL = f"with {_FAP_SQL}, f as (select restaurant, article_code, round(greatest(coalesce(avg(units), (select median(units) from fap), 0), 0), 4) as predicted_units from fap group by 1, 2), r as (select *, row_number() over w as forecast_rank, predicted_units / nullif(sum(predicted_units) over (partition by restaurant), 0) as share from f window w as (partition by restaurant order by predicted_units desc, article_code)), c as (select *, sum(share) over (partition by restaurant order by forecast_rank) as cum from r)"
 
 
 def _forecast(spark: SparkSession, d: str) -> DataFrame:
     """The coming period of every article: the mean of all its known periods, the latest included, or the median target where none is known.
 
-    This is the expanding mean of a scaffold row behind the latest period; the SQL takes the mean before the latest row
-    and leaves out articles without one.
+    This is the expanding mean of a scaffold row behind the latest period.
     """
     rows = casts.nan_to_null(table(spark, d, "features_article_period"))
     rows = panel.latest_rows(rows, [*_E, "report_start", "report_end"], ["loaded_at", "fap_id"])

@@ -109,8 +109,9 @@ TYPED = "id long, v string, file string, zone string, pos long, p string, n int,
 def _normal(spark, values, zone="Europe/Madrid", file="f", position=False):
     rows = [(i, v, file, zone, i, "x", 1, 2, "y") for i, v in enumerate(values)]
     t = timestamps.Typed("v", "id", "file", "zone", "pos" if position else None)
-    out = timestamps.normalise(spark.createDataFrame(rows, TYPED), t).withColumn("text", timestamps.instant_text(F.col("utc_seconds")))
-    return {r.row_id: (r.text, r.local_day) for r in out.collect()}
+    out = timestamps.normalise(spark.createDataFrame(rows, TYPED), t).withColumn("text", timestamps.instant_text(F.col("utc_seconds"))).collect()
+    assert len(out) == len(values) and all((r.status == "normal") == (r.utc_seconds is not None) for r in out)
+    return {r.row_id: (r.text, r.local_day, r.status) for r in out}
 
 
 def test_formats(spark):
@@ -125,14 +126,29 @@ def test_formats(spark):
     assert {v: got.get(i, (None,))[0] for i, v in enumerate(cases)} == cases
 
 
-def test_unreadable_is_no_row(spark):
-    bad = [None, "", "  ", "n/a", "pendiente", "0000-00-00 00:00:00", "2023-02-29", "2024-13-01", "2024-04-31 10:00", "2024-01-01 24:00:00", "2024-01-01 10:60", "31/31/2024", "10/1/2024 13:00:00 PM", "1" * 50_000, "2024-01-01 10:00 XYZ/Nowhere", "2024-01-01 10:00 abcd", "12-34"]
-    assert _normal(spark, bad) == {}
-    assert _normal(spark, ["2024-01-01 10:00"], zone=None) == {}
-    assert _normal(spark, ["2024-01-01T10:00:00Z"], zone=None)[0][0] == "2024-01-01T10:00:00Z"
+def test_every_value_has_a_status(spark):
+    bad = {
+        None: "null", "": "unreadable", "  ": "unreadable", "n/a": "unreadable", "pendiente": "unreadable", "12-34": "unreadable", "1" * 50_000: "unreadable", "2 de brumario de 2024": "unreadable",
+        "0000-00-00 00:00:00": "out_of_range", "2023-02-29": "out_of_range", "2024-13-01": "out_of_range", "2024-04-31 10:00": "out_of_range", "2024-01-01 24:00:00": "out_of_range", "2024-01-01 10:60": "out_of_range",
+        "31/31/2024": "out_of_range", "10/1/2024 13:00:00 PM": "out_of_range", "2024-01-01 10:00 XYZ/Nowhere": "zone_unknown", "2024-01-01 10:00 abcd": "zone_unknown", "2024-01-01 10:00 IST": "zone_unknown",
+    }
+    got = _normal(spark, list(bad))
+    assert {v: got[i][2] for i, v in enumerate(bad)} == bad and all(g[:2] == (None, None) for g in got.values())
+    assert _normal(spark, ["2024-01-01 10:00"], zone=None)[0] == (None, None, "zone_unknown")
+    assert _normal(spark, ["2024-01-01T10:00:00Z"], zone=None)[0] == ("2024-01-01T10:00:00Z", None, "normal")
     assert _normal(spark, []) == {}
 
 
+def test_abbreviations_of_the_zone_database(spark):
+    cases = {"2024-01-01 10:00 EST": "2024-01-01T15:00:00Z", "2024-07-01 10:00 EDT": "2024-07-01T14:00:00Z", "2024-07-01 10:00 MSK": "2024-07-01T07:00:00Z", "2024-07-01 10:00 CEST": "2024-07-01T08:00:00Z"}
+    got = _normal(spark, list(cases))
+    assert {v: got[i][0] for i, v in enumerate(cases)} == cases
+    assert _normal(spark, ["2024-01-01 10:00 IST"], zone="Asia/Kolkata")[0][0] == "2024-01-01T04:30:00Z"
+    assert _normal(spark, ["2024-01-01 10:00 IST"], zone="Asia/Jerusalem")[0][0] == "2024-01-01T08:00:00Z"
+    regions, sure, own = timestamps.zone_names()
+    assert regions["europe/madrid"] == "Europe/Madrid" and "ist" not in sure and own["asia/kolkata ist"] == 19_800
+
+
 def test_order_of_day_and_month_is_of_the_file(spark):
     assert _normal(spark, ["1/2/2024", "1/13/2024"])[0][1] == D(2024, 1, 2)
     assert _normal(spark, ["1/2/2024", "13/1/2024"])[0][1] == D(2024, 2, 1)
