@@ -243,12 +243,12 @@ def _daily_rows(spark: SparkSession, d: str) -> DataFrame:
 #: Rows of a file that lie in one block of so many share their distance between place and day, but for absent
 #: days; a second set of blocks lies half a block further.
 _ROW_BLOCKS = (4, 8, 16)
-_BLOCKS = {f"block_{n}{'_shifted' * h}": F.floor((F.col("row_no") + h * n // 2) / n) for n in _ROW_BLOCKS for h in (0, 1)}
+_BLOCKS = {f"block_{n}{'_shifted' * h}": (n, h * n // 2) for n in _ROW_BLOCKS for h in (0, 1)}
 
 
 def _weather_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "meteo_diaria").select("md_id", "source_file", "row_no", "date")
-    return keep(usable_day(rows, "source_file", "date").withColumns(_BLOCKS))
+    return keep(usable_day(rows, "source_file", "date").withColumns({b: F.floor((F.col("row_no") + ahead) / n) for b, (n, ahead) in _BLOCKS.items()}))
 
 
 def _weather_rules() -> tuple[list[Dependency], list[Fallback]]:
@@ -366,27 +366,31 @@ def p5_eventos(spark: SparkSession, d: str) -> DataFrame:
 _ENTITY, _ATTRIBUTES = ["restaurant", "article_code"], ["article_name", "department_code", "department_name"]
 
 
-_COMPARED = {c: fold(F.col(c)) for c in ("article_name", "department_name")}
+_TEXTS = ("article_name", "department_name")
+
+
+def _compared() -> dict[str, F.Column]:
+    return {c: fold(F.col(c)) for c in _TEXTS}
 
 
 def _sales_store(spark: SparkSession, d: str) -> DataFrame:
     """The checkpoints and patches of all articles, written and read from the shared folder."""
     told = lambda c: F.when(F.col(c).rlike(r"[^\p{Z}\s\u200B\uFEFF\p{M}]"), F.col(c)).alias(c)
     rows = table(spark, d, "ventas").where("report_start is not null and report_end is not null and report_end >= report_start").select(
-        *_ENTITY, "report_start", "report_generated_on", "venta_id", "department_code", *[told(c) for c in _COMPARED]
+        *_ENTITY, "report_start", "report_generated_on", "venta_id", "department_code", *[told(c) for c in _TEXTS]
     )
     snaps = snapshots(rows, _ENTITY, "report_start", _ATTRIBUTES, ["report_generated_on", "venta_id"])
-    return write_store(delta_store(snaps, _ENTITY, "report_start", _ATTRIBUTES, _COMPARED), shared_path(spark, "history"))
+    return write_store(delta_store(snaps, _ENTITY, "report_start", _ATTRIBUTES, _compared()), shared_path(spark, "history"))
 
 
 def p6_history(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every article of a restaurant with the days it was valid."""
-    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES, _COMPARED).withColumn("changed", F.array_join("changed", "+"))
+    return reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES, _compared()).withColumn("changed", F.array_join("changed", "+"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The versions, folded from the store, that differ from the one before."""
-    rows = reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES, _COMPARED).where(F.size("changed") > 0)
+    rows = reconstruct(_sales_store(spark, d), _ENTITY, _ATTRIBUTES, _compared()).where(F.size("changed") > 0)
     return rows.select("restaurant", "article_code", F.col("valid_from").cast("string").alias("valid_from"))
 
 
