@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almazara.functions.text import slug
+from almazara.session import cut
 
 # The names under which one field is known, by dataset and canonical field.
 ALIASES: dict[str, dict[str, str]] = {
@@ -36,14 +38,18 @@ CASTS: dict[str, dict[str, str]] = {
 WORD_NUMBERS = {"baja": 1.0, "bajo": 1.0, "media": 3.0, "medio": 3.0, "alta": 5.0, "alto": 5.0}
 
 
-def records(df: DataFrame) -> DataFrame:
-    """Readable records as (dataset, feed, source_file, file_date, line_no, record), the first delivery of each file only.
+def readable(df: DataFrame) -> DataFrame:
+    """Readable lines as (dataset, feed, source_file, file_date, received_at, line_no, record).
 
-    A line that is no JSON object is unreadable. Deliveries of a file are told apart by received_at; one
-    aggregate per file finds the first.
+    A line that is no JSON object is unreadable; one without feed, file or date belongs to no file.
     """
     rows = df.select("dataset", "feed", "source_file", F.col("file_date").cast("date").alias("file_date"), "received_at", "line_no", F.try_parse_json("payload").alias("record"))
-    rows = rows.where(F.col("record").isNotNull() & F.schema_of_variant("record").startswith("OBJECT") & F.col("feed").isNotNull() & F.col("source_file").isNotNull() & F.col("file_date").isNotNull())
+    return rows.where(F.col("feed").isNotNull() & F.col("source_file").isNotNull() & F.col("file_date").isNotNull() & F.col("record").isNotNull() & F.schema_of_variant("record").startswith("OBJECT"))
+
+
+def records(df: DataFrame) -> DataFrame:
+    """The readable lines of the first delivery of each file; deliveries are told apart by received_at."""
+    rows = readable(df)
     first = rows.groupBy("feed", "source_file").agg(F.min("received_at").alias("first_at"))
     return rows.join(first, ["feed", "source_file"]).where(F.col("received_at").eqNullSafe(F.col("first_at"))).drop("received_at", "first_at")
 
@@ -56,21 +62,22 @@ def _kind(schema: Column) -> Column:
     )
 
 
-def footers(recs: DataFrame) -> DataFrame:
+def footers(lines: DataFrame) -> DataFrame:
     """What a footer would say of each file, exploded: (dataset, feed, source_file, file_date, field_name, kind).
 
-    One row per file and normalised name; kind is the most frequent type of its non-null values (by name on a
-    tie), null if there is none. Counts are combined before the shuffle.
+    One row per file and normalised name, from ``readable`` lines; kind is the most frequent type of its non-null
+    values (by name on a tie), null if there is none. One pass: fields are counted per delivery, name as written
+    and type before the shuffle; names are normalised and the first delivery chosen on those counts. The result
+    is written, since the catalogue reads it several times.
     """
-    recs.createOrReplaceTempView("almazara_records")
-    fields = recs.sparkSession.sql(
-        "select r.dataset, r.feed, r.source_file, r.file_date, f.key as raw_name, schema_of_variant(f.value) as shape from almazara_records r, lateral variant_explode(r.record) f"
-    )
-    named = fields.select("dataset", "feed", "source_file", "file_date", slug(F.col("raw_name")).alias("field_name"), _kind(F.col("shape")).alias("kind")).dropna(subset=["field_name"])
-    counts = named.groupBy("dataset", "feed", "source_file", "file_date", "field_name", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("dataset", "feed", "source_file", "file_date", "field_name").agg(
+    fields = lines.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("record").outer()).select(F.col("key").alias("raw_name"), F.schema_of_variant("value").alias("shape")))
+    raw = fields.groupBy("dataset", "feed", "source_file", "file_date", "received_at", "raw_name", _kind(F.col("shape")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.min("received_at").over(Window.partitionBy("feed", "source_file"))  # a row a file, delivery, name and type
+    named = raw.withColumn("first_at", first).where(F.col("received_at").eqNullSafe(F.col("first_at"))).withColumn("field_name", slug(F.col("raw_name"))).dropna(subset=["field_name"])
+    counts = named.groupBy("dataset", "feed", "source_file", "file_date", "field_name", "kind").agg(F.sum("n").alias("n"))
+    return cut(counts.groupBy("dataset", "feed", "source_file", "file_date", "field_name").agg(
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("kind")
-    )
+    ))
 
 
 def canonical(dataset: Column, field: Column, aliases: Mapping[str, Mapping[str, str]] = ALIASES) -> Column:
@@ -145,12 +152,6 @@ def changes(footer: DataFrame, aliases: Mapping[str, Mapping[str, str]] = ALIASE
     return log.join(_numbered(footer), ["feed", "no"]).select("dataset", "feed", "source_file", "field_name", "change_kind", "old_name", "old_kind", "new_kind")
 
 
-def _scalar(v: str, kind: Column) -> Column:
-    """The text of a value however it is wrapped: an object's ``valor``, ``cod``, ``es`` or ``nombre``, an array's first element."""
-    get = lambda path: F.try_variant_get(v, path, "string")
-    return F.when(kind == "object", F.coalesce(get("$.valor"), get("$.es"), get("$.cod"), get("$.nombre"))).when(kind == "array", get("$[0]")).otherwise(get("$"))
-
-
 def number(text: Column) -> Column:
     """A number with a decimal point or comma, grouped or not, with currency signs; words of WORD_NUMBERS; else null."""
     bare = F.regexp_replace(F.lower(text), r"[^0-9,.\-]", "")
@@ -166,26 +167,55 @@ def number(text: Column) -> Column:
     return F.coalesce(F.nullif(plain, F.lit("")).try_cast("double"), F.try_element_at(words, F.trim(F.lower(text))))
 
 
+def _scalar(v: Column, kind: Column) -> Column:
+    """The text of a value however it is wrapped: an object's ``valor``, ``es``, ``cod`` or ``nombre``, an array's first element."""
+    get = lambda path: F.try_variant_get(v, path, "string")
+    return F.when(kind == "object", F.coalesce(get("$.valor"), get("$.es"), get("$.cod"), get("$.nombre"))).when(kind == "array", get("$[0]")).otherwise(get("$"))
+
+
 def consistent(recs: DataFrame, dataset: str, aliases: Mapping[str, Mapping[str, str]] = ALIASES, casts: Mapping[str, Mapping[str, str]] = CASTS) -> DataFrame:
     """All records of a dataset as one table: keys, one column per canonical field, and ``other`` for the rest.
 
-    The casts are generated from the alias table. Doubled lines of a file are one record. A value that does
-    not fit its cast is null; the texts of fields outside the table are kept in the map ``other``.
+    The casts are generated from the alias table, as projections of each record; only records that are doubled
+    within a file meet in a shuffle, by a digest of their content. Where a record has several names of one
+    canonical field, the one that comes first in the alias table counts (of spellings of one name the first by
+    alphabet) if it isn't null.
+
+    Nothing is dropped: the map ``other`` holds, by normalised name (as written, if two fall together), the text
+    of every non-null field that no column has in full: fields outside the table, names that lost, values
+    that don't fit their cast (null in the column), and objects and arrays, of which the column takes one part.
     """
-    recs.where(F.col("dataset") == dataset).createOrReplaceTempView("almazara_records_one")
-    fields = recs.sparkSession.sql(
-        "select r.feed, r.source_file, r.file_date, r.line_no, to_json(r.record) as body, f.key as raw_name, f.value as v, schema_of_variant(f.value) as shape from almazara_records_one r, lateral variant_explode(r.record) f"
-    )
-    name = slug(F.col("raw_name"))
-    flat = fields.select("feed", "source_file", "file_date", "line_no", "body", canonical(F.lit(dataset), name, aliases).alias("field"), _scalar("v", _kind(F.col("shape"))).alias("text"))
-    wanted = list(aliases[dataset])
-    one = flat.groupBy("feed", "source_file", "file_date", "body").agg(
-        F.min("line_no").alias("line_no"),
-        *[F.max(F.when(F.col("field") == c, F.col("text"))).alias(c) for c in wanted],
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(~F.col("field").isin(*wanted) & F.col("text").isNotNull(), F.struct("field", "text"))))).alias("other"),
-    )
+    wanted = {c: names.split() for c, names in aliases[dataset].items()}
+    place = {n: (c, i) for c, names in wanted.items() for i, n in enumerate(names)}
+    rank = F.create_map(*[F.lit(x) for n, (_, i) in place.items() for x in (n, i)])
+    canon = F.create_map(*[F.lit(x) for n, (c, _) in place.items() for x in (n, c)])
+
+    def entry(e: Column) -> Column:
+        name, kind = slug(e["key"]), _kind(F.schema_of_variant(e["value"]))
+        return F.struct(
+            F.try_element_at(rank, name).alias("rank"), e["key"].alias("raw"), name.alias("name"), F.try_element_at(canon, name).alias("canon"), _scalar(e["value"], kind).alias("text"),
+            F.try_variant_get(e["value"], "$", "string").alias("whole"), kind.isin("object", "array").alias("wrapped"),
+        )
+
+    rows = recs.where(F.col("dataset") == dataset).select("feed", "source_file", "file_date", "line_no", F.to_json("record").alias("body"))
+    rows = rows.select("feed", "source_file", "file_date", "line_no", F.sha2("body", 256).alias("digest"), F.from_json("body", "map<string,variant>").alias("m"))
+    rows = rows.select("feed", "source_file", "file_date", "line_no", "digest", F.filter(F.transform(F.map_entries("m"), entry), lambda f: f["whole"].isNotNull()).alias("fields"))
+    of = lambda c: lambda f: (f["canon"] == c) & f["text"].isNotNull()
+    rows = rows.withColumns({f"best_{c}": F.array_min(F.filter("fields", of(c))) for c in wanted})
     how = {
         "text": lambda c: F.nullif(F.trim(c), F.lit("")), "number": number, "long": lambda c: F.trim(c).try_cast("long"),
         "day": lambda c: F.trim(c).try_cast("date"),
     }
-    return one.select("feed", "source_file", "file_date", "line_no", *[how[casts[dataset][c]](F.col(c)).alias(c) for c in wanted], "other")
+    rows = rows.withColumns({c: how[casts[dataset][c]](F.col(f"best_{c}")["text"]) for c in wanted})
+
+    def told(f: Column) -> Column:
+        """Whether a column has all a field says."""
+        full = [(f["canon"] == c) & ~f["wrapped"] & (f["raw"] == F.col(f"best_{c}")["raw"]) & (F.col(c).isNotNull() | (F.trim(f["text"]) == "")) for c in wanted]
+        return F.coalesce(reduce(lambda a, b: a | b, full), F.lit(False))
+
+    rest = rows.withColumn("rest", F.filter("fields", lambda f: ~told(f)))
+    alone = lambda f: F.size(F.filter("rest", lambda g: g["name"] == f["name"])) == 1
+    other = F.map_from_entries(F.transform("rest", lambda f: F.struct(F.when(alone(f), f["name"]).otherwise(f["raw"]).alias("key"), f["whole"].alias("value"))))
+    one = rest.select("feed", "source_file", "file_date", "line_no", "digest", F.struct(*wanted, other.alias("other")).alias("r"))
+    once = one.groupBy("feed", "source_file", "file_date", "digest").agg(F.min("line_no").alias("line_no"), F.first("r").alias("r"))  # equal content, so any will do
+    return once.select("feed", "source_file", "file_date", "line_no", *[F.col("r")[c].alias(c) for c in wanted], F.col("r")["other"].alias("other"))

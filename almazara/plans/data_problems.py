@@ -323,7 +323,7 @@ where date is null or date in ({', '.join(f"date '{x}'" for x in STAND_IN_DAYS)}
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(drift.footers(drift.records(table(spark, d, "crudos")))).select("feed", "source_file", "field_name", "change_kind")
+    return drift.changes(drift.footers(drift.readable(table(spark, d, "crudos")))).select("feed", "source_file", "field_name", "change_kind")
 
 
 _ALIAS_ROWS = ", ".join(f"('{d}', '{n}', '{c}')" for d, fields in drift.ALIASES.items() for c, names in fields.items() for n in names.split())
@@ -361,6 +361,53 @@ def p5_eventos(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent(drift.records(table(spark, d, "crudos")), "eventos")
 
 
+def _columns(df: DataFrame) -> DataFrame:
+    """The columns of the one table, and which fields went to ``other``."""
+    return df.withColumn("other_names", F.array_join(F.sort_array(F.map_keys("other")), "+")).drop("other")
+
+
+def p5_ventas_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _columns(p5_ventas(spark, d))
+
+
+def p5_eventos_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _columns(p5_eventos(spark, d))
+
+
+def _one_table_sql(dataset: str) -> str:
+    """One table of a dataset in SQL, from the same alias table and casts."""
+    rows = ", ".join(f"('{n}', '{c}', {i})" for c, names in drift.ALIASES[dataset].items() for i, n in enumerate(names.split()))
+    words = " ".join(f"when '{w}' then {v}" for w, v in drift.WORD_NUMBERS.items())
+    plain = "case when nc > 0 and (np = 0 or lc < lp) then replace(replace(bare, '.', ''), ',', '.') when nc > 0 or np > 1 then replace(bare, ',', '') else bare end"
+    cast = {
+        "text": "nullif(trim(t), '')", "long": "case when regexp_full_match(trim(t), '[+-]?\\d+') then try_cast(trim(t) as bigint) end", "day": "try_cast(trim(t) as date)",
+        "number": f"coalesce(try_cast(nullif({plain}, '') as double), case trim(lower(t)) {words} end)",
+    }
+    kinds = drift.CASTS[dataset]
+    fits = " ".join(f"when '{c}' then {cast[k]} is not null" for c, k in kinds.items())
+    return f"""
+with aliases(name, canon, rank) as (values {rows}),
+good as (select * from crudos where json_valid(payload) and json_type(payload) = 'OBJECT' and feed is not null and source_file is not null and file_date is not null),
+firsts as (select * from good qualify received_at is not distinct from min(received_at) over (partition by feed, source_file)),
+recs as (select feed, source_file, cast(file_date as date) as file_date, min(line_no) as line_no, payload, row_number() over () as id from firsts where dataset = '{dataset}' group by feed, source_file, file_date, payload),
+keys as (select id, payload, unnest(json_keys(payload)) as k from recs),
+fields as (
+  select id, k, nullif(regexp_replace(regexp_replace(strip_accents(lower(k)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '') as name, json_type(payload, '$."' || k || '"') as kind, json_extract(payload, '$."' || k || '"') as j from keys),
+texts as (
+  select f.*, a.canon, a.rank, kind in ('OBJECT', 'ARRAY') as wrapped,
+    case kind when 'OBJECT' then coalesce(json_extract_string(j, '$.valor'), json_extract_string(j, '$.es'), json_extract_string(j, '$.cod'), json_extract_string(j, '$.nombre')) when 'ARRAY' then json_extract_string(j, '$[0]') else json_extract_string(j, '$') end as t
+  from fields f left join aliases a using (name) where kind <> 'NULL'),
+best as (select *, row_number() over (partition by id, canon order by rank, k) = 1 and canon is not null as chosen from texts where t is not null),
+bared as (select *, regexp_replace(lower(t), '[^0-9,.\-]', '', 'g') as bare from best),
+counted as (select *, length(regexp_replace(bare, '[^,]', '', 'g')) as nc, length(regexp_replace(bare, '[^.]', '', 'g')) as np, instr(reverse(bare), ',') as lc, instr(reverse(bare), '.') as lp from bared),
+judged as (select *, case canon {fits} end as fits from counted),
+kept as (select id, {', '.join(f"max({cast[k]}) filter (chosen and canon = '{c}') as {c}" for c, k in kinds.items())} from judged group by id),
+rest as (select t.id, t.name from texts t left join judged j on j.id = t.id and j.k = t.k where not coalesce(j.chosen and not j.wrapped and (j.fits or trim(j.t) = ''), false)),
+others as (select id, string_agg(name, '+' order by name) as other_names from rest group by id)
+select r.feed, r.source_file, r.file_date, r.line_no, {', '.join(f'k.{c}' for c in kinds)}, coalesce(o.other_names, '') as other_names from recs r left join kept k using (id) left join others o using (id)
+"""
+
+
 # ---------------------------------------------------------------------------------------------- problem 6
 
 _ENTITY, _ATTRIBUTES = ["restaurant", "article_code"], ["article_name", "department_code", "department_name"]
@@ -516,7 +563,7 @@ select restaurant, article_code, on_day, units_7, units_30, {', '.join(f"round(u
 """
 
 QUERIES |= {
-    "p1_found": p1_found, "p1_filled": p1_filled, "p1_evidence": p1_evidence, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos,
+    "p1_found": p1_found, "p1_filled": p1_filled, "p1_evidence": p1_evidence, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos, "p5_ventas_columns": p5_ventas_columns, "p5_eventos_columns": p5_eventos_columns,
     "p6_found": p6_found, "p6_history": p6_history, "p7_found": p7_found, "p7_daily": p7_daily, "p7_articles": p7_articles,
 }
-SQL |= {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_history": P6_HISTORY_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}
+SQL |= {"p5_ventas_columns": _one_table_sql("ventas"), "p5_eventos_columns": _one_table_sql("eventos"), "p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_history": P6_HISTORY_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}

@@ -246,20 +246,30 @@ def test_changes(spark):
     files = [("A", [{"importe": 1.5, "mesa": "1"}, {"importe": 1.5, "mesa": "1"}, '{"importe": 1']), ("A", [{"IMPORTE": None, "Mesa ": "2"}]), ("A", [{"importe_total": "1,5"}]), ("A", [{"Importe total": None, "iva": 2}]), ("A", [{"amount": {"valor": 3.0}, "iva": True}]), ("B", [{"x": 1}]), ("B", ["[1]", "null", "", "nope"]), ("B", [{"x": 1, "": 2, "--": 3}])]
     rows = _raw(files)
     rows += [(*r[:4], r[4] + dt.timedelta(9), *r[5:6], json.dumps({"late": 1}), *r[7:]) for r in rows[:1]] + [("ventas", None, "z", day(1), None, 1, '{"a": 1}', 0, 0, ""), ("ventas", "C", "c", None, None, 1, '{"a": 1}', 0, 0, ""), ("ventas", "A", "A_0.json", day(0), dt.datetime(2024, 2, 1), 9, None, 0, 0, "")]
-    foot = drift.footers(drift.records(spark.createDataFrame(rows, RAW)))
+    foot = drift.footers(drift.readable(spark.createDataFrame(rows, RAW)))
     got = {(r.source_file, r.field_name, r.change_kind) for r in drift.changes(foot).collect()}
     assert got == {("A_2.json", "importe_total", "renamed"), ("A_2.json", "importe_total", "retyped"), ("A_2.json", "mesa", "removed"), ("A_3.json", "iva", "added"), ("A_4.json", "amount", "renamed"), ("A_4.json", "amount", "retyped"), ("A_4.json", "iva", "retyped")}
-    assert drift.changes(drift.footers(drift.records(spark.createDataFrame([], RAW)))).collect() == []
+    assert drift.changes(drift.footers(drift.readable(spark.createDataFrame([], RAW)))).collect() == []
 
 
 def test_one_table(spark):
-    files = [("A", [{"articulo": 7, "Descripción": "Té", "CANTIDAD": "00012", "importe": "1.470,43", "mesa": 1}]), ("A", [{"codigo": " 8", "nombre_articulo": " ", "uds": 2, "amount": {"valor": 2.5, "moneda": "EUR"}, "departamento": {"cod": 3}}] * 2), ("A", [{"article_code": "x", "importe": [3.5, "EUR"], "units": None, "total_linea": None}])]
+    files = [
+        ("A", [{"articulo": 7, "Descripción": "Té", "CANTIDAD": "00012", "importe": "1.470,43", "mesa": 1}]),
+        ("A", [{"codigo": " 8", "nombre_articulo": " ", "uds": 2, "amount": {"valor": 2.5, "moneda": "EUR"}, "departamento": {"cod": 3}}] * 2),
+        ("A", [{"article_code": "x", "importe": [3.5, "EUR"], "units": None, "total_linea": None}]),
+        ("A", [{"importe_total": "z", "importe": 4, "Importe": 5, "MESA": "a", "mesa": "b", "units": {"n": 1}}]),
+    ]
     out = {r.source_file: r for r in drift.consistent(drift.records(spark.createDataFrame(_raw(files), RAW)), "ventas").collect()}
-    assert len(out) == 3
-    a, b, c = (out[f"A_{i}.json"] for i in range(3))
+    assert len(out) == 4
+    a, b, c, d = (out[f"A_{i}.json"] for i in range(4))
     assert (a.article_code, a.article_name, a.units, a.amount, a.other) == (7, "Té", 12.0, 1470.43, {"mesa": "1"})
     assert (b.article_code, b.article_name, b.units, b.amount, b.department_code) == (8, None, 2.0, 2.5, "3")
-    assert (c.article_code, c.amount, c.units) == (None, 3.5, None)
+    assert {k: json.loads(v) for k, v in b.other.items()} == {"amount": {"valor": 2.5, "moneda": "EUR"}, "departamento": {"cod": 3}}
+    assert (c.article_code, c.amount, c.units) == (None, 3.5, None) and c.other["article_code"] == "x" and json.loads(c.other["importe"]) == [3.5, "EUR"]
+    # by the order of the alias table, then of the alphabet; what lost is kept
+    assert (d.amount, d.units) == (5.0, None) and json.loads(d.other.pop("units")) == {"n": 1}
+    assert d.other == {"importe_total": "z", "importe": "4", "MESA": "a", "mesa": "b"}
+    assert drift.consistent(drift.records(spark.createDataFrame([], RAW)), "ventas").collect() == []
 
 
 # ------------------------------------------------------------------------------------------------ history
