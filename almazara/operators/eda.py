@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almazara.operators.quality import exact_quantiles, is_flag, running_sum
@@ -136,10 +136,16 @@ def _corr(p: str):
     return F.try_divide(cov, spread)
 
 
-def reservation_summary(df: DataFrame, people: str = "people", lead: str = "lead_time_hours") -> DataFrame:
-    """Totals, people, and quantiles of the lead time of all reservations: one row."""
+def reservation_summary(df: DataFrame, people: str = "people", lead: str = "lead_time_hours", walk_in: str = "is_walk_in", no_show: Column | None = None) -> DataFrame:
+    """Totals, people, walk-ins, share of no-shows, and quantiles of the lead time of all reservations: one row.
+
+    ``no_show`` says of a row whether the guests stayed away; without it the share is null.
+    """
     q = exact_quantiles(df, [lead], [0.5, 0.9, 0.99])[lead]
-    return df.agg(F.count(F.lit(1)).alias("reservations"), F.sum(people).alias("people"), F.avg(people).alias("people_mean"), F.count_if(F.col(people) <= 0).alias("people_invalid")).withColumns({"lead_median": F.lit(q[0]), "lead_p90": F.lit(q[1]), "lead_p99": F.lit(q[2])})
+    share = F.lit(None).cast("double") if no_show is None else F.try_divide(F.count_if(no_show), F.count(F.lit(1)))
+    walked = F.count_if(F.col(walk_in)) if walk_in in df.columns else F.lit(None).cast("long")
+    out = df.agg(F.count(F.lit(1)).alias("reservations"), F.sum(people).alias("people"), F.avg(people).alias("people_mean"), F.count_if(F.col(people) <= 0).alias("people_invalid"), walked.alias("walk_ins"), share.alias("no_show_share"))
+    return out.withColumns({"lead_median": F.lit(q[0]).cast("double"), "lead_p90": F.lit(q[1]).cast("double"), "lead_p99": F.lit(q[2]).cast("double")})
 
 
 def unique_events(df: DataFrame, key: str = "event_id") -> DataFrame:

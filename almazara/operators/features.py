@@ -32,6 +32,12 @@ def daily_rolling(df: DataFrame, entity: Sequence[str], columns: Sequence[str],
     return df.withColumns(add)
 
 
+def centred_mean(df: DataFrame, entity: Sequence[str], column: str, days: int = 7, date: str = "date") -> DataFrame:
+    """``<c>__centred_mean_<days>`` over as many days before as after on the continuous daily series; for profiles only, it looks ahead."""
+    half = days // 2
+    return df.withColumn(f"{column}__centred_mean_{days}", F.avg(column).over(_over(entity, date).rowsBetween(-half, half)))
+
+
 def same_weekday(df: DataFrame, entity: Sequence[str], target: str, activity: str, date: str = "date") -> DataFrame:
     """Mean and count of the target on earlier days of the same weekday, and the share of them with activity (unknown counts as none)."""
     rows = df.withColumn("weekday_key", F.weekday(date))

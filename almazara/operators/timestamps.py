@@ -205,7 +205,7 @@ def _parsed(df: DataFrame, t: Typed, hint: Column | None) -> DataFrame:
 
 
 def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
-    """(*keep, row_id, value, utc_seconds, local_day, stated, status) of every row.
+    """(*keep, row_id, value, utc_seconds, local_day, stated, time_status) of every row.
 
     All formats are one regular expression, matched once a row; its components are written, the order of day
     and month is voted on per file from them, calendar ranges are checked (month, day of that month, hour,
@@ -216,7 +216,7 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
     that several zones use is that of the row's own zone if it uses it too. ``stated`` is true where the value
     itself fixed the instant.
 
-    ``status``: ``normal``; ``null``; ``unreadable`` (blank, or in no format); ``out_of_range`` (a date or
+    ``time_status``: ``normal``; ``null``; ``unreadable`` (blank, or in no format); ``out_of_range`` (a date or
     clock that doesn't exist); ``zone_unknown`` (a zone no one knows or several might be, or a local time of
     an unknown zone). Only normal rows have an instant and a day; local_day is null too where the value states
     its zone and the row has none.
@@ -252,7 +252,7 @@ def normalise(df: DataFrame, t: Typed, hint: Column | None = None) -> DataFrame:
         .when(F.col("utc").isNull(), "zone_unknown").otherwise("normal")
     )
     day = F.floor(F.when(F.col("stated"), utc_to_local(F.col("utc"), F.col("zone"))).when(F.col("utc").isNotNull(), F.col("wall")) / _DAY)
-    return read.select(*[F.col("kept")[c].alias(c) for c in t.keep], "row_id", "value", F.col("utc").alias("utc_seconds"), F.date_from_unix_date(day.cast("int")).alias("local_day"), "stated", status.alias("status"))
+    return read.select(*[F.col("kept")[c].alias(c) for c in t.keep], "row_id", "value", F.col("utc").alias("utc_seconds"), F.date_from_unix_date(day.cast("int")).alias("local_day"), "stated", status.alias("time_status"))
 
 
 @lru_cache(maxsize=1)

@@ -139,7 +139,7 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Every value of the three fields with its status, and its normal form if it has one."""
     out = normalise(_typed(spark, d), Typed("value", "row_id", "file", "zone", "position", ("table_name",)), F.col("hint")).where("value is not null")
     form = F.when(F.col("table_name") == "eventos", F.col("local_day").cast("string")).otherwise(instant_text(F.col("utc_seconds")))
-    return out.select("table_name", "row_id", "value", form.alias("normal_form"), "status")
+    return out.select("table_name", "row_id", "value", form.alias("normal_form"), F.col("time_status").alias("status"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -33,9 +33,13 @@ _R = lambda c, n=4: F.round(c, n).alias(c)
 # ------------------------------------------------------------------------------------------------ cleaning
 
 
-@query("select restaurant, status, people, count(*) as copies from reservas group by all")
+_RESERVATION_COLUMNS = ("restaurant", "source_file", "reservation_datetime", "created_datetime", "reservation_date", "status", "shift", "people", "origin", "reference_code")
+
+
+@query(f"select {', '.join(_RESERVATION_COLUMNS)}, count(*) as copies from reservas group by all")
 def clean_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return quality.exact_duplicates(table(spark, d, "reservas"), ["restaurant", "status", "people"])
+    """Rows equal in all columns but the row id, which is unique by definition."""
+    return quality.exact_duplicates(table(spark, d, "reservas"), _RESERVATION_COLUMNS)
 
 
 @query("""select venta_id, row_number() over (partition by restaurant, source_file, report_start, report_end, report_generated_on, terminal_start, terminal_end, turn, department_code, department_name, article_code, article_name, units, amount order by venta_id) > 1 as quality_exact_duplicate from ventas""")
@@ -116,7 +120,7 @@ def _outlier_sql(t: str, i: str, cols: list[str]) -> str:
     for c in cols:
         fence = f"coalesce(b{c} <> a{c} and ({c} < a{c} - 1.5 * (b{c} - a{c}) or {c} > b{c} + 1.5 * (b{c} - a{c})), false)"
         far = f"coalesce(d{c} <> 0 and abs(0.6745 * ({c} - m{c}) / d{c}) > 3.5, false)"
-        out.append(f"{fence} or {far} as {c}__outlier, case {fence}::int + {far}::int when 0 then 'none' when 1 then 'candidate' else 'strong' end as {c}__severity")
+        out.append(f"round(case when d{c} <> 0 then 0.6745 * ({c} - m{c}) / d{c} end, 6) as {c}__robust_z, {fence} or {far} as {c}__outlier, case {fence}::int + {far}::int when 0 then 'none' when 1 then 'candidate' else 'strong' end as {c}__severity")
     return f"with q as (select {q} from {t}), m as (select {mad} from {t}, q) select {i}, {', '.join(out)} from {t}, q, m"
 
 
@@ -124,7 +128,7 @@ def _outlier_sql(t: str, i: str, cols: list[str]) -> str:
 def clean_outliers(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "ventas").select("venta_id", "units", "amount")
     cols = quality.eligible_for_outliers(v, ["units", "amount"])
-    return quality.outlier_columns(v, cols).select("venta_id", *[f"{c}__{x}" for c in cols for x in ("outlier", "severity")])
+    return quality.outlier_columns(v, cols).select("venta_id", *[_R(f"{c}__robust_z", 6) for c in cols], *[f"{c}__{x}" for c in cols for x in ("outlier", "severity")])
 
 
 @query(f"""select 'units__outlier' as flag, count(*) filter (units__outlier) as flagged, count(*) filter (units__outlier) / count(*)::double as fraction from ({_outlier_sql("ventas", "venta_id", ["units", "amount"])})
@@ -188,11 +192,25 @@ def rules_events(spark: SparkSession, d: str) -> DataFrame:
     return rules.event_flags(table(spark, d, "eventos")).select("evento_row_id", "event_period__invalid", "event_duration__invalid", "event_day_number__invalid")
 
 
-@query("""select reserva_id, coalesce(people <= 0, false) as people__invalid, coalesce(people >= 8, false) as is_large_group, case when lead >= 0 then lead end as lead_time_hours, coalesce(lead < 0, false) as lead_time__invalid from
- (select reserva_id, people, (epoch(cast(reservation_datetime as timestamp)) - epoch(cast(reservation_date - 1 as timestamp))) / 3600 as lead from reservas)""")
+_WALK_IN_SQL = "coalesce(regexp_matches(trim(regexp_replace(strip_accents(lower(origin)), '\\s+', ' ', 'g')), 'walk|sin reserva|paso|puerta'), false)"
+_BOOKED_SQL = data_problems.P4_STEPS_SQL + f""", booked as (select row_id, timezone(zone, to_timestamp(uu)) as created from final where table_name = 'reservas' and u is not null),
+ raw as (select r.*, {_WALK_IN_SQL} as is_walk_in, date_diff('second', b.created, cast(r.reservation_datetime as timestamp)) / 3600.0 as raw_lead from reservas r left join booked b on b.row_id = r.reserva_id),
+ led as (select *, not is_walk_in and coalesce(raw_lead < 0, false) as lead_time__invalid, case when is_walk_in then 0 when raw_lead >= 0 then raw_lead end as lead_time_hours from raw)"""
+
+
+def _booked(spark: SparkSession, d: str) -> DataFrame:
+    """Reservations with their flags; the booking time is the normalised one on the clock of the place."""
+    zones = table(spark, d, "locales").where("restaurant is not null").groupBy("restaurant").agg(F.max("timezone").alias("zone"))
+    r = table(spark, d, "reservas").join(broadcast_if_small(zones), "restaurant", "left").withColumn("typed_file", F.concat_ws("/", F.lit("reservas"), "source_file"))
+    keep = ("restaurant", "people", "origin", "status", "reservation_datetime", "place")
+    out = timestamps.normalise(r.withColumn("place", F.col("zone")), timestamps.Typed("created_datetime", "reserva_id", "typed_file", "zone", keep=keep), F.unix_date("reservation_date"))
+    created = F.timestamp_seconds(timestamps.utc_to_local(F.col("utc_seconds"), F.col("place")))
+    return rules.reservation_flags(out.withColumn("created", created).withColumnRenamed("row_id", "reserva_id"), "created", "reservation_datetime")
+
+
+@query(_BOOKED_SQL + """ select reserva_id, coalesce(people <= 0, false) as people__invalid, coalesce(people >= 8, false) as is_large_group, is_walk_in, round(lead_time_hours, 6) as lead_time_hours, lead_time__invalid from led""")
 def rules_reservations(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reservas").select("reserva_id", "people", F.lit(None).cast("string").alias("origin"), "reservation_datetime", F.date_sub("reservation_date", 1).alias("created"))
-    return rules.reservation_flags(r, "created", "reservation_datetime").select("reserva_id", "people__invalid", "is_large_group", "lead_time_hours", "lead_time__invalid")
+    return _booked(spark, d).select("reserva_id", "people__invalid", "is_large_group", "is_walk_in", _R("lead_time_hours", 6), "lead_time__invalid")
 
 
 # ------------------------------------------------------------------------------------------------ daily
@@ -244,7 +262,7 @@ def local_hours(hours: DataFrame, places: DataFrame) -> DataFrame:
     zones = places.where("event_location is not null").groupBy("event_location").agg(F.max("timezone").alias("place_zone"))
     rows = hours.join(broadcast_if_small(files), "source_file", "left").join(broadcast_if_small(zones), "event_location", "left").withColumn("zone", F.coalesce("timezone", "file_zone", "place_zone"))
     typed = timestamps.Typed("time", "mh_id", "source_file", "zone", keep=("event_location", "rain_mm", "temperature_2m"))
-    return timestamps.normalise(rows, typed).where("status = 'normal'").withColumnRenamed("local_day", "date")
+    return timestamps.normalise(rows, typed).where("time_status = 'normal'").withColumnRenamed("local_day", "date")
 
 
 @query(data_problems.P4_STEPS_SQL + """, h as (
@@ -317,10 +335,14 @@ def daily_canonical_revenue(spark: SparkSession, d: str) -> DataFrame:
     return daily.canonical_revenue(rows).select("diaria_id", "facturacion", "facturacion_source")
 
 
-@query("""select 'reservas' as source, count(*) as rows, 11 as columns, min(reservation_date) as first_day, max(reservation_date) as last_day from reservas
-union all select 'ventas', count(*), 15, least(min(report_start), min(report_end)), greatest(max(report_start), max(report_end)) from ventas""")
+def _missing_sql(columns: tuple[str, ...]) -> str:
+    return " + ".join(f"(count(*) - count({c}))" for c in columns)
+
+
+@query(f"""select 'reservas' as source, count(*) as rows, 11 as columns, min(reservation_date) as first_day, max(reservation_date) as last_day, {_missing_sql(("reserva_id", *_RESERVATION_COLUMNS))} as missing_cells from reservas
+union all select 'ventas', count(*), 15, least(min(report_start), min(report_end)), greatest(max(report_start), max(report_end)), {_missing_sql(tuple(_VENTAS_COLUMNS))} from ventas""")
 def daily_source_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return daily.source_coverage({"reservas": (table(spark, d, "reservas"), ["reservation_date"]), "ventas": (table(spark, d, "ventas"), ["report_start", "report_end"])}).drop("missing_cells")
+    return daily.source_coverage({"reservas": (table(spark, d, "reservas"), ["reservation_date"]), "ventas": (table(spark, d, "ventas"), ["report_start", "report_end"])})
 
 
 # ------------------------------------------------------------------------------------------------ panel
@@ -374,23 +396,30 @@ def panel_enriched(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ features
 
+_SPINE_SQL = f"l as ({_LATEST_DAY_SQL}), spine as (select restaurant, unnest(generate_series(min(date), max(date), interval 1 day))::date as date from l group by 1), days as (select s.restaurant, s.date, l.num_tickets, case when isnan(l.facturacion) then null else l.facturacion end as facturacion from spine s left join l using (restaurant, date))"
 _DAILY_SQL = f"l as ({_LATEST_DAY_SQL}), days as (select restaurant, date, num_tickets, tiene_evento, case when isnan(facturacion) then null else facturacion end as facturacion from l)"
 
 
-@query(f"with {_DAILY_SQL} select restaurant, date, " + ", ".join(f"lag(num_tickets, {k}) over w as num_tickets__lag_{k}" for k in (1, 7, 14, 28)) + " from days window w as (partition by restaurant order by date)")
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """The days of each restaurant without holes, from the latest version of each; a day without a row is unknown."""
+    latest = _latest_days(spark, d).select("restaurant", "date", "num_tickets", "facturacion")
+    return daily.calendar(latest, ["restaurant"], "date").join(latest, ["restaurant", "date"], "left")
+
+
+@query(f"with {_SPINE_SQL} select restaurant, date, " + ", ".join(f"lag(num_tickets, {k}) over w as num_tickets__lag_{k}" for k in (1, 7, 14, 28)) + " from days window w as (partition by restaurant order by date)")
 def feat_daily_lags(spark: SparkSession, d: str) -> DataFrame:
-    return features.daily_lags(_latest_days(spark, d), ["restaurant"], ["num_tickets"]).select("restaurant", "date", *[f"num_tickets__lag_{k}" for k in (1, 7, 14, 28)])
+    return features.daily_lags(_series(spark, d), ["restaurant"], ["num_tickets"]).select("restaurant", "date", *[f"num_tickets__lag_{k}" for k in (1, 7, 14, 28)])
 
 
-@query(f"with {_DAILY_SQL} select restaurant, date, " + ", ".join(f"round(avg(num_tickets) over w{k}, 6) as mean_{k}, round(stddev_samp(num_tickets) over w{k}, 6) as std_{k}, count(num_tickets) over w{k} as count_{k}" for k in (7, 14, 28)) + " from days window " + ", ".join(f"w{k} as (partition by restaurant order by date rows between {k} preceding and 1 preceding)" for k in (7, 14, 28)))
+@query(f"with {_SPINE_SQL} select restaurant, date, " + ", ".join(f"round(avg(num_tickets) over w{k}, 6) as mean_{k}, round(stddev_samp(num_tickets) over w{k}, 6) as std_{k}, count(num_tickets) over w{k} as count_{k}" for k in (7, 14, 28)) + " from days window " + ", ".join(f"w{k} as (partition by restaurant order by date rows between {k} preceding and 1 preceding)" for k in (7, 14, 28)))
 def feat_daily_rolling(spark: SparkSession, d: str) -> DataFrame:
-    out = features.daily_rolling(_latest_days(spark, d), ["restaurant"], ["num_tickets"])
+    out = features.daily_rolling(_series(spark, d), ["restaurant"], ["num_tickets"])
     return out.select("restaurant", "date", *[x for k in (7, 14, 28) for x in (F.round(f"num_tickets__rolling_mean_{k}", 6).alias(f"mean_{k}"), F.round(f"num_tickets__rolling_std_{k}", 6).alias(f"std_{k}"), F.col(f"num_tickets__rolling_count_{k}").alias(f"count_{k}"))])
 
 
-@query(f"with {_DAILY_SQL} select restaurant, date, round(avg(facturacion) over w, 8) as mean_prior, count(facturacion) over w as count_prior, round(avg(case when coalesce(num_tickets, 0) > 0 then 1.0 else 0.0 end) over w, 6) as rate_prior from days window w as (partition by restaurant, isodow(date) order by date rows between unbounded preceding and 1 preceding)")
+@query(f"with {_SPINE_SQL} select restaurant, date, round(avg(facturacion) over w, 8) as mean_prior, count(facturacion) over w as count_prior, round(avg(case when coalesce(num_tickets, 0) > 0 then 1.0 else 0.0 end) over w, 6) as rate_prior from days window w as (partition by restaurant, isodow(date) order by date rows between unbounded preceding and 1 preceding)")
 def feat_same_weekday(spark: SparkSession, d: str) -> DataFrame:
-    out = features.same_weekday(_latest_days(spark, d), ["restaurant"], "facturacion", "num_tickets")
+    out = features.same_weekday(_series(spark, d), ["restaurant"], "facturacion", "num_tickets")
     return out.select("restaurant", "date", F.round("facturacion__same_weekday_mean_prior", 8).alias("mean_prior"), F.col("facturacion__same_weekday_count_prior").alias("count_prior"), F.round("num_tickets__same_weekday_positive_rate_prior", 6).alias("rate_prior"))
 
 
@@ -657,18 +686,21 @@ def ops_forecast_summary(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ profiles
 
 
-@query("""select 'reservas' as dataset, count(*) as rows, 11 as columns, count(*) - (select count(*) from (select distinct * from reservas)) as duplicate_rows, min(reservation_date) as first_day, max(reservation_date) as last_day from reservas
- union all select 'articulos', count(*), 8, count(*) - (select count(*) from (select distinct * from articulos)), min(valid_from), max(valid_from) from articulos""")
+_ARTICLE_COLUMNS = ("source_file", "article_code", "article_name", "article_short_name", "department_code", "price", "valid_from", "valid_to")
+
+
+@query(f"""select 'reservas' as dataset, count(*) as rows, 11 as columns, {_missing_sql(("reserva_id", *_RESERVATION_COLUMNS))} as missing_cells, count(*) - (select count(*) from (select distinct * from reservas)) as duplicate_rows, min(reservation_date) as first_day, max(reservation_date) as last_day from reservas
+ union all select 'articulos', count(*), 8, {_missing_sql(_ARTICLE_COLUMNS)}, count(*) - (select count(*) from (select distinct * from articulos)), min(valid_from), max(valid_from) from articulos""")
 def eda_dataset_summary(spark: SparkSession, d: str) -> DataFrame:
-    return eda.dataset_summary({"reservas": table(spark, d, "reservas"), "articulos": table(spark, d, "articulos")}, {"reservas": "reservation_date", "articulos": "valid_from"}).drop("missing_cells")
+    return eda.dataset_summary({"reservas": table(spark, d, "reservas"), "articulos": table(spark, d, "articulos")}, {"reservas": "reservation_date", "articulos": "valid_from"})
 
 
 _NUM = ("units", "amount")
 
 
-@query(" union all ".join(f"select '{c}' as \"column\", count({c}) as non_null, count(*) - count({c}) as missing, min({c}) as min, quantile_cont({c}, 0.25) as q25, median({c}) as median, round(avg({c}), 6) as mean, quantile_cont({c}, 0.75) as q75, max({c}) as max, round(stddev_samp({c}), 6) as std from ventas" for c in _NUM))
+@query(" union all ".join(f"select '{c}' as \"column\", 'numeric' as role, count({c}) as non_null, count(*) - count({c}) as missing, min({c}) as min, quantile_cont({c}, 0.25) as q25, median({c}) as median, round(avg({c}), 6) as mean, quantile_cont({c}, 0.75) as q75, max({c}) as max, round(stddev_samp({c}), 6) as std from ventas" for c in _NUM))
 def eda_column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return eda.column_profile(table(spark, d, "ventas").select(*_NUM)).select("column", "non_null", "missing", "min", "q25", "median", _R("mean", 6), "q75", "max", _R("std", 6))
+    return eda.column_profile(table(spark, d, "ventas").select(*_NUM)).select("column", "role", "non_null", "missing", "min", "q25", "median", _R("mean", 6), "q75", "max", _R("std", 6))
 
 
 _CATS = ("status", "shift", "origin")
@@ -713,9 +745,11 @@ def eda_article_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("restaurant", "article_code", _R("units_total", 2), "units_median", "periods_observed", _R("period_coverage", 6), _R("unit_share", 6), _R("cumulative_share", 6))
 
 
-@query(f"""select restaurant, article_code, arg_max(article_name, (report_end, report_start, article_name)) filter (article_name is not null) as article_name_latest, count(distinct article_name) as article_name_values, count(distinct article_name) > 1 as article_name_changed from ventas where {_VALID} group by 1, 2""")
+@query(f"""with n as (select restaurant, article_code, article_name, count(*) as n from ventas where {_VALID} and article_name is not null group by 1, 2, 3), m as (select restaurant, article_code, article_name as article_name_mode from n qualify row_number() over (partition by restaurant, article_code order by n desc, article_name) = 1)
+ select v.restaurant, v.article_code, arg_max(article_name, (report_end, report_start, article_name)) filter (article_name is not null) as article_name_latest, max(article_name_mode) as article_name_mode, count(distinct article_name) as article_name_values, count(distinct article_name) > 1 as article_name_changed
+ from ventas v left join m using (restaurant, article_code) where {_VALID} group by 1, 2""")
 def eda_latest_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return panel.latest_metadata(table(spark, d, "ventas").where(_VALID), _E, ["article_name"]).select(*_E, "article_name_latest", "article_name_values", "article_name_changed")
+    return panel.latest_metadata(table(spark, d, "ventas").where(_VALID), _E, ["article_name"]).select(*_E, "article_name_latest", "article_name_mode", "article_name_values", "article_name_changed")
 
 
 @query(f"with {_PANEL_SQL} select restaurant, report_start, report_end, round(sum(units), 2) as units, round(sum(amount), 2) as amount, count(distinct article_code) as articles, report_end - report_start + 1 as period_days, round(sum(units) / (report_end - report_start + 1), 6) as units_per_day from panel group by 1, 2, 3")
@@ -724,10 +758,11 @@ def eda_period_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.select("restaurant", "report_start", "report_end", _R("units", 2), _R("amount", 2), "articles", "period_days", _R("units_per_day", 6))
 
 
-@query("""select count(*) as reservations, sum(people) as people, count(*) filter (people <= 0) as people_invalid, quantile_cont(lead, 0.9) as lead_p90, quantile_cont(lead, 0.99) as lead_p99 from (select people, (epoch(cast(reservation_datetime as timestamp)) - epoch(cast(reservation_date as timestamp))) / 3600 as lead from reservas)""")
+@query(_BOOKED_SQL + f""" select count(*) as reservations, sum(people) as people, count(*) filter (people <= 0) as people_invalid, count(*) filter (is_walk_in) as walk_ins, round(count(*) filter (s = 'no_show') / count(*)::double, 6) as no_show_share,
+ round(quantile_cont(lead_time_hours, 0.5), 6) as lead_median, round(quantile_cont(lead_time_hours, 0.9), 6) as lead_p90, round(quantile_cont(lead_time_hours, 0.99), 6) as lead_p99 from (select *, {_STATUS_SQL} as s from led)""")
 def eda_reservation_summary(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reservas").withColumn("lead_time_hours", (F.unix_seconds(F.col("reservation_datetime").cast("timestamp")) - F.unix_seconds(F.col("reservation_date").cast("timestamp"))) / 3600)
-    return eda.reservation_summary(r).select("reservations", "people", "people_invalid", "lead_p90", "lead_p99")
+    out = eda.reservation_summary(_booked(spark, d), no_show=F.coalesce(slug(F.col("status")) == "no_show", F.lit(False)))
+    return out.select("reservations", "people", "people_invalid", "walk_ins", _R("no_show_share", 6), *[_R(c, 6) for c in ("lead_median", "lead_p90", "lead_p99")])
 
 
 @query("""with u as (select event_id, max(event_end) - min(event_start) + 1 as d, max(event_intensity) as i from eventos where event_id is not null group by 1) select count(*) as events, round(avg(d), 6) as duration_mean, median(d) as duration_median, max(d) as duration_max, count(*) filter (d > 7) as longer_than_7, count(*) filter (d > 30) as longer_than_30, count(*) filter (i >= 4) as strong from u""")
@@ -821,12 +856,10 @@ def sort_top_with_nulls_last(spark: SparkSession, d: str) -> DataFrame:
     return top.select("restaurant", "article_code", "units", F.col("place").cast("long").alias("place"))
 
 
-@query(f"with {_DAILY_SQL} select restaurant, date, round(avg(facturacion) over (partition by restaurant order by date rows between 3 preceding and 3 following), 8) as centred_7 from days")
+@query(f"with {_SPINE_SQL} select restaurant, date, round(avg(facturacion) over (partition by restaurant order by date rows between 3 preceding and 3 following), 8) as centred_7 from days")
 def eda_centred_mean(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("restaurant").orderBy("date").rowsBetween(-3, 3)
-    return _latest_days(spark, d).select("restaurant", "date", F.round(F.avg("facturacion").over(w), 8).alias("centred_7"))
+    out = features.centred_mean(_series(spark, d), ["restaurant"], "facturacion", 7)
+    return out.select("restaurant", "date", F.round("facturacion__centred_mean_7", 8).alias("centred_7"))
 
 
 @query(f"""with {_PANEL_SQL}, a as (select article_code, sum(units) as u, count(distinct (restaurant, report_start, report_end)) as n from panel group by 1), t as (select count(distinct (restaurant, report_start, report_end)) as n, sum(units) as u from panel), r as (select article_code, a.u / t.u as share, a.n / t.n::double as cov, row_number() over (order by a.u desc, article_code) as place from a, t)

@@ -110,8 +110,8 @@ def _normal(spark, values, zone="Europe/Madrid", file="f", position=False):
     rows = [(i, v, file, zone, i, "x", 1, 2, "y") for i, v in enumerate(values)]
     t = timestamps.Typed("v", "id", "file", "zone", "pos" if position else None)
     out = timestamps.normalise(spark.createDataFrame(rows, TYPED), t).withColumn("text", timestamps.instant_text(F.col("utc_seconds"))).collect()
-    assert len(out) == len(values) and all((r.status == "normal") == (r.utc_seconds is not None) for r in out)
-    return {r.row_id: (r.text, r.local_day, r.status) for r in out}
+    assert len(out) == len(values) and all((r.time_status == "normal") == (r.utc_seconds is not None) for r in out)
+    return {r.row_id: (r.text, r.local_day, r.time_status) for r in out}
 
 
 def test_formats(spark):
