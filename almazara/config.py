@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import SparkSession
+
+from almazara.sources import files
+
 
 def _positive(o: object, *names: str) -> None:
     for n in names:
@@ -33,9 +37,11 @@ class RunOptions:
     def __post_init__(self) -> None:
         if not any(getattr(self, f.name) for f in fields(self) if f.name.startswith("do_")):
             raise ValueError("at least one stage must run")
-        if self.do_ingest and not self.do_depuration and (self.do_eda or self.do_features):
-            raise ValueError("newly ingested data must be cleaned before profiles or features")
-        if self.do_operational and self.do_features and not self.do_modeling:
+        if self.do_ingest and not self.do_depuration and (self.do_eda or self.do_features or self.do_modeling or self.do_operational):
+            raise ValueError("newly ingested data must be cleaned before any later stage")
+        if self.do_depuration and not self.do_features and (self.do_modeling or self.do_operational):
+            raise ValueError("newly cleaned data need new features before models or a forecast")
+        if self.do_features and not self.do_modeling and self.do_operational:
             raise ValueError("new features need new models before a forecast")
         if self.source_when_ingest_disabled not in ("auto", "bronze", "structured"):
             raise ValueError("source_when_ingest_disabled is auto, bronze or structured")
@@ -61,6 +67,45 @@ class CleaningRules:
         _positive(self, "iqr_multiplier", "robust_z_threshold", "min_rows_for_outliers", "min_unique_for_outliers", "large_group_people")
 
 
+@dataclass(frozen=True)
+class IntegrationRules:
+    build_daily: bool = True
+    build_panel: bool = True
+    keep_invitations: bool = True
+    prefer_tickets: bool = True
+    shifts: tuple[str, ...] = ("comida", "cena")
+    statuses: tuple[str, ...] = ()
+    expected_days_weight: str = "rows"
+
+    def __post_init__(self) -> None:
+        if not (self.build_daily or self.build_panel):
+            raise ValueError("at least one gold table must be built")
+        if self.expected_days_weight not in ("rows", "periods"):
+            raise ValueError("expected_days_weight is rows or periods")
+
+
+@dataclass(frozen=True)
+class EDARules:
+    most_categories: int = 30
+    top_categories: int = 15
+    min_pairs: int = 20
+    top_correlations: int = 25
+    leakage: float = 0.995
+    low_activity: float = 0.25
+    min_weekdays: int = 4
+
+    def __post_init__(self) -> None:
+        _positive(self, "most_categories", "top_categories", "min_pairs", "top_correlations", "min_weekdays")
+        _fraction(self, "leakage", "low_activity")
+
+
+@dataclass(frozen=True)
+class FutureContextRules:
+    include_events: bool = True
+    include_holidays: bool = True
+    include_weather: bool = True
+
+
 @dataclass(frozen=True)
 class FeatureRules:
     daily_lags: tuple[int, ...] = (1, 7, 14, 28)
@@ -94,6 +139,7 @@ class ModelingRules:
     adaptive_min_global_rows: int = 50
     default_model: str = "expanding_mean"
     evaluate_final_test: bool = True
+    identifiers: tuple[str, ...] = ("department_code",)
 
     def __post_init__(self) -> None:
         _fraction(self, "final_test_fraction", "cv_validation_fraction")
@@ -121,9 +167,9 @@ class Paths:
     def of(self, layer: str) -> str:
         return os.path.join(self.root, self.raw if layer == "raw" else f"data/{layer}" if layer in ("bronze", "silver", "gold", "features") else layer)
 
-    def prepare(self) -> None:
+    def prepare(self, spark: SparkSession) -> None:
         for layer in ("bronze", "silver", "gold", "features", "reports"):
-            os.makedirs(self.of(layer), exist_ok=True)
+            files.make_folder(spark, self.of(layer))
 
 
 @dataclass(frozen=True)
@@ -134,7 +180,11 @@ class PipelineConfig:
     features: FeatureRules = field(default_factory=FeatureRules)
     modeling: ModelingRules = field(default_factory=ModelingRules)
     operational: OperationalRules = field(default_factory=OperationalRules)
+    integration: IntegrationRules = field(default_factory=IntegrationRules)
+    eda: EDARules = field(default_factory=EDARules)
+    future: FutureContextRules = field(default_factory=FutureContextRules)
     structured_inputs: dict[str, str] = field(default_factory=dict)
+    weather_forecast: str | None = None
 
     def source(self) -> str:
         """Where a run without ingestion takes its tables from."""
@@ -145,16 +195,26 @@ class PipelineConfig:
             return "structured" if self.structured_inputs else "bronze"
         return choice
 
-    def problems(self) -> list[str]:
-        """What is missing on disk for the chosen stages."""
+    def problems(self, spark: SparkSession) -> list[str]:
+        """What is missing for the chosen stages: raw or structured inputs, and the layers that no stage makes anew."""
         out, o = [], self.options
-        if o.do_ingest and not os.path.isdir(self.paths.of("raw")):
+        there = lambda layer: any(n.endswith(".parquet") for n in files.names(spark, self.paths.of(layer)))
+        if o.do_ingest and not files.exists(spark, self.paths.of("raw")):
             out.append("the raw folder is missing")
-        elif o.do_depuration and not o.do_ingest and self.source() == "bronze" and not os.path.isdir(self.paths.of("bronze")):
+        elif o.do_depuration and not o.do_ingest and self.source() == "bronze" and not there("bronze"):
             out.append("there is no bronze layer to clean")
-        out += [f"{n}: {p} is missing" for n, p in self.structured_inputs.items() if self.source() == "structured" and not os.path.exists(p)]
-        if not o.do_depuration and (o.do_features or o.do_eda) and not os.path.isdir(self.paths.of("gold")):
+        if not o.do_ingest and self.source() == "structured":
+            out += [f"{n}: {p} is missing" for n, p in self.structured_inputs.items() if not files.exists(spark, p)]
+            if o.do_depuration and not self.structured_inputs:
+                out.append("no structured inputs are named")
+        if not o.do_depuration and (o.do_features or o.do_eda or o.do_operational) and not there("gold"):
             out.append("there is no gold layer")
+        if not o.do_features and (o.do_modeling or o.do_operational) and not there("features"):
+            out.append("there are no feature tables")
+        if o.do_operational and not o.do_modeling and not files.exists(spark, os.path.join(self.paths.of("reports"), "model_frozen_mapping.parquet")):
+            out.append("there is no frozen mapping")
+        if self.weather_forecast and not files.exists(spark, self.weather_forecast):
+            out.append("the weather forecast is missing")
         return out
 
     def summary(self) -> dict:

@@ -12,10 +12,13 @@ from almazara.functions.text import slug_name
 # Texts that stand for a null (compared in lower case, trimmed).
 NULL_TOKENS = ("", "nan", "none", "null", "n/a", "na", "<na>")
 # Boolean words, by dialect.
-BOOLEAN_WORDS: dict[str, dict[bool, str]] = {
-    "features": {True: "true 1 yes si sí", False: "false 0 no"},
-    "context": {True: "true 1 yes y si sí", False: "false 0 no n"},
-    "scope": {True: "true 1 yes y si sí active activo enabled habilitado", False: "false 0 no n inactive inactivo disabled deshabilitado"},
+BOOLEAN_WORDS: dict[str, dict[bool, tuple[str, ...]]] = {
+    "features": {True: ("true", "1", "yes", "si", "sí"), False: ("false", "0", "no")},
+    "context": {True: ("true", "1", "yes", "y", "si", "sí"), False: ("false", "0", "no", "n")},
+    "scope": {
+        True: ("true", "1", "yes", "y", "si", "sí", "active", "activo", "enabled", "habilitado"),
+        False: ("false", "0", "no", "n", "inactive", "inactivo", "disabled", "deshabilitado"),
+    },
 }
 # Calendar patterns in the order they are tried.
 DAY_PATTERNS = (
@@ -57,9 +60,13 @@ def decimal_token(c: Column) -> Column:
 
 
 def day(c: Column) -> Column:
-    """A day by the first pattern of DAY_PATTERNS that fits; ISO text is never read day first."""
-    t = F.trim(c)
-    out = F.lit(None).cast("date")
+    """A day by the first pattern of DAY_PATTERNS that fits; ISO text is never read day first.
+
+    A timestamp in ISO form is its day, and a bare number of five digits the day a spreadsheet counts from 1899-12-30.
+    """
+    t = F.regexp_replace(F.trim(c), r"^(\d{4}-\d{2}-\d{2})[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$", "$1")
+    counted = F.when(t.rlike(r"^[1-9]\d{4}(\.0*)?$"), F.regexp_extract(t, r"^(\d+)", 1).try_cast("int"))
+    out = F.date_add(F.lit("1899-12-30").cast("date"), counted)
     for shape, pattern in reversed(DAY_PATTERNS):
         out = F.when(t.rlike(shape), F.try_to_date(t, pattern)).otherwise(out)
     return out
@@ -69,7 +76,7 @@ def boolean(c: Column, dialect: str = "features") -> Column:
     """A boolean word of the dialect; other text is null."""
     t = F.lower(F.trim(c))
     words = BOOLEAN_WORDS[dialect]
-    return F.when(t.isin(*words[True].split()), True).when(t.isin(*words[False].split()), False)
+    return F.when(t.isin(*words[True]), True).when(t.isin(*words[False]), False)
 
 
 def slug_columns(df: DataFrame) -> DataFrame:
@@ -84,9 +91,9 @@ def slug_columns(df: DataFrame) -> DataFrame:
 
 #: How columns are typed by name.
 NAMED_TYPES: dict[str, str] = {
-    **dict.fromkeys("date report_start report_end report_generated_on reservation_date created_date event_start event_end".split(), "date"),
-    **dict.fromkeys("datetime reservation_datetime created_datetime".split(), "timestamp_ntz"),
-    **dict.fromkeys("units amount price people tip document_total document_amount receipt_count base vat total cash_amount card_amount event_intensity confidence".split(), "double"),
+    **dict.fromkeys(("date", "report_start", "report_end", "report_generated_on", "reservation_date", "created_date", "event_start", "event_end"), "date"),
+    **dict.fromkeys(("datetime", "reservation_datetime", "created_datetime"), "timestamp_ntz"),
+    **dict.fromkeys(("units", "amount", "price", "people", "tip", "document_total", "document_amount", "receipt_count", "base", "vat", "total", "cash_amount", "card_amount", "event_intensity", "confidence"), "double"),
 }
 
 
@@ -102,10 +109,13 @@ def assert_types(df: DataFrame, types: Mapping[str, str] = NAMED_TYPES) -> DataF
     return df.select(*[cast(c).alias(c) if c in types and have[c] != types[c] else F.col(c) for c in df.columns])
 
 
-def numeric_codes(df: DataFrame, columns: Sequence[str] | None = None, least: float = 0.95) -> DataFrame:
-    """Text identifier columns turned to long where at least ``least`` of the non-null values are numbers (one aggregate for all)."""
+def numeric_codes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Text identifier columns turned to long where every non-null value is a whole number that reads back as it was written
+    (one aggregate for all); others stay text, so no code is lost. ``12.0``, as spreadsheets write it, counts as 12."""
     cols = [c for c, t in df.dtypes if t == "string" and (c in columns if columns is not None else is_identifier(c))]
     if not cols:
         return df
-    ok = df.agg(*[F.try_divide(F.count(F.col(c).try_cast("double")), F.count(c)).alias(c) for c in cols]).first()
-    return df.withColumns({c: F.col(c).try_cast("double").try_cast("long") for c in cols if ok[c] is not None and ok[c] >= least})
+    bare = lambda c: F.regexp_replace(F.trim(c), r"\.0$", "")
+    number = lambda c: F.when(bare(c).rlike(r"^(0|-?[1-9]\d{0,17})$"), bare(c)).try_cast("long")
+    ok = df.agg(*[((F.count(number(c)) == F.count(c)) & (F.count(c) > 0)).alias(c) for c in cols]).first()
+    return df.withColumns({c: number(c) for c in cols if ok[c]})

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Parts of column names by which a family is recognised (substrings).
-WEATHER = "temperature temperatura precipitation precipitacion rain lluvia snow nieve wind viento sunshine solar humidity humedad weather meteo".split()
-EVENT_OR_HOLIDAY = "event evento festiv holiday".split()
-RESERVATION = "reserva reservation comensal guest lead_time tamano_grupo group_size no_show cancel_rate walk_in".split()
-OUTCOME = "facturacion revenue ticket_ num_ticket factura invoice comprobante receipt efectivo tarjeta cash_ card_".split()
+WEATHER = (
+    "temperature", "temperatura", "precipitation", "precipitacion", "rain", "lluvia", "snow", "nieve", "wind", "viento", "sunshine", "solar", "humidity", "humedad", "weather", "meteo",
+)
+EVENT_OR_HOLIDAY = ("event", "evento", "festiv", "holiday")
+RESERVATION = ("reserva", "reservation", "comensal", "guest", "lead_time", "tamano_grupo", "group_size", "no_show", "cancel_rate", "walk_in")
+OUTCOME = ("facturacion", "revenue", "ticket_", "num_ticket", "factura", "invoice", "comprobante", "receipt", "efectivo", "tarjeta", "cash_", "card_")
 CALENDAR = {"year", "month", "quarter", "day_of_month", "day_of_week_num", "day_of_week", "week_of_year", "is_weekend", "is_month_start", "is_month_end", "week_sin", "week_cos"}
 SCHEMA = "dataset string, column string, dtype string, feature_dtype string, origin string, role string, availability string, safe_default boolean, reason string"
 

@@ -73,11 +73,12 @@ def events_in_horizon(events: DataFrame, start: Column, end: Column, key: Sequen
     )
 
 
-def future_context(days: DataFrame, events: DataFrame, holidays: DataFrame | None = None, weather: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:
+def future_context(days: DataFrame, events: DataFrame | None = None, holidays: DataFrame | None = None, weather: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:
     """Days of the horizon with events (none is 0 and false), holidays, and forecast weather where given."""
-    out = days.join(events, [*key, "date"], "left")
-    zero = {"tiene_evento": F.coalesce("tiene_evento", F.lit(False)), "num_eventos": F.coalesce("num_eventos", F.lit(0)), "event_intensity_mean": F.coalesce("event_intensity_mean", F.lit(0.0)), "event_intensity_max": F.coalesce("event_intensity_max", F.lit(0.0))}
-    out = out.withColumns(zero)
+    out = days
+    if events is not None:
+        zero = {"tiene_evento": F.coalesce("tiene_evento", F.lit(False)), "num_eventos": F.coalesce("num_eventos", F.lit(0)), "event_intensity_mean": F.coalesce("event_intensity_mean", F.lit(0.0)), "event_intensity_max": F.coalesce("event_intensity_max", F.lit(0.0))}
+        out = out.join(events, [*key, "date"], "left").withColumns(zero)
     if holidays is not None:
         out = out.join(holidays, [*key, "date"], "left").withColumns({"es_festivo": F.coalesce("es_festivo", F.lit(False)), "num_festivos": F.coalesce("num_festivos", F.lit(0))})
     return out.join(weather, [*key, "date"], "left") if weather is not None else out
@@ -127,6 +128,26 @@ def combine_catalogues(master: DataFrame, menu: DataFrame, observed: DataFrame,
     return every.groupBy(key).agg(*[F.bool_or(c).alias(c) for c in ("in_article_master", "in_menu", "observed_in_any_history")])
 
 
+def audit_catalogue(catalogue: DataFrame, profile: DataFrame, key: str = "article_code") -> DataFrame:
+    """Every code of the catalogue with its history, if it has one; codes are compared as text."""
+    return catalogue.join(profile.withColumn(key, F.col(key).cast("string")), key, "left")
+
+
+def forecast_summary(forecast: DataFrame, group: Sequence[str] = (), value: str = "predicted_units", top: int = 20) -> DataFrame:
+    """Per group: articles, predicted total, the largest ``top`` articles' units and share, fallbacks, articles of class A."""
+    best = F.col("forecast_rank") <= top
+    fallback = F.count_if(F.coalesce(F.col("used_prediction_fallback"), F.lit(False))) if "used_prediction_fallback" in forecast.columns else F.lit(None).cast("long")
+    return forecast.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("articles"), F.sum(value).alias("predicted_total"), F.sum(F.when(best, F.col(value))).alias("top_units"), F.sum(F.when(best, F.col("forecast_share"))).alias("top_share"),
+        fallback.alias("fallback_articles"), F.count_if(F.col("planning_class") == "A").alias("class_a"),
+    )
+
+
+def usage(forecast: DataFrame, column: str) -> DataFrame:
+    """(column, articles): how often each model or regime was used."""
+    return forecast.groupBy(column).agg(F.count(F.lit(1)).alias("articles"))
+
+
 def rank_forecast(forecast: DataFrame, group: Sequence[str], article: str, value: str = "predicted_units", a: float = 0.8, b: float = 0.95) -> DataFrame:
     """Rank (largest first, ties by code), share, running share, class A/B/C by the running share before the row, units rounded half to even."""
     w = Window.partitionBy(*group) if group else Window.partitionBy()

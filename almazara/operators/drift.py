@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,20 +12,20 @@ from almazara.functions.text import slug
 from almazara.session import cut
 
 # The names under which one field is known, by dataset and canonical field.
-ALIASES: dict[str, dict[str, str]] = {
+ALIASES: dict[str, dict[str, tuple[str, ...]]] = {
     "ventas": {
-        "article_code": "article_code articulo codigo cod_articulo codigo_articulo",
-        "article_name": "article_name nombre_articulo descripcion",
-        "department_code": "department_code cod_departamento_venta departamento seccion codigo_departamento",
-        "units": "units unidades cantidad uds",
-        "amount": "amount importe importe_total total_linea venta_eur",
+        "article_code": ("article_code", "articulo", "codigo", "cod_articulo", "codigo_articulo"),
+        "article_name": ("article_name", "nombre_articulo", "descripcion"),
+        "department_code": ("department_code", "cod_departamento_venta", "departamento", "seccion", "codigo_departamento"),
+        "units": ("units", "unidades", "cantidad", "uds"),
+        "amount": ("amount", "importe", "importe_total", "total_linea", "venta_eur"),
     },
     "eventos": {
-        "event_id": "event_id id_evento evento_id",
-        "event_name": "event_name evento nombre nombre_evento evento_nombre titulo",
-        "event_start": "event_start fecha_inicio desde",
-        "event_end": "event_end fecha_fin hasta",
-        "event_intensity": "event_intensity intensidad intensidad_sugerida nivel_intensidad",
+        "event_id": ("event_id", "id_evento", "evento_id"),
+        "event_name": ("event_name", "evento", "nombre", "nombre_evento", "evento_nombre", "titulo"),
+        "event_start": ("event_start", "fecha_inicio", "desde"),
+        "event_end": ("event_end", "fecha_fin", "hasta"),
+        "event_intensity": ("event_intensity", "intensidad", "intensidad_sugerida", "nivel_intensidad"),
     },
 }
 
@@ -80,9 +80,9 @@ def footers(lines: DataFrame) -> DataFrame:
     ))
 
 
-def canonical(dataset: Column, field: Column, aliases: Mapping[str, Mapping[str, str]] = ALIASES) -> Column:
+def canonical(dataset: Column, field: Column, aliases: Mapping[str, Mapping[str, Sequence[str]]] = ALIASES) -> Column:
     """The canonical name of a field by the alias table; a name outside it is its own."""
-    pairs = {f"{d} {name}": c for d, fields in aliases.items() for c, names in fields.items() for name in names.split()}
+    pairs = {f"{d} {name}": c for d, fields in aliases.items() for c, names in fields.items() for name in names}
     table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.concat_ws(" ", dataset, field)), field)
 
@@ -93,7 +93,7 @@ def _numbered(footer: DataFrame) -> DataFrame:
     return files.select("feed", "source_file", F.row_number().over(Window.partitionBy("feed").orderBy("file_date", "source_file")).alias("no"))
 
 
-def lifespans(footer: DataFrame, aliases: Mapping[str, Mapping[str, str]] = ALIASES) -> DataFrame:
+def lifespans(footer: DataFrame, aliases: Mapping[str, Mapping[str, Sequence[str]]] = ALIASES) -> DataFrame:
     """The catalogue: one row per island, a run of consecutive files of a feed that hold a field under one name and type.
 
     Columns (dataset, feed, line, field_name, kind, first_no, last_no, born, renamed, retyped, old_name,
@@ -125,7 +125,7 @@ def lifespans(footer: DataFrame, aliases: Mapping[str, Mapping[str, str]] = ALIA
     )
 
 
-def changes(footer: DataFrame, aliases: Mapping[str, Mapping[str, str]] = ALIASES) -> DataFrame:
+def changes(footer: DataFrame, aliases: Mapping[str, Mapping[str, Sequence[str]]] = ALIASES) -> DataFrame:
     """The log of starts and endings of islands, as (dataset, feed, source_file, field_name, change_kind, old_name, old_kind, new_kind).
 
     An island that begins in a later file than the feed's first is ``added`` there, or ``renamed`` (its new
@@ -173,7 +173,7 @@ def _scalar(v: Column, kind: Column) -> Column:
     return F.when(kind == "object", F.coalesce(get("$.valor"), get("$.es"), get("$.cod"), get("$.nombre"))).when(kind == "array", get("$[0]")).otherwise(get("$"))
 
 
-def consistent(recs: DataFrame, dataset: str, aliases: Mapping[str, Mapping[str, str]] = ALIASES, casts: Mapping[str, Mapping[str, str]] = CASTS) -> DataFrame:
+def consistent(recs: DataFrame, dataset: str, aliases: Mapping[str, Mapping[str, Sequence[str]]] = ALIASES, casts: Mapping[str, Mapping[str, str]] = CASTS) -> DataFrame:
     """All records of a dataset as one table: keys, one column per canonical field, and ``other`` for the rest.
 
     The casts are generated from the alias table, as projections of each record; only records that are doubled
@@ -185,7 +185,7 @@ def consistent(recs: DataFrame, dataset: str, aliases: Mapping[str, Mapping[str,
     of every non-null field that no column has in full: fields outside the table, names that lost, values
     that don't fit their cast (null in the column), and objects and arrays, of which the column takes one part.
     """
-    wanted = {c: names.split() for c, names in aliases[dataset].items()}
+    wanted = dict(aliases[dataset])
     place = {n: (c, i) for c, names in wanted.items() for i, n in enumerate(names)}
     rank = F.create_map(*[F.lit(x) for n, (_, i) in place.items() for x in (n, i)])
     canon = F.create_map(*[F.lit(x) for n, (c, _) in place.items() for x in (n, c)])

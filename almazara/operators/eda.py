@@ -22,6 +22,19 @@ def dataset_summary(tables: Mapping[str, DataFrame], days: Mapping[str, str] | N
     return out
 
 
+def cleaning_summary(before: Mapping[str, DataFrame], after: Mapping[str, DataFrame]) -> DataFrame:
+    """(dataset, rows_before, rows_after, removed, exact_duplicates, key_duplicates, imputed, outliers) of every cleaned table."""
+    out = None
+    for name, df in after.items():
+        flags = lambda end, df=df: sum((F.count_if(F.col(c)) for c, t in df.dtypes if t == "boolean" and c.endswith(end)), F.lit(0).cast("long"))
+        a = df.agg(F.count(F.lit(1)).alias("rows_after"), flags("quality_key_duplicate").alias("key_duplicates"), flags("__imputed").alias("imputed"), flags("__outlier").alias("outliers"))
+        b = before[name].groupBy(*before[name].columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicates"))
+        both = b.withColumn("dataset", F.lit(name)).join(a.withColumn("dataset", F.lit(name)), "dataset")  # a row each
+        row = both.select("dataset", "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("removed"), "exact_duplicates", "key_duplicates", "imputed", "outliers")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def column_role(name: str, kind: str) -> str:
     n = name.lower()
     if is_flag(n):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -55,6 +56,19 @@ def folds(development: DataFrame, index: str = "period_index", **rules: float) -
     return each.select(F.col("s.fold").alias("fold"), index, F.when(F.col("place") >= F.col("s.a"), "validation").otherwise("train").alias("role"))
 
 
+def discover_baselines(columns: Sequence[str], target: str = "units") -> dict[str, str]:
+    """Model name -> feature of the causal baselines a table has: lag 1, the shortest rolling mean, the expanding mean."""
+    out = {"lag_1": f"{target}__lag_1"} if f"{target}__lag_1" in columns else {}
+    rolling = sorted(int(m[1]) for c in columns if (m := re.fullmatch(re.escape(target) + r"__rolling_mean_(\d+)", c)))
+    if rolling:
+        out[f"rolling_mean_{rolling[0]}"] = f"{target}__rolling_mean_{rolling[0]}"
+    if f"{target}__expanding_mean_prior" in columns:
+        out["expanding_mean"] = f"{target}__expanding_mean_prior"
+    if not out:
+        raise ValueError("the table has no feature a baseline could use")
+    return out
+
+
 def baseline_predictions(features: DataFrame, fold_table: DataFrame, baselines: Mapping[str, str], keys: Sequence[str], target: str = "units", regime: str = "article_demand_regime_prior", index: str = "period_index") -> DataFrame:
     """(fold, model, *keys, index, regime, target, prediction, used_fallback) of every validation row and baseline.
 

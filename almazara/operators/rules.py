@@ -107,3 +107,10 @@ def event_flags(df: DataFrame) -> DataFrame:
         **value_flag("event_period__invalid", F.col("event_end") < F.col("event_start")), **value_flag("event_duration__invalid", F.col("event_duration_days") <= 0),
         **value_flag("event_day_number__invalid", (F.col("event_day_number") <= 0) | (F.col("event_day_number") > F.col("event_duration_days"))),
     })
+
+
+def calendar_rules(df: DataFrame, date: str = "date", name: str = "holiday_name") -> DataFrame:
+    """Holidays with a real day and a trimmed name; ``is_holiday`` is 1 where nothing is said."""
+    flag = {"is_holiday": F.coalesce(F.col("is_holiday").try_cast("long"), F.lit(1))} if "is_holiday" in df.columns else {}
+    named = {name: F.nullif(F.trim(name), F.lit(""))} if name in df.columns else {}
+    return df.withColumns({date: F.col(date).try_cast("date"), **flag, **named})

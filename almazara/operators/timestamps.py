@@ -15,18 +15,18 @@ from almazara.session import broadcast_if_small, shared_path
 
 # Month names and their usual shortenings (Spanish, Catalan, English), without accents.
 MONTHS = {
-    1: "enero ene gener gen january jan",
-    2: "febrero feb febrer february",
-    3: "marzo mar marc march",
-    4: "abril abr april apr",
-    5: "mayo may maig mai",
-    6: "junio jun juny june",
-    7: "julio jul juliol july",
-    8: "agosto ago agost ag august aug",
-    9: "septiembre setiembre sep sept set setembre september",
-    10: "octubre oct october",
-    11: "noviembre nov novembre november",
-    12: "diciembre dic desembre des december dec",
+    1: ("enero", "ene", "gener", "gen", "january", "jan"),
+    2: ("febrero", "feb", "febrer", "february"),
+    3: ("marzo", "mar", "marc", "march"),
+    4: ("abril", "abr", "april", "apr"),
+    5: ("mayo", "may", "maig", "mai"),
+    6: ("junio", "jun", "juny", "june"),
+    7: ("julio", "jul", "juliol", "july"),
+    8: ("agosto", "ago", "agost", "ag", "august", "aug"),
+    9: ("septiembre", "setiembre", "sep", "sept", "set", "setembre", "september"),
+    10: ("octubre", "oct", "october"),
+    11: ("noviembre", "nov", "novembre", "november"),
+    12: ("diciembre", "dic", "desembre", "des", "december", "dec"),
 }
 # Hours east of UTC that a written abbreviation states, whatever else the zone database knows by it.
 ABBREVIATIONS = {"z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 1, "bst": 1, "cet": 1, "cest": 2, "eet": 2, "eest": 3}
@@ -35,7 +35,7 @@ ABBREVIATIONS = {"z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 1, "bst": 1, "cet
 SERIAL_ZERO = -25_569
 _DAY = 86_400
 
-_MONTH_WORDS = "|".join(sorted((w for names in MONTHS.values() for w in names.split()), key=len, reverse=True))
+_MONTH_WORDS = "|".join(sorted((w for names in MONTHS.values() for w in names), key=len, reverse=True))
 _ZONE = "z|[+-]\\d{2}:?\\d{2}|[+-]\\d{2}|[a-z]{3,4}|[a-z]+(?:/[a-z_]+)+"
 
 
@@ -187,7 +187,7 @@ def _parsed(df: DataFrame, t: Typed, hint: Column | None) -> DataFrame:
         (F.struct(*t.keep) if t.keep else F.lit(None).cast("int")).alias("kept"), F.col(t.row_id).cast("long").alias("row_id"), F.col(t.value).alias("value"), F.col(t.file).alias("file"), F.col(t.zone).alias("zone"),
         (F.col(t.position).cast("long") if t.position else F.lit(None).cast("long")).alias("position"), (F.lit(None).cast("long") if hint is None else hint.cast("long")).alias("hint"), F.explode_outer(parts(F.col(t.value))).alias("p"),
     )
-    months = [(w, k) for k, names in MONTHS.items() for w in names.split()]
+    months = [(w, k) for k, names in MONTHS.items() for w in names]
     word = F.map_from_arrays(F.split(F.lit(",".join(w for w, _ in months)), ","), F.split(F.lit(",".join(str(k) for _, k in months)), ",").cast("array<int>"))
     half, hour = _part("half"), F.coalesce(_number("hour"), F.lit(0))
     hh = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)

@@ -1,15 +1,17 @@
-"""The staged run: raw to bronze, silver, gold, features, models and the next-period forecast."""
+"""The staged run: raw to bronze, silver, gold, profiles, features, models and the next-period forecast."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable, Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almazara.config import CleaningRules, FeatureRules, ModelingRules, OperationalRules, PipelineConfig
+from almazara.config import CleaningRules, EDARules, FeatureRules, FutureContextRules, IntegrationRules, ModelingRules, OperationalRules, PipelineConfig
 from almazara.functions.casts import assert_types, nan_to_null, null_tokens, numeric_codes
+from almazara.functions.text import slug
 from almazara.operators import catalogue, context, daily, eda, evaluate, features, models, panel, quality, rules
 from almazara.session import cut
 from almazara.sources import cells, layers, readers
@@ -35,6 +37,7 @@ FAMILY_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "reservas": lambda df: rules.reservation_flags(df, "created_datetime", "reservation_datetime"),
     "articulos": lambda df: quality.master_conflicts(df, "article_code", [c for c in ("article_name", "department_code", "price") if c in df.columns]),
     "departamentos": lambda df: quality.master_conflicts(df, "department_code", ["department_name"]),
+    "festivos": rules.calendar_rules,
 }
 
 
@@ -64,47 +67,85 @@ def clean(df: DataFrame, family: str, r: CleaningRules) -> DataFrame:
     return out
 
 
-def ingest(spark: SparkSession, directory: str, recursive: bool = False, strict: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables by family, errors): every supported file of a folder, typed by content and read by its family's reader."""
+# The columns without which a file of a family is refused.
+REQUIRED_COLUMNS = {
+    "departments": (readers.DEPARTMENT_COLUMNS, ("department_code", "department_name")),
+    "reservations": (readers.RESERVATION_COLUMNS, ("reservation_date", "reservation_time", "status", "shift", "people")),
+}
+_SHEET_READERS = {
+    "article_sales": ("ventas", readers.read_article_sales), "articles": ("articulos", readers.read_articles), "menu": ("menu", readers.read_menu), "departments": ("departamentos", readers.read_departments),
+    "tickets": ("tickets", readers.read_tickets), "tips": ("tips", readers.read_tips), "reservations": ("reservas", readers.read_reservations),
+}
+
+
+def ingest(spark: SparkSession, directory: str, recursive: bool = False, strict: bool = False, excluded: Collection[str] = (), only: Collection[str] = (), read_sheet: Callable | None = None, read_pdf: Callable | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables by family, errors): every supported file of a folder, typed by content and read by its family's reader.
+
+    A file that can't be read, is of no known type or lacks required columns is a row of ``errors``, or with
+    ``strict`` an exception; the others are read. ``only`` restricts the families. What the driver handles is
+    the list of files: a row each. ``read_sheet`` and ``read_pdf`` take the place of the optional libraries.
+    """
     tables: dict[str, DataFrame] = {}
     errors: list[tuple[str, str]] = []
-    paths = cells.list_files(directory, recursive)
-    groups: dict[str, list[str]] = {}
-    for p in paths:
-        if p.endswith(".csv"):
-            with open(p, encoding="utf-8-sig", errors="replace") as f:
-                head = f.readline()
-            kind = cells.detect_csv_type(os.path.basename(p), head.lower().split(cells.sniff_separator(head)))
-            groups.setdefault(kind or "", []).append(p)
-        else:
-            groups.setdefault("excel", []).append(p)
-    for p in groups.pop("", []):
-        errors.append((p, "the type of the file is not recognised"))
-    if "excel" in groups:
-        by = {"article_sales": ("ventas", readers.read_article_sales), "articles": ("articulos", readers.read_articles), "menu": ("menu", readers.read_menu), "departments": ("departamentos", readers.read_departments), "tickets": ("tickets", readers.read_tickets), "tips": ("tips", readers.read_tips), "reservations": ("reservas", readers.read_reservations)}
-        try:
-            sheet = cut(cells.excel_cells(spark, groups["excel"]))
-            kinds = {r["source_file"]: r["file_type"] for r in cells.detect_types(sheet).collect()}
-            for kind, (name, reader) in by.items():
-                files = [f for f, k in kinds.items() if k == kind]
-                if files:
-                    tables[name] = reader(sheet.where(F.col("source_file").isin(files)))
-            errors += [(f, "the type of the file is not recognised") for f, k in kinds.items() if k is None]
-        except RuntimeError as e:
-            errors += [(p, str(e)) for p in groups["excel"]]
+    paths = cells.list_files(spark, directory, recursive, tuple(excluded))
+    ending = lambda *ends: [p for p in paths if p.lower().endswith(ends)]
+    wanted = lambda name: not only or name in only
+    unknown = "the type of the file is not recognised"
+
+    def unread(given: list[str], seen: Collection[str]) -> list[tuple[str, str]]:
+        known = {*seen, *(f for f, _ in errors)}
+        return [(os.path.basename(p), "the file is empty") for p in given if os.path.basename(p) not in known]
+
+    groups: dict[str | None, list[str]] = {}
+    heads = cells.csv_heads(spark, ending(".csv"))
+    for path, head, _ in heads:
+        groups.setdefault(cells.detect_csv_type(os.path.basename(path), head.lower().split(cells.sniff_separator(head))), []).append(path)
+    full = {os.path.basename(h[0]) for h in heads}
+    errors += [(os.path.basename(p), "the file is empty") for p in ending(".csv") if os.path.basename(p) not in full]
+    errors += [(os.path.basename(p), unknown) for p in groups.pop(None, [])]
     if "weather" in groups:
         hourly, native = readers.read_csv_family(spark, "weather", groups["weather"])
-        tables["meteo_horaria"] = readers.measures(hourly, {"temperature_2m_c": "temperature_2m", "rain_mm": "rain_mm"})
-        tables["meteo_diaria"] = readers.measures(native, {"temperature_2m_max_c": "temperature_max", "temperature_2m_min_c": "temperature_min", "precipitation_sum_mm": "precipitation_mm", "rain_sum_mm": "rain_mm"})
+        tables |= {"meteo_horaria": readers.all_measures(hourly), "meteo_diaria": readers.all_measures(native)}
     if "holidays" in groups:
         tables["festivos"] = readers.read_csv_family(spark, "holidays", groups["holidays"])
     if "events" in groups:
         tables["eventos"] = readers.read_csv_family(spark, "events", groups["events"])
+
+    if ending(".xls", ".xlsx"):
+        sheet, broken = cells.excel_cells(spark, ending(".xls", ".xlsx"), read_sheet)
+        errors += [(r["source_file"], r["error"]) for r in broken.collect()]
+        kinds = {r["source_file"]: r["file_type"] for r in cells.detect_types(sheet).collect()}
+        errors += unread(ending(".xls", ".xlsx"), kinds)
+        errors += [(f, unknown) for f, k in kinds.items() if k is None]
+        for kind, (name, reader) in _SHEET_READERS.items():
+            mine = sheet.where(F.col("source_file").isin([f for f, k in kinds.items() if k == kind]))
+            if kind in REQUIRED_COLUMNS:
+                bad = cells.lacking(mine, *REQUIRED_COLUMNS[kind]).collect()
+                errors += [(r["source_file"], r["error"]) for r in bad]
+                kinds |= {r["source_file"]: None for r in bad}
+                mine = sheet.where(F.col("source_file").isin([f for f, k in kinds.items() if k == kind]))
+            if kind in kinds.values():
+                tables[name] = reader(mine)
+
+    if ending(".pdf"):
+        words, broken = readers.pdf_words(spark, ending(".pdf"), read_pdf)
+        errors += [(r["source_file"], r["error"]) for r in broken.collect()]
+        seen = [r[0] for r in words.select("ticket_id").distinct().collect()]  # a row a file
+        errors += unread(ending(".pdf"), seen)
+        if seen:
+            tables["facturas"] = readers.read_invoices(words)
+    tables = {n: t for n, t in tables.items() if wanted(n)}
     if errors and strict:
         raise ValueError("; ".join(f"{p}: {why}" for p, why in errors))
     return tables, spark.createDataFrame(errors, "file string, error string")
 
 
+def load_weekly_sales(spark: SparkSession, directory: str, strict: bool = False, read_sheet: Callable | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(sales, errors) of a folder of weekly reports: article sales only, whatever else lies there."""
+    tables, errors = ingest(spark, directory, strict=strict, only=("ventas",), read_sheet=read_sheet)
+    return tables.get("ventas"), errors
+
+
 def weather_days(silver: Mapping[str, DataFrame]) -> DataFrame | None:
     """Weather a day from the native daily rows, and from hours of files without any; a sum no file gives is unknown on days of hours only."""
     kept = lambda df: [c for c, t in df.dtypes if t == "double" and c not in ("latitude", "longitude", "elevation", "utc_offset_seconds")]
@@ -126,7 +167,11 @@ def weather_days(silver: Mapping[str, DataFrame]) -> DataFrame | None:
     return out.select("date", *[F.when(F.col("__native") | (F.col(f"__n_{c}") > 0), F.col(c)).alias(c) for c in names])
 
 
-def integrate(silver: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def _folded(c: str) -> F.Column:
+    return slug(F.col(c))
+
+
+def integrate(silver: Mapping[str, DataFrame], entity: tuple[str, ...] = (), r: IntegrationRules = IntegrationRules()) -> dict[str, DataFrame]:
     """Gold tables: the daily master and the article-by-period panel, from what sources there are."""
     gold: dict[str, DataFrame] = {}
     sources: dict[str, tuple[DataFrame, list[str]]] = {}
@@ -137,7 +182,11 @@ def integrate(silver: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) ->
         sources["facturas"] = daily.invoices_daily(silver["facturas"], entity), key
     if "reservas" in silver:
         at = silver["reservas"].withColumn("date", F.col("reservation_datetime").cast("date"))
-        sources["reservas"] = daily.reservations_daily(at, list(entity), "date", F.lit(None).cast("string"), [], lead="lead_time_hours", flags={"is_walk_in": "reservas_walk_in", "is_large_group": "reservas_grupo_grande"}), key
+        status = _folded("status") if "status" in at.columns else F.lit(None).cast("string")
+        flags = {c: n for c, n in (("is_walk_in", "reservas_walk_in"), ("is_large_group", "reservas_grupo_grande")) if c in at.columns}
+        sources["reservas"] = daily.reservations_daily(at, list(entity), "date", status, r.statuses, lead="lead_time_hours" if "lead_time_hours" in at.columns else None, flags=flags), key
+        if "shift" in at.columns and r.shifts:
+            sources["turnos"] = daily.shifts_pivot(at, entity, "date", _folded("shift"), r.shifts), key
     if "tips" in silver and "date" in silver["tips"].columns:
         sources["tips"] = daily.tips_daily(silver["tips"].withColumn("date", F.col("date").try_cast("date")), entity), key
     weather = weather_days(silver)
@@ -147,26 +196,52 @@ def integrate(silver: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) ->
         sources["festivos"] = daily.holidays_daily(silver["festivos"]), ["date"]
     if "eventos" in silver:
         sources["eventos"] = daily.events_daily(silver["eventos"], [], "date"), ["date"]
-    anchor = daily.anchor_source(list(sources))
-    if anchor:
-        spine = daily.calendar(sources[anchor][0], list(entity), "date")
+    anchor = daily.anchor_source([n for n in sources if n != "turnos"], r.prefer_tickets)
+    if anchor and r.build_daily:
+        spine = daily.calendar(sources[anchor][0], [c for c in entity if c in sources[anchor][1]], "date")
         gold["daily"] = daily.daily_master(spine, sources)
     sales = silver.get("ventas", silver.get("total_articles"))
-    if sales is not None:
+    if sales is not None and r.build_panel:
+        if not r.keep_invitations and "es_invitacion" in sales.columns:
+            sales = sales.where(~F.coalesce("es_invitacion", F.lit(False)))
         flags = [c for c in sales.columns if c.endswith(("__outlier", "__invalid", "__negative")) or c.startswith("quality_")]
         p = panel.dedupe_panel(sales, [*entity, "article_code"], [c for c in ("article_name", "department_code", "department_name") if c in sales.columns], flags)
-        p = panel.period_fields(p, panel.expected_period_days(sales, entity=entity), entity)
+        p = panel.period_fields(p, panel.expected_period_days(sales, r.expected_days_weight, entity=entity), entity)
         if "articulos" in silver:
-            p = panel.enrich(p, silver["articulos"], "article_code", ["article_name", "department_code"], "articles_master")
+            p = panel.enrich(p, _as(silver["articulos"], p, "article_code"), "article_code", ["article_name", "department_code"], "articles_master")
+        if "departamentos" in silver and "department_code" in p.columns:
+            p = panel.enrich(p, _as(silver["departamentos"], p, "department_code"), "department_code", ["department_name"], "departments_master")
         gold["article_period"] = p
     return gold
 
 
+def _as(master: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``master`` with its key in the type the table has it in; a key that doesn't fit matches nothing."""
+    return master.withColumn(key, F.col(key).try_cast(dict(table.dtypes)[key]))
+
+
+def integration_reports(silver: Mapping[str, DataFrame], gold: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Coverage of every source by the days it has, and where each gold column comes from."""
+    days = {n: [c for c, t in df.dtypes if t in ("date", "timestamp_ntz", "timestamp") and c in ("date", "report_start", "report_end", "reservation_date", "event_start", "event_end", "datetime")] for n, df in silver.items()}
+    dated = {n: (silver[n], d) for n, d in days.items() if d}
+    out = {"provenance": catalogue.provenance(next(iter(gold.values())).sparkSession, gold)} if gold else {}
+    return out | ({"coverage": daily.source_coverage(dated)} if dated else {})
+
+
+def quality_reports(name: str, before: DataFrame, after: DataFrame) -> dict[str, DataFrame]:
+    """What cleaning found in one table: missing values, flags, and per outlier column how many values of which severity."""
+    severities = [c for c in after.columns if c.endswith("__severity")]
+    out = {f"missing_{name}": quality.missingness(after), f"flags_{name}": quality.flag_summary(after)}
+    if severities:
+        out[f"outliers_{name}"] = eda.frequencies(after, severities).select("column", F.col("value").alias("severity"), "rows", "fraction")
+    return out
+
+
 def build_features(gold: Mapping[str, DataFrame], r: FeatureRules, entity: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Feature tables with past-only windows."""
     out: dict[str, DataFrame] = {}
     if "daily" in gold:
-        d = gold["daily"]
+        d = features.known_context_zero(gold["daily"]) if "tiene_evento" in gold["daily"].columns else gold["daily"]
         targets = [c for c in ("facturacion", "num_tickets", "reservas_total", "comensales_reservados_total") if c in d.columns]
         f = features.daily_rolling(features.daily_lags(d, entity, targets, r.daily_lags), entity, targets, r.daily_rolling_windows)
         if "facturacion" in targets and "num_tickets" in targets:
@@ -178,29 +253,54 @@ def build_features(gold: Mapping[str, DataFrame], r: FeatureRules, entity: tuple
         f = features.history(features.exact_lags(p, key, lags=r.article_lags), key, windows=r.article_rolling_windows, least=r.min_history, frequent=r.frequent, regular=r.regular, intermittent=r.intermittent)
         f = features.period_calendar(features.global_history(f, entity))
         if "daily" in gold:
-            known = {c: t for c, t in gold["daily"].dtypes if c in ("tiene_evento", "es_festivo", "event_intensity_mean")}
+            known = {c: t for c, t in d.dtypes if c in ("tiene_evento", "es_festivo", "event_intensity_mean")}
+            keys = [c for c in entity if c in d.columns]
             if known:
-                keys = list(entity)
-                f = f.join(features.period_context(gold["article_period"], gold["daily"], known, keys), [*keys, "report_start", "report_end"], "left")
+                f = f.join(features.period_context(gold["article_period"], d, known, keys), [*keys, "report_start", "report_end"], "left")
         out["features_article_period"] = features.eligibility(f)
     return out
 
 
-def profiles(gold: Mapping[str, DataFrame], entity: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The tables of the profile stage: a summary of the gold tables, columns and correlations of each, and the daily profiles."""
+def profiles(gold: Mapping[str, DataFrame], entity: tuple[str, ...] = (), r: EDARules = EDARules(), silver: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables of the profile stage: summaries, columns, frequencies and correlations of each gold table, the
+    daily, article, reservation and event profiles, and the findings in words."""
+    silver = silver or {}
     days = {"daily": "date", "article_period": "report_start"}
-    out = {"summary": eda.dataset_summary(gold, {n: c for n, c in days.items() if n in gold})}
+    out = {"summary": eda.dataset_summary({**silver, **gold}, {n: c for n, c in days.items() if n in gold})}
+    one: dict[str, Mapping] = {}
     for n, df in gold.items():
         out[f"columns_{n}"] = eda.column_profile(df)
+        texts = [c for c, t in df.dtypes if eda.column_role(c, t) == "categorical" and t == "string"]
+        if texts:
+            out[f"frequencies_{n}"] = eda.frequencies(df, texts, r.most_categories, r.top_categories)
         target = "facturacion" if n == "daily" else "units"
         numeric = [c for c, t in df.dtypes if eda.column_role(c, t) == "numeric" and c != target]
         if target in df.columns and numeric:
-            out[f"correlations_{n}"] = eda.correlations(df, target, numeric)
+            out[f"correlations_{n}"] = eda.correlations(df, target, numeric, r.min_pairs, r.leakage, r.top_correlations)
     if "daily" in gold and {"facturacion", "num_tickets"} <= set(gold["daily"].columns):
         d = gold["daily"]
-        out["weekdays"] = eda.weekday_profile(d, entity, "date", "facturacion", "num_tickets")
+        out["weekdays"] = eda.weekday_profile(d, entity, "date", "facturacion", "num_tickets", r.low_activity, r.min_weekdays)
         out["months"] = eda.month_profile(d, entity, "date", "facturacion")
         out["days"] = eda.daily_summary(d, entity, "date", "facturacion", "num_tickets")
+        one["daily"] = out["days"].agg(F.sum("missing_dates").alias("missing_dates"), F.sum("zero_days").alias("zero_days")).first().asDict()
+    if "article_period" in gold:
+        p = gold["article_period"]
+        out["articles"] = eda.label(panel.article_profile(p, entity).join(panel.latest_metadata(p, [*entity, "article_code"], ["article_name"]), [*entity, "article_code"], "left").withColumn("article_name", F.col("article_name_latest")) if "article_name" in p.columns else panel.article_profile(p, entity))
+        out["periods"] = panel.period_totals(p, entity)
+        overall = cut(panel.article_profile(p))
+        out["panel"] = eda.period_panel_summary(overall, p.select("report_start", "report_end").distinct())
+        one["panel"] = out["panel"].first().asDict()
+    if "reservas" in silver and {"people", "lead_time_hours"} <= set(silver["reservas"].columns):
+        s = silver["reservas"]
+        gone = F.coalesce(_folded("status") == "no_show", F.lit(False)) if "status" in s.columns else None
+        out["reservations"] = eda.reservation_summary(s, no_show=gone)
+        one["reservations"] = out["reservations"].first().asDict()
+    if "eventos" in silver and {"event_id", "event_day_number"} <= set(silver["eventos"].columns):
+        out["events"] = eda.event_summary(eda.unique_events(silver["eventos"]))
+        one["events"] = out["events"].first().asDict()
+    if out["summary"] is not None:
+        findings = eda.diagnostics(**one)
+        out["diagnostics"] = out["summary"].sparkSession.createDataFrame([(i, x) for i, x in enumerate(findings)], "no int, finding string")
     return out
 
 
@@ -210,7 +310,7 @@ def train(table: DataFrame, r: ModelingRules, keys: list[str], with_candidates:
     split = evaluate.holdout(rows, fraction=r.final_test_fraction, least=r.min_final_test_periods, min_train=r.min_train_periods)
     development = split.where("split = 'development'")
     fold_table = evaluate.folds(development, splits=r.cv_splits, fraction=r.cv_validation_fraction, min_train=r.min_train_periods)
-    baselines = {"lag_1": "units__lag_1", "rolling_mean_4": "units__rolling_mean_4", "expanding_mean": "units__expanding_mean_prior"}
+    baselines = evaluate.discover_baselines(rows.columns)
     preds = evaluate.baseline_predictions(rows, fold_table, baselines, keys, regime="regime")
     names = r.candidates if with_candidates else ()
     categorical: list[str] = []
@@ -218,7 +318,8 @@ def train(table: DataFrame, r: ModelingRules, keys: list[str], with_candidates:
     if names:
         cat = catalogue.build_catalogue(rows.sparkSession, "features_article_period", rows, "units")
         categorical, numeric = catalogue.select_features(cat, rows.join(development.select("period_index"), "period_index", "left_semi"))
-        categorical = [c for c in categorical if c in ("regime", "article_demand_regime_prior")]  # codes would be one column each
+        known = ("regime", "article_demand_regime_prior", *r.identifiers)  # a column a value: which codes are worth it is a rule
+        categorical = [c for c in categorical if c in known]
         preds = preds.unionByName(models.cross_validate(rows, fold_table, names, categorical, numeric, keys, trees=r.trees))
     preds = cut(preds)
     frozen = cut(evaluate.frozen_mapping(preds, r.default_model, r.adaptive_min_regime_rows, r.adaptive_min_global_rows))
@@ -230,7 +331,7 @@ def train(table: DataFrame, r: ModelingRules, keys: list[str], with_candidates:
         "predictions": preds, "metrics": evaluate.metrics_at_levels(preds), "summary": evaluate.cv_summary(evaluate.metrics(preds)), "frozen_mapping": frozen,
         "selection": evaluate.adaptive_selection(preds, r.default_model, r.adaptive_min_regime_rows, r.adaptive_min_global_rows), "top_k": evaluate.top_k_overlap(preds, ["fold", "model"], "period_index", keys, r.top_k),
     }
-    if r.evaluate_final_test:
+    if r.evaluate_final_test and split.where("split = 'test'").limit(1).count():
         final = split.select(F.lit(0).alias("fold"), "period_index", F.when(F.col("split") == "test", "validation").otherwise("train").alias("role"))
         test = evaluate.baseline_predictions(rows, final, baselines, keys, regime="regime")
         every = test
@@ -254,19 +355,44 @@ def require_models(mapping: DataFrame, default: str, predicted: Collection[str])
     return used
 
 
-def forecast(gold_panel: DataFrame, r: FeatureRules, o: OperationalRules, mapping: DataFrame, entity: tuple[str, ...] = (), default: str = "expanding_mean", history: DataFrame | None = None, frozen_features: DataFrame | None = None, modeling: ModelingRules | None = None) -> DataFrame:
+def future_daily_context(silver: Mapping[str, DataFrame], horizon: DataFrame, weather: DataFrame | None = None, r: FutureContextRules = FutureContextRules(), entity: tuple[str, ...] = ()) -> DataFrame:
+    """The days of the horizon (*entity, forecast_start, forecast_end) with their events, holidays and forecast weather, each where it is given."""
+    bounds = horizon.agg(F.min("forecast_start").alias("a"), F.max("forecast_end").alias("b")).first()
+    a, b = F.lit(bounds["a"]), F.lit(bounds["b"])
+    days = horizon.select(*entity, F.explode(F.sequence("forecast_start", "forecast_end", F.expr("interval 1 day"))).alias("date"))
+    events = holidays = None
+    if r.include_events and "eventos" in silver:
+        events = context.events_in_horizon(silver["eventos"], a, b)
+    if r.include_holidays and "festivos" in silver:
+        holidays = daily.holidays_daily(silver["festivos"].where(F.col("date").between(a, b)))
+    sky = None
+    if r.include_weather and weather is not None:
+        sky = context.forecast_weather(weather.withColumn("date", F.col("date").try_cast("date")), a, b)
+    return context.future_context(days, events, holidays, sky)
+
+
+def forecast(
+    gold_panel: DataFrame, r: FeatureRules, o: OperationalRules, mapping: DataFrame, entity: tuple[str, ...] = (), default: str = "expanding_mean", history: DataFrame | None = None, frozen_features: DataFrame | None = None,
+    modeling: ModelingRules | None = None, daily_gold: DataFrame | None = None, future_days: DataFrame | None = None,
+) -> DataFrame:
     """The next period per article: history plus scaffold through the same feature builder, then the mapped model and the ranking.
 
-    Mapped candidates are refitted on all eligible rows of ``history`` with the frozen features; what of these the
-    coming period lacks is null and imputed as in training. A baseline without a value is replaced by the
-    median of the eligible targets, and marked. A mapped model that can't be predicted is an error.
+    ``daily_gold`` with ``future_days`` in the place of its own days goes through the builder too, so that a
+    coming period has its context columns. Mapped candidates are refitted on all eligible rows of ``history``
+    with the frozen features; what of these the coming period lacks is null and imputed as in training. A
+    baseline without a value is replaced by the median of the eligible targets, and marked. A mapped model that
+    can't be predicted is an error.
     """
     horizon = context.next_period(context.period_table(gold_panel, entity), entity)
     scaffold = context.future_scaffold(gold_panel, horizon, list(entity), "article_code", ["units", "amount"])
     future = scaffold.select(*entity, "article_code", "report_start", "report_end")
-    both = context.complete_rows(gold_panel).unionByName(scaffold.withColumn("period_is_complete", F.lit(True)))
-    f = build_features({"article_period": both}, r, entity)["features_article_period"].join(future, future.columns, "left_semi")
-    value = {"lag_1": "units__lag_1", "rolling_mean_4": "units__rolling_mean_4", "expanding_mean": "units__expanding_mean_prior"}
+    both = {"article_period": context.complete_rows(gold_panel).unionByName(scaffold.withColumn("period_is_complete", F.lit(True)))}
+    if daily_gold is not None:
+        keys = [c for c in (*entity, "date") if c in daily_gold.columns]
+        coming = future_days.select(*keys, *[c for c in future_days.columns if c in daily_gold.columns and c not in keys]).dropDuplicates(keys) if future_days is not None else None
+        both["daily"] = daily_gold if coming is None else context.override_union(daily_gold, coming, keys)
+    f = build_features(both, r, entity)["features_article_period"].join(future, future.columns, "left_semi")
+    value = evaluate.discover_baselines(f.columns)
     fitted = history is not None and frozen_features is not None
     used = require_models(mapping, default, {*value, *(models.CANDIDATES if fitted else ())})
     small = F.broadcast(mapping.select(F.col("regime").alias("article_demand_regime_prior"), F.col("model").alias("selected_model")))  # a row a regime
@@ -294,44 +420,75 @@ def forecast(gold_panel: DataFrame, r: FeatureRules, o: OperationalRules, mappin
 
 def run(spark: SparkSession, config: PipelineConfig, silver_input: Mapping[str, DataFrame] | None = None, entity: tuple[str, ...] = ()) -> dict[str, object]:
     """The chosen stages in order; what a stage doesn't make anew is read from its layer."""
-    problems = [] if silver_input else config.problems()
+    problems = [] if silver_input else config.problems(spark)
     if problems:
         raise ValueError("; ".join(problems))
-    config.paths.prepare()
+    config.paths.prepare(spark)
     o, out = config.options, {"summary": config.summary()}
+    report = lambda name: os.path.join(config.paths.of("reports"), name)
+    layer = lambda name: layers.read_layer(spark, config.paths.of(name), name)
+    tables = lambda made: [layers.write_csv(df, report(f"{n}.csv")) for n, df in made.items()]
     bronze: Mapping[str, DataFrame] = silver_input or {}
     if not silver_input and o.do_ingest:
         bronze, errors = ingest(spark, config.paths.of("raw"), o.recursive_raw_scan, o.strict_ingestion)
         layers.write_layer(bronze, config.paths.of("bronze"), "bronze")
-        layers.write_csv(errors, os.path.join(config.paths.of("reports"), "ingestion_errors.csv"))
+        bronze = layer("bronze")
+        tables({"ingestion_errors": errors})
     elif not silver_input and o.do_depuration:
-        bronze = layers.read_structured(spark, config.structured_inputs) if config.source() == "structured" else layers.read_layer(spark, config.paths.of("bronze"), "bronze")
+        bronze = layers.read_structured(spark, config.structured_inputs) if config.source() == "structured" else layer("bronze")
     if o.do_depuration:
-        silver = {n: clean(df, n, config.cleaning) for n, df in bronze.items()}
-        layers.write_layer(silver, config.paths.of("silver"), "silver")
-        for n in silver:
-            layers.write_csv(quality.missingness(silver[n]), os.path.join(config.paths.of("reports"), f"missing_{n}.csv"))
-        layers.write_layer(integrate(layers.read_layer(spark, config.paths.of("silver"), "silver"), entity), config.paths.of("gold"), "gold")
+        layers.write_layer({n: clean(df, n, config.cleaning) for n, df in bronze.items()}, config.paths.of("silver"), "silver")
+        silver = {n: df for n, df in layer("silver").items() if n in bronze}
+        for n, df in silver.items():
+            tables(quality_reports(n, bronze[n], df))
+        summary = eda.cleaning_summary(bronze, silver)
+        tables({"cleaning_summary": summary})
+        out["cleaning"] = {r["dataset"]: r.asDict() for r in summary.collect()}  # a row a dataset
+        layers.write_layer(integrate(silver, entity, config.integration), config.paths.of("gold"), "gold")
+        tables({f"integration_{n}": df for n, df in integration_reports(silver, layer("gold")).items()})
     if o.do_eda:
-        for n, df in profiles(layers.read_layer(spark, config.paths.of("gold"), "gold"), entity).items():
-            layers.write_csv(df, os.path.join(config.paths.of("reports"), f"eda_{n}.csv"))
+        tables({f"eda_{n}": df for n, df in profiles(layer("gold"), entity, config.eda, layer("silver")).items()})
     if o.do_features:
-        made = build_features(layers.read_layer(spark, config.paths.of("gold"), "gold"), config.features, entity)
+        made = build_features(layer("gold"), config.features, entity)
         layers.write_layer(made, config.paths.of("features"), "features")
-        for n, df in made.items():
-            layers.write_csv(catalogue.build_catalogue(spark, n, df, "units" if "article" in n else "facturacion"), os.path.join(config.paths.of("reports"), f"catalogue_{n}.csv"))
+        tables({f"catalogue_{n}": catalogue.build_catalogue(spark, n, df, "units" if "article" in n else "facturacion") for n, df in made.items()})
     if o.do_modeling:
-        table = layers.read_layer(spark, config.paths.of("features"), "features")["features_article_period"]
-        results = train(table, config.modeling, [*entity, "article_code"], bool(config.modeling.candidates))
+        results = train(layer("features")["features_article_period"], config.modeling, [*entity, "article_code"], bool(config.modeling.candidates))
         layers.write_layer({f"model_{n}": df for n, df in results.items()}, config.paths.of("reports"), "gold")
+        tables({f"modeling_{n}": results[n] for n in ("metrics", "summary", "selection", "frozen_mapping", "top_k", "final_test", "final_test_candidates") if n in results})
         out["models"] = {r["model"]: r["wape_mean"] for r in results["summary"].collect()}
+        out["final_test"] = {r["model"]: {m: r[m] for m in ("rows", "mae", "rmse", "wape", "bias")} for r in results["final_test"].collect()} if "final_test" in results else {}
     if o.do_operational:
-        gold = layers.read_layer(spark, config.paths.of("gold"), "gold")["article_period"]
-        mapping = spark.read.parquet(os.path.join(config.paths.of("reports"), "model_frozen_mapping.parquet"))
-        reported = lambda n: spark.read.parquet(os.path.join(config.paths.of("reports"), f"model_{n}.parquet"))
-        history = layers.read_layer(spark, config.paths.of("features"), "features")["features_article_period"]
-        result = forecast(gold, config.features, config.operational, mapping, entity, reported("frozen_global").first()["model"], history, reported("frozen_features"), config.modeling)
-        layers.write_layer({"forecast": result}, config.paths.of("reports"), "gold")
-        out["forecast_articles"] = result.count()
-    layers.write_report(out, os.path.join(config.paths.of("reports"), "run.json"))
+        out |= operate(spark, config, entity)
+    layers.write_report(spark, out, report("run.json"))
     return out
+
+
+#: Columns of the compact forecast, in this order, before its context.
+COMPACT = ("article_code", "article_name", "department_name", "report_start", "report_end", "predicted_units", "predicted_units_rounded", "forecast_rank", "forecast_share", "forecast_cumulative_share", "planning_class", "article_demand_regime_prior", "selected_model", "used_prediction_fallback")
+
+
+def operate(spark: SparkSession, config: PipelineConfig, entity: tuple[str, ...] = ()) -> dict[str, object]:
+    """The operational stage: context of the coming days, forecast, its summaries and the audit of the catalogue."""
+    reports = config.paths.of("reports")
+    saved = lambda n: spark.read.parquet(os.path.join(reports, f"model_{n}.parquet"))
+    gold, silver = layers.read_layer(spark, config.paths.of("gold"), "gold"), layers.read_layer(spark, config.paths.of("silver"), "silver")
+    p = gold["article_period"]
+    horizon = cut(context.next_period(context.period_table(p, entity), entity))
+    if not horizon.where("forecast_start is not null").limit(1).count():
+        return {"forecast_articles": 0}
+    ahead = future_daily_context(silver, horizon, layers.read_optional(spark, config.weather_forecast), config.future, entity)
+    history = layers.read_layer(spark, config.paths.of("features"), "features")["features_article_period"]
+    made = forecast(p, config.features, config.operational, saved("frozen_mapping"), entity, saved("frozen_global").first()["model"], history, saved("frozen_features"), config.modeling, gold.get("daily"), ahead)
+    layers.write_layer({"forecast": made}, reports, "gold")
+    made = spark.read.parquet(os.path.join(reports, "forecast.parquet"))
+    summary = context.forecast_summary(made, entity)
+    profile = context.history_profile(panel.period_index(p, entity), entity)
+    catalogue_tables = [silver.get(n) for n in ("articulos", "menu")]
+    empty = spark.createDataFrame([], "article_code string")
+    audit = context.audit_catalogue(context.combine_catalogues(*[empty if t is None else t for t in catalogue_tables], p), profile)
+    reported = {"future_context": ahead, "forecast_compact": context.compact(made, (*entity, *COMPACT)), "forecast_summary": summary, "forecast_models": context.usage(made, "selected_model"), "forecast_regimes": context.usage(made, "article_demand_regime_prior"), "catalogue_audit": audit}
+    for n, df in reported.items():
+        layers.write_csv(df, os.path.join(reports, f"{n}.csv"))
+    total = summary.agg(F.sum("articles").alias("n"), F.sum("predicted_total").alias("t"), F.sum("fallback_articles").alias("f")).first()
+    return {"forecast_articles": total["n"] or 0, "forecast_total": total["t"], "forecast_fallbacks": total["f"], "forecast_models": {r["selected_model"]: r["articles"] for r in reported["forecast_models"].collect()}}

@@ -146,7 +146,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_normalised(spark, d).where("value <> normal_form").select("table_name", "row_id", "normal_form")
 
 
-_MONTH_ROWS = ", ".join(f"('{w}', {k})" for k, names in MONTHS.items() for w in names.split())
+_MONTH_ROWS = ", ".join(f"('{w}', {k})" for k, names in MONTHS.items() for w in names)
 _ZONE_ROWS = ", ".join(f"('{a}', {h * 3600})" for a, h in ABBREVIATIONS.items())
 _CLOCK = r"^(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)?(?: ?([ap])\.? ?m\.?)?(?: ?h)?(?: ?(z|[+-]\d{2}:?\d{2}|[a-z]{3,4}|[a-z]+/[a-z_]+))?$"
 _LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:,? (.*))?$"
@@ -326,7 +326,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(drift.footers(drift.readable(table(spark, d, "crudos")))).select("feed", "source_file", "field_name", "change_kind")
 
 
-_ALIAS_ROWS = ", ".join(f"('{d}', '{n}', '{c}')" for d, fields in drift.ALIASES.items() for c, names in fields.items() for n in names.split())
+_ALIAS_ROWS = ", ".join(f"('{d}', '{n}', '{c}')" for d, fields in drift.ALIASES.items() for c, names in fields.items() for n in names)
 P5_FOUND_SQL = f"""
 with aliases(dataset, field, canon) as (values {_ALIAS_ROWS}),
 good as (select * from crudos where json_valid(payload) and json_type(payload) = 'OBJECT' and feed is not null and source_file is not null and file_date is not null),
@@ -376,7 +376,7 @@ def p5_eventos_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def _one_table_sql(dataset: str) -> str:
     """One table of a dataset in SQL, from the same alias table and casts."""
-    rows = ", ".join(f"('{n}', '{c}', {i})" for c, names in drift.ALIASES[dataset].items() for i, n in enumerate(names.split()))
+    rows = ", ".join(f"('{n}', '{c}', {i})" for c, names in drift.ALIASES[dataset].items() for i, n in enumerate(names))
     words = " ".join(f"when '{w}' then {v}" for w, v in drift.WORD_NUMBERS.items())
     plain = "case when nc > 0 and (np = 0 or lc < lp) then replace(replace(bare, '.', ''), ',', '.') when nc > 0 or np > 1 then replace(bare, ',', '') else bare end"
     cast = {
@@ -398,7 +398,7 @@ texts as (
     case kind when 'OBJECT' then coalesce(json_extract_string(j, '$.valor'), json_extract_string(j, '$.es'), json_extract_string(j, '$.cod'), json_extract_string(j, '$.nombre')) when 'ARRAY' then json_extract_string(j, '$[0]') else json_extract_string(j, '$') end as t
   from fields f left join aliases a using (name) where kind <> 'NULL'),
 best as (select *, row_number() over (partition by id, canon order by rank, k) = 1 and canon is not null as chosen from texts where t is not null),
-bared as (select *, regexp_replace(lower(t), '[^0-9,.\-]', '', 'g') as bare from best),
+bared as (select *, regexp_replace(lower(t), '[^0-9,.\\-]', '', 'g') as bare from best),
 counted as (select *, length(regexp_replace(bare, '[^,]', '', 'g')) as nc, length(regexp_replace(bare, '[^.]', '', 'g')) as np, instr(reverse(bare), ',') as lc, instr(reverse(bare), '.') as lp from bared),
 judged as (select *, case canon {fits} end as fits from counted),
 kept as (select id, {', '.join(f"max({cast[k]}) filter (chosen and canon = '{c}') as {c}" for c, k in kinds.items())} from judged group by id),

@@ -678,9 +678,10 @@ def ops_forecast_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _forecast(spark, d).select(*_E, "predicted_units", F.col("forecast_rank").cast("long").alias("forecast_rank"), _R("forecast_share", 6), _R("forecast_cumulative_share", 6), "planning_class", "predicted_units_rounded")
 
 
-@query(_FORECAST_SQL + " select restaurant, count(*) as articles, round(sum(predicted_units), 2) as predicted_total, count(*) filter (cum - share < 0.8) as class_a from c group by 1")
+@query(_FORECAST_SQL + " select restaurant, count(*) as articles, round(sum(predicted_units), 2) as predicted_total, round(sum(predicted_units) filter (forecast_rank <= 20), 2) as top_units, round(sum(share) filter (forecast_rank <= 20), 6) as top_share, count(*) filter (cum - share < 0.8) as class_a from c group by 1")
 def ops_forecast_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _forecast(spark, d).groupBy("restaurant").agg(F.count(F.lit(1)).alias("articles"), F.round(F.sum("predicted_units"), 2).alias("predicted_total"), F.count_if(F.col("planning_class") == "A").alias("class_a"))
+    out = context.forecast_summary(_forecast(spark, d), ["restaurant"])
+    return out.select("restaurant", "articles", _R("predicted_total", 2), _R("top_units", 2), _R("top_share", 6), "class_a")
 
 
 # ------------------------------------------------------------------------------------------------ profiles

@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from almazara.sources import files
+from almazara.sources.cells import excel_cells, header_table
+
 LAYER_SUFFIXES = {"bronze": "_raw", "silver": "_silver", "gold": "", "features": ""}
 
 
@@ -26,13 +29,22 @@ def write_layer(tables: Mapping[str, DataFrame], directory: str, layer: str, par
 def read_layer(spark: SparkSession, directory: str, layer: str) -> dict[str, DataFrame]:
     """Every Parquet table of a layer by name, without the layer's suffix."""
     suffix = LAYER_SUFFIXES[layer]
-    names = sorted(x for x in os.listdir(directory) if x.endswith(".parquet"))
+    names = [x for x in files.names(spark, directory) if x.endswith(".parquet")]
     return {n[: -len(".parquet")].removesuffix(suffix): spark.read.parquet(os.path.join(directory, n)) for n in names}
 
 
+def _excel_table(spark: SparkSession, path: str) -> DataFrame:
+    cells, errors = excel_cells(spark, [path])
+    bad = errors.first()
+    if bad:
+        raise ValueError(f"{path}: {bad['error']}")
+    return header_table(cells, {}, rest=True).drop("row_no")
+
+
 def read_structured(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    """User tables by format: Parquet, ORC, JSON or CSV (with header, types by inference left to declared casts)."""
-    readers = {".parquet": spark.read.parquet, ".orc": spark.read.orc, ".json": spark.read.json, ".csv": lambda p: spark.read.csv(p, header=True)}
+    """User tables by format: Parquet, ORC, JSON, CSV (with header, types by inference left to declared casts) or Excel (names as slugs)."""
+    excel = lambda p: _excel_table(spark, p)
+    readers = {".parquet": spark.read.parquet, ".orc": spark.read.orc, ".json": spark.read.json, ".csv": lambda p: spark.read.csv(p, header=True), ".xlsx": excel, ".xls": excel}
     out = {}
     for name, p in paths.items():
         kind = os.path.splitext(p.rstrip("/"))[1].lower()
@@ -42,14 +54,30 @@ def read_structured(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
     return out
 
 
+def read_optional(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """A table by its ending, or None where no path is given or nothing is there (a weather forecast, a saved choice)."""
+    return read_structured(spark, {"table": path})["table"] if path and files.exists(spark, path) else None
+
+
+def first_table(tables: Mapping[str, DataFrame], names: Sequence[str], required: bool = False) -> DataFrame | None:
+    """The first of several names under which a table may be stored."""
+    found = next((tables[n] for n in names if n in tables), None)
+    if found is None and required:
+        raise KeyError(f"none of {', '.join(names)} is there")
+    return found
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small report as one CSV file in a folder."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_report(report: Mapping, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(report, f, indent=2, default=str, sort_keys=True)
+def write_report(spark: SparkSession, report: Mapping, path: str) -> None:
+    files.write_text(spark, path, json.dumps(report, indent=2, default=str, sort_keys=True))
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(files.read_text(spark, path))
 
 
 def load_catalogue(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from almazara.functions.casts import clean_text, day, decimal_token, number_eu
 from almazara.functions.text import fold, slug
 from almazara.operators.daily import expand_days
-from almazara.sources.cells import csv_cells, header_table
+from almazara.operators.rules import resolve_payment
+from almazara.sources.cells import csv_cells, files_read, header_table
 
 # Source headers (slugs) and the columns they become.
 ARTICLE_COLUMNS = {
@@ -101,11 +103,16 @@ def read_reservations(cells: DataFrame) -> DataFrame:
     return t.withColumns({"reservation_date": day(F.col("reservation_date")), "created_date": day(F.col("created_date")), "people": F.col("people").try_cast("double").cast("long")}).dropna(subset=["reservation_date"])
 
 
+#: First names of a header row in weather files; each begins a block.
+BLOCK_STARTS = ("latitude", "time")
+
+
 def _blocks(cells: DataFrame) -> DataFrame:
-    """Rows of a file split into blocks by blank lines, with the row's place in its block."""
+    """Rows of a file split into blocks, each beginning with a header row, with the row's place in its block."""
     blank = F.size(F.filter("cells", lambda c: c.isNotNull())) == 0
     w = Window.partitionBy("source_file").orderBy("row_no")
-    rows = cells.withColumn("block", F.sum(F.when(blank, 1).otherwise(0)).over(w)).where(~blank)
+    starts = F.coalesce(fold(F.get("cells", F.lit(0))).isin(*BLOCK_STARTS), F.lit(False))
+    rows = cells.where(~blank).withColumn("block", F.sum(starts.cast("int")).over(w))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("source_file", "block").orderBy("row_no")) - 1)
 
 
@@ -117,7 +124,8 @@ def read_weather(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _blocks(cells)
     names = rows.where("place = 0").select("source_file", "block", F.transform("cells", lambda c: F.regexp_replace(F.regexp_replace(fold(c), r"[^a-z0-9]+", "_"), "^_+|_+$", "")).alias("names"))
     body = rows.where("place > 0").join(names, ["source_file", "block"])
-    pairs = F.map_from_arrays(F.slice("names", 1, F.least(F.size("names"), F.size("cells"))), F.slice("cells", 1, F.least(F.size("names"), F.size("cells"))))
+    each = F.transform("names", lambda n, i: F.struct(n.alias("k"), F.get("cells", i).alias("v"), (F.array_position("names", n) == i + 1).alias("first")))
+    pairs = F.map_from_entries(F.transform(F.filter(each, lambda x: x["k"].isNotNull() & x["first"]), lambda x: F.struct(x["k"], x["v"])))
     body = body.select("source_file", pairs.alias("m")).withColumn("time", F.try_element_at("m", F.lit("time")))
     meta = body.where("time is null").groupBy("source_file").agg(*[F.max(F.try_element_at("m", F.lit(c))).alias(c) for c in ("latitude", "longitude", "elevation", "utc_offset_seconds", "timezone", "timezone_abbreviation")])
     full = body.where("time is not null").join(meta, "source_file", "left")
@@ -132,14 +140,30 @@ def measures(long: DataFrame, columns: dict[str, str]) -> DataFrame:
     return long.select(*[c for c in long.columns if c != "m"], *[F.try_element_at("m", F.lit(s)).try_cast("double").alias(n) for s, n in columns.items()])
 
 
+#: Columns of ``read_weather`` that are no measures.
+_NO_MEASURES = ("time", "latitude", "longitude", "elevation", "utc_offset_seconds", "timezone", "timezone_abbreviation")
+# Names of measures that other tables use without their unit, by the slug of the header.
+MEASURE_NAMES = {
+    "temperature_2m_c": "temperature_2m", "temperature_2m_max_c": "temperature_max", "temperature_2m_min_c": "temperature_min", "temperature_2m_mean_c": "temperature_mean", "precipitation_sum_mm": "precipitation_mm", "rain_sum_mm": "rain_mm",
+    "precipitation_hours_h": "precipitation_hours", "wind_speed_10m_max_km_h": "wind_speed_max_kmh", "weather_code_wmo_code": "weather_code",
+}
+
+
+def all_measures(long: DataFrame) -> DataFrame:
+    """Every measure of ``read_weather`` as a column, under its name in MEASURE_NAMES or its slug; the names of all files come to the driver."""
+    found = [r[0] for r in long.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect()]
+    taken = set(long.columns)
+    return measures(long, {k: MEASURE_NAMES.get(k, k) for k in sorted(found) if k and k not in _NO_MEASURES and MEASURE_NAMES.get(k, k) not in taken})
+
+
 def read_holidays(cells: DataFrame) -> DataFrame:
     t = header_table(cells, HOLIDAY_COLUMNS).drop("row_no")
     return t.withColumns({"date": day(F.col("date")), "is_holiday": F.coalesce(F.col("is_holiday").try_cast("long"), F.lit(1))}).dropna(subset=["date"])
 
 
 def read_events(cells: DataFrame) -> DataFrame:
-    """Events expanded to one row a day, numbered from 1; inverted events are left out, and without an id the folded name and start make one."""
-    t = header_table(cells, EVENT_COLUMNS).drop("row_no")
+    """Events expanded to one row a day, numbered from 1; inverted events are left out, and without an id the folded name and start make one. Columns outside the map are kept."""
+    t = header_table(cells, EVENT_COLUMNS, rest=True).drop("row_no")
     start = F.coalesce(day(F.col("event_start")), day(F.col("date")))
     t = t.withColumns({"event_start": start, "event_end": F.coalesce(day(F.col("event_end")), start), "event_intensity": number_eu(F.col("event_intensity"))}).drop("date")
     t = t.withColumn("event_id", F.coalesce("event_id", F.concat_ws("_", slug(F.col("event_name")), F.col("event_start").cast("string"))))
@@ -194,22 +218,69 @@ def invoice_identity(texts: DataFrame) -> DataFrame:
     return texts.select("ticket_id", grab(r"(?i)(?:factura|ticket|n[ºo°])\s*[:.]?\s*([A-Z0-9/-]*\d[A-Z0-9/-]*)").alias("number"), day(grab(r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})")).alias("date"), grab(r"(?i)mesa\s*[:.]?\s*(\w+)").alias("table"), grab(r"(?i)(?:atendido por|le atendi[oó])\s*[:.]?\s*([^\n]+)").alias("served_by"))
 
 
-def pdf_words(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Positioned words of PDF files, read on the executors; needs PyMuPDF."""
-    try:
-        import fitz  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs PyMuPDF") from e
+def texts_of_words(words: DataFrame) -> DataFrame:
+    """(ticket_id, raw_text): the words of each invoice line by line; an invoice's few words are put together."""
+    at = F.struct("page", F.floor((F.col("y0") + F.col("y1")) / 8).alias("line"), "x0", "word")
+    line = words.groupBy("ticket_id", "page", F.floor((F.col("y0") + F.col("y1")) / 8).alias("line")).agg(F.sort_array(F.collect_list(at)).alias("w"))
+    text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
+    lines = line.groupBy("ticket_id").agg(F.sort_array(F.collect_list(F.struct("page", "line", text.alias("t")))).alias("l"))
+    return lines.select("ticket_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("raw_text"))
+
+
+def read_invoices(words: DataFrame) -> DataFrame:
+    """Invoices from positioned words, one row each: identity, tax summary, total, payment and text.
 
-    def run(batches):
-        import os
+    The ticket is the printed number, or the file where none is printed. Where the geometry gives no total or
+    no tax summary, the text does.
+    """
+    texts = texts_of_words(words)
+    t = texts.join(invoice_identity(texts).drop("raw_text"), "ticket_id", "left")
+    for part in (tax_summary_from_words(words), total_from_words(words)):
+        t = t.join(part, "ticket_id", "left")
+    for label, name in (("EFECTIVO:?", "cash"), ("TARJETA:?", "card")):
+        found = amount_on_label_line(words, label)
+        t = t.join(found.select("ticket_id", F.col("label_found").alias(f"{name}_label_found"), F.col("amount").alias(f"{name}_printed")), "ticket_id", "left")
+    grab = lambda p, i=1: decimal_token(clean_text(F.regexp_extract("raw_text", p, i)))
+    three = r"(?is)\bBase\s*%\s*IVA\s*Total\s*IVA\s*" + r"([0-9]+[.,][0-9]{2})\s*" * 3
+    t = t.withColumns({
+        "total": F.coalesce("total", grab(r"(?im)\bTOTAL\b[^0-9]{0,20}([0-9]+[.,][0-9]{2})")),
+        **{c: F.coalesce(c, grab(three, i)) for i, c in enumerate(("base", "vat_rate", "vat"), 1)},
+    }).withColumn("cash_tendered", F.col("cash_printed"))
+    out = resolve_payment(t).withColumnRenamed("ticket_id", "source_file")
+    return out.select(
+        "source_file", F.coalesce("number", F.regexp_replace("source_file", r"\.[^.]*$", "")).alias("ticket_id"), "date", "table", "served_by", "base", "vat_rate", "vat", "total",
+        "cash_tendered", "change_amount", "cash_amount", "card_amount", "payment_method", "cash_label_found", "card_label_found", "raw_text",
+    )
+
+
+def _read_pdf(name: str, content: bytes) -> list[tuple]:
+    import fitz
+
+    return [(n, *map(float, w[:4]), w[4]) for n, page in enumerate(fitz.open(stream=content, filetype="pdf")) for w in page.get_text("words")]
+
+
+def pdf_words(spark: SparkSession, paths: Sequence[str], read: Callable[[str, bytes], list[tuple]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(words, errors) of PDF files, read on the executors; a file that can't be read or has no words is a row (source_file, error).
+
+    Needs PyMuPDF, which is optional; without it the files are errors. ``read`` takes another reader of (name,
+    content) in its place.
+    """
+    take = read or _read_pdf
 
-        import fitz
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows = [(os.path.basename(path), n, *map(float, w[:4]), w[4]) for n, page in enumerate(fitz.open(stream=bytes(content), filetype="pdf")) for w in page.get_text("words")]
-                yield pd.DataFrame(rows, columns=["ticket_id", "page", "x0", "y0", "x1", "y1", "word"])
-
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, WORDS)
+                name = os.path.basename(path)
+                try:
+                    rows = [(name, *w, None) for w in take(name, bytes(content))] or [(name, *[None] * 6, "no words in the file")]
+                except Exception as e:  # whatever a broken file does, it is this file's error
+                    rows = [(name, *[None] * 6, f"{type(e).__name__}: {e}")]
+                out = pd.DataFrame(rows, columns=["ticket_id", "page", "x0", "y0", "x1", "y1", "word", "error"])
+                yield out.astype({"page": "Int32"})
+
+    if not paths:
+        return spark.createDataFrame([], WORDS), spark.createDataFrame([], "source_file string, error string")
+    kept = files_read(spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, WORDS + ", error string"))
+    return kept.where("error is null").drop("error"), kept.where("error is not null").select(F.col("ticket_id").alias("source_file"), "error")

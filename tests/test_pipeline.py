@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from almazara.config import CleaningRules, FeatureRules, ModelingRules, OperationalRules, Paths, PipelineConfig, RunOptions
+from almazara.config import CleaningRules, EDARules, FeatureRules, IntegrationRules, ModelingRules, OperationalRules, Paths, PipelineConfig, RunOptions
 from almazara import pipeline
 from almazara.operators import catalogue, evaluate, models
 from almazara.operators.models import fit
@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_forbidden_options():
-    for bad in ({"do_ingest": True, "do_depuration": False}, {"do_modeling": False}, {f"do_{s}": False for s in ("ingest", "depuration", "eda", "features", "modeling", "operational")}, {"source_when_ingest_disabled": "x"}):
+    for bad in ({"do_ingest": True, "do_depuration": False}, {"do_ingest": True, "do_depuration": False, "do_eda": False, "do_features": False}, {"do_features": False}, {"do_features": False, "do_operational": False}, {"do_modeling": False}, {f"do_{s}": False for s in ("ingest", "depuration", "eda", "features", "modeling", "operational")}, {"source_when_ingest_disabled": "x"}):
         with pytest.raises(ValueError):
             RunOptions(**bad)
     for cls, bad in ((CleaningRules, {"max_missing_fraction": 2}), (FeatureRules, {"daily_lags": ()}), (FeatureRules, {"regular": 0.9}), (ModelingRules, {"top_k": 0}), (OperationalRules, {"abc_threshold_a": 0.99})):
@@ -28,11 +28,16 @@ def test_forbidden_options():
             cls(**bad)
 
 
-def test_sources_and_problems(tmp_path):
+def test_sources_and_problems(spark, tmp_path):
     c = PipelineConfig(Paths(str(tmp_path)))
-    assert c.source() == "raw" and c.problems() == ["the raw folder is missing"]
+    assert c.source() == "raw" and c.problems(spark) == ["the raw folder is missing"]
     c = PipelineConfig(Paths(str(tmp_path)), RunOptions(do_ingest=False), structured_inputs={"ventas": "nowhere.parquet"})
-    assert c.source() == "structured" and "nowhere" in c.problems()[0]
+    assert c.source() == "structured" and "nowhere" in c.problems(spark)[0]
+    only = {f"do_{x}": False for x in ("ingest", "depuration", "eda", "features", "modeling")}
+    assert PipelineConfig(Paths(str(tmp_path)), RunOptions(**only)).problems(spark) == ["there is no gold layer", "there are no feature tables", "there is no frozen mapping"]
+    for cls, bad in ((IntegrationRules, {"build_daily": False, "build_panel": False}), (IntegrationRules, {"expected_days_weight": "x"}), (EDARules, {"leakage": 2.0})):
+        with pytest.raises(ValueError):
+            cls(**bad)
 
 
 def test_run_over_structured_tables(spark, tmp_path):
@@ -45,6 +50,10 @@ def test_run_over_structured_tables(spark, tmp_path):
     inputs = {"ventas": str(tmp_path / "v.parquet"), "tickets": str(tmp_path / "t.parquet"), "articulos": str(tmp_path / "a.parquet")}
     config = PipelineConfig(Paths(str(tmp_path)), RunOptions(do_ingest=False), modeling=ModelingRules(candidates=("poisson_glm",)), structured_inputs=inputs)
     out = run(spark, config, entity=("restaurant",))
+    reports = {x.removesuffix(".csv") for x in os.listdir(tmp_path / "reports") if x.endswith(".csv")}
+    assert {"missing_ventas", "flags_ventas", "outliers_ventas", "cleaning_summary", "integration_coverage", "integration_provenance", "eda_summary", "eda_articles", "eda_panel", "eda_diagnostics", "modeling_metrics", "modeling_final_test",
+            "forecast_summary", "forecast_models", "forecast_regimes", "forecast_compact", "future_context", "catalogue_audit", "catalogue_features_article_period"} <= reports
+    assert out["cleaning"]["ventas"]["rows_before"] >= out["cleaning"]["ventas"]["rows_after"] > 0 and sum(out["forecast_models"].values()) == out["forecast_articles"]
     assert set(out["models"]) == {"lag_1", "rolling_mean_4", "expanding_mean", "poisson_glm"} and out["forecast_articles"] > 0
     f = spark.read.parquet(str(tmp_path / "reports/forecast.parquet"))
     shares = f.groupBy("restaurant").agg(F.sum("forecast_share").alias("s")).collect()
@@ -65,6 +74,61 @@ def test_ingest_reports_what_it_cannot_read(spark, tmp_path):
         ingest(spark, str(tmp_path), strict=True)
 
 
+def test_raw_folder_of_all_kinds(spark, tmp_path):
+    """Sheets and invoices by readers of plain text in place of the optional libraries."""
+    (tmp_path / "res.xlsx").write_text("Fecha|Hora|Estado|Turno|Personas\n02/03/2024|21:30|No show|Cena|4")
+    (tmp_path / "res2.xlsx").write_text("Fecha|Hora|Estado|Turno|Personas|Origen\n02/03/2024|14:30|Completada|Comida|2|Walk in")
+    (tmp_path / "dep.xls").write_text("Código|Descripción|Descripción abreviada\n10|Vinos|V")
+    (tmp_path / "bad.xls").write_text("!")
+    (tmp_path / "v.xlsx").write_text("Articulos x Departamentos Venta\nFecha Inicial: 01/03/2024\nFecha Final: 07/03/2024\n10||Vinos\n101||Tinto||3||10,50\n102||Regalo||1||0")
+    (tmp_path / "f.pdf").write_text("Factura: F-1 02/03/2024 TOTAL 10,00")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "empty.xlsx").write_text("")
+
+    def sheet(name, content):
+        if content == b"!":
+            raise ValueError("no workbook")
+        return [line.split("|") for line in content.decode().split("\n")]
+
+    pdf = lambda name, content: [(0, 40.0 * i, 5.0, 40.0 * i + 30, 9.0, w) for i, w in enumerate(content.decode().split())]
+    tables, errors = ingest(spark, str(tmp_path), read_sheet=sheet, read_pdf=pdf)
+    assert set(tables) == {"reservas", "departamentos", "ventas", "facturas"} and {r.file for r in errors.collect()} == {"bad.xls", "empty.csv", "empty.xlsx"}
+    assert tables["facturas"].first().total == 10.0 and tables["reservas"].count() == 2
+    sales, _ = pipeline.load_weekly_sales(spark, str(tmp_path), read_sheet=sheet)
+    assert sales.count() == 2
+    (tmp_path / "res3.xlsx").write_text("Fecha|Hora|Estado|Turno|Personas|Zona\n")
+    silver = {n: pipeline.clean(t, n, CleaningRules()) for n, t in tables.items()}
+    gold = pipeline.integrate(silver, (), IntegrationRules(keep_invitations=False, statuses=("no_show", "completada")))
+    p = gold["article_period"].collect()
+    assert [(str(r.article_code), r.department_name) for r in p] == [("101", "Vinos")]
+    d = gold["daily"].collect()
+    assert [(r.reservas_total, r.reservas_no_show, r.reservas_walk_in, r.reservas_turno_cena, r.facturacion) for r in d] == [(2, 1, 1, 1, 10.0)]
+    lost = spark.createDataFrame([("r.xlsx", 0, ["Fecha", "Hora"])], "source_file string, row_no int, cells array<string>")
+    from almazara.sources.cells import lacking
+    assert lacking(lost, *pipeline.REQUIRED_COLUMNS["reservations"]).first().error == "required columns are missing: status, shift, people"
+
+
+def test_future_context_reaches_the_features(spark):
+    panel_rows = weekly_panel(spark)
+    day = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(i), i % 9 == 0, 1.0 if i % 9 == 0 else None, float(i)) for i in range(112)], "date date, tiene_evento boolean, event_intensity_mean double, facturacion double")
+    events = spark.createDataFrame([("E", "Feria", dt.date(2024, 4, 23), dt.date(2024, 4, 24), 4.0)], "event_id string, event_name string, event_start date, event_end date, event_intensity double")
+    holidays = spark.createDataFrame([(dt.date(2024, 4, 22), "x")], "date date, holiday_name string")
+    horizon = spark.createDataFrame([(dt.date(2024, 4, 22), dt.date(2024, 4, 28))], "forecast_start date, forecast_end date")
+    ahead = pipeline.future_daily_context({"eventos": events, "festivos": holidays}, horizon)
+    got = {r.date.day: (r.tiene_evento, r.es_festivo) for r in ahead.collect()}
+    assert len(got) == 7 and got[22] == (False, True) and got[23] == (True, False) and got[25] == (False, False)
+    mapping = spark.createDataFrame([], "regime string, model string, source string")
+    made = pipeline.forecast(panel_rows, FeatureRules(), OperationalRules(), mapping, daily_gold=day, future_days=ahead)
+    r = made.first()
+    assert r.report_start == dt.date(2024, 4, 22) and r.context_days_available == 7 and r.context_tiene_evento__days_true == 2
+
+
+def test_baselines_are_discovered():
+    assert evaluate.discover_baselines(["units__rolling_mean_8", "units__rolling_mean_12", "units__lag_1", "x"]) == {"lag_1": "units__lag_1", "rolling_mean_8": "units__rolling_mean_8"}
+    with pytest.raises(ValueError):
+        evaluate.discover_baselines(["x"])
+
+
 def test_models_predict_and_are_named_truly(spark):
     rows = [(i, float(i % 5), None if i % 7 == 0 else "ab"[i % 2], None, float((i % 5) * 2 + i % 2)) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, x double, c string, nothing double, y double")
@@ -159,7 +223,7 @@ def test_profile_stage_writes_its_tables(spark, tmp_path):
     config = PipelineConfig(Paths(str(tmp_path)), RunOptions(do_ingest=False, do_features=False, do_modeling=False, do_operational=False))
     run(spark, config, {"tickets": tickets})
     read = lambda n: spark.read.csv(str(tmp_path / f"reports/eda_{n}.csv"), header=True)
-    assert read("summary").first()["rows"] == "20" and read("weekdays").count() == 7
+    assert {r.dataset: r.rows for r in read("summary").collect()} == {"tickets": "40", "daily": "20"} and read("weekdays").count() == 7
     assert {r.column for r in read("columns_daily").collect()} >= {"facturacion", "num_tickets"} and read("correlations_daily").count() > 0
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from almazara.sources import readers as R
 from almazara.sources.cells import csv_cells, detect_csv_type, detect_types, excel_cells, list_files, sniff_separator
-from almazara.sources.layers import load_catalogue, read_layer, read_structured, write_csv, write_layer
+from almazara.sources.layers import first_table, load_catalogue, read_layer, read_optional, read_report, read_structured, write_csv, write_layer, write_report
 
 
 def _cells(spark, rows, name="f.xls"):
@@ -61,7 +61,7 @@ def test_csv_files(spark, tmp_path):
     (tmp_path / "festivos.csv").write_text("fecha;festivo\n2025-07-06;Fiesta\nbad;x\n")
     (tmp_path / "eventos.csv").write_text('evento,fecha_inicio,fecha_fin,intensidad\n"Feria, gran",2025-03-01,2025-03-03,"2,5"\nMal,2025-03-05,2025-03-01,1\n')
     (tmp_path / "~$tmp.csv").write_text("x")
-    assert [p.split("/")[-1] for p in list_files(str(tmp_path))] == ["eventos.csv", "festivos.csv", "meteo.csv"]
+    assert [p.split("/")[-1] for p in list_files(spark, str(tmp_path))] == ["eventos.csv", "festivos.csv", "meteo.csv"]
     assert detect_csv_type("meteo", []) == "weather" and detect_csv_type("x", ["impacto"]) == "events" and detect_csv_type("x", []) is None and sniff_separator("a;b\n") == ";"
     hourly, daily = R.read_weather(csv_cells(spark, [str(tmp_path / "meteo.csv")]))
     h = R.measures(hourly, {"temperature_2m_c": "temperature_2m", "rain_mm": "rain_mm"}).orderBy("datetime").collect()
@@ -83,13 +83,56 @@ def test_invoice_geometry(spark):
     assert (t.number, t.date, t.table, t.served_by) == ("F-12", dt.date(2024, 4, 3), "7", "Ana")
 
 
-def test_missing_libraries_are_named(spark):
-    for reader, lib in ((excel_cells, "openpyxl"), (R.pdf_words, "fitz")):
+def test_csv_quotes_breaks_and_encodings(spark, tmp_path):
+    (tmp_path / "eventos.csv").write_text('\ufeffevento;fecha_inicio;notas;franja_probable\n"Feria; ""grande""\nde marzo";2025-03-01;"a,b";noche\n\nMercado;2025-03-02;;\n', encoding="utf-8")
+    (tmp_path / "otros_eventos.csv").write_text("evento,fecha_inicio,color\nBaile,2025-03-05,rojo\n")
+    c = csv_cells(spark, [str(tmp_path / "eventos.csv"), str(tmp_path / "otros_eventos.csv")])
+    got = {(r.source_file, r.row_no): [x for x in r.cells if x] for r in c.collect()}
+    assert got["eventos.csv", 1] == ['Feria; "grande"\nde marzo', "2025-03-01", "a,b", "noche"] and got["otros_eventos.csv", 1] == ["Baile", "2025-03-05", "rojo"] and len(got) == 5
+    e = {r.event_name: r for r in R.read_events(c).collect()}
+    assert e["Mercado"].franja_probable is None and e['Feria; "grande"\nde marzo'].franja_probable == "noche" and e["Baile"].color == "rojo"
+    assert csv_cells(spark, []).collect() == []
+
+
+def test_all_measures_are_kept(spark, tmp_path):
+    (tmp_path / "meteo.csv").write_text("latitude,longitude,timezone\n41.6,2.3,Europe/Madrid\n\ntime,temperature_2m (°C),cloud_cover (%)\n2025-01-01T00:00,5.1,80\n")
+    hourly, daily = R.read_weather(csv_cells(spark, [str(tmp_path / "meteo.csv")]))
+    r = R.all_measures(hourly).collect()
+    assert [(x.temperature_2m, x.cloud_cover, x.timezone) for x in r] == [(5.1, 80.0, "Europe/Madrid")] and R.all_measures(daily).collect() == []
+
+
+def test_a_broken_file_is_a_row_of_errors(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_text("x|y\n1|")
+    (tmp_path / "b.xls").write_text("broken")
+    (tmp_path / "c.pdf").write_text("TOTAL 12,00")
+    (tmp_path / "d.pdf").write_text(" ")
+
+    def sheet(name, content):
+        if content == b"broken":
+            raise ValueError("no workbook")
+        return [line.split("|") for line in content.decode().split("\n")]
+
+    rows, errors = excel_cells(spark, [str(tmp_path / "a.xlsx"), str(tmp_path / "b.xls")], sheet)
+    assert {(r.source_file, r.row_no, tuple(r.cells)) for r in rows.collect()} == {("a.xlsx", 0, ("x", "y")), ("a.xlsx", 1, ("1", None))}
+    assert [tuple(r) for r in errors.collect()] == [("b.xls", "ValueError: no workbook")]
+    words, errors = R.pdf_words(spark, [str(tmp_path / "c.pdf"), str(tmp_path / "d.pdf")], lambda name, content: [(0, 10.0 * i, 5.0, 10.0 * i + 9, 9.0, w) for i, w in enumerate(content.decode().split())])
+    assert [(r.word, r.page) for r in words.orderBy("x0").collect()] == [("TOTAL", 0), ("12,00", 0)] and [r.source_file for r in errors.collect()] == ["d.pdf"]
+    for lib, take, end in (("openpyxl", excel_cells, ".xlsx"), ("fitz", R.pdf_words, ".pdf")):
         try:
             __import__(lib)
-        except ImportError:
-            with pytest.raises(RuntimeError):
-                reader(spark, ["x"])
+        except ImportError:  # without the optional library its files are errors that name it
+            (tmp_path / f"e{end}").write_text("x")
+            assert lib in take(spark, [str(tmp_path / f"e{end}")])[1].first().error
+
+
+def test_invoices_are_composed(spark):
+    lines = ["Factura: F-12", "03/04/2024 Mesa: 7", "Base % IVA Total IVA", "50,00 21,00 10,50", "TOTAL 60,50", "EFECTIVO: 20,00", "TARJETA: 45,00"]
+    words = [("f.pdf", 0, 40.0 * i, 40.0 * n, 40.0 * i + 30, 40.0 * n + 4, w) for n, line in enumerate(lines) for i, w in enumerate(line.split())] + [("g.pdf", 0, 1.0, 1.0, 2.0, 2.0, "nada")]
+    got = {r.source_file: r for r in R.read_invoices(spark.createDataFrame(words, R.WORDS)).collect()}
+    f = got["f.pdf"]
+    assert (f.ticket_id, f.date, f.table, f.base, f.vat_rate, f.vat, f.total) == ("F-12", dt.date(2024, 4, 3), "7", 50.0, 21.0, 10.5, 60.5)
+    assert (f.cash_tendered, f.change_amount, f.cash_amount, f.card_amount, f.payment_method) == (20.0, 4.5, 15.5, 45.0, "mixed") and f.raw_text.startswith("Factura: F-12\n")
+    assert (got["g.pdf"].ticket_id, got["g.pdf"].total, got["g.pdf"].payment_method) == ("g", None, "unknown")
 
 
 def test_layers(spark, tmp_path):
@@ -100,5 +143,11 @@ def test_layers(spark, tmp_path):
     assert read_structured(spark, {"r": str(tmp_path / "r.csv")})["r"].collect()[0].t == "a"
     with pytest.raises(ValueError):
         read_structured(spark, {"r": "x.foo"})
+    assert read_optional(spark, None) is None and read_optional(spark, str(tmp_path / "no.csv")) is None and read_optional(spark, str(tmp_path / "r.csv")).count() == 1
+    write_report(spark, {"a": [1, "ñ"]}, str(tmp_path / "r.json"))
+    assert read_report(spark, str(tmp_path / "r.json")) == {"a": [1, "ñ"]}
+    assert first_table({"b": df}, ["a", "b"]) is df and first_table({}, ["a"]) is None
+    with pytest.raises(KeyError):
+        first_table({}, ["a"], required=True)
     with pytest.raises(ValueError):
         load_catalogue(spark, str(tmp_path / "r.csv"))
