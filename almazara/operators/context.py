@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almazara.operators.daily import expand_days, joined_names
 from almazara.operators.panel import latest_rows
+from almazara.operators.quality import running_sums
 from almazara.session import broadcast_if_small
 
 
@@ -150,9 +151,14 @@ def usage(forecast: DataFrame, column: str) -> DataFrame:
 
 def rank_forecast(forecast: DataFrame, group: Sequence[str], article: str, value: str = "predicted_units", a: float = 0.8, b: float = 0.95) -> DataFrame:
     """Rank (largest first, ties by code), share, running share, class A/B/C by the running share before the row, units rounded half to even."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy()
-    order = w.orderBy(F.desc(value), article)
-    out = forecast.withColumns({"forecast_rank": F.row_number().over(order), "forecast_share": F.try_divide(F.col(value), F.sum(value).over(w))})
-    out = out.withColumn("forecast_cumulative_share", F.sum("forecast_share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if group:
+        w = Window.partitionBy(*group)
+        order = w.orderBy(F.desc(value), article)
+        out = forecast.withColumns({"forecast_rank": F.row_number().over(order), "forecast_share": F.try_divide(F.col(value), F.sum(value).over(w))})
+        out = out.withColumn("forecast_cumulative_share", F.sum("forecast_share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    else:  # one order over all articles, summed over range partitions
+        total = forecast.agg(F.sum(value)).first()[0]
+        out = forecast.withColumn("forecast_share", F.try_divide(F.col(value), F.lit(total).cast("double")))
+        out = running_sums(out, [F.desc(value), article], {"forecast_rank": F.lit(1), "forecast_cumulative_share": F.col("forecast_share")})
     before = F.col("forecast_cumulative_share") - F.col("forecast_share")
     return out.withColumns({"planning_class": F.when(before < a, "A").when(before < b, "B").otherwise("C"), "predicted_units_rounded": F.bround(value, 0).cast("long")})

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almazara.operators.quality import exact_quantiles, is_flag, running_sum
+from almazara.operators.quality import exact_quantiles, is_flag, running_sums
+from almazara.session import cut
 
 
 def dataset_summary(tables: Mapping[str, DataFrame], days: Mapping[str, str] | None = None) -> DataFrame:
@@ -110,32 +111,28 @@ def correlations(df: DataFrame, target: str, columns: Sequence[str], least_pairs
     """(column, pairs, pearson, spearman, possible_leakage): pairwise complete, with average ranks, strongest rank correlation first.
 
     Ranks come from the counts of different values: each value's average rank is its place in the running sum
-    of counts, which runs over range partitions of the distinct values. Columns with too few pairs or a constant are
-    left out.
+    of counts. All columns take one pass: their pairs are counted once, and one running sum over range partitions of
+    the different values ranks both sides of all. Columns with too few pairs or a constant are left out.
     """
-    out = []
-    for c in columns:
-        pairs = df.select(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("x"), F.nanvl(F.col(target).cast("double"), F.lit(None).cast("double")).alias("y")).where("x is not null and y is not null")
-        counts = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-        rx, ry = _average_ranks(counts, "x"), _average_ranks(counts, "y")
-        ranked = counts.join(rx, "x").join(ry, "y")
-        w = F.col("n")
-        s = ranked.agg(F.sum(w).alias("pairs"), *[f.alias(k) for a, b, p in (("x", "y", "v"), ("rank_x", "rank_y", "r")) for k, f in _moments(a, b, w, p).items()])
-        out.append(s.select(F.lit(c).alias("column"), "pairs", _corr("v").alias("pearson"), _corr("r").alias("spearman")))
-    if not out:
-        return df.sparkSession.createDataFrame([], "column string, pairs long, pearson double, spearman double, possible_leakage boolean")
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
+    schema = "column string, pairs long, pearson double, spearman double, possible_leakage boolean"
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    val = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    each = F.explode(F.array(*[F.when(val(c).isNotNull(), F.struct(F.lit(c).alias("column"), val(c).alias("x"))) for c in columns]))
+    pairs = df.select(val(target).alias("y"), each.alias("p")).where("y is not null and p is not null").select("p.column", "p.x", "y")
+    counts = cut(pairs.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    side = lambda v: counts.groupBy("column", F.lit(v).alias("side"), F.col(v).alias("value")).agg(F.sum("n").alias("k"))
+    upto = running_sums(side("x").unionByName(side("y")), ["value"], {"upto": F.col("k")}, ["column", "side"])
+    ranks = upto.select("column", "side", "value", (F.col("upto") - (F.col("k") - 1) / 2).alias("rank"))
+    of = lambda v: ranks.where(F.col("side") == v).select("column", F.col("value").alias(v), F.col("rank").alias(f"rank_{v}"))
+    ranked = counts.join(of("x"), ["column", "x"]).join(of("y"), ["column", "y"])
+    w = F.col("n")
+    s = ranked.groupBy("column").agg(F.sum(w).alias("pairs"), *[f.alias(k) for a, b, p in (("x", "y", "v"), ("rank_x", "rank_y", "r")) for k, f in _moments(a, b, w, p).items()])
+    every = s.select("column", "pairs", _corr("v").alias("pearson"), _corr("r").alias("spearman"))
     good = every.where((F.col("pairs") >= least_pairs) & F.col("pearson").isNotNull() & F.col("spearman").isNotNull())
     return good.withColumn("possible_leakage", F.greatest(F.abs("pearson"), F.abs("spearman")) >= leakage).orderBy(F.desc(F.abs("spearman")), "column").limit(top)
 
 
-def _average_ranks(counts: DataFrame, c: str) -> DataFrame:
-    per = running_sum(counts.groupBy(c).agg(F.sum("n").alias("k")), c, "k", "upto")
-    return per.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
-
-
 def _moments(a: str, b: str, w, p: str) -> dict:
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     return {f"{p}_x": F.sum(w * x), f"{p}_y": F.sum(w * y), f"{p}_xx": F.sum(w * x * x), f"{p}_yy": F.sum(w * y * y), f"{p}_xy": F.sum(w * x * y)}

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almazara.operators.quality import group_medians
 from almazara.session import broadcast_if_small, cut
 
 
@@ -77,7 +78,7 @@ def baseline_predictions(features: DataFrame, fold_table: DataFrame, baselines:
     """
     known = features.where(F.col(target).isNotNull())
     small = broadcast_if_small(fold_table)
-    medians = known.join(small.where("role = 'train'"), index).groupBy("fold").agg(F.median(target).alias("fallback"))
+    medians = group_medians(known.join(small.where("role = 'train'"), index), ["fold"], target, "fallback")
     rows = known.join(small.where("role = 'validation'"), index).join(broadcast_if_small(medians), "fold", "left")
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("value")) for m, c in baselines.items()]))
     return rows.select("fold", *keys, index, F.col(regime).alias("regime"), F.col(target).alias("target"), "fallback", models.alias("m")).select(
@@ -142,34 +143,22 @@ def _ranked(scores: DataFrame, by: Sequence[str], least: int) -> DataFrame:
 
 
 def adaptive_selection(predictions: DataFrame, default: str, min_regime_rows: int = 20, min_global_rows: int = 50) -> DataFrame:
-    """(fold, regime, model, source): for each fold and regime the model that did best in earlier folds.
+    """(fold, regime, model, source): for each fold and regime that occurs the model that did best in earlier folds.
 
-    Errors are summed per (fold, regime, model), the table is completed over all combinations so that a gap
-    still carries what came before, and a running sum over earlier folds ranks the models: by the regime if it
-    has enough rows, else over all regimes, else the default. No loop over folds.
+    Errors are summed once per (fold, regime, model), a few rows; each of them is carried to every later fold and
+    added up there, so a model that misses a fold still counts by what came before. The models are ranked by
+    the regime if it has enough rows, else over all regimes, else the default stands. No loop over folds.
     """
     sums = cut(_pooled(predictions, ["fold", "regime", "model"]))
-    grid = sums.sparkSession.range(1)
-    for c in ("fold", "regime", "model"):
-        grid = grid.select(*[x for x in grid.columns if x != "id"], F.explode(_values(sums, c)).alias(c))
-    full = grid.join(sums, ["fold", "regime", "model"], "left").fillna(0, ["err", "scale", "n"])
-    past = Window.partitionBy("regime", "model").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
-    before = full.select("fold", "regime", "model", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("err", "scale", "n")])
-    own = _ranked(before, ["fold", "regime"], min_regime_rows).select("fold", "regime", F.col("model").alias("own"))
-    overall = _ranked(before.groupBy("fold", "model").agg(*[F.sum(c).alias(c) for c in ("err", "scale", "n")]), ["fold"], min_global_rows).select("fold", F.col("model").alias("overall"))
-    cells = full.select("fold", "regime").distinct().join(own, ["fold", "regime"], "left").join(overall, "fold", "left")
+    known = sums.withColumn("folds", F.collect_set("fold").over(Window.partitionBy()))  # a row a fold, regime and model
+    carried = known.withColumn("later", F.explode(F.filter("folds", lambda f: f > F.col("fold")))).drop("fold", "folds").withColumnRenamed("later", "fold")
+    added = [F.sum(c).alias(c) for c in ("err", "scale", "n")]
+    own = _ranked(carried.groupBy("fold", "regime", "model").agg(*added), ["fold", "regime"], min_regime_rows).select("fold", "regime", F.col("model").alias("own"))
+    overall = _ranked(carried.groupBy("fold", "model").agg(*added), ["fold"], min_global_rows).select("fold", F.col("model").alias("overall"))
+    cells = sums.select("fold", "regime").distinct().join(own, ["fold", "regime"], "left").join(overall, "fold", "left")
     return cells.select("fold", "regime", F.coalesce("own", "overall", F.lit(default)).alias("model"), F.when(F.col("own").isNotNull(), "regime").when(F.col("overall").isNotNull(), "global").otherwise("default").alias("source"))
 
 
-def _values(sums: DataFrame, c: str) -> Column:
-    """The different values of fold, regime or model, a handful by construction, as an array of literals."""
-    values = [r[0] for r in sums.select(c).distinct().orderBy(c).limit(10_001).collect()]
-    if len(values) > 10_000:
-        raise ValueError(f"{c} is no small set")
-    kind = dict(sums.dtypes)[c]
-    return F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")
-
-
 def global_model(predictions: DataFrame, min_rows: int = 50) -> str | None:
     """The best model over all regimes, if it has enough rows."""
     best = _ranked(_pooled(predictions, ["model"]).withColumn("all", F.lit(1)), ["all"], min_rows).first()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almazara.operators.quality import consistent_lookup
+from almazara.operators.quality import consistent_lookup, running_sums
 from almazara.session import broadcast_if_small
 
 PERIOD = ("report_start", "report_end")
@@ -77,7 +77,8 @@ def period_index(df: DataFrame, entity: Sequence[str] = ()) -> DataFrame:
 def article_profile(panel: DataFrame, entity: Sequence[str] = (), article: str = "article_code") -> DataFrame:
     """Per article: units, amount, periods observed, coverage, share and running share (largest first, ties by code).
 
-    The running share needs one order over all articles of an entity: it runs over the profile, one row an article.
+    The running share needs one order over all articles of an entity: it runs over the profile, one row an article;
+    without an entity over range partitions of it.
     """
     period = F.struct(*PERIOD)
     profile = panel.groupBy(*entity, article).agg(
@@ -90,9 +91,11 @@ def article_profile(panel: DataFrame, entity: Sequence[str] = (), article: str =
     else:
         one = totals.first()
         out = profile.withColumns({"periods": F.lit(one["periods"]), "all_units": F.lit(one["all_units"])})
-    w = Window.partitionBy(*entity).orderBy(F.desc("units_total"), article) if entity else Window.orderBy(F.desc("units_total"), article)
-    out = out.withColumns({"period_coverage": F.try_divide(F.col("periods_observed"), F.col("periods")), "unit_share": F.try_divide(F.col("units_total"), F.col("all_units"))})
-    return out.withColumn("cumulative_share", F.sum("unit_share").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("periods", "all_units")
+    out = out.withColumns({"period_coverage": F.try_divide(F.col("periods_observed"), F.col("periods")), "unit_share": F.try_divide(F.col("units_total"), F.col("all_units"))}).drop("periods", "all_units")
+    order = [F.desc("units_total"), F.col(article)]
+    if not entity:
+        return running_sums(out, order, {"cumulative_share": F.col("unit_share")})
+    return out.withColumn("cumulative_share", F.sum("unit_share").over(Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def latest_metadata(panel: DataFrame, entity: Sequence[str], columns: Sequence[str]) -> DataFrame:

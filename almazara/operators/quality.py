@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,7 @@ def exact_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def flag_exact_duplicates(df: DataFrame, row_id: str) -> DataFrame:
     """``quality_exact_duplicate`` on every copy after the first by ``row_id`` of rows equal in all other columns.
 
-    The first copy is found by an aggregate on a hash of the row and joined back by row id, so that a row
+    The first copy is found by an aggregate over the other columns and joined back by row id, so that a row
     copied a million times is no window of a million rows.
     """
     others = [c for c in df.columns if c != row_id]
@@ -53,58 +53,106 @@ def assert_unique(df: DataFrame, keys: Sequence[str], label: str = "table") -> D
     return df
 
 
+#: Values ranked exactly at once at most, if they differ; more are bracketed again first.
+MOST_RANKED = 200_000
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of several columns, in three aggregates whatever the size.
+    """Exact linearly interpolated quantiles of several columns, by a few aggregates over all of them at once.
 
-    A sketch brackets each quantile; the values in the bracket (a fraction of about 4 / accuracy of all) are
-    counted and ranked exactly. Only a few numbers a column come to the driver.
+    A sketch brackets each quantile and the values below and in the bracket are counted; a bracket with more
+    than MOST_RANKED values is bracketed again, each round a fraction of about 4 / accuracy of the one before,
+    and one that missed is widened. The last aggregate ranks what is left. Only a few numbers a column come to
+    the driver.
     """
+    val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     if not columns:
         return {}
-    val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    eps = 2.0 / accuracy
-    around = F.array(*[F.lit(min(1.0, max(0.0, q + s))) for q in at for s in (-eps, eps)])
-    rough = df.agg(*[F.count(val[c]).alias(f"n_{i}") for i, c in enumerate(columns)], *[F.percentile_approx(val[c], around, F.lit(accuracy)).alias(f"b_{i}") for i, c in enumerate(columns)]).first()
-    spans, counts = {}, []
-    for i, c in enumerate(columns):
-        for j in range(len(at)):
-            if rough[f"n_{i}"]:
-                lo, hi = rough[f"b_{i}"][2 * j], rough[f"b_{i}"][2 * j + 1]
-                spans[i, j] = lo, hi
-                counts += [F.count_if(val[c] < lo).alias(f"below_{i}_{j}"), F.count_if(val[c].between(lo, hi)).alias(f"in_{i}_{j}")]
-    if not spans:
-        return {c: [None] * len(at) for c in columns}
-    n = df.agg(*counts).first()
+    total = df.agg(*[F.count(val[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    out = {c: [None] * len(at) for c in columns}
+    # per quantile: bracket (None: everything), values below it, values in it, share of the bracket looked at
+    open_ = {(i, j): (None, None, 0, total[f"n{i}"], 2.0 / accuracy) for i in range(len(columns)) for j in range(len(at)) if total[f"n{i}"]}
+    done: dict[tuple[int, int], tuple] = {}
+    within = lambda i, lo, hi: F.lit(True) if lo is None else val[columns[i]].between(lo, hi)
+    place = lambda i, j: at[j] * (total[f"n{i}"] - 1)
+    while open_:
+        sketches = []
+        for (i, j), (lo, hi, below, inside, eps) in open_.items():
+            p = (place(i, j) - below) / max(1, inside - 1)
+            around = F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps)))
+            sketches.append(F.percentile_approx(F.when(within(i, lo, hi), val[columns[i]]), around, F.lit(accuracy)).alias(f"b_{i}_{j}"))
+        got = df.agg(*sketches).first()
+        counts = []
+        for i, j in open_:
+            lo, hi = got[f"b_{i}_{j}"]
+            counts += [F.count_if(val[columns[i]] < lo).alias(f"below_{i}_{j}"), F.count_if(val[columns[i]].between(lo, hi)).alias(f"in_{i}_{j}")]
+        n = df.agg(*counts).first()
+        following = {}
+        for (i, j), old in open_.items():
+            (lo, hi), below, inside = got[f"b_{i}_{j}"], n[f"below_{i}_{j}"], n[f"in_{i}_{j}"]
+            if not below <= place(i, j) <= below + inside - 1:
+                following[i, j] = (*old[:4], min(1.0, old[4] * 8))  # the sketch missed by more than its accuracy
+            elif inside <= MOST_RANKED or lo == hi or inside == old[3]:
+                done[i, j] = (lo, hi, below, inside)
+            else:
+                following[i, j] = (lo, hi, below, inside, 2.0 / accuracy)
+        open_ = following
     exact = []
-    for (i, j), (lo, hi) in spans.items():
-        inside, below, total = n[f"in_{i}_{j}"], n[f"below_{i}_{j}"], rough[f"n_{i}"]
-        place = at[j] * (total - 1) - below
-        if place < 0 or place > inside - 1:  # the sketch missed by more than its accuracy: rank the whole column
-            exact.append(F.percentile(val[columns[i]], F.lit(at[j])).alias(f"q_{i}_{j}"))
+    for (i, j), (lo, hi, below, inside) in done.items():
+        if lo == hi:
+            out[columns[i]][j] = lo
         else:
-            exact.append(F.percentile(F.when(val[columns[i]].between(lo, hi), val[columns[i]]), F.lit(place / (inside - 1) if inside > 1 else 0.0)).alias(f"q_{i}_{j}"))
-    got = df.agg(*exact).first()
-    return {c: [got[f"q_{i}_{j}"] if (i, j) in spans else None for j in range(len(at))] for i, c in enumerate(columns)}
+            share = (place(i, j) - below) / (inside - 1) if inside > 1 else 0.0
+            exact.append(F.percentile(F.when(val[columns[i]].between(lo, hi), val[columns[i]]), F.lit(min(1.0, max(0.0, share)))).alias(f"q_{i}_{j}"))
+    if exact:
+        got = df.agg(*exact).first()
+        for i, j in done:
+            if f"q_{i}_{j}" in got.asDict():
+                out[columns[i]][j] = got[f"q_{i}_{j}"]
+    return out
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to each by ``order`` (unique), without one task for all rows.
+def running_sums(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sum of each expression over all rows up to each by ``order`` (unique), within few groups ``by``, without
+    one task for all rows of a group.
 
     Rows are range-partitioned and written once; each part is summed by itself, and the totals of the parts
-    before (one row a part) are added.
+    before (one row a part and group) are added.
     """
-    part, inner = f"__part_{name}", f"__inner_{name}"
-    spread = cut(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()))
-    totals = {r[0]: r[1] or 0 for r in spread.groupBy(part).agg(F.sum(value)).collect()}
-    offset, rows = 0, []
-    for p in sorted(totals):
-        rows.append((p, offset))
-        offset += totals[p]
-    kind = dict(spread.agg(F.sum(value).alias("v")).dtypes)["v"]
-    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"{part} int, __offset {kind}"))  # a row a partition
-    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = spread.withColumn(inner, F.sum(value).over(w)).join(offsets, part)
-    return out.select(*df.columns, (F.col(inner) + F.col("__offset")).alias(name))
+    own, part = {n: f"__value_{n}" for n in sums}, "__part"
+    keyed = df.withColumns({own[n]: c for n, c in sums.items()})
+    spread = cut(keyed.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))
+    totals = spread.groupBy(part, *by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in own.items()])
+    rows, so_far = [], {}
+    for r in sorted(totals.collect(), key=lambda r: r[part]):
+        group = tuple(r[c] for c in by)
+        before = so_far.get(group, {n: type(r[n])(0) for n in sums})
+        rows.append((r[part], *group, *[before[n] for n in sums]))
+        so_far[group] = {n: before[n] + r[n] for n in sums}
+    kinds = dict(totals.dtypes)
+    names = [f"__by_{i}" for i in range(len(by))]
+    schema = ", ".join([f"`{part}_before` int", *[f"`{n}` {kinds[c]}" for n, c in zip(names, by)], *[f"`__before_{n}` {kinds[n]}" for n in sums]])
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # a row a partition and group
+    on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(c)) for n, c in zip(names, by)], F.col(part) == F.col(f"{part}_before"))
+    w = Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = spread.withColumns({f"__inner_{n}": F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in own.items()}).join(offsets, on)
+    return out.select(*df.columns, *[(F.col(f"__inner_{n}") + F.col(f"__before_{n}")).alias(n) for n in sums])
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each by ``order`` (unique)."""
+    return running_sums(df, [order], {name: F.col(value)})
+
+
+def group_medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(*by, name): the exact median of each of few groups (one column at least), from running counts of its different values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running_sums(counts, [value], {"__upto": F.col("__n")}, by)
+    total = ranked.groupBy(*by).agg(F.max("__upto").alias("__all"))
+    both = ranked.join(total, list(by))
+    low = F.min(F.when(F.col("__upto") >= F.floor((F.col("__all") + 1) / 2), F.col(value)))
+    high = F.min(F.when(F.col("__upto") >= F.ceil((F.col("__all") + 1) / 2), F.col(value)))
+    return both.groupBy(*by).agg(((low + high) / 2).cast("double").alias(name))
 
 
 def impute_low_missingness(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: float = 0.05, label: str = "UNKNOWN", mode: bool = False) -> DataFrame:

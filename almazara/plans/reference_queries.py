@@ -573,7 +573,7 @@ def eval_cv_summary(spark: SparkSession, d: str) -> DataFrame:
  own as (select fold, regime, arg_min(model, (err / scale, err / n, model)) as own from before where n >= 20 and scale > 0 group by 1, 2),
  pooled as (select fold, model, sum(err) as err, sum(scale) as scale, sum(n) as n from before group by 1, 2),
  overall as (select fold, arg_min(model, (err / scale, err / n, model)) as overall from pooled where n >= 50 and scale > 0 group by 1)
- select fold, regime, coalesce(own, overall, 'expanding_mean') as model, case when own is not null then 'regime' when overall is not null then 'global' else 'default' end as source from (select distinct fold, regime from before) left join own using (fold, regime) left join overall using (fold)""")
+ select fold, regime, coalesce(own, overall, 'expanding_mean') as model, case when own is not null then 'regime' when overall is not null then 'global' else 'default' end as source from (select distinct fold, regime from e) left join own using (fold, regime) left join overall using (fold)""")
 def eval_adaptive_selection(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.adaptive_selection(_predictions(spark, d), "expanding_mean")
 

@@ -319,3 +319,42 @@ def test_words_labels_and_weather(spark):
 def test_no_event_is_no_intensity(spark):
     df = spark.createDataFrame([(False, None), (True, None), (None, None), (False, 2.0)], "tiene_evento boolean, event_intensity_mean double")
     assert [r.event_intensity_mean for r in features.known_context_zero(df).collect()] == [0.0, None, None, 2.0]
+
+
+def test_quantiles_in_narrow_brackets(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 5.0, float("nan"), rng.gauss(0, 1)]), float(rng.randint(0, 3))) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    want = {c: [float(np.quantile([v for v in col if v is not None and v == v], q)) for q in (0.0, 0.25, 0.5, 0.9, 1.0)] for c, col in zip("xy", zip(*rows))}
+    for most, accuracy in ((200_000, 10_000), (40, 50), (1, 20)):
+        monkeypatch.setattr(quality, "MOST_RANKED", most)
+        got = quality.exact_quantiles(df, ["x", "y"], (0.0, 0.25, 0.5, 0.9, 1.0), accuracy)
+        assert all(abs(a - b) < 1e-9 for c in "xy" for a, b in zip(got[c], want[c]))
+    assert quality.exact_quantiles(df.where("x is null"), ["x"], [0.5]) == {"x": [None]} and quality.exact_quantiles(df, [], [0.5]) == {}
+
+
+def test_running_sums_and_medians_by_group(spark):
+    import statistics
+
+    rows = [("ab"[i % 2] if i % 7 else None, (i * 37) % 101, i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, k int")
+    sums = quality.running_sums(df.groupBy("g", "v").agg(F.sum("k").alias("k")), ["v"], {"upto": F.col("k"), "place": F.lit(1)}, ["g"]).collect()
+    for g in ("a", "b", None):
+        total = place = 0
+        for v in sorted({x[1] for x in rows if x[0] == g}):
+            total, place = total + sum(x[2] for x in rows if x[0] == g and x[1] == v), place + 1
+            assert [(r.upto, r.place) for r in sums if r.g == g and r.v == v] == [(total, place)]
+    got = {r.g: r["median"] for r in quality.group_medians(df.where("g is not null"), ["g"], "v").collect()}
+    assert got == {g: statistics.median(x[1] for x in rows if x[0] == g) for g in "ab"}
+
+
+def test_ranking_without_a_group_needs_no_single_task(spark):
+    rows = [(f"a{i:03}", float((i * 31) % 17)) for i in range(60)]
+    df = spark.createDataFrame(rows, "article_code string, predicted_units double")
+    a = {r.article_code: r for r in context.rank_forecast(df, [], "article_code").collect()}
+    b = {r.article_code: r for r in context.rank_forecast(df.withColumn("g", F.lit(1)), ["g"], "article_code").collect()}
+    assert all(a[c].forecast_rank == b[c].forecast_rank and abs(a[c].forecast_cumulative_share - b[c].forecast_cumulative_share) < 1e-9 and a[c].planning_class == b[c].planning_class for c in b)
