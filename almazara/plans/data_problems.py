@@ -319,6 +319,80 @@ union all select 'meteo_diaria', md_id, 'date' from meteo_diaria m left join fil
 where date is null or date in ({', '.join(f"date '{x}'" for x in STAND_IN_DAYS)}) or abs((date - date '1970-01-01') - mid) > {ABSURD_DAYS}
 """
 
+def _candidate_sql(i: int, rows: str, ids: str, target: str, determinant: tuple[str, ...], of: str, value: str, within: float, name: str) -> str:
+    """The dictionary of a candidate, its evidence, and what it offers to the rows without ``target`` if it holds."""
+    det = ", ".join(determinant)
+    entry, apart = (f"avg({of})", f"stddev_samp({of}) > {within} * abs(avg({of}))") if within else (f"min({of})", f"min({of}) <> max({of})")
+    known = " and ".join(f"{c} is not null" for c in determinant)
+    return f"""
+d{i} as (select {det}, count({of}) as n, {entry} as entry, coalesce({apart}, false) as apart from {rows} where {known} group by {det}),
+e{i} as (select count(*) filter (n > 1) as g, count(*) filter (n > 1 and apart) as v from d{i}),
+c{i} as (
+  select {ids} as row_id, '{target}' as field_name, {within}::double as within, v / g::double as rate, -g as fewer, {i} as i, '{name}' as source, {value} as val
+  from {rows} join d{i} using ({det}), e{i} where lost_{target} and g > 0 and v <= 0.05 * g and not apart and n > 0)"""
+
+
+def _fallback_sql(i: int, rows: str, ids: str, target: str, group: tuple[str, ...], statistic: str, value: str, name: str) -> str:
+    by = ", ".join(group)
+    table = f"(select {by}, {statistic} as entry from {rows} where {' and '.join(f'{c} is not null' for c in group)} group by {by})" if group else f"(select {statistic} as entry from {rows})"
+    return f"""
+c{i} as (
+  select {ids} as row_id, '{target}' as field_name, 9.0::double as within, {i}::double as rate, 0 as fewer, {i} as i, 'group:{name}' as source, {value} as val
+  from {rows} join {table} s {f'using ({by})' if group else 'on true'} where lost_{target})"""
+
+
+def _p1_filled_sql() -> str:
+    """The candidates and fallbacks of both tables, judged by their evidence in SQL; the best offer a value fills it."""
+    parts, i = [], 0
+
+    def add(make, *args) -> None:
+        nonlocal i
+        parts.append(make(i, *args))
+        i += 1
+
+    for target, other in ((_TICKETS, _MONEY), (_MONEY, _TICKETS)):
+        digits = "0" if target == _TICKETS else "2"
+        shown = (lambda x, d=digits: f"cast(cast(round({x}, {d}) as bigint) as varchar)" if d == "0" else f"cast(round({x}, {d}) as varchar)")
+        plain = "cast(cast(entry as bigint) as varchar)" if target == _TICKETS else "cast(entry as varchar)"
+        good, known = f"case when not lost_{target} then v_{target} end", f"case when not lost_{other} then v_{other} end"
+        ratio = f"case when not lost_{target} and v_{target} > 0 and not lost_{other} and v_{other} > 0 then v_{target} / v_{other} end"
+        add(_candidate_sql, "days", "diaria_id", target, ("restaurant", "date"), good, plain, 0.0, "fd:restaurant+date")
+        for det in (("restaurant", "day_name"), ("restaurant",)):
+            add(_candidate_sql, "days", "diaria_id", target, det, ratio, shown(f"({known}) * entry"), _RATIO_WITHIN, f"fd:{'+'.join(det)}->{target}/{other}")
+        add(_candidate_sql, "days", "diaria_id", target, ("restaurant", "day_name"), f"case when not lost_{target} and v_{target} > 0 then v_{target} end", shown("entry"), _RATIO_WITHIN, "fd:restaurant+day_name")
+        for name, group in (("restaurant_weekday", ("restaurant", "day_name")), ("restaurant", ("restaurant",)), ("date", ("date",)), ("all", ())):
+            add(_fallback_sql, "days", "diaria_id", target, group, f"avg({good})", shown("entry"), name)
+    days = i
+    offset, place = "case when not lost_date then (date - date '1970-01-01') - row_no end", "cast(date '1970-01-01' + cast(row_no + round(entry) as int) as varchar)"
+    add(_candidate_sql, "weather", "md_id", "date", ("source_file", "row_no"), "case when not lost_date then date end", "cast(entry as varchar)", 0.0, "fd:source_file+row_no")
+    for b in _BLOCKS:
+        add(_candidate_sql, "weather", "md_id", "date", ("source_file", b), offset, place, 0.0, f"fd:source_file+{b}->date-row_no")
+    for name, group in (("place_in_16", ("source_file", "block_16")), ("place_in_file", ("source_file",))):
+        add(_fallback_sql, "weather", "md_id", "date", group, f"avg({offset})", place, name)
+    offers = " union all ".join(f"select '{'maestra_diaria' if k < days else 'meteo_diaria'}' as table_name, * from c{k} where val is not null" for k in range(i))
+    blocks = ", ".join(f"(row_no + {ahead}) // {n} as {b}" for b, (n, ahead) in _BLOCKS.items())
+    stand_ins = ", ".join(f"date '{x}'" for x in STAND_IN_DAYS)
+    return f"""
+with {_P1_REASONS_SQL},
+days as (
+  select *, num_tickets::double as v_num_tickets, money as v_facturacion, lost_t as lost_num_tickets, lost_m as lost_facturacion,
+    case when num_tickets is null then 'null' when num_tickets < 0 then 'impossible' when bad_t then 'absurd' else 'contradicted' end as why_num_tickets,
+    case when facturacion is null then 'null' when isnan(facturacion) then 'nan' when facturacion < 0 then 'impossible' when bad_m then 'absurd' else 'contradicted' end as why_facturacion from reasons),
+files as (select source_file, median(date - date '1970-01-01') as mid from meteo_diaria where date not in ({stand_ins}) group by source_file),
+weather as (
+  select md_id, source_file, row_no, date, {blocks}, case when date is null then 'null' when date in ({stand_ins}) then 'stand_in' when abs((date - date '1970-01-01') - mid) > {ABSURD_DAYS} then 'absurd' end as why_date, why_date is not null as lost_date
+  from meteo_diaria left join files using (source_file)),
+{','.join(parts)},
+offers as ({offers}),
+best as (select table_name, row_id, field_name, arg_min(val, (within, rate, fewer, i)) as filled_value, arg_min(source, (within, rate, fewer, i)) as source from offers group by 1, 2, 3),
+wanted as (
+  select 'maestra_diaria' as table_name, diaria_id as row_id, 'num_tickets' as field_name, why_num_tickets as reason from days where lost_num_tickets
+  union all select 'maestra_diaria', diaria_id, 'facturacion', why_facturacion from days where lost_facturacion
+  union all select 'meteo_diaria', md_id, 'date', why_date from weather where lost_date)
+select w.*, b.filled_value, coalesce(b.source, 'none') as source, b.filled_value is not null as filled from wanted w left join best b using (table_name, row_id, field_name)
+"""
+
+
 # ---------------------------------------------------------------------------------------------- problem 5
 
 
@@ -566,4 +640,4 @@ QUERIES |= {
     "p1_found": p1_found, "p1_filled": p1_filled, "p1_evidence": p1_evidence, "p5_found": p5_found, "p5_ventas": p5_ventas, "p5_eventos": p5_eventos, "p5_ventas_columns": p5_ventas_columns, "p5_eventos_columns": p5_eventos_columns,
     "p6_found": p6_found, "p6_history": p6_history, "p7_found": p7_found, "p7_daily": p7_daily, "p7_articles": p7_articles,
 }
-SQL |= {"p5_ventas_columns": _one_table_sql("ventas"), "p5_eventos_columns": _one_table_sql("eventos"), "p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_history": P6_HISTORY_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}
+SQL |= {"p5_ventas_columns": _one_table_sql("ventas"), "p5_eventos_columns": _one_table_sql("eventos"), "p1_found": P1_FOUND_SQL, "p1_filled": _p1_filled_sql(), "p5_found": P5_FOUND_SQL, "p6_history": P6_HISTORY_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_daily": P7_DAILY_SQL, "p7_articles": P7_ARTICLES_SQL}

@@ -74,6 +74,8 @@ def clean_numeric_eu(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select evento_row_id, coalesce(
   case when regexp_matches(trim(date), '^\\d{4}-\\d{1,2}-\\d{1,2}$') then cast(try_strptime(trim(date), '%Y-%m-%d') as date) end,
+  case when regexp_matches(trim(date), '^[1-9]\\d{4}(\\.0*)?$') then date '1899-12-30' + cast(regexp_extract(trim(date), '^\\d+') as int) end,
+  case when regexp_matches(trim(date), '^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?$') then cast(try_strptime(trim(date)[1:10], '%Y-%m-%d') as date) end,
   case when regexp_matches(trim(date), '^\\d{4}/\\d{1,2}/\\d{1,2}$') then cast(try_strptime(trim(date), '%Y/%m/%d') as date) end,
   case when regexp_matches(trim(date), '^\\d{1,2}/\\d{1,2}/\\d{4}$') then cast(try_strptime(trim(date), '%d/%m/%Y') as date) end,
   case when regexp_matches(trim(date), '^\\d{1,2}-\\d{1,2}-\\d{4}$') then cast(try_strptime(trim(date), '%d-%m-%Y') as date) end) as day from eventos""")
