@@ -111,8 +111,9 @@ def override_union(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 def history_profile(panel: DataFrame, entity: Sequence[str], article: str = "article_code", index: str = "period_index") -> DataFrame:
     """Per article: periods observed, first and last index, name, units (null if all are unknown), periods since the last, and recency flags."""
+    named = [F.max_by("article_name", F.when(F.col("article_name").isNotNull(), F.struct("report_end", "report_start", "article_name"))).alias("article_name_last")] if "article_name" in panel.columns else []
     out = panel.groupBy(*entity, article).agg(
-        F.count_distinct(index).alias("periods_observed"), F.min(index).alias("first_index"), F.max(index).alias("last_index"), F.min("report_start").alias("first_start"), F.max("report_end").alias("last_end"), F.sum("units").alias("units_total_history"),
+        *named, F.count_distinct(index).alias("periods_observed"), F.min(index).alias("first_index"), F.max(index).alias("last_index"), F.min("report_start").alias("first_start"), F.max("report_end").alias("last_end"), F.sum("units").alias("units_total_history"),
     )
     if entity:
         out = out.join(broadcast_if_small(panel.groupBy(*entity).agg(F.max(index).alias("latest"))), list(entity))

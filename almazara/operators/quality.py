@@ -193,9 +193,10 @@ def eligible_for_outliers(df: DataFrame, columns: Sequence[str], min_rows: int =
 
 
 def outlier_columns(df: DataFrame, columns: Sequence[str], iqr_multiplier: float = 1.5, z_limit: float = 3.5) -> DataFrame:
-    """For each column ``<c>__robust_z``, ``<c>__outlier`` and ``<c>__severity`` (none, candidate, strong).
+    """For each column ``<c>__robust_z``, ``<c>__fence_distance``, ``<c>__fence_distance_iqr``, ``<c>__outlier`` and ``<c>__severity`` (none, candidate, strong).
 
-    Two criteria: beyond the quartile fences (infinite where the quartiles are equal), and |0.6745 (x - median)
+    The distance is how far a value lies beyond the nearer quartile fence, 0 within and for unknown values, and
+    the same in quartile distances, null where the quartiles are equal. Two criteria: beyond the quartile fences (infinite where the quartiles are equal), and |0.6745 (x - median)
     / MAD| over ``z_limit`` (null where the MAD is 0). Severity counts how many hold. The quantiles of all
     columns take three aggregates, the MADs three more, then one projection flags all.
     """
@@ -209,9 +210,12 @@ def outlier_columns(df: DataFrame, columns: Sequence[str], iqr_multiplier: float
         m = mad[c][0]
         z = F.lit(0.6745) * (val[c] - F.lit(median)) / F.lit(m) if m else F.lit(None).cast("double")
         fenced = q1 is not None and q3 != q1
-        out = F.coalesce((val[c] < q1 - iqr_multiplier * (q3 - q1)) | (val[c] > q3 + iqr_multiplier * (q3 - q1)), F.lit(False)) if fenced else F.lit(False)
+        low, high = (q1 - iqr_multiplier * (q3 - q1), q3 + iqr_multiplier * (q3 - q1)) if fenced else (None, None)
+        out = F.coalesce((val[c] < low) | (val[c] > high), F.lit(False)) if fenced else F.lit(False)
+        beyond = F.coalesce(F.greatest(F.lit(low) - val[c], val[c] - F.lit(high), F.lit(0.0)), F.lit(0.0)) if fenced else F.lit(0.0)
         far = F.coalesce(F.abs(z) > z_limit, F.lit(False))
         n = out.cast("int") + far.cast("int")
+        add |= {f"{c}__fence_distance": beyond, f"{c}__fence_distance_iqr": beyond / F.lit(q3 - q1) if fenced else F.lit(None).cast("double")}
         add |= {f"{c}__robust_z": z, f"{c}__outlier": out | far, f"{c}__severity": F.element_at(F.array(F.lit("none"), F.lit("candidate"), F.lit("strong")), n + 1)}
     return df.withColumns(add)
 

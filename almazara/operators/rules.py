@@ -28,10 +28,17 @@ def reservation_flags(df: DataFrame, created: str, at: str, people: str = "peopl
 
 
 def sales_flags(df: DataFrame) -> DataFrame:
-    """Negative measures, units given without amount, days of the report and inverted periods."""
+    """Negative measures, invitations, days of the report and inverted periods.
+
+    A row is an invitation if units were given without amount, or a column named for invitations says so in words.
+    """
+    free = (F.coalesce(F.col("units"), F.lit(0.0)) > 0) & (F.abs(F.coalesce(F.col("amount"), F.lit(0.0))) <= 1e-12)
+    for c in df.columns:
+        if "invit" in c.lower() and c != "es_invitacion":
+            free = free | F.coalesce(fold(F.col(c).cast("string")).rlike("^si$|^true$|invit"), F.lit(False))
     return df.withColumns({
         **value_flag("units__negative", F.col("units") < 0), **value_flag("amount__negative", F.col("amount") < 0),
-        "es_invitacion": (F.coalesce(F.col("units"), F.lit(0.0)) > 0) & (F.abs(F.coalesce(F.col("amount"), F.lit(0.0))) <= 1e-12),
+        "es_invitacion": free,
         "report_days": F.datediff("report_end", "report_start") + 1, **value_flag("period__invalid", F.col("report_end") < F.col("report_start")),
     })
 
@@ -55,8 +62,10 @@ def tip_flags(df: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
 
 def invoice_flags(df: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Base plus tax against the total, cash plus card against the total; only where all parts are known."""
+    """Base plus tax against the total, cash plus card against the total, only where all parts are known; and files that couldn't be parsed."""
+    broken = value_flag("pdf_parse__invalid", F.col("pdf_parse_error").isNotNull()) if "pdf_parse_error" in df.columns else {}
     return df.withColumns({
+        **broken,
         **{k: v for c in ("base", "vat", "total") for k, v in value_flag(f"{c}__negative", F.col(c) < 0).items()},
         **value_flag("total_reconciliation__invalid", F.round(F.abs(F.col("base") + F.col("vat") - F.col("total")), 9) > tolerance),
         **value_flag("payment_reconciliation__invalid", F.round(F.abs(F.col("cash_amount") + F.col("card_amount") - F.col("total")), 9) > tolerance),

@@ -122,7 +122,8 @@ def _outlier_sql(t: str, i: str, cols: list[str]) -> str:
     for c in cols:
         fence = f"coalesce(b{c} <> a{c} and ({c} < a{c} - 1.5 * (b{c} - a{c}) or {c} > b{c} + 1.5 * (b{c} - a{c})), false)"
         far = f"coalesce(d{c} <> 0 and abs(0.6745 * ({c} - m{c}) / d{c}) > 3.5, false)"
-        out.append(f"round(case when d{c} <> 0 then 0.6745 * ({c} - m{c}) / d{c} end, 6) as {c}__robust_z, {fence} or {far} as {c}__outlier, case {fence}::int + {far}::int when 0 then 'none' when 1 then 'candidate' else 'strong' end as {c}__severity")
+        beyond = f"case when b{c} <> a{c} then greatest(a{c} - 1.5 * (b{c} - a{c}) - {c}, {c} - (b{c} + 1.5 * (b{c} - a{c})), 0) else 0 end"
+        out.append(f"round(case when {c} is null then 0 else {beyond} end, 6) as {c}__fence_distance, round(case when d{c} <> 0 then 0.6745 * ({c} - m{c}) / d{c} end, 6) as {c}__robust_z, {fence} or {far} as {c}__outlier, case {fence}::int + {far}::int when 0 then 'none' when 1 then 'candidate' else 'strong' end as {c}__severity")
     return f"with q as (select {q} from {t}), m as (select {mad} from {t}, q) select {i}, {', '.join(out)} from {t}, q, m"
 
 
@@ -130,7 +131,7 @@ def _outlier_sql(t: str, i: str, cols: list[str]) -> str:
 def clean_outliers(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "ventas").select("venta_id", "units", "amount")
     cols = quality.eligible_for_outliers(v, ["units", "amount"])
-    return quality.outlier_columns(v, cols).select("venta_id", *[_R(f"{c}__robust_z", 6) for c in cols], *[f"{c}__{x}" for c in cols for x in ("outlier", "severity")])
+    return quality.outlier_columns(v, cols).select("venta_id", *[_R(f"{c}__{x}", 6) for c in cols for x in ("robust_z", "fence_distance")], *[f"{c}__{x}" for c in cols for x in ("outlier", "severity")])
 
 
 @query(f"""select 'units__outlier' as flag, count(*) filter (units__outlier) as flagged, count(*) filter (units__outlier) / count(*)::double as fraction from ({_outlier_sql("ventas", "venta_id", ["units", "amount"])})

@@ -358,3 +358,15 @@ def test_ranking_without_a_group_needs_no_single_task(spark):
     a = {r.article_code: r for r in context.rank_forecast(df, [], "article_code").collect()}
     b = {r.article_code: r for r in context.rank_forecast(df.withColumn("g", F.lit(1)), ["g"], "article_code").collect()}
     assert all(a[c].forecast_rank == b[c].forecast_rank and abs(a[c].forecast_cumulative_share - b[c].forecast_cumulative_share) < 1e-9 and a[c].planning_class == b[c].planning_class for c in b)
+
+
+def test_invitations_in_words_and_fence_distances(spark):
+    df = spark.createDataFrame([(1.0, 5.0, "Sí"), (1.0, 0.0, None), (None, 5.0, "no"), (1.0, 5.0, "Invitación casa")], "units double, amount double, invitacion string").withColumns({c: F.lit(day(0)) for c in ("report_start", "report_end")})
+    assert [r.es_invitacion for r in rules.sales_flags(df).collect()] == [True, True, False, True]
+    x = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)] + [(None,)], "x double")
+    got = {r.x: (r.x__fence_distance, r.x__fence_distance_iqr) for r in quality.outlier_columns(x, ["x"]).collect()}
+    assert got[100.0] == (93.0, 46.5) and got[3.0] == (0.0, 0.0) and got[None] == (0.0, 0.0)
+    same = spark.createDataFrame([(1.0,), (1.0,), (9.0,), (1.0,)], "x double")
+    assert all(r.x__fence_distance == 0.0 for r in quality.outlier_columns(same, ["x"]).collect())
+    broken = spark.createDataFrame([(1.0, 0.2, 1.2, 1.2, 0.0, "bad"), (1.0, 0.2, 1.2, 1.2, 0.0, None)], "base double, vat double, total double, cash_amount double, card_amount double, pdf_parse_error string")
+    assert [r.pdf_parse__invalid for r in rules.invoice_flags(broken).collect()] == [True, False]
