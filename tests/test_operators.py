@@ -366,7 +366,7 @@ def test_invitations_in_words_and_fence_distances(spark):
     x = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)] + [(None,)], "x double")
     got = {r.x: (r.x__fence_distance, r.x__fence_distance_iqr) for r in quality.outlier_columns(x, ["x"]).collect()}
     assert got[100.0] == (93.0, 46.5) and got[3.0] == (0.0, 0.0) and got[None] == (0.0, 0.0)
-    same = spark.createDataFrame([(1.0,), (1.0,), (9.0,), (1.0,)], "x double")
+    same = spark.createDataFrame([(1.0,)] * 9 + [(9.0,)], "x double")
     assert all(r.x__fence_distance == 0.0 for r in quality.outlier_columns(same, ["x"]).collect())
     broken = spark.createDataFrame([(1.0, 0.2, 1.2, 1.2, 0.0, "bad"), (1.0, 0.2, 1.2, 1.2, 0.0, None)], "base double, vat double, total double, cash_amount double, card_amount double, pdf_parse_error string")
     assert [r.pdf_parse__invalid for r in rules.invoice_flags(broken).collect()] == [True, False]
