@@ -26,7 +26,8 @@ class Dependency:
     ``value`` leads from the dictionary's entry back to the target, and may use the record's own columns (a
     derived ``of`` that is null for a record says nothing about it). With ``within`` 0 the records of a group
     must agree; above 0 the dependency is metric: a group agrees if its standard deviation is at most that
-    share of its mean, and the entry is the mean. ``label`` names a derived quantity.
+    share of its mean, and the entry is the mean, weighted by ``weight`` (a quotient by its divisor, say).
+    ``label`` names a derived quantity.
     """
 
     target: str
@@ -35,6 +36,7 @@ class Dependency:
     value: Callable[[Column], Column] = lambda entry: entry
     within: float = 0.0
     label: str = ""
+    weight: Column | None = None
 
     @property
     def name(self) -> str:
@@ -127,7 +129,8 @@ def _dictionaries(df: DataFrame, dependencies: Sequence[Dependency], fallbacks:
         of = _complete(d.target) if d.of is None else d.of
         if d.within:
             x = of.cast("double")
-            entry, apart = F.avg(x), F.coalesce(F.stddev_samp(x) > d.within * F.abs(F.avg(x)), F.lit(False))
+            mean = F.avg(x) if d.weight is None else F.try_divide(F.sum(x * d.weight), F.sum(F.when(x.isNotNull(), d.weight)))
+            entry, apart = mean, F.coalesce(F.stddev_samp(x) > d.within * F.abs(F.avg(x)), F.lit(False))
         else:
             entry, apart = F.min(of), F.coalesce(F.min(of) != F.max(of), F.lit(False))
         sets.setdefault(d.determinant, []).extend([F.count(of).alias(f"n{i}"), F.when(~apart, entry).alias(f"entry{i}"), apart.alias(f"apart{i}")])

@@ -223,7 +223,7 @@ def _daily_rules() -> tuple[list[Dependency], list[Fallback]]:
         tidy = (lambda c: F.round(c)) if target == _TICKETS else (lambda c: F.round(c, 2))
         back = lambda ratio, known=known, tidy=tidy: tidy(known * ratio)
         dependencies.append(Dependency(target, ("restaurant", "date")))
-        dependencies += [Dependency(target, det, good[target] / good[other], back, _RATIO_WITHIN, f"{target}/{other}") for det in (("restaurant", "day_name"), ("restaurant",))]
+        dependencies += [Dependency(target, det, good[target] / good[other], back, _RATIO_WITHIN, f"{target}/{other}", good[other]) for det in (("restaurant", "day_name"), ("restaurant",))]
         dependencies.append(Dependency(target, ("restaurant", "day_name"), good[target], tidy, _RATIO_WITHIN))
         mean = F.avg(F.when(F.col(f"{target}__reason").isNull(), F.col(target).cast("double")))
         groups = (("restaurant_weekday", ("restaurant", "day_name")), ("restaurant", ("restaurant",)), ("date", ("date",)), ("all", ()))
@@ -319,10 +319,10 @@ union all select 'meteo_diaria', md_id, 'date' from meteo_diaria m left join fil
 where date is null or date in ({', '.join(f"date '{x}'" for x in STAND_IN_DAYS)}) or abs((date - date '1970-01-01') - mid) > {ABSURD_DAYS}
 """
 
-def _candidate_sql(i: int, rows: str, ids: str, target: str, determinant: tuple[str, ...], of: str, value: str, within: float, name: str) -> str:
+def _candidate_sql(i: int, rows: str, ids: str, target: str, determinant: tuple[str, ...], of: str, value: str, within: float, name: str, weight: str = "1") -> str:
     """The dictionary of a candidate, its evidence, and what it offers to the rows without ``target`` if it holds."""
     det = ", ".join(determinant)
-    entry, apart = (f"avg({of})", f"stddev_samp({of}) > {within} * abs(avg({of}))") if within else (f"min({of})", f"min({of}) <> max({of})")
+    entry, apart = (f"sum({of} * {weight}) / sum(case when {of} is not null then {weight} end)", f"stddev_samp({of}) > {within} * abs(avg({of}))") if within else (f"min({of})", f"min({of}) <> max({of})")
     known = " and ".join(f"{c} is not null" for c in determinant)
     return f"""
 d{i} as (select {det}, count({of}) as n, {entry} as entry, coalesce({apart}, false) as apart from {rows} where {known} group by {det}),
@@ -358,7 +358,7 @@ def _p1_filled_sql() -> str:
         ratio = f"case when not lost_{target} and v_{target} > 0 and not lost_{other} and v_{other} > 0 then v_{target} / v_{other} end"
         add(_candidate_sql, "days", "diaria_id", target, ("restaurant", "date"), good, plain, 0.0, "fd:restaurant+date")
         for det in (("restaurant", "day_name"), ("restaurant",)):
-            add(_candidate_sql, "days", "diaria_id", target, det, ratio, shown(f"({known}) * entry"), _RATIO_WITHIN, f"fd:{'+'.join(det)}->{target}/{other}")
+            add(_candidate_sql, "days", "diaria_id", target, det, ratio, shown(f"({known}) * entry"), _RATIO_WITHIN, f"fd:{'+'.join(det)}->{target}/{other}", f"v_{other}")
         add(_candidate_sql, "days", "diaria_id", target, ("restaurant", "day_name"), f"case when not lost_{target} and v_{target} > 0 then v_{target} end", shown("entry"), _RATIO_WITHIN, "fd:restaurant+day_name")
         for name, group in (("restaurant_weekday", ("restaurant", "day_name")), ("restaurant", ("restaurant",)), ("date", ("date",)), ("all", ())):
             add(_fallback_sql, "days", "diaria_id", target, group, f"avg({good})", shown("entry"), name)
