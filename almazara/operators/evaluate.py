@@ -79,7 +79,7 @@ def baseline_predictions(features: DataFrame, fold_table: DataFrame, baselines:
     known = features.where(F.col(target).isNotNull())
     small = broadcast_if_small(fold_table)
     medians = group_medians(known.join(small.where("role = 'train'"), index), ["fold"], target, "fallback")
-    rows = known.join(small.where("role = 'validation'"), index).join(broadcast_if_small(medians), "fold", "left")
+    rows = known.join(small.where("role = 'validation'"), index).join(F.broadcast(medians), "fold", "left")  # a row a fold
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("value")) for m, c in baselines.items()]))
     return rows.select("fold", *keys, index, F.col(regime).alias("regime"), F.col(target).alias("target"), "fallback", models.alias("m")).select(
         "fold", F.col("m.model").alias("model"), *keys, index, "regime", "target",

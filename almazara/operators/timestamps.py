@@ -302,7 +302,8 @@ def _second_occurrences(read: DataFrame) -> DataFrame:
     """
     later = F.col("utc") + 3600
     wall = F.when(F.col("stated"), utc_to_local(F.col("utc"), F.col("zone"))).otherwise(F.col("wall"))
-    read = read.withColumn("shown", wall).withColumn("first_utc", local_to_utc(F.col("shown"), F.col("zone")))
+    shown = F.when(F.col("position").isNotNull(), wall)  # other rows need no conversion
+    read = read.withColumn("shown", shown).withColumn("first_utc", local_to_utc(F.col("shown"), F.col("zone")))
     twice = F.coalesce(F.col("utc").isNotNull() & (utc_to_local(F.col("first_utc") + 3600, F.col("zone")) == F.col("shown")), F.lit(False))
     read = read.withColumn("twice", twice)
     ends = read.where("twice and position is not null").groupBy("file", "zone", "shown").agg(F.min("position").alias("low"), F.max("position").alias("high")).where("high > low")
