@@ -269,7 +269,8 @@ def _long(df: DataFrame, name: str, row_id: str, targets: tuple[str, ...]) -> Da
         F.when(F.col(f"{t}__reason").isNotNull(), F.struct(F.lit(t).alias("field_name"), F.col(f"{t}__reason").alias("reason"), F.col(f"{t}__filled_value").cast("string").alias("filled_value"), F.col(f"{t}__source").alias("source"), F.col(f"{t}__filled").alias("filled")))
         for t in targets
     ]
-    return df.select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.explode(F.array_compact(F.array(*each))).alias("x")).select("table_name", "row_id", "x.*")
+    lost = df.where(" or ".join(f"`{t}__reason` is not null" for t in targets))
+    return lost.select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.explode(F.array_compact(F.array(*each))).alias("x")).select("table_name", "row_id", "x.*")
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
