@@ -39,7 +39,7 @@ def fit(train: DataFrame, name: str, categorical: Sequence[str], numeric: Sequen
     if name == "poisson_glm":
         model = GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, maxIter=25)
     elif name == "random_forest":
-        model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
+        model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)
     elif name == "gbt_log1p":
         rows = rows.withColumn("label", F.log1p("label"))
         model = GBTRegressor(maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=20, seed=seed)

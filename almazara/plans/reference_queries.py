@@ -72,13 +72,16 @@ def clean_numeric_eu(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", casts.number_eu(text).alias("price"))
 
 
-@query("""select evento_row_id, coalesce(
+_DAY_SQL = """coalesce(
   case when regexp_matches(trim(date), '^\\d{4}-\\d{1,2}-\\d{1,2}$') then cast(try_strptime(trim(date), '%Y-%m-%d') as date) end,
   case when regexp_matches(trim(date), '^[1-9]\\d{4}(\\.0*)?$') then date '1899-12-30' + cast(regexp_extract(trim(date), '^\\d+') as int) end,
   case when regexp_matches(trim(date), '^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?$') then cast(try_strptime(trim(date)[1:10], '%Y-%m-%d') as date) end,
   case when regexp_matches(trim(date), '^\\d{4}/\\d{1,2}/\\d{1,2}$') then cast(try_strptime(trim(date), '%Y/%m/%d') as date) end,
   case when regexp_matches(trim(date), '^\\d{1,2}/\\d{1,2}/\\d{4}$') then cast(try_strptime(trim(date), '%d/%m/%Y') as date) end,
-  case when regexp_matches(trim(date), '^\\d{1,2}-\\d{1,2}-\\d{4}$') then cast(try_strptime(trim(date), '%d-%m-%Y') as date) end) as day from eventos""")
+  case when regexp_matches(trim(date), '^\\d{1,2}-\\d{1,2}-\\d{4}$') then cast(try_strptime(trim(date), '%d-%m-%Y') as date) end)"""
+
+
+@query(f"select evento_row_id, {_DAY_SQL} as day from eventos")
 def clean_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eventos").select("evento_row_id", casts.day(F.col("date")).alias("day"))
 
@@ -216,6 +219,28 @@ def rules_reservations(spark: SparkSession, d: str) -> DataFrame:
     return _booked(spark, d).select("reserva_id", "people__invalid", "is_large_group", "is_walk_in", _R("lead_time_hours", 6), "lead_time__invalid")
 
 
+@query(f"select evento_row_id, {_DAY_SQL} as date, event_start, event_intensity, cast(event_id as varchar) as event_id from eventos")
+def clean_types(spark: SparkSession, d: str) -> DataFrame:
+    """Columns typed by name, from text."""
+    e = table(spark, d, "eventos").select("evento_row_id", "date", F.col("event_start").cast("string").alias("event_start"), F.col("event_intensity").cast("string").alias("event_intensity"), "event_id")
+    return casts.assert_types(e)
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_extendedprice as european, -l_extendedprice as english from lineitem")
+def src_decimal_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts printed in two conventions and read back by their last separator."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    rest, whole = F.lpad((cents % 100).cast("string"), 2, "0"), F.format_number(F.floor(cents / 100), 0)
+    read = {"european": F.concat(F.translate(whole, ",", "."), F.lit(","), rest, F.lit(" €")), "english": F.concat(F.lit("-"), whole, F.lit("."), rest)}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[casts.decimal_token(c).alias(n) for n, c in read.items()])
+
+
+@query("select count(*) as rows from ventas")
+def clean_unique_key(spark: SparkSession, d: str) -> DataFrame:
+    """The row id of the sales, guarded against repeats."""
+    return quality.assert_unique(table(spark, d, "ventas").select("venta_id"), ["venta_id"], "ventas").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # ------------------------------------------------------------------------------------------------ daily
 
 
@@ -496,6 +521,13 @@ def feat_training_eligibility(spark: SparkSession, d: str) -> DataFrame:
     return features.eligibility(table(spark, d, "features_article_period")).select("fap_id", "target_observed", "training_eligible")
 
 
+@query("select diaria_id, coalesce(case when reservas_total % 3 = 0 then 2.5 end, case when not tiene_evento then 0.0 end) as event_intensity_mean from maestra_diaria")
+def feat_known_context(spark: SparkSession, d: str) -> DataFrame:
+    """Intensity is 0 where it is known that there was no event; given for every third number of reservations."""
+    rows = table(spark, d, "maestra_diaria").select("diaria_id", "tiene_evento", F.when(F.col("reservas_total") % 3 == 0, 2.5).alias("event_intensity_mean"))
+    return features.known_context_zero(rows).select("diaria_id", "event_intensity_mean")
+
+
 # ------------------------------------------------------------------------------------------------ evaluation
 
 _FAP_SQL = """fap as (select restaurant, article_code, report_start, report_end, period_index, units, amount, coalesce(article_demand_regime_prior, 'unknown') as regime, case when isnan(units__lag_1) then null else units__lag_1 end as lag_1,
@@ -687,6 +719,44 @@ def ops_forecast_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("restaurant", "articles", _R("predicted_total", 2), _R("top_units", 2), _R("top_share", 6), "class_a")
 
 
+@query("select fap_id from features_article_period where coalesce(period_is_complete, false)")
+def ops_complete_rows(spark: SparkSession, d: str) -> DataFrame:
+    return context.complete_rows(table(spark, d, "features_article_period")).select("fap_id")
+
+
+@query(f"""with w as (select event_location, date, case when isnan(rain_mm) then null else rain_mm end as rain_mm, case when isnan(temperature_mean) then null else temperature_mean end as temperature_mean from meteo_diaria where date between date '{_HORIZON[0]}' and date '{_HORIZON[1]}')
+select event_location, date, round(sum(rain_mm), 4) as rain_mm, round(avg(temperature_mean), 4) as temperature_mean from w group by 1, 2""")
+def ops_future_weather(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (F.lit(x).cast("date") for x in _HORIZON)
+    w = casts.nan_to_null(table(spark, d, "meteo_diaria").select("event_location", "date", "rain_mm", "temperature_mean"))
+    return context.forecast_weather(w, a, b, ["event_location"]).select("event_location", "date", _R("rain_mm"), _R("temperature_mean"))
+
+
+#: A mapping of regimes to baselines, as a run would have frozen it; regimes outside it take the default.
+_MAPPING = {"cold_start": "lag_1", "intermittent": "rolling_mean_4", "regular": "expanding_mean"}
+_OWN_PT_SQL = "pt as (select restaurant, report_start, report_end, coalesce(bool_and(complete), true) as period_is_complete, report_end - report_start + 1 as days from pf group by 1, 2, 3)"
+_CASES = " ".join(f"when '{r}' then '{m}'" for r, m in _MAPPING.items())
+
+
+@query(f"""with {_PANEL_SQL}, {_EXPECTED_SQL}, pf as (select p.*, coalesce({_DAYS} = expected_days, false) as complete from panel p left join expected using (restaurant)), {_NEXT_SQL.replace(_PT_SQL, _OWN_PT_SQL)},
+ idx as (select *, dense_rank() over (partition by restaurant order by report_start, report_end) - 1 as i from pf where complete), last as (select restaurant, max(i) + 1 as i from idx group by 1),
+ ahead as (select a.restaurant, a.article_code, coalesce(l.i, 0) as i from (select distinct restaurant, article_code from pf) a join nxt using (restaurant) left join last l using (restaurant)),
+ f as (select a.restaurant, a.article_code, any_value(a.i) as i, count(x.units) as n, avg(x.units) as expanding_mean, max(x.units) filter (x.i = a.i - 1) as lag_1, avg(x.units) filter (x.i >= a.i - 4) as rolling_mean_4 from ahead a left join idx x using (restaurant, article_code) group by 1, 2),
+ r as (select *, case when n < 4 then 'cold_start' when n / i::double >= 0.75 then 'frequent' when n / i::double >= 0.5 then 'regular' when n / i::double >= 0.25 then 'intermittent' else 'sparse' end as regime from f),
+ m as (select *, case regime {_CASES} else 'expanding_mean' end as selected_model from r), o as (select *, case selected_model when 'lag_1' then lag_1 when 'rolling_mean_4' then rolling_mean_4 else expanding_mean end as own from m)
+ select restaurant, article_code, regime, selected_model, round(greatest(coalesce(own, (select median(units) from pf where complete and units >= 0), 0), 0), 4) as predicted_units, own is null as used_prediction_fallback from o""")
+def ops_forecast_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The forecast of the staged run with a mapping of regimes to baselines: scaffold, features, the mapped model, the fallback."""
+    from almazara import pipeline
+    from almazara.config import FeatureRules, OperationalRules
+
+    p = _panel(spark, d)
+    gold = panel.period_fields(p, panel.expected_period_days(p, entity=["restaurant"]), ["restaurant"])
+    mapping = spark.createDataFrame([(r, m, "regime") for r, m in _MAPPING.items()], "regime string, model string, source string")
+    out = pipeline.forecast(gold, FeatureRules(), OperationalRules(), mapping, ("restaurant",))
+    return out.select(*_E, F.col("article_demand_regime_prior").alias("regime"), "selected_model", _R("predicted_units"), "used_prediction_fallback")
+
+
 # ------------------------------------------------------------------------------------------------ profiles
 
 
@@ -775,6 +845,11 @@ def eda_event_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("duration_mean", F.round("duration_mean", 6))
 
 
+@query("select venta_id, coalesce(nullif(trim(article_name), ''), cast(article_code as varchar)) as label from ventas")
+def eda_labels(spark: SparkSession, d: str) -> DataFrame:
+    return eda.label(table(spark, d, "ventas")).select("venta_id", "label")
+
+
 # ------------------------------------------------------------------------------------------------ sets
 
 
