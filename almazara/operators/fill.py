@@ -9,12 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almazara.session import broadcast_if_small, shared_path
+from almazara.session import broadcast_if_small, shared_path, value_bytes
 
 #: A value this many times the median of its group is absurd there.
 ABSURD_FACTOR = 25.0
 #: A day this far from the median day of its file is absurd there.
 ABSURD_DAYS = 400
+#: The dictionaries of one fill that are broadcast take at most so many measured bytes together: the driver builds
+#: them and holds all of them at once. Their files say little of that, being compressed and shared by all.
+BROADCAST_BYTES = 8 << 20
 # Days that stand for "unknown" in exports (zero day of spreadsheets, of Unix, end of time).
 STAND_IN_DAYS = ("1900-01-01", "1970-01-01", "9999-12-31")
 
@@ -147,20 +150,31 @@ def _dictionaries(df: DataFrame, dependencies: Sequence[Dependency], fallbacks:
     return df.sparkSession.read.schema(table.schema).parquet(path), list(sets)
 
 
-def mine(df: DataFrame, dependencies: Sequence[Dependency], fallbacks: Sequence[Fallback] = ()) -> tuple[DataFrame, list[tuple[str, ...]], list[Evidence]]:
-    """The dictionaries of all candidates, and the evidence for each, from complete records.
+def mine(df: DataFrame, dependencies: Sequence[Dependency], fallbacks: Sequence[Fallback] = ()) -> tuple[DataFrame, list[tuple[str, ...]], list[Evidence], dict[int, int]]:
+    """The dictionaries of all candidates, the evidence for each, from complete records, and the bytes of each dictionary.
 
     A group counts if it has two or more records, and is a violation if they disagree. One job makes all
-    dictionaries, one counts; two numbers a candidate come to the driver.
+    dictionaries, one counts and measures; a row a dictionary comes to the driver.
     """
     if not dependencies and not fallbacks:
-        return df.limit(0), [], []
+        return df.limit(0), [], [], {}
     table, sets = _dictionaries(df, dependencies, fallbacks)
-    if not dependencies:
-        return table, sets, []
     counts = [x for i in range(len(dependencies)) for x in (F.count_if(F.col(f"n{i}") > 1).alias(f"g{i}"), F.count_if((F.col(f"n{i}") > 1) & F.col(f"apart{i}")).alias(f"v{i}"))]
-    r = table.agg(*counts).first()
-    return table, sets, [Evidence(d, r[f"g{i}"], r[f"v{i}"]) for i, d in enumerate(dependencies)]
+    width = sum((F.when(F.col(c).isNotNull(), value_bytes(c, t)).otherwise(0) for c, t in table.dtypes if c != "__set"), F.lit(64).cast("long"))
+    said = {r["__set"]: r for r in table.groupBy("__set").agg(F.sum(width).alias("bytes"), *counts).collect()}
+    evidence = [Evidence(d, sum(r[f"g{i}"] for r in said.values()), sum(r[f"v{i}"] for r in said.values())) for i, d in enumerate(dependencies)]
+    return table, sets, evidence, {k: r["bytes"] for k, r in said.items()}
+
+
+def _small(sizes: dict[int, int]) -> set[int]:
+    """The dictionaries to broadcast: the smallest first, as long as they take BROADCAST_BYTES together."""
+    small, total = set(), 0
+    for k, size in sorted(sizes.items(), key=lambda x: x[1]):
+        total += size
+        if total > BROADCAST_BYTES:
+            break
+        small.add(k)
+    return small
 
 
 def fill(df: DataFrame, targets: Sequence[str], dependencies: Sequence[Dependency], fallbacks: Sequence[Fallback] = (), tolerance: float = 0.05) -> DataFrame:
@@ -174,12 +188,14 @@ def fill(df: DataFrame, targets: Sequence[str], dependencies: Sequence[Dependenc
     3. What is still missing is estimated by the group fallbacks, in order. Source ``group:<name>``.
 
     Only incomplete records are joined; complete ones pass through. A group with a third of the rows is no hot
-    spot: it is combined before the shuffle, and what is joined to it is one row.
+    spot: it is combined before the shuffle, and what is joined to it is one row. Dictionaries are broadcast if they
+    were measured to be small together (BROADCAST_BYTES), else merged, never by an estimate from their files.
 
     Defined edge cases: a missing value without any similar record stays null, source ``none``, and is still
     marked by its reason; an empty input passes through; a null in a determinant or group column matches nothing.
     """
-    table, sets, evidence = mine(df, dependencies, fallbacks)
+    table, sets, evidence, sizes = mine(df, dependencies, fallbacks)
+    small = _small(sizes)
     held = [(i, e) for i, e in enumerate(evidence) if e.holds(tolerance)]
     held.sort(key=lambda x: (x[1].dependency.within, x[1].violations / x[1].groups, -x[1].groups))
     missing = reduce(lambda a, b: a | b, [F.col(f"{t}__reason").isNotNull() for t in targets])
@@ -193,6 +209,7 @@ def fill(df: DataFrame, targets: Sequence[str], dependencies: Sequence[Dependenc
         if determinant:
             names = [f"{own}key_{k}_{n}" for n in range(len(determinant))]
             side = table.where(F.col("__set") == k).select(*[F.col(f"key_{k}_{n}").alias(c) for n, c in enumerate(names)], *[F.col(c).alias(own + c) for c, _ in wanted])
+            side = side.hint("broadcast" if k in small else "merge")
             lost = lost.join(side, reduce(lambda a, b: a & b, [lost[c] == side[n] for c, n in zip(determinant, names)]), "left").drop(*names)
         else:
             overall = table.where(F.col("__set") == k).first()

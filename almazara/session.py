@@ -59,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _bytes(name: str, kind: str) -> Column:
+def value_bytes(name: str, kind: str) -> Column:
     """About how many bytes a value takes; arrays and maps are counted by 64 bytes an element."""
     c = F.col(name)
     if kind == "string":
@@ -75,6 +75,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     Larger sides are returned without a hint, so that the join shuffles and AQE may split skewed keys.
     """
     kept = cut(df)
-    width = sum((_bytes(c, t) for c, t in kept.dtypes), F.lit(0).cast("long"))
+    width = sum((value_bytes(c, t) for c, t in kept.dtypes), F.lit(0).cast("long"))
     n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(kept) if n <= max_rows and size <= max_bytes else kept

@@ -215,6 +215,19 @@ def test_dependencies_are_verified(spark):
     assert not e[0].holds(0.05) and e[2].holds(0.0) and not fill.Evidence(rules[0], 0, 0).holds(1.0)
 
 
+def test_large_dictionaries_are_not_broadcast(spark):
+    """Their files are small (compressed, of all dictionaries), what the driver would build of them is not."""
+    n = 150_000
+    df = spark.range(2 * n).select((F.col("id") % n).alias("k"), F.lit("g").alias("g"), F.when((F.col("id") < n) | (F.col("id") % 3 > 0), F.col("id") % n).alias("v"))
+    df = fill.keep(df.withColumn("v__reason", F.when(F.col("v").isNull(), "null")))
+    out = fill.fill(df, ("v",), [fill.Dependency("v", ("k",))], [fill.Fallback("v", "g", ("g",), F.min("v"))])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1  # by k, and by the only g
+    r = out.agg(F.count_if("v__filled").alias("filled"), F.count_if(F.col("v__filled_value") == F.col("k")).alias("right"), F.count_if(F.col("v__source") == "fd:k").alias("fd")).first()
+    assert (r.filled, r.right, r.fd) == (n // 3, 2 * n, n // 3)
+    assert fill._small({0: fill.BROADCAST_BYTES, 1: 5, 2: 7}) == {1, 2} and fill._small({0: 1 << 40}) == set()
+
+
 def test_days_in_all_guises(spark):
     rows = [(i, "f", day(i), i) for i in range(30)] + [(40, "f", None, 30), (41, "f", D(1970, 1, 1), 31), (42, "f", D(2001, 5, 5), 32), (43, "f", D(9999, 12, 31), 33), (44, None, D(2001, 5, 5), 1), (45, "g", None, 1), (46, "f", None, 3)]
     df = fill.usable_day(spark.createDataFrame(rows, "id long, f string, d date, n long"), "f", "d").withColumns({"block": F.floor(F.col("n") / 8), "__entry0": F.lit(7), "stat0": F.lit(8)})
