@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almazara.operators.forest import Forest
+
 MISSING = "__MISSING__"
 #: Candidates by name. Boosted trees with a Poisson loss have no counterpart in Spark ML; ``gbt_log1p`` is named for what it is.
 CANDIDATES = ("poisson_glm", "random_forest", "gbt_log1p")
@@ -39,7 +41,7 @@ def fit(train: DataFrame, name: str, categorical: Sequence[str], numeric: Sequen
     if name == "poisson_glm":
         model = GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, maxIter=25)
     elif name == "random_forest":
-        model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)
+        model = Forest(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
     elif name == "gbt_log1p":
         rows = rows.withColumn("label", F.log1p("label"))
         model = GBTRegressor(maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=20, seed=seed)

@@ -10,7 +10,7 @@ from almazara.functions.text import slug, strip_accents
 from almazara.operators import context, daily, eda, evaluate, features, panel, quality, rules, timestamps
 from almazara.plans import data_problems
 from almazara.plans.tables import table
-from almazara.session import broadcast_if_small
+from almazara.session import broadcast_if_small, shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -881,7 +881,9 @@ def _candidate(spark: SparkSession, d: str, name: str, **sizes: int) -> DataFram
 
     rows = _features(spark, d).where("units is not null and units >= 0")
     split = evaluate.holdout(rows)
-    both = rows.join(F.broadcast(split), "period_index")  # one row a period
+    both = rows.join(F.broadcast(split), "period_index").select("split", "regime", *_NUMERIC, "units")  # one row a period
+    both.write.parquet(path := shared_path(spark, "candidate"))  # read by each step of the preparation
+    both = spark.read.schema(both.schema).parquet(path)
     model = models.fit(both.where("split = 'development'"), name, ["regime"], _NUMERIC, "units", **sizes)
     out = models.predict(model, both.where("split = 'test'"), name, ["regime"], _NUMERIC)
     return evaluate.metrics(out.withColumn("target", F.col("units")), ["regime"]).select(F.lit(name).alias("model"), "regime", "rows", _R("mae", 6), _R("wape", 6), _R("bias", 6))

@@ -370,3 +370,36 @@ def test_invitations_in_words_and_fence_distances(spark):
     assert all(r.x__fence_distance == 0.0 for r in quality.outlier_columns(same, ["x"]).collect())
     broken = spark.createDataFrame([(1.0, 0.2, 1.2, 1.2, 0.0, "bad"), (1.0, 0.2, 1.2, 1.2, 0.0, None)], "base double, vat double, total double, cash_amount double, card_amount double, pdf_parse_error string")
     assert [r.pdf_parse__invalid for r in rules.invoice_flags(broken).collect()] == [True, False]
+
+
+def test_forest_grows_spark_trees_in_as_many_jobs_at_any_depth(spark):
+    import random
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from almazara.operators import forest
+    from almazara.operators.models import fit, predict
+
+    rng = random.Random(5)
+    rows = [(i, float(rng.randrange(60) ** 2 // 50), float(rng.randrange(3)), rng.choice("uv"), rng.random() + i % 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c string, y double").repartition(3, "id").cache()
+    jobs, _ = {}, df.count()
+    for depth in (2, 30):
+        spark.sparkContext.setJobGroup(f"forest {depth}", "")
+        predict(fit(df, "random_forest", ["c"], ["a", "b"], "y", trees=5, depth=depth), df, "random_forest", ["c"], ["a", "b"]).collect()
+        jobs[depth] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest {depth}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[2] == jobs[30]  # a forest that passes the rows once a level needs more for depth
+
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).withColumn("label", F.col("y")).cache()
+    tree = dict(numTrees=1, bootstrap=False, featureSubsetStrategy="all", minInstancesPerNode=2, seed=1)
+    for depth in (1, 4, 30):
+        mine, spark_tree = ({r.id: r.prediction for r in m(maxDepth=depth, **tree).fit(vectors).transform(vectors).collect()} for m in (forest.Forest, RandomForestRegressor))
+        assert mine == pytest.approx(spark_tree, abs=1e-9)
+    many = dict(numTrees=40, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=30, seed=1)
+    model = forest.Forest(**many).fit(vectors)
+    mine, again, other = ({r.id: r.prediction for r in m.transform(vectors).collect()} for m in (model, model, RandomForestRegressor(**many).fit(vectors)))
+    assert mine == pytest.approx(again, abs=1e-12) and len(mine) == 3000
+    assert sum(abs(mine[i] - other[i]) for i in mine) / 3000 < 0.1  # other draws, the same forest; labels deviate by 2
+    assert model.transform(vectors.where("false")).count() == 0
